@@ -118,3 +118,15 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     starts = np.flatnonzero(inside & (~before | edge))
     ends = np.flatnonzero(before & (~inside | edge))
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame written as Parquet in the shared checkpoint folder and read again."""
+    import uuid
+
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
