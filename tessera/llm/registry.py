@@ -12,6 +12,7 @@ from tessera.llm.jaccard import jaccard_components
 from tessera.llm.language import language
 from tessera.llm.packing import packing_digest
 from tessera.llm.quality import quality
+from tessera.llm.suffixes import remove_repeats
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import url_filter
 
@@ -20,6 +21,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -45,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op4_decontamination, op5_toxicity, op7_language, op8_packing, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op7_language, op8_packing, op9_quality, op10_url_filter)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
