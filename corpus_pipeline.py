@@ -1,17 +1,58 @@
-"""A corpus pipeline over documents: each stage works on what its predecessor kept."""
+"""A corpus pipeline over documents: each stage works on all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-#: The stages learn a model and call a tokenizer, which SQL can't express.
+from tessera.llm.common import stored, table
+from tessera.llm.decontamination import decontaminate
+from tessera.llm.jaccard import drop_near_copies
+from tessera.llm.packing import pack
+from tessera.llm.quality import keep_quality
+from tessera.llm.suffixes import without_repeats
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group linked by five-word shingles at 0.8."""
+    return drop_near_copies(docs, width=5, num=80, den=100)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that also start in a document with a smaller id."""
+    return without_repeats(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), remove="documents")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences, with their ids."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("n-gram Jaccard join", near_copies_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+#: The first stage learns a model and the last calls a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after the other, from the documents of the folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages, one after the other, from the documents of the folder; each result is stored before the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs
