@@ -8,15 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.common import table
 from tessera.llm.decontamination import contamination_report
+from tessera.llm.embeddings import embedding_dedup
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.language import language
 from tessera.llm.packing import packing_digest
 from tessera.llm.quality import quality
 from tessera.llm.suffixes import remove_repeats
+from tessera.llm.token_counts import sample_edits, token_counts
 from tessera.llm.toxicity import toxicity
 from tessera.llm.url_filter import url_filter
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_counts(docs, sample_edits(docs["text"]))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -37,6 +44,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
@@ -50,7 +61,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op7_language, op8_packing, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_embedding_dedup, op7_language, op8_packing, op9_quality, op10_url_filter)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -54,6 +54,12 @@ class Encoder(dict):
         ids = self.piece(head)
         return ids + b"".join(map(self.__getitem__, rest.split(" "))) if space else ids
 
+    def count(self, text: str) -> int:
+        """Number of ids."""
+        if text[:1] == " " and "  " not in text and text[-1:] != " " and not any(s in text for s in self.special):
+            return sum(map(len, map(self.__getitem__, text[1:].split(" ")))) // 4
+        return len(self(text)) // 4
+
 
 _encoders: dict[tuple, Encoder] = {}
 
