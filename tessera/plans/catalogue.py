@@ -1 +1,3 @@
 """Registers every query of the library."""
+
+from tessera.plans import scans  # noqa: F401

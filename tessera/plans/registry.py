@@ -26,6 +26,17 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def catalog_query(name: str, sql: str | None = None):
+    """Register a function of a Catalog; its SQL may name the catalog's tables."""
+    from tessera.sources.fixtures import Catalog, with_tables
+
+    def keep(function):
+        query(name, with_tables(sql) if sql else None)(lambda spark, sf_dir: function(Catalog(spark, sf_dir)))
+        return function
+
+    return keep
+
+
 def queries() -> dict[str, Query]:
     from tessera.plans import catalogue  # noqa: F401  registers on import
 
