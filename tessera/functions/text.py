@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 
-BLANK = F.lit("")
-
-
 def one_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -24,7 +21,7 @@ def unquote(text: Column) -> Column:
 
 
 def or_blank(text: Column) -> Column:
-    return F.coalesce(text, BLANK)
+    return F.coalesce(text, F.lit(""))
 
 
 def or_default(text: Column, default: Column) -> Column:
@@ -73,8 +70,8 @@ def normal_date(text: Column) -> Column:
 
 
 def normal_isrc(text: Column) -> Column:
-    code = F.upper(F.trim(F.replace(or_blank(text), F.lit("-"), BLANK)))
-    return F.when(F.rlike(code, F.lit(fixed.ISRC)), code).otherwise(BLANK)
+    code = F.upper(F.trim(F.replace(or_blank(text), F.lit("-"), F.lit(""))))
+    return F.when(F.rlike(code, F.lit(fixed.ISRC)), code).otherwise(F.lit(""))
 
 
 def normal_mbid(text: Column) -> Column:

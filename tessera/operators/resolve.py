@@ -56,7 +56,7 @@ def candidates(evidence: DataFrame, references: DataFrame | None = None, strict_
         bad = (F.col("field_name") == "artist") & F.col("reference").isNotNull() & unlike & ~F.array_contains("families", "USER_OVERRIDE")
     if strict_subgenre:
         bad = bad | ((F.col("field_name") == "subgenre") & F.lower("norm").isin(*fixed.GENERIC_SUBGENRES))
-    trust = F.greatest(F.lit(fixed.LEAST_TRUST), F.round(F.col("score") - F.when(bad, fixed.PENALTY).otherwise(0.0), 6))
+    trust = F.greatest(F.lit(fixed.LEAST_TRUST), F.round(F.col("score") - F.when(bad, fixed.PENALTY).otherwise(0.0), 9))
     value = F.when(F.col("field_name").isin(SPELLED_NORMAL), F.col("norm")).otherwise(F.col("first.raw"))
     return out.select("entity_id", "field_name", "norm", value.alias("value"), trust.alias("trust"), "families", F.col("first.id").alias("first_id"))
 

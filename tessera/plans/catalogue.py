@@ -1,3 +1,3 @@
 """Registers every query of the library."""
 
-from tessera.plans import scans  # noqa: F401
+from tessera.plans import changes, scans, totals  # noqa: F401
