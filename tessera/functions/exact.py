@@ -9,20 +9,21 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Composed form without surrounding white space; null and empty are empty."""
     return text.map(lambda x: unicodedata.normalize("NFC", x).strip() if x else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x.casefold() if x else "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def tag_alias(tag: pd.Series) -> pd.Series:
     """Folded tag without accents, with runs of space, hyphen and underscore as one space."""
 
@@ -33,7 +34,7 @@ def tag_alias(tag: pd.Series) -> pd.Series:
     return tag.map(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(text: pd.Series) -> pd.Series:
     def plain(x: str | None) -> str:
         ascii_ = unicodedata.normalize("NFKD", x or "").encode("ascii", "ignore").decode().lower()
@@ -54,7 +55,7 @@ def ratio(a: str | None, b: str | None) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple, float] = {}
     out = []
@@ -65,7 +66,7 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=float)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzip(data: pd.Series) -> pd.Series:
     """Text of gzipped bytes; null where they aren't that."""
 
@@ -78,6 +79,6 @@ def gunzip(data: pd.Series) -> pd.Series:
     return data.map(text)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(text: pd.Series) -> pd.Series:
     return text.map(lambda x: gzip.compress(x.encode(), mtime=0) if x is not None else None)
