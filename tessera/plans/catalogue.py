@@ -1,3 +1,3 @@
 """Registers every query of the library."""
 
-from tessera.plans import changes, domain, scans, totals  # noqa: F401
+from tessera.plans import changes, domain, flows, scans, totals  # noqa: F401
