@@ -15,7 +15,7 @@ _SEQ = "seq AS (SELECT user_id, epoch(ts) AS at, event_type <> 'error' AS ok, ro
 
 
 def calls(t: Catalog) -> DataFrame:
-    return t.events.select("user_id", "event_id", (F.unix_micros("ts") / 1_000_000).alias("at"), (F.col("event_type") != "error").alias("ok"))
+    return t.events.select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), (F.col("event_type") != "error").alias("ok"))
 
 
 @q(

@@ -88,4 +88,6 @@ def breaker_stream(calls: DataFrame, threshold: int = 10, recovery: float = 30.0
 
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Events and their values by type and time window (beyond the catalog's own operators); the same on a stream and a table."""
-    return events.withWatermark("ts", lateness).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    counts = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
