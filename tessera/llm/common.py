@@ -7,8 +7,12 @@ gives an empty result with the full schema.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +34,27 @@ def checkpoint(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, giving freed memory back to the system once a partition is done; workers are used again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo the number of folds; a null id falls in fold -1."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)).cast("int"), F.lit(-1))
 
 
-def text_blocks(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array | pa.ChunkedArray, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``limit`` bytes: first row, row after the last, their UTF-8 bytes, the offsets in those.
 
     A text longer than the limit is a run of its own, whole. Nulls are empty texts.
@@ -129,4 +148,27 @@ def stored(frame: DataFrame) -> DataFrame:
         context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
+    # Shuffle files go once the driver collects its garbage; here what led to the table is garbage.
+    gc.collect()
+    context._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+class IdFilter:
+    """A filter of fixed size for the ids of a frame: passes all of them, and more others as they grow in number.
+
+    It spares a scan the rows that a join would drop; the join still has to follow.
+    """
+
+    BITS = 16_777_213  # a prime; 2 MB
+
+    def __init__(self, rows: DataFrame, column: str):
+        place = F.pmod(F.col(column), F.lit(self.BITS))
+        words = rows.select((place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+        self.words = np.zeros(self.BITS // 32 + 1, np.uint32)
+        for r in words.collect():  # at most BITS / 32 rows
+            self.words[r.w] = r.v
+
+    def passes(self, ids: np.ndarray) -> np.ndarray:
+        place = ids % self.BITS
+        return (self.words[place // 32] >> (place % 32).astype(np.uint32)) & 1 == 1

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import stored, trimmed
 from tessera.llm.components import components
 
 THRESHOLD = 0.93
@@ -194,13 +194,13 @@ def embedding_links(distinct: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links) from distinct vectors (rep, n, label, v): see _tiles."""
     schema = "rep long, n long, label int, dim int, t int, bucket int, own boolean, codes binary, v binary"
     place = ["label", "dim", "t", "bucket"]
-    hashed = distinct.mapInArrow(_hashed, schema)
+    hashed = distinct.mapInArrow(trimmed(_hashed), schema)
     sizes = hashed.groupBy(*place).agg(F.count("*").alias("m"), F.count_if("own").alias("k")).where("m > 1 AND k > 0").select(*place, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = hashed.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("with", with_).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
     keys = [*place, "low", "high"]
-    return rows.select(*keys, "rep", "n", "own", "block", "codes", "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tiles(threshold), "a long, b long, links long")
+    return rows.select(*keys, "rep", "n", "own", "block", "codes", "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_tiles(threshold)), "a long, b long, links long")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,7 +212,7 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Rows that repeat an id count as rows of their own.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("label").cast("int")).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(_clean, "vec_id long, label int, v binary").withColumn("mark", F.sha2("v", 256))
+    rows = rows.mapInArrow(trimmed(_clean), "vec_id long, label int, v binary").withColumn("mark", F.sha2("v", 256))
     distinct = stored(rows.where("v IS NOT NULL").groupBy("label", "mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     found = stored(embedding_links(distinct.select("rep", "n", "label", "v"), threshold))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))

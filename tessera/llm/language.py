@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, text_blocks
+from tessera.llm.common import fold, text_blocks, trimmed
 
 FOLDS = 5
 HIDDEN = 8
@@ -195,4 +195,4 @@ def language(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(work), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import trimmed
 from tessera.llm.tokens import encoder, vocabulary_files
 
 CAPACITY = 1024
@@ -90,7 +91,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None, emit: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | None = None, emit: int = 4_000) -> DataFrame:
     """Pack whole texts into sequences of at most ``capacity`` tokens; one row per piece.
 
     ids: the piece's token ids as little-endian unsigned 32-bit integers. Every document ends with id 0,
@@ -121,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | Non
         packer.finish()
         yield _batch(packer.take())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(work), SCHEMA)
 
 
 def packing_digest(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

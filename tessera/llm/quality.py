@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, span_hashes, text_blocks, word_bounds
+from tessera.llm.common import fold, span_hashes, text_blocks, trimmed, word_bounds
 from tessera.llm.labelled import labelled_sample, score_texts, sigmoid
 
 RANK = 8
@@ -145,4 +145,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
             scores = np.concatenate([*[score(data, offsets) for _, _, data, offsets in text_blocks(batch.column(text))], np.zeros(0)])
             yield batch.filter(pa.array(scores >= 0.5))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import trimmed
 from tessera.llm.tokens import encoder, vocabulary_files
 
 LEAF = 256
@@ -134,7 +135,7 @@ def token_counts(docs: DataFrame, edits: Column | None = None, files: tuple[str,
 
     none = F.lit(None).cast(EDITS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (none if edits is None else edits.cast(EDITS)).alias("edits"))
-    return rows.mapInArrow(work, "doc_id long, n_tokens long, n_leaves long, n_edited_tokens long, n_reencoded long")
+    return rows.mapInArrow(trimmed(work), "doc_id long, n_tokens long, n_leaves long, n_edited_tokens long, n_reencoded long")
 
 
 def sample_edits(text: Column) -> Column:

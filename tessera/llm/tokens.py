@@ -6,10 +6,11 @@ pieces encoded on their own. Pieces repeat a lot; each worker keeps the ids of u
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
-PIECES = 400_000
+PIECES = 250_000
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -23,12 +24,9 @@ class Encoder(dict):
     """Ids of texts as the tokenizer file gives them (no special tokens added), as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, ranks: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.whole = lambda text: array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self.path, self._tokenizer = path, None
+        with open(path) as file:
+            self.special = [t["content"] for t in json.load(file).get("added_tokens", ())]
         self.piece = self.whole
         if ranks:  # the same vocabulary as ranks, which encodes short pieces faster
             import base64
@@ -41,6 +39,19 @@ class Encoder(dict):
             encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
             self.piece = lambda text: array("I", encode(text)).tobytes()
 
+    @property
+    def tokenizer(self):
+        """The tokenizer itself, read when a text needs it."""
+        if self._tokenizer is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+        return self._tokenizer
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
     def __missing__(self, piece: str) -> bytes:
         ids = self.piece(" " + piece)
         if len(self) < PIECES and len(piece) < 64:
