@@ -5,8 +5,8 @@ loaded buckets of a fixed-size count sketch of the whole corpus first; two sets
 then share a shingle within their prefixes. Pairs that meet in a prefix pass the length and positional
 filters, are made distinct, and are verified once, the suffix filter before the whole intersection.
 
-A group of documents that meet in one shingle isn't expanded into all its pairs. Its smallest member is held
-against each other member first; links found so far join members into components, and only pairs of members
+A group of documents that meet in one shingle isn't expanded into all its pairs. The member that has the fewest
+rarer shingles, as a text has from which the others were edited, is held against each other member first; links found so far join members into components, and only pairs of members
 in different components are held against each other after that, so copies of one text cost one pair each.
 """
 
@@ -20,13 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import folded, mix, span_hashes, stored, text_blocks, word_bounds
+from tessera.llm.common import IdFilter, folded, mix, span_hashes, stored, text_blocks, trimmed, word_bounds
 from tessera.llm.components import components
 
 #: Buckets of the sketch by which shingles are ordered (8 bytes each on every executor).
 SKETCH_BITS = 18
-#: Pivot rounds before the pairs that are left are taken all at once, and pairs for each document that are few.
-PIVOT_ROUNDS, FEW_PAIRS = 4, 4
+#: Leading bytes of a shingle's hash that are compared in verification.
+KEPT_BYTES = 5
+#: Partners of one document that one task verifies.
+MEMBERS = 200
+#: Pivot rounds before the pairs that are left are taken all at once, and comparisons for each prefix entry that are few.
+PIVOT_ROUNDS, FEW_PAIRS = 1, 32
+#: Parts of the suffix filter that runs before candidates are made distinct: sets are cut by hash into so many.
+PARTS = 64
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 
@@ -64,27 +70,29 @@ def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int | None, np
 
 
 def digests(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document (doc_id, n, digest of its set), and rows (bucket, load) of the shingle sketch."""
+    """A row for each document (doc_id, n, digest of its set, sizes of the set's parts), and rows (bucket, load) of the shingle sketch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         load = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "digest", "bucket", "load"]
+        names = ["doc_id", "n", "digest", "bucket", "load", "parts"]
         for batch in batches:
-            ids, sizes, marks = [], [], []
+            ids, sizes, marks, parts = [], [], [], []
             for doc_id, found in _sets_of(batch, width):
                 ids.append(doc_id)
                 sizes.append(len(found))
                 marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                part = np.bincount((found >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS) if len(found) else np.zeros(0, np.int64)
+                parts.append(np.minimum(part, 32_767).astype(np.int16))
                 np.add.at(load, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             empty = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.int64()), pa.array(parts, pa.list_(pa.int16()))], names)
         used = np.flatnonzero(load)
         for k in range(0, len(used), 50_000):
             part = used[k : k + 50_000]
             empty = [None] * len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.binary()), pa.array(part.astype(np.int32)), pa.array(load[part])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.binary()), pa.array(part.astype(np.int32)), pa.array(load[part]), pa.array(empty, pa.list_(pa.int16()))], names)
 
-    return docs.mapInArrow(work, "doc_id long, n long, digest binary, bucket int, load long")
+    return docs.mapInArrow(trimmed(work), "doc_id long, n long, digest binary, bucket int, load long, parts array<short>")
 
 
 def prefixes(docs: DataFrame, width: int, num: int, den: int, load: np.ndarray) -> DataFrame:
@@ -117,21 +125,40 @@ def prefixes(docs: DataFrame, width: int, num: int, den: int, load: np.ndarray)
             pos = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(pos)], ["token", "node", "n", "pos"])
 
-    return docs.mapInArrow(work, "token long, node long, n int, pos int")
+    return docs.mapInArrow(trimmed(work), "token long, node long, n int, pos int")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the documents among nodes."""
+    """(node, shingles) of the documents among nodes, and of a few others.
+
+    The scan skips documents whose id isn't in a filter of fixed size; as nodes grow it lets more pass, and the
+    join that follows drops them.
+    """
+    chosen = IdFilter(nodes, "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sets = [], []
+            batch = batch.filter(pa.array(chosen.passes(batch.column(0).to_numpy(zero_copy_only=False))))
+            ids, sets, size = [], [], 0
             for doc_id, found in _sets_of(batch, width):
                 ids.append(doc_id)
-                sets.append(found.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                # Five bytes of each hash, sorted as the hashes are.
+                sets.append(found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes())
+                size += len(sets[-1])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+                    ids, sets, size = [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(trimmed(work), "node long, shingles binary")
 
-    return docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(work, "node long, shingles binary")
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - KEPT_BYTES :] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, needed: int, depth: int = 3) -> bool:
@@ -148,68 +175,97 @@ def may_reach(a: np.ndarray, b: np.ndarray, needed: int, depth: int = 3) -> bool
     return may_reach(a[:i], b[:j], needed - right, depth - 1) and may_reach(a[i:], b[j:], needed - left, depth - 1)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold.
+
+    Each set is sent once for each pair in which it is b, and a's own set once for every MEMBERS of its pairs, so
+    a document with very many partners is verified by many tasks.
+    """
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m"))
+    key = lambda a, salt, lead: F.struct(a.alias("a"), salt.cast("int").alias("salt"), F.lit(lead).alias("lead")).alias("key")
+    members = pairs.join(groups, "a").select(F.col("b").alias("node"), key(F.col("a"), F.pmod(F.xxhash64("b"), F.col("m")), False))
+    leads = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt")).select("node", key(F.col("a"), F.col("salt"), True))
+    places = stored(members.unionByName(leads))
+    sets = _sets(docs, places.select("node"), width)
+    met = sets.join(places.groupBy("node").agg(F.collect_list("key").alias("keys")), "node").select("node", "shingles", F.explode("keys").alias("key"))
+    met = met.select("key.a", "key.salt", "key.lead", "node", "shingles").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, leads = None, []
         for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                needed = -(-num * (len(p) + len(q)) // (den + num))
-                if may_reach(p, q, needed):
-                    at = np.searchsorted(q, p)
-                    at[at == len(q)] = 0
-                    keep[i] = np.count_nonzero(q[at] == p) >= needed
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            left, right = [], []
+            for a, salt, lead, node, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                if (a, salt) != place:
+                    place, leads = (a, salt), []
+                mine = _unpacked(raw.as_buffer())
+                if lead:
+                    leads.append(mine)
+                    continue
+                for other in leads:  # more than one only where an id is repeated
+                    needed = -(-num * (len(mine) + len(other)) // (den + num))
+                    if may_reach(mine, other, needed):
+                        at = np.searchsorted(other, mine)
+                        at[at == len(other)] = 0
+                        if np.count_nonzero(other[at] == mine) >= needed:
+                            left.append(a)
+                            right.append(node)
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return met.mapInArrow(trimmed(work), "a long, b long")
 
 
 def _near(num: int, den: int, left: str, right: str) -> str:
-    """Length and positional filters for two sets that share a token: sizes n, positions pos in the common order."""
+    """Length, positional and suffix filters for two sets that share a token: sizes n, positions pos in the common order, parts.
+
+    The sets can't meet in more than the smaller of both parts, summed over parts; a part of 32,767 may be larger.
+    """
     small, large = f"least({left}.n, {right}.n)", f"greatest({left}.n, {right}.n)"
     overlap = f"(1 + least({left}.n - {left}.pos - 1, {right}.n - {right}.pos - 1) + least({left}.pos, {right}.pos))"
-    return f"{den}L * {small} >= {num}L * {large} AND {den + num}L * {overlap} >= {num}L * ({left}.n + {right}.n)"
+    both = f"aggregate(zip_with({left}.parts, {right}.parts, (a, b) -> int(least(a, b))), 0, (s, v) -> s + v)"
+    meet = f"IF(greatest({left}.n, {right}.n) < 32767, {both}, {left}.n)"
+    return f"{den}L * {small} >= {num}L * {large} AND {den + num}L * {overlap} >= {num}L * ({left}.n + {right}.n) AND {den + num}L * {meet} >= {num}L * ({left}.n + {right}.n)"
 
 
-def jaccard_links(docs: DataFrame, width: int, num: int, den: int, load: np.ndarray) -> DataFrame:
-    """Links (a, b) that connect all documents whose similarity chains reach each other; not every link of a group of copies."""
+def jaccard_links(docs: DataFrame, width: int, num: int, den: int, load: np.ndarray, reps: DataFrame, parts: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all documents whose similarity chains reach each other; not every link of a group of copies.
+
+    reps: (node, rep), the document that stands for each document's set; parts: (node, parts) of the reps.
+    """
     found = prefixes(docs, width, num, den, load)
-    groups = found.groupBy("token").agg(F.count("*").alias("g"), F.min("node").alias("lead")).where("g > 1").select("token", "lead")
-    shared = stored(found.join(groups, "token").select("token", "node", "n", "pos", "lead"))
-    sets = stored(_sets(docs, shared.select("node").distinct(), width))
-    leads = shared.where("node = lead").select("token", F.struct("node", "n", "pos").alias("x"))
-    pairs = shared.where("node <> lead").select("token", F.struct("node", "n", "pos").alias("y")).join(leads, "token")
+    tokens = found.groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
+    shared = found.join(tokens, "token").join(reps, "node").select("token", F.col("rep").alias("node"), "n", "pos").distinct()
+    shared = stored(shared.join(parts, "node"))
+    lead = shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "parts")).alias("x"), F.count("*").alias("g")).where("g > 1").select("token", "x")
+    pairs = shared.select("token", F.struct("node", "n", "pos", "parts").alias("y")).join(lead, "token").where("x.node <> y.node")
     pairs = pairs.where(_near(num, den, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     tried = stored(pairs)
-    links = stored(verified(tried, sets, num, den))
-    n_nodes = max(1, sets.count())
+    links = stored(verified(docs, tried, width, num, den))
+    n_rows = max(1, shared.count())
     for k in range(PIVOT_ROUNDS + 1):
-        labels = components(links)
-        member = shared.drop("lead").join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+        labels = stored(components(links))
+        member = shared.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
         sizes = member.groupBy("token", "c").agg(F.count("*").alias("m"))
         most = sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("g"), F.max("m").alias("m")).where("m < g")
-        few = k == PIVOT_ROUNDS or (most.agg(F.sum((F.col("g") - F.col("m")) * F.col("g"))).first()[0] or 0) <= FEW_PAIRS * 64 * n_nodes
+        most = stored(most)
+        last = k == PIVOT_ROUNDS or (most.agg(F.sum((F.col("g") - F.col("m")) * F.col("g"))).first()[0] or 0) <= FEW_PAIRS * n_rows
         member = member.join(most.select("token", "main"), "token")
         rest = member.where("c <> main")
-        if few:
-            pivots = rest
+        if last:
+            pivots = rest.select("token", F.struct("node", "n", "pos", "c", "parts").alias("x"))
         else:
-            pivots = rest.groupBy("token", "c").agg(F.min_by(F.struct("node", "n", "pos"), "node").alias("p")).select("token", "c", "p.*", F.lit(None).cast("long").alias("main"))
-        x = pivots.select("token", F.struct("node", "n", "pos", "c").alias("x"))
-        y = member.select("token", F.struct("node", "n", "pos", "c", "main").alias("y"))
-        # Two members outside the main component meet twice; the smaller id comes first then.
-        apart = f"x.c <> y.c AND (y.c = y.main OR x.node < y.node OR {str(not few).lower()}) AND {_near(num, den, 'x', 'y')}"
-        more = x.join(y, "token").where(apart).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            pivots = rest.groupBy("token", "c").agg(F.min(F.struct("pos", "node", "n", "c", "parts")).alias("x")).select("token", "x")
+        y = member.select("token", F.struct("node", "n", "pos", "c", "main", "parts").alias("y"))
+        # Two members outside the main component would meet twice; the smaller id is x then.
+        once = "(y.c = y.main OR x.node < y.node)" if last else "true"
+        more = pivots.join(y, "token").where(f"x.c <> y.c AND {once} AND {_near(num, den, 'x', 'y')}")
+        more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"))
-        fresh = stored(verified(more, sets, num, den))
-        links = links.unionByName(fresh)
-        tried = tried.unionByName(more)
-        if few:
-            return links
+        if not more.isEmpty():
+            links = links.unionByName(stored(verified(docs, more, width, num, den)))
+            tried = tried.unionByName(more)
+        if last:
+            break
     return links
 
 
@@ -225,10 +281,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     load = np.zeros(1 << SKETCH_BITS, np.int64)
     for r in seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("load").alias("load")).collect():
         load[r.bucket] = r.load
-    links = jaccard_links(docs, width, num, den, load)
     seen = seen.where("bucket IS NULL")
     first = seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = seen.join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
+    same = stored(seen.join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
+    reps = same.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "rep").distinct()
+    parts = seen.where("doc_id IS NOT NULL AND n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.first("parts").alias("parts"))
+    once = seen.groupBy("doc_id").agg(F.count_distinct("digest").alias("d")).where("d > 1").select(F.col("doc_id").alias("node"))
+    # An id with several texts has no one set of parts: its parts bound nothing.
+    open_ = F.array_repeat(F.lit(32_767).cast("short"), PARTS)
+    parts = parts.join(once.withColumn("many", F.lit(True)), "node", "left").select("node", F.when(F.col("many"), open_).otherwise(F.col("parts")).alias("parts"))
+    links = jaccard_links(docs, width, num, den, load, reps, parts)
+    # An id that is repeated joins the sets of all its texts.
+    links = links.unionByName(reps.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
     labels = components(links).select(F.col("node").alias("rep"), "component")
     return same.join(labels, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
