@@ -1,6 +1,6 @@
 """Removal of byte strings that also start in an earlier document, by difference-cover suffix sorting.
 
-Suffixes are dealt to workers by the anchor of their first 50 bytes: the 24-byte gram with the smallest hash
+Suffixes are dealt to workers by the anchor of their first 50 bytes: the 20-byte gram with the smallest hash
 in it. Suffixes with equal 50-byte prefixes have equal anchors, so each worker sorts its own suffixes and
 compares neighbours alone. Only anchors that occur in two documents are sorted at all; equal surroundings
 of an anchor are one text, with its smallest document, before they are dealt out.
@@ -20,15 +20,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUES, mix, powers, stored, text_blocks
+from tessera.llm.common import BYTE_VALUES, IdFilter, mix, powers, stored, text_blocks, trimmed
 
 LENGTH = 50
-GRAM = 24
+GRAM = 20
 #: Different surroundings of one anchor up to which they are sorted together; more are split by window.
 SORTED_TOGETHER = 2048
 #: Bytes that a worker sorts at once; names then fit in 21 bits.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
+#: Bits of the filter for shared anchors (16 MB).
+FILTER_BITS = 1 << 27
+#: Bytes of texts in one block, and documents among which a worker finds shared anchors by itself.
+BLOCK_BYTES, TOGETHER = 1 << 18, 2500
 _POSITION = np.uint64((1 << 26) - 1)
+#: Bytes of an anchor's hash that are compared to find shared anchors; a chance meeting only costs work.
+KEY_BYTES = 5
+
+
+def _packed(gram: np.ndarray) -> bytes:
+    """The leading bytes of each hash."""
+    return gram.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - KEY_BYTES :] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
@@ -65,12 +83,12 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The 50-byte strings of some texts in runs that share an anchor: text, anchor hash, first start, end of the last."""
+def anchored(data: np.ndarray, offsets: np.ndarray, places: bool = False) -> tuple[np.ndarray, ...]:
+    """The 50-byte strings of some texts in runs that share an anchor: text, anchor hash, first start, end of the last (and the anchor's place)."""
     n, m = len(data), len(data) - GRAM + 1
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none.astype(np.uint64), none, none
+        return (none, none.astype(np.uint64), none, none, none)[: 5 if places else 4]
     power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(BYTE_VALUES[data] * power[:-1], out=sums[1:])
@@ -84,16 +102,16 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: n - LENGTH + 1]
     start = np.flatnonzero(np.arange(n - LENGTH + 1) + LENGTH <= offsets[text + 1])
     if not len(start):
-        return none, none.astype(np.uint64), none, none
+        return (none, none.astype(np.uint64), none, none, none)[: 5 if places else 4]
     text, at = text[start], (_POSITION - (least[start] & _POSITION)).astype(np.int64)
     fresh = np.ones(len(start), bool)
     fresh[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(start)) - 1
-    return text[first], gram[at[first]], start[first], start[last] + LENGTH
+    return (text[first], gram[at[first]], start[first], start[last] + LENGTH, at[first])[: 5 if places else 4]
 
 
-def pieces(texts: pa.Array, limit: int = SORT_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Blocks of bytes with their offsets, the row of each part and where the part begins in its text.
 
     A text longer than the limit is read in parts that overlap by 49 bytes, so each 50-byte string is in one part.
@@ -108,14 +126,13 @@ def pieces(texts: pa.Array, limit: int = SORT_BYTES) -> Iterator[tuple[np.ndarra
 
 
 def _keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by bucket: (bucket, docs, counts, hashes), the documents of a batch with their anchors in that bucket.
+    """Anchors by bucket: (bucket, shared, hashes). shared: two documents of one batch hold them already.
 
-    An anchor that two documents of a batch hold is known to be shared: its documents go to bucket -1 at once,
-    and one of them to its bucket, so a common anchor costs one entry a batch.
+    An anchor is entered once a batch, however many of the batch's documents hold it.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, len(whole), TOGETHER)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             rows, hashes = [], []
             for data, offsets, row, _ in pieces(batch.column(1)):
@@ -124,104 +141,86 @@ def _keys(docs: DataFrame, buckets: int) -> DataFrame:
                 hashes.append(gram)
             if not rows:
                 continue
-            row, gram = np.concatenate(rows), np.concatenate(hashes)
-            doc = ids[row]
+            doc, gram = ids[np.concatenate(rows)], np.concatenate(hashes)
             order = np.lexsort((doc, gram))
             doc, gram = doc[order], gram[order]
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-            doc, gram = doc[new], gram[new]
             start = np.ones(len(gram), bool)
             start[1:] = gram[1:] != gram[:-1]
-            group = np.cumsum(start) - 1
-            many = np.bincount(group)[group] > 1 if len(gram) else start
-            bucket = np.concatenate([(gram[start] % np.uint64(buckets)).astype(np.int64), np.full(many.sum(), -1)])
-            doc, gram = np.concatenate([doc[start], doc[many]]), np.concatenate([gram[start], gram[many]])
-            order = np.lexsort((doc, bucket))
-            bucket, doc, gram = bucket[order], doc[order], gram[order]
-            bounds = np.append(np.flatnonzero(np.diff(bucket, prepend=-2)), len(bucket))
-            out = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                who, count = np.unique(doc[a:b], return_counts=True)
-                out.append((int(bucket[a]), who.tobytes(), count.astype(np.int32).tobytes(), gram[a:b].tobytes()))
-            yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*out, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), *[pa.array(x, pa.binary()) for x in c[1:]]], ["bucket", "docs", "counts", "hashes"])
+            first = np.flatnonzero(start)
+            last = np.append(first[1:], len(gram)) - 1
+            many = doc[first] != doc[last] if len(first) else start[:0]
+            gram = gram[first]
+            place = 2 * (gram % np.uint64(buckets)).astype(np.int64) + many
+            order = np.argsort(place, kind="stable")
+            place, gram = place[order], gram[order]
+            cut = np.flatnonzero(np.diff(place, prepend=-1))
+            packed = [_packed(g) for g in np.split(gram, cut[1:])] if len(cut) else []
+            yield pa.RecordBatch.from_arrays([pa.array((place[cut] // 2).astype(np.int32)), pa.array(place[cut] % 2 == 1), pa.array(packed, pa.binary())], ["bucket", "shared", "hashes"])
 
-    return docs.mapInArrow(work, "bucket int, docs binary, counts binary, hashes binary")
+    return docs.mapInArrow(trimmed(work), "bucket int, shared boolean, hashes binary")
 
 
-def _entries(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for docs, counts, hashes in zip(batch.column("docs"), batch.column("counts"), batch.column("hashes"), strict=True):
-        yield np.repeat(np.frombuffer(docs.as_buffer(), np.int64), np.frombuffer(counts.as_buffer(), np.int32)), np.frombuffer(hashes.as_buffer(), np.uint64)
-
-
-def _by_doc(doc: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(doc, kind="stable")
-    doc, gram = doc[order], gram[order]
-    who, first = np.unique(doc, return_index=True)
-    parts = [g.tobytes() for g in np.split(gram, first[1:])] if len(who) else []
-    return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(parts, pa.binary())], ["doc_id", "hashes"])
+class SharedAnchors:
+    """A filter of fixed size for the anchors that two documents hold: passes all of them, and more others as they grow in number.
 
+    Each bucket fills a part of the bits of its own. What passes without being shared is sorted in vain.
+    """
 
-def shared_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, hashes): anchors of the document that another document holds too; a document may have several rows."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = _keys(docs, buckets)
+    def __init__(self, docs: DataFrame):
+        self.buckets = buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.part = part = -(-FILTER_BITS // buckets // 8) * 8
+
+        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sure: dict[int, list[np.ndarray]] = {}
+            open_: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                for bucket, shared, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    (sure if shared else open_).setdefault(bucket, []).append(_unpacked(raw.as_buffer()))
+                    sure.setdefault(bucket, [])
+            for bucket, found in sure.items():
+                every = np.sort(np.concatenate([*found, *open_.get(bucket, [])]))
+                twice = every[1:][every[1:] == every[:-1]]  # in two batches
+                bits = np.zeros(part, bool)
+                bits[(np.concatenate([*found, twice]) % np.uint64(part)).astype(np.int64)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
+
+        rows = _keys(docs, buckets).repartition(buckets, "bucket").mapInArrow(trimmed(known), "bucket int, bits binary")
+        self.bits = np.zeros((buckets, part // 8), np.uint8)
+        for r in rows.collect():  # FILTER_BITS in all
+            self.bits[r.bucket] = np.frombuffer(r.bits, np.uint8)
+
+    def passes(self, gram: np.ndarray) -> np.ndarray:
+        place = ((gram >> np.uint64(64 - 8 * KEY_BYTES)) % np.uint64(self.part)).astype(np.int64)
+        return (self.bits[(gram % np.uint64(self.buckets)).astype(np.int64), place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _texts_of(docs: DataFrame, rows: DataFrame, named: bool = True) -> DataFrame:
+    """(doc_id, text) of the documents that rows name, and of a few others; or else of the rest."""
+    chosen = IdFilter(rows, "doc_id")
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Bucket -1: shared as they stand. Other buckets: all of a partition's, sorted."""
-        docs, grams = [], []
-        for batch in batches:
-            for doc, gram in _entries(batch):
-                docs.append(doc)
-                grams.append(gram)
-        if docs:
-            doc, gram = np.concatenate(docs), np.concatenate(grams)
-            order = np.lexsort((doc, gram))
-            doc, gram = doc[order], gram[order]
-            new = np.zeros(len(gram) + 1, bool)
-            new[1:-1] = (gram[1:] == gram[:-1]) & (doc[1:] != doc[:-1])
-            group = np.cumsum(np.append(True, gram[1:] != gram[:-1])) - 1
-            many = np.bincount(group, new[:-1])[group] > 0
-            yield _by_doc(doc[many], gram[many])
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, gram in _entries(batch):
-                yield _by_doc(doc, gram)
+            yield batch.filter(pa.array(chosen.passes(batch.column(0).to_numpy(zero_copy_only=False)) == named))
 
-    schema = "doc_id long, hashes binary"
-    apart = keys.where("bucket >= 0").repartition(buckets, "bucket").select("docs", "counts", "hashes").mapInArrow(known, schema)
-    return apart.unionByName(keys.where("bucket = -1").select("docs", "counts", "hashes").mapInArrow(plain, schema))
+    return docs.select("doc_id", "text").mapInArrow(trimmed(work), "doc_id long, text string")
 
 
-def occurrences(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(anchor, around, doc_id, start): the surroundings of shared anchors, each the union of the 50-byte strings it anchors."""
-    lists = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
+def occurrences(docs: DataFrame, shared: SharedAnchors) -> DataFrame:
+    """(around, at, doc_id, start): the surroundings of shared anchors, each the union of the 50-byte strings it anchors; at: the anchor's place in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            wanted = [np.unique(np.frombuffer(b"".join(x.as_py()), np.uint64)) for x in batch.column(2)]
             for data, offsets, row, begin in pieces(batch.column(1)):
-                text, gram, start, end = anchored(data, offsets)
-                bounds = np.searchsorted(text, np.arange(len(row) + 1))
-                keep = np.zeros(len(text), bool)
-                for k, r in enumerate(row.tolist()):
-                    a, b = bounds[k], bounds[k + 1]
-                    at = np.searchsorted(wanted[r], gram[a:b])
-                    at[at == len(wanted[r])] = 0
-                    keep[a:b] = wanted[r][at] == gram[a:b]
-                text, gram, start, end = text[keep], gram[keep], start[keep], end[keep]
+                text, gram, start, end, at = anchored(data, offsets, True)
+                keep = shared.passes(gram)
+                text, start, end, at = text[keep], start[keep], end[keep], at[keep]
                 raw = data.tobytes()
                 around = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
                 place = start - offsets[text] + begin[text]
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(around, pa.binary()), pa.array(ids[row[text]], pa.int64()), pa.array(place, pa.int64())], ["anchor", "around", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(around, pa.binary()), pa.array((at - start).astype(np.int32)), pa.array(ids[row[text]], pa.int64()), pa.array(place, pa.int64())], ["around", "at", "doc_id", "start"])
 
-    return docs.join(lists, "doc_id").select("doc_id", "text", "hashes").mapInArrow(work, "anchor long, around binary, doc_id long, start long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(work), "around binary, at int, doc_id long, start long")
 
 
 def first_documents(around: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,64 +253,104 @@ def first_documents(around: list[bytes], least: np.ndarray) -> tuple[np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (anchor, id, around, least) of whole anchors to runs (id, low, high, first) of offsets with one first document."""
-    names = ["id", "low", "high", "first"]
-
-    def solve(ids: list, around: list[bytes], least: list[int]) -> pa.RecordBatch:
-        text, offset, document = first_documents(around, np.array(least, np.int64))
-        order = np.lexsort((offset, text))
-        text, offset, document = text[order], offset[order], document[order]
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (document[1:] != document[:-1])
-        a = np.flatnonzero(new)
-        b = np.append(a[1:], len(text)) - 1
-        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in text[a].tolist()], pa.binary()), pa.array(offset[a].astype(np.int32)), pa.array(offset[b].astype(np.int32)), pa.array(document[a])], names)
-
-    ids, around, least, size = [], [], [], 0
-    anchor = None
+    """From rows (anchor, mark, around, least, most) sorted by anchor to runs (anchor, mark, low, high, first) of offsets with one first document.
+
+    least, most: the smallest and the largest document with that text. Runs that no document follows are left out.
+    """
+    names = ["anchor", "mark", "low", "high", "first"]
+
+    def batch_of(anchor, mark, low, high, first) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((anchor, mark, low, high, first), kinds, strict=True)], names)
+
+    def solve(anchor: np.ndarray, mark: np.ndarray, around: list[bytes], least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = np.array([len(x) for x in around])
+        edge = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
+        group = np.diff(np.append(edge, len(anchor)))
+        alone = np.repeat(group == 1, group)  # one text around an anchor: every string has its smallest document
+        k = np.flatnonzero(alone & (least < most))
+        yield batch_of(anchor[k], mark[k], np.zeros(len(k), np.int32), (size[k] - LENGTH).astype(np.int32), least[k])
+        k = np.flatnonzero(~alone)
+        if len(k):
+            text, offset, document = first_documents([around[i] for i in k.tolist()], least[k])
+            order = np.lexsort((offset, text))
+            text, offset, document = text[order], offset[order], document[order]
+            new = np.ones(len(text), bool)
+            new[1:] = (text[1:] != text[:-1]) | (document[1:] != document[:-1])
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(text)) - 1
+            later = document[a] < most[k][text[a]]
+            a, b = a[later], b[later]
+            yield batch_of(anchor[k][text[a]], mark[k][text[a]], offset[a].astype(np.int32), offset[b].astype(np.int32), document[a])
+
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
-        for h, i, text, m in zip(batch.column("anchor").to_pylist(), batch.column("id").to_pylist(), batch.column("around").to_pylist(), batch.column("least").to_pylist(), strict=True):
-            if h != anchor and size > SORT_BYTES // 2:
-                yield solve(ids, around, least)
-                ids, around, least, size = [], [], [], 0
-            anchor = h
-            ids.append(i)
-            around.append(text)
-            least.append(m)
-            size += len(text) + 1
-    if ids:
-        yield solve(ids, around, least)
+        at = 0
+        while at < len(batch):
+            part = batch.slice(at, 4096)
+            at += len(part)
+            anchor = part.column(0).to_numpy(zero_copy_only=False)
+            # Enough is held: solve it up to the anchor that this part goes on with.
+            if held and size > SORT_BYTES // 2:
+                cut = int(np.argmax(anchor != held[-1].column(0)[-1].as_py())) if (anchor != held[-1].column(0)[-1].as_py()).any() else len(part)
+                held.append(part.slice(0, cut))
+                if cut < len(part):
+                    yield from solve(*_columns(held))
+                    held, size = [part.slice(cut)], part.slice(cut).nbytes
+                continue
+            held.append(part)
+            size += part.nbytes
+    if held:
+        yield from solve(*_columns(held))
+
+
+def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist(), table.column(3).to_numpy(), table.column(4).to_numpy()
 
 
 def first_runs(found: DataFrame) -> DataFrame:
-    """(id, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document."""
-    texts = stored(found.groupBy("id", "anchor", "around").agg(F.min("doc_id").alias("least")))
-    sizes = texts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    """(anchor, mark, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document."""
+    each = stored(found.groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
+    sizes = each.groupBy("anchor").agg(F.count("*").alias("n"))
     large = stored(sizes.where(F.col("n") > SORTED_TOGETHER).select("anchor"))
-    several = sizes.where(F.col("n") <= SORTED_TOGETHER).select("anchor")
-    last = F.octet_length("around") - LENGTH
-    alone = texts.join(sizes, "anchor", "left_anti").select("id", F.lit(0).alias("low"), last.alias("high"), F.col("least").alias("first"))
-    sorted_ = texts.join(several, "anchor", "left_semi").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_runs, "id binary, low int, high int, first long")
+    schema = "anchor long, mark long, low int, high int, first long"
+    small = each if large.isEmpty() else each.join(large, "anchor", "left_anti")
+    runs = small.select("anchor", "mark", "around", "least", "most").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_runs), schema)
     if large.isEmpty():
-        return alone.unionByName(sorted_)
+        return runs
     # An anchor with very many surroundings: each 50-byte string by itself, counted before it is dealt out.
-    window = F.explode(F.sequence(F.lit(0), last)).alias("low")
-    windows = texts.join(large, "anchor", "left_semi").select("id", "least", "around", window)
-    windows = windows.select("id", "low", "least", F.expr(f"substring(around, low + 1, {LENGTH})").alias("string"))
+    window = F.explode(F.sequence(F.lit(0), F.octet_length("around") - LENGTH)).alias("low")
+    windows = each.join(large, "anchor", "left_semi").select("anchor", "mark", "least", "most", "around", window)
+    windows = windows.select("anchor", "mark", "low", "least", "most", F.expr(f"substring(around, low + 1, {LENGTH})").alias("string"))
     first = windows.groupBy("string").agg(F.min("least").alias("first"))
-    split = windows.join(first, "string").select("id", "low", F.col("low").alias("high"), "first")
-    return alone.unionByName(sorted_).unionByName(split)
+    return runs.unionByName(windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of the documents whose whole text, of 50 bytes or more, is that of a document with a smaller id."""
+    marks = docs.select("doc_id", F.md5("text").alias("mark"))
+    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return marks.join(first, "mark").where("first < doc_id").select("doc_id").distinct()
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): byte spans (low, high) of each document that hold strings of an earlier one; they may overlap."""
+def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, spans), byte spans (low, high) of documents that hold strings of an earlier one, which may overlap; and whole copies.
+
+    A whole copy is left out of the first: it is covered from end to end, and adds no earlier document.
+    """
     docs = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50")
-    found = occurrences(docs, shared_anchors(docs)).withColumn("id", F.unhex(F.md5("around")))
-    found = stored(found)
-    runs = first_runs(found)
-    hit = found.select("id", "doc_id", "start").join(runs, "id").where("first < doc_id")
+    whole = stored(copies(docs))
+    shared = SharedAnchors(docs)
+    # Documents that are certainly no copies, and the others without the copies.
+    rest = _texts_of(docs, whole).join(whole, "doc_id", "left_anti")
+    found = stored(occurrences(_texts_of(docs, whole, False).unionByName(rest), shared))
+    found = found.withColumn("anchor", F.xxhash64(F.expr(f"substring(around, at + 1, {GRAM})"))).withColumn("mark", F.xxhash64("around"))
+    runs = stored(first_runs(found))
+    hit = found.select("anchor", "mark", "doc_id", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
     spans = hit.select("doc_id", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + LENGTH).alias("high")).alias("span"))
-    return spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    return stored(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))), whole
 
 
 def covered(spans: list[dict], n: int) -> np.ndarray:
@@ -319,7 +358,7 @@ def covered(spans: list[dict], n: int) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
     if spans:
         np.add.at(change, [x["low"] for x in spans], 1)
-        np.add.at(change, [x["high"] for x in spans], -1)
+        np.add.at(change, [min(x["high"], n) for x in spans], -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -328,29 +367,35 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Removed is each byte covered by a 50-byte string that also starts in a document with a smaller id. A null
     text is empty. A row without an id is nobody's earlier document and keeps all. Rows that repeat an id are
-    one document: neither is earlier than the other, and strings of either count against later ones; spans
-    found in one of them are applied where they fit in the other only if its bytes there are the same string.
+    taken for one document of one text: give ids that are unique.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spans, whole = repeated_spans(rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                if not spans:
-                    out.append((doc_id, len(raw), 0, 0, hashlib.sha256(raw).hexdigest()))
-                    continue
-                gone = covered(spans, len(raw))
+            for doc_id, text, cut in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                raw = np.frombuffer(text.as_buffer(), np.uint8)
+                gone = covered(cut, len(raw))
                 edges = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((doc_id, len(raw), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest()))
-            c = list(zip(*out, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    joined = rows.join(repeated_spans(rows), "doc_id", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+                out.append((doc_id, int(gone.sum()), edges, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
+            c = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.int64()] * 3 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "n_removed", "n_spans", "kept"])
+
+    cut = _texts_of(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), spans).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(trimmed(work), "doc_id long, n_removed long, n_spans long, kept string")
+    base = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
+    gone = whole.select("doc_id", F.lit(True).alias("gone"))
+    out = base.join(cut, "doc_id", "left").join(gone, "doc_id", "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return out.select(
+        "doc_id",
+        "n_bytes",
+        F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(F.col("gone"), nothing).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+    )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -374,5 +419,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array(lengths, pa.int64())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(repeated_spans(docs.select("doc_id", "text")).withColumnRenamed("spans", "__spans"), "doc_id", "left")
-    return joined.select(*names, "__spans").mapInArrow(work, docs.schema)
+    spans, whole = repeated_spans(docs.select("doc_id", "text"))
+    end = F.struct(F.lit(0).cast("long").alias("low"), F.lit(1 << 62).alias("high"))
+    spans = spans.withColumnRenamed("spans", "__spans").unionByName(whole.select("doc_id", F.array(end).alias("__spans")))
+    joined = docs.join(spans, "doc_id", "left")
+    return joined.select(*names, "__spans").mapInArrow(trimmed(work), docs.schema)
