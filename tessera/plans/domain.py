@@ -199,8 +199,8 @@ _TAGGED = "(SELECT r.id, a.name FROM core_recordings r LEFT JOIN core_artists a
 
 @q("dm14_album_pooled_genre", _GENRES.format(source=f"(SELECT * FROM {_POOL} p WHERE entity_id < 150)", artists=_TAGGED))
 def album_genre(t: Catalog) -> DataFrame:
-    artists = t.core_recordings.where("id < 150").select(F.col("id").alias("entity_id"), "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left").select("entity_id", "artist")
-    return genre_consensus(pooled_tags(t).where("entity_id < 150"), artists)
+    artists = t.core_recordings.select(F.col("id").alias("entity_id"), "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left").select("entity_id", "artist")
+    return genre_consensus(pooled_tags(t), artists)
 
 
 q("dm15_reclassify", "SELECT r.id, r.genre AS kept FROM core_recordings r WHERE r.id IN (SELECT entity_id FROM meta_locks WHERE field_name IN ('genre', 'subgenre'))")(lambda t: t.core_recordings.join(t.meta_locks.where("field_name IN ('genre', 'subgenre')").select(F.col("entity_id").alias("id")), "id", "left_semi").select("id", F.col("genre").alias("kept")))
