@@ -156,7 +156,7 @@ def duplicates(t: Catalog) -> DataFrame:
     return dedup.evaluate(incoming, files, store.select(fp, "duration"), t.sys_discovery_candidates.select("title", F.col("artist_name").alias("artist")))
 
 
-q("wn09_first_come")(lambda t: dedup.first_come(t.core_assets.where("recording_id < 600").select("asset_id", "md5_file", F.concat_ws("/", "audio_stream_hash", "duration").alias("stream")), "asset_id", ["md5_file", "stream"]))
+q("wn09_first_come")(lambda t: dedup.first_come(t.core_assets.select("asset_id", "md5_file", F.concat_ws("/", "audio_stream_hash", "duration").alias("stream")), "asset_id", ["md5_file", "stream"]))
 
 # Taxonomy
 

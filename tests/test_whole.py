@@ -24,3 +24,15 @@ def test_query_takes_whole_tables(name, spark, small):
         connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
     expected = connection.sql(sql).df()
     assert plain(registry.queries()[name](spark, small).toPandas()) == plain(expected)
+
+
+def test_first_come_over_all_assets(spark, small):
+    from tessera.sources.fixtures import Catalog
+
+    seen, kept = set(), []
+    for a in sorted(Catalog(spark, small).core_assets.collect(), key=lambda a: a.asset_id):
+        keys = {("file", a.md5_file), ("stream", a.audio_stream_hash, a.duration)}
+        if not keys & seen:
+            seen |= keys
+            kept.append(a.asset_id)
+    assert sorted(r.asset_id for r in registry.queries()["wn09_first_come"](spark, small).collect()) == kept
