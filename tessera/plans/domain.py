@@ -300,7 +300,7 @@ def cluster_match(t: Catalog) -> DataFrame:
     """Best official track for each local one of an album: 0.7 title similarity, 0.3 same position, from 0.4 up."""
     from tessera.functions.exact import similarity
 
-    official = t.core_albums.where("id % 10 = 6 AND id < 3000").select(F.col("id").alias("album_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("position")).withColumn("official", F.concat(F.lit("Song "), (F.col("album_id") * F.col("position") % 500).cast("string")))
+    official = t.core_albums.select(F.col("id").alias("album_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("position")).withColumn("official", F.concat(F.lit("Song "), (F.col("album_id") * F.col("position") % 500).cast("string")))
     pairs = t.core_recordings.join(official, "album_id").withColumn("score", 0.70 * similarity("title", "official") + F.when(F.col("track_number") == F.col("position"), 0.30).otherwise(0.0))
     best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "position")))
     return best.where("n = 1 AND score >= 0.40").select("id", "official", "position", "score")
@@ -310,11 +310,14 @@ q("jn16_ranked_match")(lambda t: ranked_match(t))
 
 
 def ranked_match(t: Catalog) -> DataFrame:
-    """Best remote candidate for each track: similarities from 0.4 up, more than 60 s apart never, more than 15 s worse by 0.1; the first tier with a hit."""
+    """Best remote candidate for each track: similarities from 0.4 up, more than 60 s apart never, more than 15 s worse by 0.1; the first tier with a hit.
+
+    The remote candidates of track k are the titled recordings k, k + 400, ..., k + 1600.
+    """
     from tessera.functions.exact import similarity
 
-    local = t.core_recordings.where("id < 400 AND title <> ''").select("id", "title", text.search_title(F.col("title")).alias("clean"), text.core_title(F.col("title")).alias("core"), (F.col("id") % 300).alias("seconds"))
-    remote = t.core_recordings.where("id < 2000 AND title <> ''").select((F.col("id") % 400).alias("id"), F.col("id").alias("remote"), F.col("title").alias("r_title"), (F.col("id") % 300).alias("r_seconds"), (F.col("id") % 3).alias("tier"))
+    local = t.core_recordings.where("title <> ''").select("id", "title", text.search_title(F.col("title")).alias("clean"), text.core_title(F.col("title")).alias("core"), (F.col("id") % 300).alias("seconds"))
+    remote = t.core_recordings.where("title <> ''").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(4)))).select((F.col("id") - 400 * F.col("step")).alias("id"), F.col("id").alias("remote"), F.col("title").alias("r_title"), (F.col("id") % 300).alias("r_seconds"), (F.col("id") % 3).alias("tier"))
     gap = F.abs(F.col("seconds") - F.col("r_seconds"))
     pairs = local.join(remote, "id").where(gap <= 60).withColumn("sim", F.greatest(similarity("clean", "r_title"), similarity("core", "r_title"))).where("sim >= 0.40")
     scored = pairs.withColumn("score", 0.50 * F.col("sim") + 0.50 * 0.85 - F.when(gap > 15, 0.10).otherwise(0.0))

@@ -36,3 +36,47 @@ def test_first_come_over_all_assets(spark, small):
             seen |= keys
             kept.append(a.asset_id)
     assert sorted(r.asset_id for r in registry.queries()["wn09_first_come"](spark, small).collect()) == kept
+
+
+def test_cluster_match_over_all_albums(spark, small):
+    from tessera.functions.exact import ratio
+    from tessera.sources.fixtures import Catalog
+
+    t = Catalog(spark, small)
+    albums = {a.id for a in t.core_albums.collect()}
+    expected = {}
+    for r in t.core_recordings.where("album_id IS NOT NULL").collect():
+        if r.album_id in albums:
+            names = [(k, f"Song {r.album_id * k % 500}") for k in range(1, 5)]
+            score, k, name = min(((-(0.70 * ratio(r.title, name) + (0.30 if r.track_number == k else 0.0)), k, name) for k, name in names))
+            if -score >= 0.40:
+                expected[r.id] = (name, k, round(-score, 9))
+    found = registry.queries()["jn15_cluster_match"](spark, small).collect()
+    assert {r.id: (r.official, r.position, round(r.score, 9)) for r in found} == expected and len(found) == len(expected)
+    facts = registry.queries()["dm17_cluster_facts"](spark, small).collect()
+    assert {r.entity_id: r.value for r in facts} == {k: v[0] for k, v in expected.items()}
+
+
+def test_ranked_match_over_all_recordings(spark, small):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+    from tessera.functions.exact import ratio
+    from tessera.sources.fixtures import Catalog
+
+    rows = Catalog(spark, small).core_recordings.where("title <> ''").select("id", "title", text.search_title(F.col("title")).alias("clean"), text.core_title(F.col("title")).alias("core")).collect()
+    known = {r.id: r for r in rows}
+    expected = {}
+    for r in rows:
+        ranked = []
+        for remote in range(r.id, r.id + 2000, 400):
+            gap = abs(r.id % 300 - remote % 300)
+            if remote in known and gap <= 60:
+                sim = max(ratio(r.clean, known[remote].title), ratio(r.core, known[remote].title))
+                if sim >= 0.40:
+                    ranked.append((remote % 3, -(0.50 * sim + 0.50 * 0.85 - (0.10 if gap > 15 else 0.0)), remote))
+        if ranked:
+            tier, score, remote = min(ranked)
+            expected[r.id] = (remote, tier, round(-score, 9))
+    found = registry.queries()["jn16_ranked_match"](spark, small).collect()
+    assert {r.id: (r.remote, r.tier, round(r.score, 9)) for r in found} == expected and len(found) == len(expected)
