@@ -160,7 +160,7 @@ def family_trust(evidence: DataFrame) -> DataFrame:
     SELECT user_id, round(arg_max(ema, n), 6) AS ema FROM fold GROUP BY user_id""",
 )
 def latency_average(t: Catalog) -> DataFrame:
-    return moving_average(t.events.where("user_id < 40"), "user_id", "event_id", "value")
+    return moving_average(t.events, "user_id", "event_id", "value")
 
 
 def moving_average(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
