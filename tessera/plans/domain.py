@@ -366,5 +366,5 @@ q("dm42_entity_fan_out", "SELECT asset_id, 'recording' AS kind, md5(md5_file) AS
     lambda t: t.core_assets.where("channels = 1").select("asset_id", F.md5(F.col("md5_file").cast("binary")).alias("recording"), F.col("audio_stream_hash").alias("asset"), F.lit("0.2").alias("validation")).unpivot("asset_id", ["recording", "asset", "validation"], "kind", "value")
 )
 q("dm50_provider_health", "SELECT coalesce(m.source_id, b.source_id) AS provider, coalesce(m.n, 0) AS requests, coalesce(m.mean, 0.0) AS mean, CASE WHEN b.bad >= 20 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM (SELECT source_id, count(*) AS n, round(avg(confidence), 6) AS mean FROM meta_evidence WHERE id % 2 = 0 GROUP BY source_id) m FULL JOIN (SELECT source_id, count(*) AS bad FROM meta_evidence WHERE value = 'broken' GROUP BY source_id) b ON m.source_id = b.source_id")(
-    lambda t: t.meta_evidence.where("id % 2 = 0").groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")).join(t.meta_evidence.where("value = 'broken'").groupBy("source_id").agg(F.count("*").alias("bad")), "source_id", "full").select(F.col("source_id").alias("provider"), F.coalesce("n", F.lit(0)).alias("requests"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(F.col("bad") >= 20, "OPEN").otherwise("CLOSED").alias("state"))
+    lambda t: t.meta_evidence.groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")).join(t.meta_evidence.where("value = 'broken'").groupBy("source_id").agg(F.count("*").alias("bad")), "source_id", "full").select(F.col("source_id").alias("provider"), F.coalesce("n", F.lit(0)).alias("requests"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(F.col("bad") >= 20, "OPEN").otherwise("CLOSED").alias("state"))
 )

@@ -64,7 +64,7 @@ def flatten_media(t: Catalog) -> DataFrame:
 
 @q("src12_cache_lookup", "SELECT r.id, v.quality_score AS cached FROM core_recordings r LEFT JOIN meta_validation v ON r.id = v.recording_id WHERE r.id % 3 = 0")
 def cache_lookup(t: Catalog) -> DataFrame:
-    return t.core_recordings.where("id % 3 = 0").select("id").join(t.meta_validation.select(F.col("recording_id").alias("id"), F.col("quality_score").alias("cached")), "id", "left")
+    return t.core_recordings.select("id").join(t.meta_validation.select(F.col("recording_id").alias("id"), F.col("quality_score").alias("cached")), "id", "left")
 
 
 # Filters
@@ -269,7 +269,7 @@ def album_pool(t: Catalog) -> DataFrame:
 
 @q("jn21_full_outer", "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(n, 0) AS requests, coalesce(state, 'CLOSED') AS state FROM (SELECT source_id, count(*) AS n FROM meta_evidence WHERE id % 2 = 0 AND source_id < 'SRC_L' GROUP BY source_id) a FULL JOIN (SELECT source_id, 'OPEN' AS state FROM meta_evidence WHERE source_id > 'SRC_E' GROUP BY source_id) b ON a.source_id = b.source_id")
 def full_outer(t: Catalog) -> DataFrame:
-    a = t.meta_evidence.where("id % 2 = 0 AND source_id < 'SRC_L'").groupBy("source_id").agg(F.count("*").alias("n"))
+    a = t.meta_evidence.where("source_id < 'SRC_L'").groupBy("source_id").agg(F.count("*").alias("n"))
     b = t.meta_evidence.where("source_id > 'SRC_E'").select("source_id").distinct().withColumn("state", F.lit("OPEN"))
     return a.join(b, "source_id", "full").select("source_id", F.coalesce("n", F.lit(0)).alias("requests"), F.coalesce("state", F.lit("CLOSED")).alias("state"))
 
@@ -286,10 +286,10 @@ q("st01_union_of_ids", "SELECT musicbrainz_recording_id AS id FROM core_recordin
     lambda t: t.core_recordings.select(F.col("musicbrainz_recording_id").alias("id")).unionByName(t.core_albums.select(F.explode(F.array("release_group_mbid", "barcode")).alias("id"))).where("id IS NOT NULL").distinct()
 )
 q("st02_union_all", "SELECT c_name AS name, 'a' AS via FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_name, 'b' FROM supplier UNION ALL SELECT p_name, 'c' FROM part WHERE p_size = 7")(
-    lambda t: t.customer.where("c_custkey < 50").select(F.col("c_name").alias("name"), F.lit("a").alias("via")).unionByName(t.supplier.select(F.col("s_name").alias("name"), F.lit("b").alias("via"))).unionByName(t.part.where("p_size = 7").select(F.col("p_name").alias("name"), F.lit("c").alias("via")))
+    lambda t: t.customer.select(F.col("c_name").alias("name"), F.lit("a").alias("via")).unionByName(t.supplier.select(F.col("s_name").alias("name"), F.lit("b").alias("via"))).unionByName(t.part.where("p_size = 7").select(F.col("p_name").alias("name"), F.lit("c").alias("via")))
 )
 q("st03_distinct_union", "SELECT primary_genre AS genre FROM sys_discovery_candidates UNION SELECT genre FROM core_recordings WHERE genre IS NOT NULL")(lambda t: t.sys_discovery_candidates.select(F.col("primary_genre").alias("genre")).union(t.core_recordings.where("genre IS NOT NULL").select("genre")).distinct().orderBy("genre"))
-q("st04_tag_union", "SELECT id, list_sort(list_distinct(list_concat([coalesce(genre, '-')], [coalesce(subgenre, '-'), 'Rock']))) AS tags FROM core_recordings WHERE id % 50 = 0")(lambda t: t.core_recordings.where("id % 50 = 0").select("id", F.array_sort(F.array_union(F.array(F.coalesce("genre", F.lit("-"))), F.array(F.coalesce("subgenre", F.lit("-")), F.lit("Rock")))).alias("tags")))
+q("st04_tag_union", "SELECT id, list_sort(list_distinct(list_concat([coalesce(genre, '-')], [coalesce(subgenre, '-'), 'Rock']))) AS tags FROM core_recordings WHERE id % 50 = 0")(lambda t: t.core_recordings.select("id", F.array_sort(F.array_union(F.array(F.coalesce("genre", F.lit("-"))), F.array(F.coalesce("subgenre", F.lit("-")), F.lit("Rock")))).alias("tags")))
 
 # Windows
 

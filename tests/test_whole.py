@@ -11,6 +11,11 @@ from .compare import plain
 BOUNDS = {
     "dm14_album_pooled_genre": ["WHERE r.id < 150", "WHERE entity_id < 150"],
     "ag20_latency_average": ["WHERE user_id < 40"],
+    "dm50_provider_health": ["WHERE id % 2 = 0"],
+    "jn21_full_outer": ["id % 2 = 0 AND "],
+    "src12_cache_lookup": ["WHERE r.id % 3 = 0"],
+    "st02_union_all": ["WHERE c_custkey < 50"],
+    "st04_tag_union": ["WHERE id % 50 = 0"],
 }
 
 
