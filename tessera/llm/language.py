@@ -20,10 +20,10 @@ from tessera.llm.common import fold, text_blocks, trimmed
 FOLDS = 5
 HIDDEN = 8
 SEGMENT = 128
-#: Documents of each language that the network is trained on, at most, and the characters taken from each.
-FIT_DOCS, FIT_CHARS = 400, 2000
-#: Languages that are learned, at most: the most frequent ones.
-FIT_LANGUAGES = 100
+#: Documents of each language that the network is trained on, at most; segments are drawn from their whole texts.
+FIT_DOCS = 400
+#: Segments times languages that are scored side by side, at most.
+SIDE_BY_SIDE = 1024 * 100
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -139,6 +139,7 @@ class BiGRU:
         total = np.zeros((len(size), len(self.bias)))
         order = np.argsort(length, kind="stable")
         step = np.arange(SEGMENT)
+        side_by_side = max(1, min(side_by_side, SIDE_BY_SIDE // len(self.bias)))
         for k in range(0, len(order), side_by_side):
             part = order[k : k + side_by_side]
             most = length[part[-1]]
@@ -156,13 +157,13 @@ def fit_language(docs: DataFrame, fit_docs: int = FIT_DOCS) -> BiGRU | None:
     The sample is bounded by fit_docs for each language, the first by a hash of the id.
     """
     known = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) > 0))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
     lottery = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, fit_docs / counts[lang])))])
-    drawn = known.where(lottery < F.element_at(share, F.col("lang"))).select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text"))
+    drawn = known.where(lottery < F.element_at(share, F.col("lang"))).select("doc_id", "lang", "text")
     rows = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * fit_docs * len(languages)).collect()
     rows = [r for r in rows if r.text]
     languages = sorted({r.lang for r in rows})

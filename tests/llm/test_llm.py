@@ -13,7 +13,7 @@ from tessera.llm.components import components
 from tessera.llm.decontamination import contamination_report, decontaminate
 from tessera.llm.embeddings import buckets, embedding_dedup
 from tessera.llm.jaccard import drop_near_copies, jaccard_components, may_reach
-from tessera.llm.language import BiGRU, language
+from tessera.llm.language import BiGRU, fit_language, language
 from tessera.llm.packing import CAPACITY, cuts, pack, packing_digest
 from tessera.llm.quality import FactorisationMachine, features, keep_quality, quality
 from tessera.llm.suffixes import first_documents, remove_repeats, suffix_array, without_repeats
@@ -380,6 +380,20 @@ def test_language(spark):
     assert {r.lang_pred for r in language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_learns_every_language(spark):
+    rows = [(k, f"text {k}", f"l{k % 105:03d}", "s", 1) for k in range(1050)]
+    network = fit_language(spark.createDataFrame(rows, DOC))
+    assert network.languages == sorted({r[2] for r in rows})
+
+
+def test_language_learns_from_whole_texts(spark):
+    words = {"en": "the of with things ", "de": "der nicht und auch "}
+    rows = [(k, "12 34 " * 350 + words[lang] * 110, lang, "s", 1) for k, lang in enumerate(["en", "de"] * 60)]
+    out = {r.doc_id: r for r in language(spark.createDataFrame(rows, DOC)).collect()}
+    tested = [r for r in rows if out[r[0]].held_out]
+    assert tested and all(out[k].lang_pred == lang for k, _, lang, *_ in tested)
+
+
 # Packing
 
 
