@@ -285,7 +285,7 @@ def fuzzy_owned(t: Catalog) -> DataFrame:
     key = lambda c: F.substring(text.alnum_key(F.col(c)), 1, 3).alias("block")
     near = lambda a, b, least: 2 * F.least(F.length(text.alnum_key(F.col(a))), F.length(text.alnum_key(F.col(b)))) >= least * (F.length(text.alnum_key(F.col(a))) + F.length(text.alnum_key(F.col(b))))
     lib = t.core_albums.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
-    c = t.sys_discovery_candidates.where("title LIKE 'Album%'").select("candidate_id", "title", "artist_name")
+    c = t.sys_discovery_candidates.select("candidate_id", "title", "artist_name")
     # Different titles are few, so they are compared once each, and so are the artists behind those that agree.
     titles = c.select("title", key("title")).distinct().join(lib.select("lib_title", key("lib_title")).distinct(), "block").where(near("title", "lib_title", 0.85)).where(similarity("title", "lib_title") >= 0.85)
     pairs = c.join(titles.select("title", "lib_title"), "title").join(lib, "lib_title").select("artist_name", "lib_artist", "candidate_id").distinct()

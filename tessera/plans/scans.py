@@ -235,7 +235,7 @@ def fuzzy(t: Catalog, close) -> DataFrame:
     """Candidates whose title and artist are close to an album's that begins with the same three letters."""
     key = lambda c: F.substring(text.alnum_key(F.col(c)), 1, 3)
     lib = t.core_albums.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(key("title").alias("block"), F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
-    c = t.sys_discovery_candidates.where("title LIKE 'Album%'").select("candidate_id", key("title").alias("block"), "title", "artist_name")
+    c = t.sys_discovery_candidates.select("candidate_id", key("title").alias("block"), "title", "artist_name")
     # Albums of one artist hold few titles, so the artist decides early.
     return c.join(lib, "block").where(close).select("candidate_id").distinct()
 

@@ -86,3 +86,20 @@ def test_ranked_match_over_all_recordings(spark, small):
             expected[r.id] = (remote, tier, round(-score, 9))
     found = registry.queries()["jn16_ranked_match"](spark, small).collect()
     assert {r.id: (r.remote, r.tier, round(r.score, 9)) for r in found} == expected and len(found) == len(expected)
+
+
+def test_fuzzy_ownership_takes_any_title(rows):
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+
+    from tessera.plans.domain import fuzzy_owned
+    from tessera.plans.scans import fuzzy
+
+    t = SimpleNamespace(
+        core_albums=rows([(1, 1, "Blue Train")], "id int, artist_id int, title string"),
+        core_artists=rows([(1, "Coltrane")], "id int, name string"),
+        sys_discovery_candidates=rows([("a", "Blue Trains", "Coltrane"), ("b", "Red Train", "Coltrane")], "candidate_id string, title string, artist_name string"),
+    )
+    assert [r.candidate_id for r in fuzzy_owned(t).collect()] == ["a"]
+    assert [r.candidate_id for r in fuzzy(t, F.expr("levenshtein(title, lib_title) <= 2")).collect()] == ["a"]
