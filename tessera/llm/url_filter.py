@@ -8,6 +8,7 @@ its distrust less its trust, per page of its own, reaches the threshold.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from tessera.llm.common import checkpoint
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DAMPING = 0.85
-ROUNDS = 20
 THRESHOLD = 0.5
 TOLERANCE = 1e-6
 
@@ -52,11 +52,11 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", _az_lower(target).alias("dst")).where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None) -> DataFrame:
     """(host, score): personalised PageRank from seeds (host, mass), in units of seed mass.
 
-    A walker at a host without links goes home: its mass leaves the walk. Stops early once a pass changes
-    no more than a millionth of the mass.
+    A walker at a host without links goes home: its mass leaves the walk. Ends once a pass changes no more
+    than a millionth of the mass, or after the given rounds.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
     shares = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share")))
@@ -64,7 +64,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     if shares.isEmpty():
         return score
     whole = seeds.agg(F.sum("mass")).first()[0] or 0.0
-    for k in range(rounds):
+    for k in count() if rounds is None else range(rounds):
         moved = shares.join(score, shares.src == score.host).groupBy(F.col("dst").alias("host")).agg((damping * F.sum(F.col("share") * F.col("score"))).alias("score"))
         new = seeds.select("host", F.col("mass").alias("score")).unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
         if k % 5 == 4:

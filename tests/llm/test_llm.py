@@ -456,6 +456,14 @@ def test_rank_against_power_iteration(spark):
     assert np.allclose([out.get(h, 0) for h in "abcd"], score, atol=1e-4)
 
 
+def test_rank_ends_converged_by_default(spark):
+    edges = [("a", "b", 1), ("b", "a", 1)] + [(f"h{k:02d}", f"h{k + 1:02d}", 1) for k in range(30)]
+    seeds = spark.createDataFrame([("a", 1.0), ("h00", 1.0)], "host string, mass double")
+    out = {r.host: r.score for r in propagate(spark.createDataFrame(edges, "src string, dst string, n long"), seeds).collect()}
+    assert abs(out["a"] - 1 / (1 - 0.85**2)) < 1e-4 and abs(out["b"] - 0.85 / (1 - 0.85**2)) < 1e-4
+    assert all(abs(out[f"h{k:02d}"] - 0.85**k) < 1e-4 for k in range(31))
+
+
 def test_distrust_flows_back_along_links(spark):
     judged = spark.createDataFrame([("bad", "block")] * 4 + [("feeder", None), ("good", "allow"), ("near", None)], "host string, ruled string")
     edges = spark.createDataFrame([("feeder", "bad", 5), ("good", "near", 1)], "src string, dst string, n long")
