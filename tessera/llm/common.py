@@ -12,6 +12,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,14 +27,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    context = frame.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only in a local session, which has no other machine."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+#: Bytes of one Arrow batch that goes to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def mapped(frame: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """frame.mapInArrow over batches of bounded size; freed memory goes back to the system once a partition is done."""
+    conf = frame.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != f"{BATCH_BYTES}b":
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return frame.mapInArrow(trimmed(work), schema)
+
+
+def packed(hashes: np.ndarray, kept: int) -> np.ndarray:
+    """The leading bytes of each 64-bit hash, one after the other, so that byte strings sort as the hashes do."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :kept].ravel()
+
+
+def unpacked(data: bytes | pa.Buffer | np.ndarray, kept: int) -> np.ndarray:
+    """The numbers that packed() wrote: each hash shifted down to its leading bytes."""
+    raw = np.frombuffer(data, np.uint8).reshape(-1, kept)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - kept :] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary array whose values are consecutive runs of data of these sizes in bytes."""
+    offsets = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The function, giving freed memory back to the system once a partition is done; workers are used again."""
 
@@ -141,12 +183,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
 
 def stored(frame: DataFrame) -> DataFrame:
     """The frame written as Parquet in the shared checkpoint folder and read again."""
-    import uuid
-
     context = frame.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
     # Shuffle files go once the driver collects its garbage; here what led to the table is garbage.
     gc.collect()

@@ -1,13 +1,16 @@
 """Jaccard join of documents on word n-grams by rare-first prefix filtering.
 
-A document is the set of its shingles' 64-bit hashes. All sets are ordered alike, shingles from lightly
-loaded buckets of a fixed-size count sketch of the whole corpus first; two sets that reach the threshold
-then share a shingle within their prefixes. Pairs that meet in a prefix pass the length and positional
-filters, are made distinct, and are verified once, the suffix filter before the whole intersection.
-
-A group of documents that meet in one shingle isn't expanded into all its pairs. The member that has the fewest
-rarer shingles, as a text has from which the others were edited, is held against each other member first; links found so far join members into components, and only pairs of members
-in different components are held against each other after that, so copies of one text cost one pair each.
+A document is the set of its shingles' 64-bit hashes, and equal sets are one node. Frequencies are exact and come from a
+shuffle that grows with the corpus (shared.py), twice: first over all sets, where a set is left out that has too few shingles in
+common with any other to reach the threshold, then over the sets that are left, each once. All sets are ordered alike, rare
+shingles first; two sets that reach the threshold then share a shingle within their prefixes. Pairs that meet in a prefix pass
+the length and positional filters, are made distinct, and are verified once, the suffix filter before the whole intersection.
+
+A group of documents that meet in one shingle isn't expanded into all its pairs. The member that has the fewest rarer shingles,
+as a text has from which the others were edited, is held against each other member first; links found so far join members into
+components, then one member of each further component is held against the rest, and at last members of different components.
+A text whose edits leave it short of the threshold has more shingles of its own than the positional filter lets pass, so this
+last step has few pairs.
 """
 
 from __future__ import annotations
@@ -17,22 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IdFilter, folded, mix, span_hashes, stored, text_blocks, trimmed, word_bounds
+from tessera.llm.common import folded, mapped, mix, packed, span_hashes, stored, text_blocks, unpacked, word_bounds
 from tessera.llm.components import components
+from tessera.llm.shared import KEPT_BYTES, ChunkTable, beside, chunk_blocks, parts_of, several
 
-#: Buckets of the sketch by which shingles are ordered (8 bytes each on every executor).
-SKETCH_BITS = 18
-#: Leading bytes of a shingle's hash that are compared in verification.
-KEPT_BYTES = 5
 #: Partners of one document that one task verifies.
 MEMBERS = 200
-#: Pivot rounds before the pairs that are left are taken all at once, and comparisons for each prefix entry that are few.
-PIVOT_ROUNDS, FEW_PAIRS = 1, 32
-#: Parts of the suffix filter that runs before candidates are made distinct: sets are cut by hash into so many.
-PARTS = 64
+#: Bytes of sets in one batch.
+SET_BYTES = 4 << 20
 _WORD = np.ones(256, bool)
 _WORD[[32, 9, 10, 11, 12, 13]] = False
 
@@ -62,103 +61,93 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return sets
 
 
-def _sets_of(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int | None, np.ndarray]]:
-    ids = batch.column(0).to_pylist()
-    for first, _, data, offsets in text_blocks(batch.column(1)):
-        for i, found in enumerate(shingle_sets(data, offsets, width)):
-            yield ids[first + i], found
+def document_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(chunk, doc_id, n, digest, hashes) of each row of docs (doc_id, text): size and digest of its set, and the packed set.
 
+    hashes is null without shingles or id, and where a row of the same chunk has the same set. digest is null without shingles.
+    """
+    names = ["chunk", "doc_id", "n", "digest", "hashes"]
 
-def digests(docs: DataFrame, width: int) -> DataFrame:
-    """A row for each document (doc_id, n, digest of its set, sizes of the set's parts), and rows (bucket, load) of the shingle sketch."""
+    def rows(chunk, ids, sizes, marks, sets) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(([chunk] * len(ids), ids, sizes, marks, sets), kinds, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load = np.zeros(1 << SKETCH_BITS, np.int64)
-        names = ["doc_id", "n", "digest", "bucket", "load", "parts"]
+        chunk = (TaskContext.get().partitionId() << 32) - 1
         for batch in batches:
-            ids, sizes, marks, parts = [], [], [], []
-            for doc_id, found in _sets_of(batch, width):
-                ids.append(doc_id)
-                sizes.append(len(found))
-                marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                part = np.bincount((found >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS) if len(found) else np.zeros(0, np.int64)
-                parts.append(np.minimum(part, 32_767).astype(np.int16))
-                np.add.at(load, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            empty = [None] * len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.array(empty, pa.int32()), pa.array(empty, pa.int64()), pa.array(parts, pa.list_(pa.int16()))], names)
-        used = np.flatnonzero(load)
-        for k in range(0, len(used), 50_000):
-            part = used[k : k + 50_000]
-            empty = [None] * len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.binary()), pa.array(part.astype(np.int32)), pa.array(load[part]), pa.array(empty, pa.list_(pa.int16()))], names)
-
-    return docs.mapInArrow(trimmed(work), "doc_id long, n long, digest binary, bucket int, load long, parts array<short>")
-
-
-def prefixes(docs: DataFrame, width: int, num: int, den: int, load: np.ndarray) -> DataFrame:
-    """(token, node, n, pos): the rare-first prefix of each set; of equal sets in one batch only the smallest id's."""
+            chunk += 1
+            once: set[bytes] = set()
+            ids, sizes, marks, sets, size = [], [], [], [], 0
+            names_of = batch.column(0).to_pylist()
+            for first, _, data, offsets in text_blocks(batch.column(1)):
+                for i, found in enumerate(shingle_sets(data, offsets, width)):
+                    mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+                    ids.append(names_of[first + i])
+                    sizes.append(len(found))
+                    marks.append(mark)
+                    if mark is None or ids[-1] is None or mark in once:
+                        sets.append(None)
+                        continue
+                    once.add(mark)
+                    sets.append(packed(found, KEPT_BYTES).tobytes())
+                    size += len(sets[-1])
+                    if size > SET_BYTES:
+                        yield rows(chunk, ids, sizes, marks, sets)
+                        ids, sizes, marks, sets, size = [], [], [], [], 0
+            if ids:
+                yield rows(chunk, ids, sizes, marks, sets)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            once: dict[bytes, list] = {}
-            for doc_id, found in _sets_of(batch, width):
-                if doc_id is None or not len(found):
-                    continue
-                mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                if mark in once:
-                    once[mark][0] = min(once[mark][0], doc_id)
-                    continue
-                length = len(found) - -(-num * len(found) // den) + 1
-                bucket = load[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                if length < len(found):
-                    edge = np.partition(bucket, length - 1)[length - 1]
-                    near = np.flatnonzero(bucket <= edge)
-                    found_, bucket = found[near], bucket[near]
-                else:
-                    found_ = found
-                order = np.lexsort((found_, bucket))[:length]
-                once[mark] = [doc_id, len(found), found_[order].view(np.int64)]
-            if not once:
-                continue
-            nodes, sizes, tokens = zip(*once.values(), strict=True)
-            count = [len(t) for t in tokens]
-            pos = np.concatenate([np.arange(c, dtype=np.int32) for c in count])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.repeat(np.array(nodes, np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(pos)], ["token", "node", "n", "pos"])
+    return mapped(docs, work, "chunk long, doc_id long, n long, digest binary, hashes binary")
 
-    return docs.mapInArrow(trimmed(work), "token long, node long, n int, pos int")
 
+def needed(n: int, num: int, den: int) -> int:
+    """The least intersection of a set of n with any set that it links to."""
+    return -(-num * n // den)
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles) of the documents among nodes, and of a few others.
 
-    The scan skips documents whose id isn't in a filter of fixed size; as nodes grow it lets more pass, and the
-    join that follows drops them.
-    """
-    chosen = IdFilter(nodes, "node")
+def survivors(sets: DataFrame, shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """The rows of sets (chunk, node, n, digest, hashes) that hold enough shingles of other rows to link with any."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable()
         for batch in batches:
-            batch = batch.filter(pa.array(chosen.passes(batch.column(0).to_numpy(zero_copy_only=False))))
-            ids, sets, size = [], [], 0
-            for doc_id, found in _sets_of(batch, width):
-                ids.append(doc_id)
-                # Five bytes of each hash, sorted as the hashes are.
-                sets.append(found.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes())
-                size += len(sets[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
-                    ids, sets, size = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+            keep = []
+            for chunk, n, raw, df in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                if df.is_valid:
+                    table.see(chunk, raw.as_buffer(), df.as_buffer())
+                    keep.append(False)
+                else:
+                    keep.append(int(np.count_nonzero(table.look_up(chunk, unpacked(raw.as_buffer(), KEPT_BYTES)) > 1)) >= needed(n, num, den))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(5)))
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(trimmed(work), "node long, shingles binary")
+    return mapped(beside(sets.select("chunk", "node", "n", "digest", "hashes"), shared, parts), work, "chunk long, node long, n long, digest binary, hashes binary")
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, KEPT_BYTES)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 8 - KEPT_BYTES :] = raw
-    return out.view(">u8").ravel().astype(np.uint64)
+def prefixes(sets: DataFrame, shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """(token, node, n, pos): the rare-first prefix of each of the sets (chunk, node, n, hashes), without shingles of one set alone."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ChunkTable()
+        for batch in batches:
+            tokens, nodes, sizes, places = [], [], [], []
+            for chunk, node, n, raw, df in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
+                if df.is_valid:
+                    table.see(chunk, raw.as_buffer(), df.as_buffer())
+                    continue
+                mine = unpacked(raw.as_buffer(), KEPT_BYTES)
+                often = table.look_up(chunk, mine)
+                met = np.flatnonzero(often > 1)
+                alone = len(mine) - len(met)
+                length = n - needed(n, num, den) + 1
+                order = met[np.lexsort((mine[met], often[met]))][: max(0, length - alone)]
+                tokens.append(mine[order].view(np.int64))
+                nodes.append(np.full(len(order), node, np.int64))
+                sizes.append(np.full(len(order), n, np.int32))
+                places.append(np.arange(alone, alone + len(order), dtype=np.int32))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places)], ["token", "node", "n", "pos"])
+
+    return mapped(beside(sets.select("chunk", "node", "n", "hashes"), shared, parts), work, "token long, node long, n int, pos int")
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, needed: int, depth: int = 3) -> bool:
@@ -175,20 +164,18 @@ def may_reach(a: np.ndarray, b: np.ndarray, needed: int, depth: int = 3) -> bool
     return may_reach(a[:i], b[:j], needed - right, depth - 1) and may_reach(a[i:], b[j:], needed - left, depth - 1)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold.
+def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets (node, hashes) reach the threshold.
 
     Each set is sent once for each pair in which it is b, and a's own set once for every MEMBERS of its pairs, so
     a document with very many partners is verified by many tasks.
     """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("m"))
-    key = lambda a, salt, lead: F.struct(a.alias("a"), salt.cast("int").alias("salt"), F.lit(lead).alias("lead")).alias("key")
-    members = pairs.join(groups, "a").select(F.col("b").alias("node"), key(F.col("a"), F.pmod(F.xxhash64("b"), F.col("m")), False))
-    leads = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt")).select("node", key(F.col("a"), F.col("salt"), True))
+    members = pairs.join(groups, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("salt"), F.lit(False).alias("lead"))
+    leads = groups.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"), F.lit(True).alias("lead"))
     places = stored(members.unionByName(leads))
-    sets = _sets(docs, places.select("node"), width)
-    met = sets.join(places.groupBy("node").agg(F.collect_list("key").alias("keys")), "node").select("node", "shingles", F.explode("keys").alias("key"))
-    met = met.select("key.a", "key.salt", "key.lead", "node", "shingles").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
+    met = places.join(sets.select("node", "hashes"), "node").select("a", "salt", "lead", "node", "hashes")
+    met = met.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, leads = None, []
@@ -197,76 +184,66 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int)
             for a, salt, lead, node, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 if (a, salt) != place:
                     place, leads = (a, salt), []
-                mine = _unpacked(raw.as_buffer())
+                mine = unpacked(raw.as_buffer(), KEPT_BYTES)
                 if lead:
                     leads.append(mine)
                     continue
                 for other in leads:  # more than one only where an id is repeated
-                    needed = -(-num * (len(mine) + len(other)) // (den + num))
-                    if may_reach(mine, other, needed):
+                    least = -(-num * (len(mine) + len(other)) // (den + num))
+                    if may_reach(mine, other, least):
                         at = np.searchsorted(other, mine)
                         at[at == len(other)] = 0
-                        if np.count_nonzero(other[at] == mine) >= needed:
+                        if np.count_nonzero(other[at] == mine) >= least:
                             left.append(a)
                             right.append(node)
                             break
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
-    return met.mapInArrow(trimmed(work), "a long, b long")
+    return mapped(met, work, "a long, b long")
 
 
 def _near(num: int, den: int, left: str, right: str) -> str:
-    """Length, positional and suffix filters for two sets that share a token: sizes n, positions pos in the common order, parts.
+    """Length and positional filters for two sets of sizes n at the first token that they share, at pos in the common order.
 
-    The sets can't meet in more than the smaller of both parts, summed over parts; a part of 32,767 may be larger.
+    What stands before it in either set isn't in the other. At a later shared token a pair may fail: it has met before.
     """
     small, large = f"least({left}.n, {right}.n)", f"greatest({left}.n, {right}.n)"
-    overlap = f"(1 + least({left}.n - {left}.pos - 1, {right}.n - {right}.pos - 1) + least({left}.pos, {right}.pos))"
-    both = f"aggregate(zip_with({left}.parts, {right}.parts, (a, b) -> int(least(a, b))), 0, (s, v) -> s + v)"
-    meet = f"IF(greatest({left}.n, {right}.n) < 32767, {both}, {left}.n)"
-    return f"{den}L * {small} >= {num}L * {large} AND {den + num}L * {overlap} >= {num}L * ({left}.n + {right}.n) AND {den + num}L * {meet} >= {num}L * ({left}.n + {right}.n)"
+    overlap = f"least({left}.n - {left}.pos, {right}.n - {right}.pos)"
+    return f"{den}L * {small} >= {num}L * {large} AND {den + num}L * {overlap} >= {num}L * ({left}.n + {right}.n)"
 
 
-def jaccard_links(docs: DataFrame, width: int, num: int, den: int, load: np.ndarray, reps: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all documents whose similarity chains reach each other; not every link of a group of copies.
+def jaccard_links(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, component) of the nodes that link: sets (node, hashes) and their prefixes (token, node, n, pos).
 
-    reps: (node, rep), the document that stands for each document's set; parts: (node, parts) of the reps.
+    Each table that two steps read is stored, so joins on a token that very many sets share can be split.
     """
-    found = prefixes(docs, width, num, den, load)
-    tokens = found.groupBy("token").agg(F.count("*").alias("g")).where("g > 1").select("token")
-    shared = found.join(tokens, "token").join(reps, "node").select("token", F.col("rep").alias("node"), "n", "pos").distinct()
-    shared = stored(shared.join(parts, "node"))
-    lead = shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n", "parts")).alias("x"), F.count("*").alias("g")).where("g > 1").select("token", "x")
-    pairs = shared.select("token", F.struct("node", "n", "pos", "parts").alias("y")).join(lead, "token").where("x.node <> y.node")
-    pairs = pairs.where(_near(num, den, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tried = stored(pairs)
-    links = stored(verified(docs, tried, width, num, den))
-    n_rows = max(1, shared.count())
-    for k in range(PIVOT_ROUNDS + 1):
-        labels = stored(components(links))
-        member = shared.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    tokens = stored(found.groupBy("token").agg(F.count("*").alias("g"), F.min(F.struct("pos", "node", "n")).alias("x")).where("g > 1").select("token", "x"))
+    shared = stored(found.join(tokens.select("token"), "token", "left_semi"))
+    y = F.struct("node", "n", "pos").alias("y")
+    pairs = shared.select("token", y).join(tokens, "token").where(f"x.node <> y.node AND {_near(num, den, 'x', 'y')}")
+    tried = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    labels = stored(components(stored(verified(sets, tried, num, den))))
+    for last in (False, True):
+        member = stored(shared.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
         sizes = member.groupBy("token", "c").agg(F.count("*").alias("m"))
-        most = sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("g"), F.max("m").alias("m")).where("m < g")
-        most = stored(most)
-        last = k == PIVOT_ROUNDS or (most.agg(F.sum((F.col("g") - F.col("m")) * F.col("g"))).first()[0] or 0) <= FEW_PAIRS * n_rows
-        member = member.join(most.select("token", "main"), "token")
+        # Tokens whose members aren't one component yet, with the component of most of them.
+        most = stored(sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main"))
+        member = stored(member.join(most, "token"))
         rest = member.where("c <> main")
         if last:
-            pivots = rest.select("token", F.struct("node", "n", "pos", "c", "parts").alias("x"))
+            pivots = rest.select("token", F.struct("node", "n", "pos", "c").alias("x"))
         else:
-            pivots = rest.groupBy("token", "c").agg(F.min(F.struct("pos", "node", "n", "c", "parts")).alias("x")).select("token", "x")
-        y = member.select("token", F.struct("node", "n", "pos", "c", "main", "parts").alias("y"))
+            pivots = stored(rest.groupBy("token", "c").agg(F.min(F.struct("pos", "node", "n", "c")).alias("x")).select("token", "x"))
+        y = member.select("token", F.struct("node", "n", "pos", "c", "main").alias("y"))
         # Two members outside the main component would meet twice; the smaller id is x then.
         once = "(y.c = y.main OR x.node < y.node)" if last else "true"
         more = pivots.join(y, "token").where(f"x.c <> y.c AND {once} AND {_near(num, den, 'x', 'y')}")
         more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.unionByName(stored(verified(docs, more, width, num, den)))
-            tried = tried.unionByName(more)
-        if last:
-            break
-    return links
+        links = verified(sets, more, num, den).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = stored(components(stored(links)))
+        tried = tried.unionByName(more)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -275,25 +252,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     Documents whose distinct shingle sets have den * |intersection| >= num * |union| are linked; component_id is the
     smallest doc_id reachable by links. A null or empty text has no shingles and links with nothing. Rows that
     repeat an id are one node with every text of theirs. A row without an id stands alone, its component is null.
+    Texts of any length are read whole; ties have no part, as a component has one smallest id. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(digests(docs, width))
-    load = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in seen.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("load").alias("load")).collect():
-        load[r.bucket] = r.load
-    seen = seen.where("bucket IS NULL")
-    first = seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    same = stored(seen.join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
-    reps = same.where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("node"), "rep").distinct()
-    parts = seen.where("doc_id IS NOT NULL AND n > 0").groupBy(F.col("doc_id").alias("node")).agg(F.first("parts").alias("parts"))
-    once = seen.groupBy("doc_id").agg(F.count_distinct("digest").alias("d")).where("d > 1").select(F.col("doc_id").alias("node"))
-    # An id with several texts has no one set of parts: its parts bound nothing.
-    open_ = F.array_repeat(F.lit(32_767).cast("short"), PARTS)
-    parts = parts.join(once.withColumn("many", F.lit(True)), "node", "left").select("node", F.when(F.col("many"), open_).otherwise(F.col("parts")).alias("parts"))
-    links = jaccard_links(docs, width, num, den, load, reps, parts)
+    seen = stored(document_sets(docs, width))
+    sets = seen.where("hashes IS NOT NULL").withColumnRenamed("doc_id", "node")
+    parts = parts_of(docs, seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    left = stored(survivors(sets, stored(several(chunk_blocks(sets, parts), parts)), parts, num, den))
+    # Sets that several rows have: the smallest id stands for them.
+    first = stored(seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("digest", "rep"))
+    same = stored(seen.select("doc_id", "n", "digest").join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
+    left = left.groupBy("digest").agg(F.first("chunk").alias("chunk"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.min("node").alias("own"))
+    left = stored(left.join(first, "digest", "left").select("chunk", F.coalesce("rep", "own").alias("node"), "n", "hashes"))
+    parts = parts_of(docs, left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    found = stored(prefixes(left, stored(several(chunk_blocks(left, parts), parts)), parts, num, den))
+    labels = jaccard_links(left, found, num, den)
     # An id that is repeated joins the sets of all its texts.
-    links = links.unionByName(reps.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
-    labels = components(links).select(F.col("node").alias("rep"), "component")
+    twice = same.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
+    both = same.where("n_shingles > 0").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(both)
+    labels = stored(components(links)).select(F.col("node").alias("rep"), "component")
     return same.join(labels, "rep", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id"))
 
 
