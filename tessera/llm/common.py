@@ -12,6 +12,7 @@ import ctypes
 import gc
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -181,32 +182,35 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def stored(frame: DataFrame) -> DataFrame:
-    """The frame written as Parquet in the shared checkpoint folder and read again."""
+def stored(frame: DataFrame, free: bool = False) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again.
+
+    free: what led to the table moved much, so its shuffle files are to go now. Spark deletes them once the driver has collected
+    the garbage that refers to them, which takes two collections.
+    """
     context = frame.sparkSession.sparkContext
     path = f"{shared_folder(frame.sparkSession)}/table-{uuid.uuid4().hex}"
     frame.write.option("compression", "zstd").parquet(path)
-    # Shuffle files go once the driver collects its garbage; here what led to the table is garbage.
-    gc.collect()
-    context._jvm.System.gc()
+    for wait in (0, 0.15) if free else ():
+        time.sleep(wait)
+        gc.collect()
+        context._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-class IdFilter:
-    """A filter of fixed size for the ids of a frame: passes all of them, and more others as they grow in number.
-
-    It spares a scan the rows that a join would drop; the join still has to follow.
-    """
-
-    BITS = 16_777_213  # a prime; 2 MB
-
-    def __init__(self, rows: DataFrame, column: str):
-        place = F.pmod(F.col(column), F.lit(self.BITS))
-        words = rows.select((place / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-        self.words = np.zeros(self.BITS // 32 + 1, np.uint32)
-        for r in words.collect():  # at most BITS / 32 rows
-            self.words[r.w] = r.v
-
-    def passes(self, ids: np.ndarray) -> np.ndarray:
-        place = ids % self.BITS
-        return (self.words[place // 32] >> (place % 32).astype(np.uint32)) & 1 == 1
+def discard(frame: DataFrame) -> None:
+    """Delete the files of a frame that stored() gave, once nothing reads them any more."""
+    context = frame.sparkSession.sparkContext
+    folder = shared_folder(frame.sparkSession)
+    for path in {name.rsplit("/", 1)[0] for name in frame.inputFiles()}:
+        if "/table-" in path and path.split(":", 1)[-1].lstrip("/").startswith(folder.split(":", 1)[-1].lstrip("/")):
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(name: str, names: list[str]) -> str:
+    """The name, with underscores before it until no column in names has it, whatever its case."""
+    taken = {x.lower() for x in names}
+    while name in taken:
+        name = f"_{name}"
+    return name

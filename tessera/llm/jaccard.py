@@ -258,14 +258,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     seen = stored(document_sets(docs, width))
     sets = seen.where("hashes IS NOT NULL").withColumnRenamed("doc_id", "node")
     parts = parts_of(docs, seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    left = stored(survivors(sets, stored(several(chunk_blocks(sets, parts), parts)), parts, num, den))
+    shared = stored(several(chunk_blocks(sets, parts), parts), free=True)
+    left = stored(survivors(sets, shared, parts, num, den), free=True)
     # Sets that several rows have: the smallest id stands for them.
     first = stored(seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("digest", "rep"))
     same = stored(seen.select("doc_id", "n", "digest").join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
     left = left.groupBy("digest").agg(F.first("chunk").alias("chunk"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.min("node").alias("own"))
     left = stored(left.join(first, "digest", "left").select("chunk", F.coalesce("rep", "own").alias("node"), "n", "hashes"))
     parts = parts_of(docs, left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    found = stored(prefixes(left, stored(several(chunk_blocks(left, parts), parts)), parts, num, den))
+    shared = stored(several(chunk_blocks(left, parts), parts, frequencies=True))
+    found = stored(prefixes(left, shared, parts, num, den), free=True)
     labels = jaccard_links(left, found, num, den)
     # An id that is repeated joins the sets of all its texts.
     twice = same.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")

@@ -55,11 +55,12 @@ def blocks(chunk: int, hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch
 BLOCKS = "bucket int, chunk long, hashes binary, counts binary"
 
 
-def several(rows: DataFrame, parts: int) -> DataFrame:
-    """(chunk, hashes, df): for each chunk its hashes that stand in two rows or more of all, and in how many (4 bytes each; 255 a chunk at most count).
+def several(rows: DataFrame, parts: int, frequencies: bool = False) -> DataFrame:
+    """(chunk, hashes, df): for each chunk its hashes that stand in two rows or more of all.
 
-    rows: BLOCKS, dealt to ``parts`` partitions.
+    df: in how many (4 bytes each; 255 a chunk at most count), or empty without frequencies. rows: BLOCKS, dealt to ``parts`` partitions.
     """
+    width = 4 if frequencies else 0
 
     def solve(chunks: list[int], raw: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sizes = np.array([len(x) for x in raw])
@@ -76,7 +77,7 @@ def several(rows: DataFrame, parts: int) -> DataFrame:
         some = np.flatnonzero(kept)
         if len(some):
             out = packed(value[keep] << np.uint64(64 - 8 * KEPT_BYTES), KEPT_BYTES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(chunks, np.int64)[some]), binaries(out, kept[some] * KEPT_BYTES), binaries(np.minimum(df[keep], 2**32 - 1).astype(np.uint32).view(np.uint8), kept[some] * 4)], ["chunk", "hashes", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(chunks, np.int64)[some]), binaries(out, kept[some] * KEPT_BYTES), binaries(np.minimum(df[keep], 2**32 - 1).astype(np.uint32).view(np.uint8), kept[some] * width)], ["chunk", "hashes", "df"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, chunks, raw, counts = None, [], [], []
@@ -134,10 +135,11 @@ class ChunkTable:
     def see(self, chunk: int, hashes: pa.Buffer, df: pa.Buffer) -> None:
         if chunk != self.chunk:
             self.chunk, self.parts, self.value = chunk, [], None
-        self.parts.append((unpacked(hashes, KEPT_BYTES), np.frombuffer(df, np.uint32).copy()))
+        value = unpacked(hashes, KEPT_BYTES)
+        self.parts.append((value, np.frombuffer(df, np.uint32).copy() if df.size else np.full(len(value), 2, np.uint32)))
 
     def look_up(self, chunk: int, hashes: np.ndarray) -> np.ndarray:
-        """In how many rows each hash stands, 1 for those of one row."""
+        """In how many rows each hash stands (2 where frequencies aren't given), 1 for those of one row."""
         if chunk != self.chunk:
             self.chunk, self.parts, self.value = chunk, [], None
         if self.value is None:
