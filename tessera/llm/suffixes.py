@@ -2,12 +2,14 @@
 
 Suffixes are dealt to workers by the anchor of their first 50 bytes: the 20-byte gram with the smallest hash
 in it. Suffixes with equal 50-byte prefixes have equal anchors, so each worker sorts its own suffixes and
-compares neighbours alone. Only anchors that occur in two documents are sorted at all; equal surroundings
-of an anchor are one text, with its smallest document, before they are dealt out.
+compares neighbours alone. Only anchors that occur in two documents are sorted at all, which a shuffle of sorted
+hashes tells (shared.py); equal surroundings of an anchor are one text, with its smallest document, before they are dealt out.
 
 A worker sorts by the difference cover modulo 3: sampled triples are sorted and named, the names are sorted
 by recursion, the remaining suffixes follow from one character and the rank behind it, and both orders
 are merged. Neighbours in the merged order are then compared over 50 bytes.
+
+Texts travel in chunks, by a hash of id and text; a row is known by its id and the hash of its text.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BYTE_VALUES, IdFilter, mix, powers, stored, text_blocks, trimmed
+from tessera.llm.common import BYTE_VALUES, discard, mapped, mix, powers, span_hashes, stored, text_blocks, unused
+from tessera.llm.shared import BLOCKS, BUCKETS, KEPT_BYTES, ChunkTable, blocks, parts_of, several
 
 LENGTH = 50
 GRAM = 20
@@ -28,25 +31,10 @@ GRAM = 20
 SORTED_TOGETHER = 2048
 #: Bytes that a worker sorts at once; names then fit in 21 bits.
 SORT_BYTES = 1 << 19
-#: Bits of the filter for shared anchors (16 MB).
-FILTER_BITS = 1 << 27
-#: Bytes of texts in one block, and documents among which a worker finds shared anchors by itself.
-BLOCK_BYTES, TOGETHER = 1 << 18, 2500
+#: Bytes of texts in one block, and about how many in a chunk.
+BLOCK_BYTES, CHUNK_BYTES = 1 << 18, 1 << 20
 _POSITION = np.uint64((1 << 26) - 1)
-#: Bytes of an anchor's hash that are compared to find shared anchors; a chance meeting only costs work.
-KEY_BYTES = 5
-
-
-def _packed(gram: np.ndarray) -> bytes:
-    """The leading bytes of each hash."""
-    return gram.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, KEY_BYTES)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 8 - KEY_BYTES :] = raw
-    return out.view(">u8").ravel().astype(np.uint64)
+_SHORT = np.uint64(64 - 8 * KEPT_BYTES)
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
@@ -125,102 +113,111 @@ def pieces(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarr
                 yield part, np.array([0, len(part)]), np.array([first]), np.array([at])
 
 
-def _keys(docs: DataFrame, buckets: int) -> DataFrame:
-    """Anchors by bucket: (bucket, shared, hashes). shared: two documents of one batch hold them already.
+def in_chunks(docs: DataFrame, whole: DataFrame, parts: int, chunks: int, shared: DataFrame | None = None) -> DataFrame:
+    """Texts (doc_id, key, text) chunk by chunk: (chunk, kind, doc_id, key, text, hashes, df).
 
-    An anchor is entered once a batch, however many of the batch's documents hold it.
+    In each chunk kind 0 are shared hashes as of several(), kind 1 rows to leave out (doc_id, key), kind 2 texts.
     """
+    chunk = lambda: F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).alias("chunk")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    kind = lambda k: F.lit(k).alias("kind")
+    rows = docs.select(chunk(), kind(2), "doc_id", "key", "text", none("binary", "hashes"), none("binary", "df"))
+    rows = rows.unionByName(whole.select(chunk(), kind(1), "doc_id", "key", none("string", "text"), none("binary", "hashes"), none("binary", "df")))
+    if shared is not None:
+        rows = rows.unionByName(shared.select("chunk", kind(0), none("long", "doc_id"), none("long", "key"), none("string", "text"), "hashes", "df"))
+    return rows.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind")
+
+
+def chunk_texts(batches: Iterator[pa.RecordBatch], table: ChunkTable) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """(chunk, ids, keys, texts) runs of in_chunks(), without what is to be left out; shared hashes go to the table."""
+    at, out = None, set()
+    for batch in batches:
+        chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        edge = np.flatnonzero((np.diff(chunk, prepend=chunk[:1] - 1) != 0) | (np.diff(kind, prepend=-1) != 0)).tolist()
+        for a, b in zip(edge, [*edge[1:], len(batch)], strict=True):
+            part = batch.slice(a, b - a)
+            if chunk[a] != at:
+                at, out = int(chunk[a]), set()
+            if kind[a] == 0:
+                for raw, df in zip(part.column(5), part.column(6), strict=True):
+                    table.see(at, raw.as_buffer(), df.as_buffer())
+                continue
+            ids, keys = part.column(2).to_numpy(), part.column(3).to_numpy()
+            if kind[a] == 1:
+                out.update(zip(ids.tolist(), keys.tolist(), strict=True))
+                continue
+            if out:
+                keep = np.array([x not in out for x in zip(ids.tolist(), keys.tolist(), strict=True)])
+                part, ids, keys = part.filter(pa.array(keep)), ids[keep], keys[keep]
+            if len(ids):
+                yield at, ids, keys, part.column(4)
+
+
+def anchor_blocks(texts: DataFrame, parts: int) -> DataFrame:
+    """BLOCKS of the anchors of each chunk; an anchor counts once for each text that holds it."""
+    buckets = parts * BUCKETS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, TOGETHER) for whole in batches for k in range(0, len(whole), TOGETHER)):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+        held, at = [], None
+        for chunk, _, _, texts in chunk_texts(batches, ChunkTable()):
+            if held and chunk != at:
+                yield blocks(at, held, buckets)
+                held = []
+            at = chunk
             rows, hashes = [], []
-            for data, offsets, row, _ in pieces(batch.column(1)):
+            for data, offsets, row, _ in pieces(texts):
                 text, gram, _, _ = anchored(data, offsets)
                 rows.append(row[text])
-                hashes.append(gram)
-            if not rows:
-                continue
-            doc, gram = ids[np.concatenate(rows)], np.concatenate(hashes)
-            order = np.lexsort((doc, gram))
-            doc, gram = doc[order], gram[order]
-            start = np.ones(len(gram), bool)
-            start[1:] = gram[1:] != gram[:-1]
-            first = np.flatnonzero(start)
-            last = np.append(first[1:], len(gram)) - 1
-            many = doc[first] != doc[last] if len(first) else start[:0]
-            gram = gram[first]
-            place = 2 * (gram % np.uint64(buckets)).astype(np.int64) + many
-            order = np.argsort(place, kind="stable")
-            place, gram = place[order], gram[order]
-            cut = np.flatnonzero(np.diff(place, prepend=-1))
-            packed = [_packed(g) for g in np.split(gram, cut[1:])] if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array((place[cut] // 2).astype(np.int32)), pa.array(place[cut] % 2 == 1), pa.array(packed, pa.binary())], ["bucket", "shared", "hashes"])
-
-    return docs.mapInArrow(trimmed(work), "bucket int, shared boolean, hashes binary")
-
-
-class SharedAnchors:
-    """A filter of fixed size for the anchors that two documents hold: passes all of them, and more others as they grow in number.
-
-    Each bucket fills a part of the bits of its own. What passes without being shared is sorted in vain.
-    """
+                hashes.append(gram >> _SHORT)
+            rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+            order = np.lexsort((rows, hashes))
+            rows, hashes = rows[order], hashes[order]
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+            if len(rows):
+                held.append(hashes[fresh])
+        if held:
+            yield blocks(at, held, buckets)
 
-    def __init__(self, docs: DataFrame):
-        self.buckets = buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.part = part = -(-FILTER_BITS // buckets // 8) * 8
-
-        def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sure: dict[int, list[np.ndarray]] = {}
-            open_: dict[int, list[np.ndarray]] = {}
-            for batch in batches:
-                for bucket, shared, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    (sure if shared else open_).setdefault(bucket, []).append(_unpacked(raw.as_buffer()))
-                    sure.setdefault(bucket, [])
-            for bucket, found in sure.items():
-                every = np.sort(np.concatenate([*found, *open_.get(bucket, [])]))
-                twice = every[1:][every[1:] == every[:-1]]  # in two batches
-                bits = np.zeros(part, bool)
-                bits[(np.concatenate([*found, twice]) % np.uint64(part)).astype(np.int64)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bucket", "bits"])
-
-        rows = _keys(docs, buckets).repartition(buckets, "bucket").mapInArrow(trimmed(known), "bucket int, bits binary")
-        self.bits = np.zeros((buckets, part // 8), np.uint8)
-        for r in rows.collect():  # FILTER_BITS in all
-            self.bits[r.bucket] = np.frombuffer(r.bits, np.uint8)
-
-    def passes(self, gram: np.ndarray) -> np.ndarray:
-        place = ((gram >> np.uint64(64 - 8 * KEY_BYTES)) % np.uint64(self.part)).astype(np.int64)
-        return (self.bits[(gram % np.uint64(self.buckets)).astype(np.int64), place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
-
-
-def _texts_of(docs: DataFrame, rows: DataFrame, named: bool = True) -> DataFrame:
-    """(doc_id, text) of the documents that rows name, and of a few others; or else of the rest."""
-    chosen = IdFilter(rows, "doc_id")
+    return mapped(texts, work, BLOCKS)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(chosen.passes(batch.column(0).to_numpy(zero_copy_only=False)) == named))
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(work), "doc_id long, text string")
+def occurrences(texts: DataFrame) -> DataFrame:
+    """Shared anchors with their surroundings, each the union of the 50-byte strings that it anchors.
 
+    Rows (anchor, mark, doc_id, key, start): each place of a surrounding. Rows (anchor, mark, around, at, least, most): once for
+    each block of texts its bytes, the anchor's place in them, and the smallest and largest document there.
+    """
+    names = ["anchor", "mark", "doc_id", "key", "start", "around", "at", "least", "most"]
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
 
-def occurrences(docs: DataFrame, shared: SharedAnchors) -> DataFrame:
-    """(around, at, doc_id, start): the surroundings of shared anchors, each the union of the 50-byte strings it anchors; at: the anchor's place in it."""
+    def rows(**columns) -> pa.RecordBatch:
+        n = len(columns["anchor"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[x], k) if x in columns else pa.nulls(n, k) for x, k in zip(names, kinds, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for data, offsets, row, begin in pieces(batch.column(1)):
+        table = ChunkTable()
+        for chunk, ids, keys, texts in chunk_texts(batches, table):
+            for data, offsets, row, begin in pieces(texts):
                 text, gram, start, end, at = anchored(data, offsets, True)
-                keep = shared.passes(gram)
-                text, start, end, at = text[keep], start[keep], end[keep], at[keep]
+                keep = table.look_up(chunk, gram >> _SHORT) > 1
+                if not keep.any():
+                    continue
+                text, gram, start, end, at = text[keep], gram[keep], start[keep], end[keep], at[keep]
+                anchor, mark = gram.view(np.int64), span_hashes(data, start, end).view(np.int64)
+                doc = ids[row[text]]
+                yield rows(anchor=anchor, mark=mark, doc_id=doc, key=keys[row[text]], start=start - offsets[text] + begin[text])
+                order = np.lexsort((doc, mark, anchor))
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (np.diff(anchor[order]) != 0) | (np.diff(mark[order]) != 0)
+                first = np.flatnonzero(fresh)
+                last = np.append(first[1:], len(order)) - 1
+                one = order[first]
                 raw = data.tobytes()
-                around = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
-                place = start - offsets[text] + begin[text]
-                yield pa.RecordBatch.from_arrays([pa.array(around, pa.binary()), pa.array((at - start).astype(np.int32)), pa.array(ids[row[text]], pa.int64()), pa.array(place, pa.int64())], ["around", "at", "doc_id", "start"])
+                around = [raw[s:e] for s, e in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+                yield rows(anchor=anchor[one], mark=mark[one], around=around, at=(at - start)[one], least=doc[one], most=doc[order[last]])
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(work), "around binary, at int, doc_id long, start long")
+    return mapped(texts, work, "anchor long, mark long, doc_id long, key long, start long, around binary, at int, least long, most long")
 
 
 def first_documents(around: list[bytes], least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,7 +250,7 @@ def first_documents(around: list[bytes], least: np.ndarray) -> tuple[np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (anchor, mark, around, least, most) sorted by anchor to runs (anchor, mark, low, high, first) of offsets with one first document.
+    """From rows (anchor, mark, around, least, most) sorted by anchor and mark to runs (anchor, mark, low, high, first) of offsets with one first document.
 
     least, most: the smallest and the largest document with that text. Runs that no document follows are left out.
     """
@@ -263,7 +260,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((anchor, mark, low, high, first), kinds, strict=True)], names)
 
-    def solve(anchor: np.ndarray, mark: np.ndarray, around: list[bytes], least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def solve(anchor: np.ndarray, mark: np.ndarray, around: pa.Array, least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # One row for each surrounding.
+        fresh = np.ones(len(anchor), bool)
+        fresh[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
+        one = np.flatnonzero(fresh)
+        anchor, mark, around, least, most = anchor[one], mark[one], around.take(pa.array(one)).to_pylist(), np.minimum.reduceat(least, one), np.maximum.reduceat(most, one)
         size = np.array([len(x) for x in around])
         edge = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
         group = np.diff(np.append(edge, len(anchor)))
@@ -288,12 +290,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = 0
         while at < len(batch):
-            part = batch.slice(at, 4096)
+            part = batch.slice(at, 2048)
             at += len(part)
             anchor = part.column(0).to_numpy(zero_copy_only=False)
             # Enough is held: solve it up to the anchor that this part goes on with.
             if held and size > SORT_BYTES // 2:
-                cut = int(np.argmax(anchor != held[-1].column(0)[-1].as_py())) if (anchor != held[-1].column(0)[-1].as_py()).any() else len(part)
+                other = anchor != held[-1].column(0)[-1].as_py()
+                cut = int(np.argmax(other)) if other.any() else len(part)
                 held.append(part.slice(0, cut))
                 if cut < len(part):
                     yield from solve(*_columns(held))
@@ -305,60 +308,67 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(*_columns(held))
 
 
-def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    table = pa.Table.from_batches(batches)
-    return table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist(), table.column(3).to_numpy(), table.column(4).to_numpy()
+def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    return table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks(), table.column(3).to_numpy(), table.column(4).to_numpy()
 
 
-def first_runs(found: DataFrame) -> DataFrame:
-    """(anchor, mark, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document."""
-    each = stored(found.groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")))
-    sizes = each.groupBy("anchor").agg(F.count("*").alias("n"))
-    large = stored(sizes.where(F.col("n") > SORTED_TOGETHER).select("anchor"))
+def first_runs(each: DataFrame) -> DataFrame:
+    """(anchor, mark, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document.
+
+    each: (anchor, mark, around, least, most), where a surrounding may stand more than once.
+    """
+    large = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
     schema = "anchor long, mark long, low int, high int, first long"
     small = each if large.isEmpty() else each.join(large, "anchor", "left_anti")
-    runs = small.select("anchor", "mark", "around", "least", "most").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(trimmed(_runs), schema)
+    runs = mapped(small.select("anchor", "mark", "around", "least", "most").repartition("anchor").sortWithinPartitions("anchor", "mark"), _runs, schema)
     if large.isEmpty():
         return runs
     # An anchor with very many surroundings: each 50-byte string by itself, counted before it is dealt out.
     window = F.explode(F.sequence(F.lit(0), F.octet_length("around") - LENGTH)).alias("low")
     windows = each.join(large, "anchor", "left_semi").select("anchor", "mark", "least", "most", "around", window)
     windows = windows.select("anchor", "mark", "low", "least", "most", F.expr(f"substring(around, low + 1, {LENGTH})").alias("string"))
-    first = windows.groupBy("string").agg(F.min("least").alias("first"))
-    return runs.unionByName(windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first"))
+    first = stored(windows.groupBy("string").agg(F.min("least").alias("first")))
+    hit = windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first")
+    return runs.unionByName(hit.distinct())
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """(doc_id) of the documents whose whole text, of 50 bytes or more, is that of a document with a smaller id."""
-    marks = docs.select("doc_id", F.md5("text").alias("mark"))
-    first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return marks.join(first, "mark").where("first < doc_id").select("doc_id").distinct()
+    """(doc_id, key) of the documents whose whole text, of 50 bytes or more, is that of a document with a smaller id."""
+    marks = docs.select("doc_id", "key", F.md5("text").alias("mark"))
+    first = stored(marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first"))
+    return marks.join(first, "mark").where("first < doc_id").select("doc_id", "key").distinct()
 
 
-def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, spans), byte spans (low, high) of documents that hold strings of an earlier one, which may overlap; and whole copies.
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, spans): byte spans (low, high) of texts (doc_id, key, text) that hold strings of an earlier document; spans may overlap.
 
-    A whole copy is left out of the first: it is covered from end to end, and adds no earlier document.
+    key is a hash of the text. A whole copy of an earlier document is covered from end to end, and adds no earlier document.
     """
     docs = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50")
     whole = stored(copies(docs))
-    shared = SharedAnchors(docs)
-    # Documents that are certainly no copies, and the others without the copies.
-    rest = _texts_of(docs, whole).join(whole, "doc_id", "left_anti")
-    found = stored(occurrences(_texts_of(docs, whole, False).unionByName(rest), shared))
-    found = found.withColumn("anchor", F.xxhash64(F.expr(f"substring(around, at + 1, {GRAM})"))).withColumn("mark", F.xxhash64("around"))
-    runs = stored(first_runs(found))
-    hit = found.select("anchor", "mark", "doc_id", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
-    spans = hit.select("doc_id", F.struct((F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") + LENGTH).alias("high")).alias("span"))
-    return stored(spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))), whole
-
-
-def covered(spans: list[dict], n: int) -> np.ndarray:
-    """Which of n bytes the spans cover."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    chunks, parts = -(-size // CHUNK_BYTES) or 1, parts_of(docs, size // (LENGTH - GRAM) * 2)
+    shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), parts), parts), free=True)
+    found = stored(occurrences(in_chunks(docs, whole, parts, chunks, shared)), free=True)
+    runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "least", "most")), free=True)
+    hit = found.where("around IS NULL").select("anchor", "mark", "doc_id", "key", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
+    span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
+    spans = hit.select("doc_id", "key", span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + LENGTH).alias("span"))
+    spans = spans.unionByName(whole.select("doc_id", "key", span(F.lit(0), F.lit(1 << 62)).alias("span")))
+    spans = stored(spans.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans")), free=True)
+    for table in (shared, found, runs, whole):
+        discard(table)
+    return spans
+
+
+def covered(spans: pa.ListArray, k: int, n: int) -> np.ndarray:
+    """Which of n bytes the spans of row k cover."""
+    a, b = spans.offsets[k].as_py(), spans.offsets[k + 1].as_py()
     change = np.zeros(n + 1, np.int64)
-    if spans:
-        np.add.at(change, [x["low"] for x in spans], 1)
-        np.add.at(change, [min(x["high"], n) for x in spans], -1)
+    fields = spans.values
+    np.add.at(change, fields.field(0).to_numpy(zero_copy_only=False)[a:b], 1)
+    np.add.at(change, np.minimum(fields.field(1).to_numpy(zero_copy_only=False)[a:b], n), -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -366,61 +376,57 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs.
 
     Removed is each byte covered by a 50-byte string that also starts in a document with a smaller id. A null
-    text is empty. A row without an id is nobody's earlier document and keeps all. Rows that repeat an id are
-    taken for one document of one text: give ids that are unique.
+    text is empty. A row without an id is nobody's earlier document and keeps all. Rows that repeat an id are documents
+    of their own, none of them earlier than the other. Texts of any length are read whole; extra columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans, whole = repeated_spans(rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, cut in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                gone = covered(cut, len(raw))
+            spans = batch.column(2)
+            for k, (doc_id, text, cut) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), spans.is_valid().to_pylist(), strict=True)):
+                raw = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+                gone = covered(spans, k, len(raw)) if cut else np.zeros(len(raw), bool)
                 edges = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                out.append((doc_id, int(gone.sum()), edges, hashlib.sha256(raw[~gone].tobytes()).hexdigest()))
-            c = list(zip(*out, strict=True)) or [()] * 4
-            kinds = [pa.int64()] * 3 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc_id", "n_removed", "n_spans", "kept"])
-
-    cut = _texts_of(rows.where("doc_id IS NOT NULL AND text IS NOT NULL"), spans).join(spans, "doc_id").select("doc_id", "text", "spans").mapInArrow(trimmed(work), "doc_id long, n_removed long, n_spans long, kept string")
-    base = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha"))
-    gone = whole.select("doc_id", F.lit(True).alias("gone"))
-    out = base.join(cut, "doc_id", "left").join(gone, "doc_id", "left")
-    nothing = F.sha2(F.lit("").cast("binary"), 256)
-    return out.select(
-        "doc_id",
-        "n_bytes",
-        F.when(F.col("gone"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("gone"), 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("gone"), nothing).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-    )
+                out.append((doc_id, len(raw), int(gone.sum()), edges, hashlib.sha256(raw[~gone].tobytes() if cut else raw.tobytes()).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+    joined = rows.join(repeated_spans(rows), ["doc_id", "key"], "left").select("doc_id", "text", "spans")
+    return mapped(joined, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes cut from text, whole characters only, and n_chars as the new length; columns as before."""
+    """docs with the repeated bytes cut from text, whole characters only, and n_chars as the new length; columns as before.
+
+    Nulls and repeated ids are taken as in remove_repeats.
+    """
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    key, cut_by = unused("key", names), unused("spans", names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            for k, (text, cut) in enumerate(zip(texts, spans, strict=True)):
-                if cut:
-                    raw = np.frombuffer(text.encode(), np.uint8)
-                    lead = np.flatnonzero((raw & 0xC0) != 0x80)
-                    gone = np.minimum.reduceat(covered(cut, len(raw)), lead)
-                    texts[k] = raw[~np.repeat(gone, np.diff(np.append(lead, len(raw))))].tobytes().decode()
+            texts, spans = batch.column(at).to_pylist(), batch.column(len(names))
+            cut = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            for k in cut:
+                raw = np.frombuffer(texts[k].encode(), np.uint8)
+                lead = np.flatnonzero((raw & 0xC0) != 0x80)
+                gone = np.minimum.reduceat(covered(spans, k, len(raw)), lead)
+                texts[k] = raw[~np.repeat(gone, np.diff(np.append(lead, len(raw))))].tobytes().decode()
             columns = batch.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
-            if size is not None:
-                lengths = [old if not cut else len(text) for old, text, cut in zip(batch.column(size).to_pylist(), texts, spans, strict=True)]
-                columns[size] = pa.array(lengths, pa.int64())
+            if size is not None and cut:
+                lengths = batch.column(size).to_pylist()
+                for k in cut:
+                    lengths[k] = len(texts[k])
+                columns[size] = pa.array(lengths, batch.column(size).type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    spans, whole = repeated_spans(docs.select("doc_id", "text"))
-    end = F.struct(F.lit(0).cast("long").alias("low"), F.lit(1 << 62).alias("high"))
-    spans = spans.withColumnRenamed("spans", "__spans").unionByName(whole.select("doc_id", F.array(end).alias("__spans")))
-    joined = docs.join(spans, "doc_id", "left")
-    return joined.select(*names, "__spans").mapInArrow(trimmed(work), docs.schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    spans = repeated_spans(rows).select(F.col("doc_id").alias(unused("id", names)), F.col("key").alias(key), F.col("spans").alias(cut_by))
+    joined = docs.join(spans, (docs["doc_id"] == spans[unused("id", names)]) & (F.xxhash64(docs["text"]) == spans[key]), "left")
+    return mapped(joined.select(*[docs[c] for c in names], cut_by), work, docs.schema)
