@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import folded, mapped, mix, packed, span_hashes, stored, text_blocks, unpacked, word_bounds
+from tessera.llm.common import discard, folded, mapped, mix, packed, span_hashes, stored, text_blocks, unpacked, word_bounds
 from tessera.llm.components import components
-from tessera.llm.shared import KEPT_BYTES, ChunkTable, beside, chunk_blocks, parts_of, several
+from tessera.llm.shared import ChunkTable, beside, chunk_blocks, kept_bytes, parts_of, several
 
 #: Partners of one document that one task verifies.
 MEMBERS = 200
@@ -61,7 +61,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     return sets
 
 
-def document_sets(docs: DataFrame, width: int) -> DataFrame:
+def document_sets(docs: DataFrame, width: int, kept: int) -> DataFrame:
     """(chunk, doc_id, n, digest, hashes) of each row of docs (doc_id, text): size and digest of its set, and the packed set.
 
     hashes is null without shingles or id, and where a row of the same chunk has the same set. digest is null without shingles.
@@ -89,7 +89,7 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
                         sets.append(None)
                         continue
                     once.add(mark)
-                    sets.append(packed(found, KEPT_BYTES).tobytes())
+                    sets.append(packed(found, kept).tobytes())
                     size += len(sets[-1])
                     if size > SET_BYTES:
                         yield rows(chunk, ids, sizes, marks, sets)
@@ -100,16 +100,27 @@ def document_sets(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs, work, "chunk long, doc_id long, n long, digest binary, hashes binary")
 
 
+def rechunked(sets: DataFrame) -> DataFrame:
+    """(chunk, node, n, hashes): sets with chunks of their own, one for each Arrow batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, batch in enumerate(batches):
+            chunk = pa.array(np.full(len(batch), (TaskContext.get().partitionId() << 32) + k, np.int64))
+            yield pa.RecordBatch.from_arrays([chunk, *batch.columns], ["chunk", "node", "n", "hashes"])
+
+    return mapped(sets.select("node", "n", "hashes"), work, "chunk long, node long, n long, hashes binary")
+
+
 def needed(n: int, num: int, den: int) -> int:
     """The least intersection of a set of n with any set that it links to."""
     return -(-num * n // den)
 
 
-def survivors(sets: DataFrame, shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def survivors(sets: DataFrame, shared: DataFrame, parts: int, kept: int, num: int, den: int) -> DataFrame:
     """The rows of sets (chunk, node, n, digest, hashes) that hold enough shingles of other rows to link with any."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable()
+        table = ChunkTable(kept)
         for batch in batches:
             keep = []
             for chunk, n, raw, df in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), batch.column(5), strict=True):
@@ -117,24 +128,24 @@ def survivors(sets: DataFrame, shared: DataFrame, parts: int, num: int, den: int
                     table.see(chunk, raw.as_buffer(), df.as_buffer())
                     keep.append(False)
                 else:
-                    keep.append(int(np.count_nonzero(table.look_up(chunk, unpacked(raw.as_buffer(), KEPT_BYTES)) > 1)) >= needed(n, num, den))
+                    keep.append(int(np.count_nonzero(table.look_up(chunk, unpacked(raw.as_buffer(), kept)) > 1)) >= needed(n, num, den))
             yield batch.filter(pa.array(keep, pa.bool_())).select(list(range(5)))
 
     return mapped(beside(sets.select("chunk", "node", "n", "digest", "hashes"), shared, parts), work, "chunk long, node long, n long, digest binary, hashes binary")
 
 
-def prefixes(sets: DataFrame, shared: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+def prefixes(sets: DataFrame, shared: DataFrame, parts: int, kept: int, num: int, den: int) -> DataFrame:
     """(token, node, n, pos): the rare-first prefix of each of the sets (chunk, node, n, hashes), without shingles of one set alone."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable()
+        table = ChunkTable(kept)
         for batch in batches:
             tokens, nodes, sizes, places = [], [], [], []
             for chunk, node, n, raw, df in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4), strict=True):
                 if df.is_valid:
                     table.see(chunk, raw.as_buffer(), df.as_buffer())
                     continue
-                mine = unpacked(raw.as_buffer(), KEPT_BYTES)
+                mine = unpacked(raw.as_buffer(), kept)
                 often = table.look_up(chunk, mine)
                 met = np.flatnonzero(often > 1)
                 alone = len(mine) - len(met)
@@ -164,7 +175,7 @@ def may_reach(a: np.ndarray, b: np.ndarray, needed: int, depth: int = 3) -> bool
     return may_reach(a[:i], b[:j], needed - right, depth - 1) and may_reach(a[i:], b[j:], needed - left, depth - 1)
 
 
-def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+def verified(sets: DataFrame, pairs: DataFrame, kept: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets (node, hashes) reach the threshold.
 
     Each set is sent once for each pair in which it is b, and a's own set once for every MEMBERS of its pairs, so
@@ -184,7 +195,7 @@ def verified(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame
             for a, salt, lead, node, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 if (a, salt) != place:
                     place, leads = (a, salt), []
-                mine = unpacked(raw.as_buffer(), KEPT_BYTES)
+                mine = unpacked(raw.as_buffer(), kept)
                 if lead:
                     leads.append(mine)
                     continue
@@ -212,7 +223,7 @@ def _near(num: int, den: int, left: str, right: str) -> str:
     return f"{den}L * {small} >= {num}L * {large} AND {den + num}L * {overlap} >= {num}L * ({left}.n + {right}.n)"
 
 
-def jaccard_links(sets: DataFrame, found: DataFrame, num: int, den: int) -> DataFrame:
+def jaccard_links(sets: DataFrame, found: DataFrame, kept: int, num: int, den: int) -> DataFrame:
     """(node, component) of the nodes that link: sets (node, hashes) and their prefixes (token, node, n, pos).
 
     Each table that two steps read is stored, so joins on a token that very many sets share can be split.
@@ -222,7 +233,7 @@ def jaccard_links(sets: DataFrame, found: DataFrame, num: int, den: int) -> Data
     y = F.struct("node", "n", "pos").alias("y")
     pairs = shared.select("token", y).join(tokens, "token").where(f"x.node <> y.node AND {_near(num, den, 'x', 'y')}")
     tried = stored(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    labels = stored(components(stored(verified(sets, tried, num, den))))
+    labels = stored(components(stored(verified(sets, tried, kept, num, den))))
     for last in (False, True):
         member = stored(shared.join(labels, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"))
         sizes = member.groupBy("token", "c").agg(F.count("*").alias("m"))
@@ -240,7 +251,7 @@ def jaccard_links(sets: DataFrame, found: DataFrame, num: int, den: int) -> Data
         more = pivots.join(y, "token").where(f"x.c <> y.c AND {once} AND {_near(num, den, 'x', 'y')}")
         more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"))
-        links = verified(sets, more, num, den).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        links = verified(sets, more, kept, num, den).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = stored(components(stored(links)))
         tried = tried.unionByName(more)
     return labels
@@ -255,20 +266,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     Texts of any length are read whole; ties have no part, as a component has one smallest id. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = stored(document_sets(docs, width))
+    kept = kept_bytes(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] // 2)  # a word has a byte and a space
+    seen = stored(document_sets(docs, width, kept))
     sets = seen.where("hashes IS NOT NULL").withColumnRenamed("doc_id", "node")
     parts = parts_of(docs, seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    shared = stored(several(chunk_blocks(sets, parts), parts), free=True)
-    left = stored(survivors(sets, shared, parts, num, den), free=True)
+    shared = stored(several(chunk_blocks(sets, parts, kept), parts, kept), free=True)
+    left = stored(survivors(sets, shared, parts, kept, num, den), free=True)
     # Sets that several rows have: the smallest id stands for them.
     first = stored(seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("digest", "rep"))
     same = stored(seen.select("doc_id", "n", "digest").join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
-    left = left.groupBy("digest").agg(F.first("chunk").alias("chunk"), F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.min("node").alias("own"))
-    left = stored(left.join(first, "digest", "left").select("chunk", F.coalesce("rep", "own").alias("node"), "n", "hashes"))
+    left = left.groupBy("digest").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.min("node").alias("own"))
+    left = left.join(first, "digest", "left").select(F.coalesce("rep", "own").alias("node"), "n", "hashes")
+    left = stored(rechunked(left), free=True)
+    for table in (seen, shared):
+        discard(table)
     parts = parts_of(docs, left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    shared = stored(several(chunk_blocks(left, parts), parts, frequencies=True))
-    found = stored(prefixes(left, shared, parts, num, den), free=True)
-    labels = jaccard_links(left, found, num, den)
+    shared = stored(several(chunk_blocks(left, parts, kept), parts, kept, frequencies=True))
+    found = stored(prefixes(left, shared, parts, kept, num, den), free=True)
+    labels = jaccard_links(left, found, kept, num, den)
     # An id that is repeated joins the sets of all its texts.
     twice = same.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
     both = same.where("n_shingles > 0").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import binaries, mapped, packed, unpacked
 
-#: Leading bytes of a hash that are counted. Hashes that agree in them count as one, which costs work but no result.
-KEPT_BYTES = 6
 #: Hashes of one task and of one bucket, of which a task has several.
 TASK_HASHES, BUCKETS = 2_000_000, 8
 #: Hashes of a chunk that a task holds before it sends them on.
@@ -30,6 +28,14 @@ def parts_of(frame: DataFrame, hashes: int) -> int:
     return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashes // TASK_HASHES))
 
 
+def kept_bytes(hashes: int) -> int:
+    """Leading bytes of each of so many hashes that are counted: enough that one in 32 at most agrees with another by chance.
+
+    Hashes that agree in them count as one, which costs work but no result.
+    """
+    return min(8, max(5, -(-(max(1, hashes).bit_length() + 5) // 8)))
+
+
 def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, and how often each stands there."""
     hashes = np.sort(hashes)
@@ -39,23 +45,23 @@ def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes[start], np.diff(np.append(start, len(hashes)))
 
 
-def blocks(chunk: int, hashes: list[np.ndarray], buckets: int) -> pa.RecordBatch:
-    """(bucket, chunk, hashes, counts) of one chunk's hashes, 48 bits each; a value stands once for each row that holds it."""
+def blocks(chunk: int, hashes: list[np.ndarray], buckets: int, kept: int) -> pa.RecordBatch:
+    """(bucket, chunk, hashes, counts) of one chunk's hashes, shifted down to ``kept`` bytes; a value stands once for each row that holds it."""
     value, count = counted(np.concatenate(hashes))
     bucket = (value % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     value, count, bucket = value[order], np.minimum(count[order], 255).astype(np.uint8), bucket[order]
     start = np.flatnonzero(np.diff(bucket, prepend=-1))
     sizes = np.diff(np.append(start, len(bucket)))
-    raw = packed(value << np.uint64(64 - 8 * KEPT_BYTES), KEPT_BYTES)
-    columns = [pa.array(bucket[start]), pa.array(np.full(len(start), chunk, np.int64)), binaries(raw, sizes * KEPT_BYTES), binaries(count, sizes)]
+    raw = packed(value << np.uint64(64 - 8 * kept), kept)
+    columns = [pa.array(bucket[start]), pa.array(np.full(len(start), chunk, np.int64)), binaries(raw, sizes * kept), binaries(count, sizes)]
     return pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "hashes", "counts"])
 
 
 BLOCKS = "bucket int, chunk long, hashes binary, counts binary"
 
 
-def several(rows: DataFrame, parts: int, frequencies: bool = False) -> DataFrame:
+def several(rows: DataFrame, parts: int, kept: int, frequencies: bool = False) -> DataFrame:
     """(chunk, hashes, df): for each chunk its hashes that stand in two rows or more of all.
 
     df: in how many (4 bytes each; 255 a chunk at most count), or empty without frequencies. rows: BLOCKS, dealt to ``parts`` partitions.
@@ -73,11 +79,11 @@ def several(rows: DataFrame, parts: int, frequencies: bool = False) -> DataFrame
         df = np.empty(len(value), np.int64)
         df[order] = total[np.cumsum(fresh) - 1]
         keep = df > 1
-        kept = np.add.reduceat(keep.astype(np.int64), np.cumsum(sizes) - sizes)
-        some = np.flatnonzero(kept)
+        left = np.add.reduceat(keep.astype(np.int64), np.cumsum(sizes) - sizes)
+        some = np.flatnonzero(left)
         if len(some):
-            out = packed(value[keep] << np.uint64(64 - 8 * KEPT_BYTES), KEPT_BYTES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(chunks, np.int64)[some]), binaries(out, kept[some] * KEPT_BYTES), binaries(np.minimum(df[keep], 2**32 - 1).astype(np.uint32).view(np.uint8), kept[some] * width)], ["chunk", "hashes", "df"])
+            out = packed(value[keep] << np.uint64(64 - 8 * kept), kept)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(chunks, np.int64)[some]), binaries(out, left[some] * kept), binaries(np.minimum(df[keep], 2**32 - 1).astype(np.uint32).view(np.uint8), left[some] * width)], ["chunk", "hashes", "df"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, chunks, raw, counts = None, [], [], []
@@ -88,7 +94,7 @@ def several(rows: DataFrame, parts: int, frequencies: bool = False) -> DataFrame
                         yield from solve(chunks, raw, counts)
                     bucket, chunks, raw, counts = b, [], [], []
                 chunks.append(c)
-                raw.append(unpacked(h.as_buffer(), KEPT_BYTES))
+                raw.append(unpacked(h.as_buffer(), kept))
                 counts.append(np.frombuffer(n.as_buffer(), np.uint8).copy())
         if chunks:
             yield from solve(chunks, raw, counts)
@@ -96,7 +102,7 @@ def several(rows: DataFrame, parts: int, frequencies: bool = False) -> DataFrame
     return mapped(rows.repartition(parts, "bucket").sortWithinPartitions("bucket"), work, "chunk long, hashes binary, df binary")
 
 
-def chunk_blocks(sets: DataFrame, parts: int) -> DataFrame:
+def chunk_blocks(sets: DataFrame, parts: int, kept: int) -> DataFrame:
     """BLOCKS of rows (chunk, hashes), each a set of packed hashes."""
     buckets = parts * BUCKETS
 
@@ -105,13 +111,13 @@ def chunk_blocks(sets: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if held and (chunk != at or size > CHUNK_HASHES):
-                    yield blocks(at, held, buckets)
+                    yield blocks(at, held, buckets, kept)
                     held, size = [], 0
                 at = chunk
-                held.append(unpacked(raw.as_buffer(), KEPT_BYTES))
+                held.append(unpacked(raw.as_buffer(), kept))
                 size += len(held[-1])
         if held:
-            yield blocks(at, held, buckets)
+            yield blocks(at, held, buckets, kept)
 
     return mapped(sets.select("chunk", "hashes"), work, BLOCKS)
 
@@ -129,13 +135,14 @@ def beside(sets: DataFrame, shared: DataFrame, parts: int) -> DataFrame:
 class ChunkTable:
     """Reads rows of beside() in order and looks hashes up among those that their chunk shares."""
 
-    def __init__(self):
+    def __init__(self, kept: int):
+        self.kept = kept
         self.chunk, self.parts, self.value, self.df = None, [], None, None
 
     def see(self, chunk: int, hashes: pa.Buffer, df: pa.Buffer) -> None:
         if chunk != self.chunk:
             self.chunk, self.parts, self.value = chunk, [], None
-        value = unpacked(hashes, KEPT_BYTES)
+        value = unpacked(hashes, self.kept)
         self.parts.append((value, np.frombuffer(df, np.uint32).copy() if df.size else np.full(len(value), 2, np.uint32)))
 
     def look_up(self, chunk: int, hashes: np.ndarray) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BYTE_VALUES, discard, mapped, mix, powers, span_hashes, stored, text_blocks, unused
-from tessera.llm.shared import BLOCKS, BUCKETS, KEPT_BYTES, ChunkTable, blocks, parts_of, several
+from tessera.llm.shared import BLOCKS, BUCKETS, ChunkTable, blocks, kept_bytes, parts_of, several
 
 LENGTH = 50
 GRAM = 20
@@ -34,7 +34,6 @@ SORT_BYTES = 1 << 19
 #: Bytes of texts in one block, and about how many in a chunk.
 BLOCK_BYTES, CHUNK_BYTES = 1 << 18, 1 << 20
 _POSITION = np.uint64((1 << 26) - 1)
-_SHORT = np.uint64(64 - 8 * KEPT_BYTES)
 
 
 def suffix_array(x: np.ndarray) -> np.ndarray:
@@ -153,22 +152,22 @@ def chunk_texts(batches: Iterator[pa.RecordBatch], table: ChunkTable) -> Iterato
                 yield at, ids, keys, part.column(4)
 
 
-def anchor_blocks(texts: DataFrame, parts: int) -> DataFrame:
+def anchor_blocks(texts: DataFrame, parts: int, kept: int) -> DataFrame:
     """BLOCKS of the anchors of each chunk; an anchor counts once for each text that holds it."""
-    buckets = parts * BUCKETS
+    buckets, short = parts * BUCKETS, np.uint64(64 - 8 * kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
-        for chunk, _, _, texts in chunk_texts(batches, ChunkTable()):
+        for chunk, _, _, texts in chunk_texts(batches, ChunkTable(kept)):
             if held and chunk != at:
-                yield blocks(at, held, buckets)
+                yield blocks(at, held, buckets, kept)
                 held = []
             at = chunk
             rows, hashes = [], []
             for data, offsets, row, _ in pieces(texts):
                 text, gram, _, _ = anchored(data, offsets)
                 rows.append(row[text])
-                hashes.append(gram >> _SHORT)
+                hashes.append(gram >> short)
             rows, hashes = np.concatenate(rows), np.concatenate(hashes)
             order = np.lexsort((rows, hashes))
             rows, hashes = rows[order], hashes[order]
@@ -177,12 +176,12 @@ def anchor_blocks(texts: DataFrame, parts: int) -> DataFrame:
             if len(rows):
                 held.append(hashes[fresh])
         if held:
-            yield blocks(at, held, buckets)
+            yield blocks(at, held, buckets, kept)
 
     return mapped(texts, work, BLOCKS)
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
+def occurrences(texts: DataFrame, kept: int) -> DataFrame:
     """Shared anchors with their surroundings, each the union of the 50-byte strings that it anchors.
 
     Rows (anchor, mark, doc_id, key, start): each place of a surrounding. Rows (anchor, mark, around, at, least, most): once for
@@ -196,11 +195,11 @@ def occurrences(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[x], k) if x in columns else pa.nulls(n, k) for x, k in zip(names, kinds, strict=True)], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable()
+        table, short = ChunkTable(kept), np.uint64(64 - 8 * kept)
         for chunk, ids, keys, texts in chunk_texts(batches, table):
             for data, offsets, row, begin in pieces(texts):
                 text, gram, start, end, at = anchored(data, offsets, True)
-                keep = table.look_up(chunk, gram >> _SHORT) > 1
+                keep = table.look_up(chunk, gram >> short) > 1
                 if not keep.any():
                     continue
                 text, gram, start, end, at = text[keep], gram[keep], start[keep], end[keep], at[keep]
@@ -348,9 +347,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id IS NOT NULL AND octet_length(text) >= 50")
     whole = stored(copies(docs))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    chunks, parts = -(-size // CHUNK_BYTES) or 1, parts_of(docs, size // (LENGTH - GRAM) * 2)
-    shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), parts), parts), free=True)
-    found = stored(occurrences(in_chunks(docs, whole, parts, chunks, shared)), free=True)
+    anchors = size // (LENGTH - GRAM) * 2
+    chunks, parts, kept = -(-size // CHUNK_BYTES) or 1, parts_of(docs, anchors), kept_bytes(anchors)
+    shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), parts, kept), parts, kept), free=True)
+    found = stored(occurrences(in_chunks(docs, whole, parts, chunks, shared), kept), free=True)
     runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "least", "most")), free=True)
     hit = found.where("around IS NULL").select("anchor", "mark", "doc_id", "key", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
     span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
