@@ -1,8 +1,11 @@
 """Token counts that follow edits: a segment tree of pre-token runs for each document.
 
-A leaf is a run of whole pre-tokens, cut where a single space stands between two other characters; merges
-never cross such a cut, so a document's count is the sum of its leaves. An edit re-encodes the leaves that
-it touches, with a neighbour where the cut between them is gone, and updates the sums above them.
+A leaf is a run of whole pre-tokens, cut where no token can cross: before a single space between two other characters,
+between a letter and what isn't one, and within a run of letters of other scripts where no token of the vocabulary holds the two
+bytes that meet. A document's count is the sum of its leaves. An edit re-encodes the leaves that it touches, with a
+neighbour where the cut between them is gone, and updates the sums above them.
+
+Trees outlive a batch of edits: token_trees() gives each document's leaves and counts, and edit_trees() takes and returns them.
 """
 
 from __future__ import annotations
@@ -13,60 +16,71 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import trimmed
-from tessera.llm.tokens import encoder, vocabulary_files
+from tessera.llm.common import mapped
+from tessera.llm.tokens import Encoder, encoder, vocabulary_files
 
 LEAF = 256
 EDITS = "array<struct<start:bigint,stop:bigint,replacement:string>>"
-
-
-def leaves(text: str, size: int = LEAF) -> list[str]:
-    """The text in runs of about ``size`` characters, each but the first beginning at a safe cut."""
+TREE = "doc_id long, leaves array<string>, tokens array<int>, n_reencoded long"
+
+
+def safe(before: str, after: str, encode: Encoder | None = None) -> bool:
+    """Whether no token crosses from one text to the next: before ends and after begins at the cut; two characters of after are read."""
+    if not before or not after:
+        return False
+    x, y = before[-1], after[0]
+    if y == " ":
+        return not x.isspace() and len(after) > 1 and not after[1].isspace()
+    if not x.isalpha() or (encode is not None and y in encode.special_marks):
+        return False
+    if not y.isalpha():
+        return True
+    # Contractions are of ASCII letters.
+    return encode is not None and x > "\x7f" and y > "\x7f" and not encode.adjacent(x, y)
+
+
+def leaves(text: str, size: int = LEAF, encode: Encoder | None = None) -> list[str]:
+    """The text in runs of about ``size`` characters, each but the first beginning at a safe cut, a space if one is near."""
     out, start = [], 0
     while start < len(text):
-        at = text.find(" ", start + size)
-        while at != -1 and not safe(text, at):
-            at = text.find(" ", at + 1)
-        if at == -1:
-            at = len(text)
+        at = text.find(" ", start + size, start + size + 32)
+        if at == -1 or not safe(text[at - 1], text[at : at + 2]):
+            at = start + size
+        while at < len(text) and not safe(text[at - 1], text[at : at + 2], encode):
+            at += 1
         out.append(text[start:at])
         start = at
     return out
 
 
-def safe(text: str, at: int) -> bool:
-    """Whether the space at this place stands between two characters that are no white space."""
-    return 0 < at < len(text) - 1 and text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()
-
-
 class TokenTree:
     """Sums of characters and tokens over the leaves of one text. ``encoded`` counts the characters encoded so far."""
 
-    def __init__(self, text: str, count, size: int = LEAF):
-        self.count, self.leaf, self.encoded = count, size, 0
-        self.build(leaves(text, size))
+    def __init__(self, text: str | list[str], encode: Encoder, size: int = LEAF, counts: list[int] | None = None):
+        self.encode, self.leaf, self.encoded = encode, size, 0
+        parts = leaves(text, size, encode) if isinstance(text, str) else text
+        self.build(parts, counts if counts is not None else [self.measure(p) for p in parts])
 
-    def build(self, parts: list[str]) -> None:
+    def build(self, parts: list[str], counts: list[int]) -> None:
         self.width = 1 << max(0, (max(1, len(parts)) - 1).bit_length())
-        self.parts = parts + [""] * (self.width - len(parts))
-        self.tokens, self.chars = [0] * (2 * self.width), [0] * (2 * self.width)
-        for k, part in enumerate(self.parts):
-            self.tokens[self.width + k], self.chars[self.width + k] = self.measure(part), len(part)
+        spare = self.width - len(parts)
+        self.parts = parts + [""] * spare
+        self.tokens, self.chars = [0] * self.width + counts + [0] * spare, [0] * self.width + list(map(len, self.parts))
         for k in range(self.width - 1, 0, -1):
             self.total(k)
 
     def measure(self, part: str) -> int:
         self.encoded += len(part)
-        return self.count(part) if part else 0
+        return self.encode.count(part) if part else 0
 
     def total(self, k: int) -> None:
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
 
-    def put(self, k: int, part: str) -> None:
+    def put(self, k: int, part: str, count: int) -> None:
         self.parts[k] = part
         k += self.width
-        self.tokens[k], self.chars[k] = self.measure(part), len(part)
+        self.tokens[k], self.chars[k] = count, len(part)
         while k > 1:
             k //= 2
             self.total(k)
@@ -91,31 +105,91 @@ class TokenTree:
         text = self.parts[first][:a] + replacement + self.parts[last][b:]
         # Take in neighbours until both ends are cuts again.
         filled = lambda k, step: next((j for j in range(k + step, -1 if step < 0 else self.width, step) if self.parts[j]), None)
-        while (left := filled(first, -1)) is not None and not (text and safe(self.parts[left][-1] + text, 1) and len(text) > 1):
+        while (left := filled(first, -1)) is not None and not safe(self.parts[left], text[:2], self.encode):
             first, text = left, self.parts[left] + text
-        while (right := filled(last, 1)) is not None and not (text and safe(text[-1] + self.parts[right][:2], 1)):
+        while (right := filled(last, 1)) is not None and not safe(text, self.parts[right][:2], self.encode):
             last, text = right, text + self.parts[right]
-        if len(text) > 8 * self.leaf * (last - first + 1):
-            parts = self.parts[:first] + leaves(text, self.leaf) + self.parts[last + 1 :]
-            self.build([p for p in parts if p])
+        new = leaves(text, self.leaf, self.encode)
+        counts = [self.measure(p) for p in new]
+        if len(new) > last - first + 1:  # the other leaves keep their counts
+            parts, old = self.parts, self.tokens[self.width :]
+            kept = [k for k in range(self.width) if parts[k] and not first <= k <= last]
+            at = sum(k < first for k in kept)
+            self.build([parts[k] for k in kept[:at]] + new + [parts[k] for k in kept[at:]], [old[k] for k in kept[:at]] + counts + [old[k] for k in kept[at:]])
             return
-        new = leaves(text, self.leaf)
-        room = last - first + 1
-        new = new[: room - 1] + ["".join(new[room - 1 :])] if len(new) > room else new + [""] * (room - len(new))
-        for k, part in zip(range(first, last + 1), new, strict=True):
+        room = last - first + 1 - len(new)
+        for k, part, count in zip(range(first, last + 1), new + [""] * room, counts + [0] * room, strict=True):
             if part or self.parts[k]:
-                self.put(k, part)
+                self.put(k, part, count)
 
     def text(self) -> str:
         return "".join(self.parts)
 
+    def state(self) -> tuple[list[str], list[int]]:
+        """Leaves and their counts, from which the tree can be made again."""
+        used = [k for k, p in enumerate(self.parts) if p]
+        return [self.parts[k] for k in used], [self.tokens[self.width + k] for k in used]
+
+    def apply(self, changes: list[dict | None] | None) -> int:
+        """Edits in turn; the characters encoded for them."""
+        read = self.encoded
+        for change in changes or ():
+            if change is not None:
+                self.edit(change["start"] or 0, change["stop"] or 0, change["replacement"] or "")
+        return self.encoded - read
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_TREE = pa.schema([("doc_id", pa.int64()), ("leaves", pa.list_(pa.string())), ("tokens", pa.list_(pa.int32())), ("n_reencoded", pa.int64())])
+_COUNTS = pa.schema([(x, pa.int64()) for x in ("doc_id", "n_tokens", "n_leaves", "n_edited_tokens", "n_reencoded")])
+
+
+def token_trees(docs: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
+    """(doc_id, leaves, tokens, n_reencoded) for every row of docs: the leaves of the text's tree and their counts, to be stored.
+
+    The sum of tokens is the document's count. A null or empty text has no leaves; rows that repeat an id have a tree each.
+    """
+    files = files or vocabulary_files()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(*files)
+        for batch in batches:
+            yield _batch([(doc_id, *TokenTree(text.as_py() or "", encode).state(), 0) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)], _TREE)
+
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, TREE)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, files: tuple[str, str] | None = None) -> DataFrame:
+    """trees of token_trees() or of an earlier call after edits (doc_id, edits), one row for each id; n_reencoded: characters encoded for them.
+
+    Ids without edits keep their trees, edits without a tree are ignored, and only leaves that an edit touches are encoded.
+    """
+    files = files or vocabulary_files()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(*files)
+        for batch in batches:
+            out = []
+            for doc_id, parts, counts, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tree = TokenTree(parts, encode, counts=counts)
+                read = tree.apply(changes)
+                out.append((doc_id, *tree.state(), read))
+            yield _batch(out, _TREE)
+
+    known = edits.select("doc_id", F.col("edits").cast(EDITS).alias("edits"))
+    return mapped(trees.select("doc_id", "leaves", "tokens").join(known, "doc_id", "left"), work, TREE)
+
 
 def token_counts(docs: DataFrame, edits: Column | None = None, files: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, n_leaves, n_edited_tokens, n_reencoded) for every row of docs.
 
     edits: an array of (start, stop, replacement) in characters, applied in turn, each to the text that the one
     before left; null edits and a null text are none. n_edited_tokens is the count after them, n_reencoded the
-    characters encoded for them. Places beyond the text are its end.
+    characters encoded for them. Places beyond the text are its end. Rows that repeat an id are counted each, texts of any length whole.
     """
     files = files or vocabulary_files()
 
@@ -124,18 +198,15 @@ def token_counts(docs: DataFrame, edits: Column | None = None, files: tuple[str,
         for batch in batches:
             out = []
             for doc_id, text, changes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                tree = TokenTree(text.as_py() or "", encode.count)
-                before, read, n_leaves = tree.tokens[1], tree.encoded, sum(1 for p in tree.parts if p)
-                for change in changes or ():
-                    if change is not None:
-                        tree.edit(change["start"] or 0, change["stop"] or 0, change["replacement"] or "")
-                out.append((doc_id, before, n_leaves, tree.tokens[1], tree.encoded - read))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "n_tokens", "n_leaves", "n_edited_tokens", "n_reencoded"])
+                tree = TokenTree(text.as_py() or "", encode)
+                before, n_leaves = tree.tokens[1], sum(1 for p in tree.parts if p)
+                read = tree.apply(changes)
+                out.append((doc_id, before, n_leaves, tree.tokens[1], read))
+            yield _batch(out, _COUNTS)
 
     none = F.lit(None).cast(EDITS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (none if edits is None else edits.cast(EDITS)).alias("edits"))
-    return rows.mapInArrow(trimmed(work), "doc_id long, n_tokens long, n_leaves long, n_edited_tokens long, n_reencoded long")
+    return mapped(rows, work, "doc_id long, n_tokens long, n_leaves long, n_edited_tokens long, n_reencoded long")
 
 
 def sample_edits(text: Column) -> Column:

@@ -26,7 +26,11 @@ class Encoder(dict):
     def __init__(self, path: str, ranks: str | None = None):
         self.path, self._tokenizer = path, None
         with open(path) as file:
-            self.special = [t["content"] for t in json.load(file).get("added_tokens", ())]
+            data = json.load(file)
+        self.special = [t["content"] for t in data.get("added_tokens", ())]
+        #: Characters of special tokens that aren't letters: a text isn't cut before one.
+        self.special_marks = {c for t in self.special for c in t if not c.isalpha()}
+        self._vocabulary, self._adjacent = data["model"]["vocab"], None
         self.piece = self.whole
         if ranks:  # the same vocabulary as ranks, which encodes short pieces faster
             import base64
@@ -65,6 +69,17 @@ class Encoder(dict):
         ids = self.piece(head)
         return ids + b"".join(map(self.__getitem__, rest.split(" "))) if space else ids
 
+    def adjacent(self, left: str, right: str) -> bool:
+        """Whether a token of the vocabulary holds the last byte of one character and the first of the other side by side."""
+        if self._adjacent is None:
+            self._adjacent = {(a, b) for token in self._vocabulary for a, b in zip(token, token[1:], strict=False)}
+            self._vocabulary = None
+            # A vocabulary writes bytes that don't print as characters from 256 on, in order.
+            plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+            other = iter(range(256, 512))
+            self._written = [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+        return (self._written[left.encode()[-1]], self._written[right.encode()[0]]) in self._adjacent
+
     def count(self, text: str) -> int:
         """Number of ids."""
         if text[:1] == " " and "  " not in text and text[-1:] != " " and not any(s in text for s in self.special):
