@@ -7,7 +7,6 @@ each begin from the zero state, many segments side by side.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, text_blocks, trimmed
+from tessera.llm.common import fold, mapped, text_blocks
 
 FOLDS = 5
 HIDDEN = 8
@@ -25,7 +24,6 @@ FIT_DOCS = 400
 #: Segments times languages that are scored side by side, at most.
 SIDE_BY_SIDE = 1024 * 100
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Direction:
@@ -80,13 +78,43 @@ class BiGRU:
         out /= out.sum(2, keepdims=True)
         return out
 
+    def gradients(self, x: np.ndarray, label: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy of the labels over all positions of x (time x batch), and its gradient for each side's weights and the bias."""
+        length, batch = x.shape
+        k = self.sides[0].u.shape[0]
+        runs = [list(self.sides[0].run(x, True)), list(self.sides[1].run(x[::-1], True))[::-1]]
+        logits = np.stack([f[0] @ self.sides[0].o + b[0] @ self.sides[1].o for f, b in zip(*runs, strict=True)]) + self.bias
+        p = np.exp(logits - logits.max(2, keepdims=True))
+        p /= p.sum(2, keepdims=True)
+        loss = -float(np.log(p[:, np.arange(batch), label]).mean())
+        p[:, np.arange(batch), label] -= 1
+        p /= p.shape[0] * batch
+        grads = []
+        for s, side in enumerate(self.sides):
+            de, du, do = np.zeros_like(side.e), np.zeros_like(side.u), np.zeros_like(side.o)
+            dh = np.zeros((batch, k), side.u.dtype)
+            for t in range(length - 1, -1, -1) if s == 0 else range(length):
+                h, (row, old, z, r, n, bn) = runs[s][t]
+                do += h.T @ p[t]
+                dh = dh + p[t] @ side.o.T
+                dn = dh * (1 - z) * (1 - n * n)
+                dz = dh * (old - n) * z * (1 - z)
+                dr = dn * bn * r * (1 - r)
+                da = np.concatenate([dz, dr, dn], 1)
+                db = np.concatenate([dz, dr, dn * r], 1)
+                np.add.at(de, row, da)
+                du += old.T @ db
+                dh = dh * z + db @ side.u.T
+            grads += [de, du, do]
+        grads.append(p.sum((0, 1)))
+        return loss, grads
+
     def fit(self, texts: list[bytes], y: np.ndarray, steps: int = 240, batch: int = 128, length: int = 48, rate: float = 0.02) -> BiGRU:
         """Cross-entropy at every position of random segments, languages drawn alike; Adam."""
         rng = np.random.default_rng(3)
         by_class = [np.flatnonzero(y == c) for c in range(len(self.languages))]
         weights = [w for side in self.sides for w in side.weights()] + [self.bias]
         m, v = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-        k = self.sides[0].u.shape[0]
         for step in range(1, steps + 1):
             label = rng.integers(0, len(self.languages), batch)
             x = np.full((batch, length), 32, np.uint8)
@@ -95,31 +123,7 @@ class BiGRU:
                 at = rng.integers(0, max(1, len(text) - length + 1))
                 piece = np.frombuffer(text[at : at + length], np.uint8)
                 x[i, : len(piece)] = piece
-            x = np.ascontiguousarray(x.T)
-            runs = [list(self.sides[0].run(x, True)), list(self.sides[1].run(x[::-1], True))[::-1]]
-            logits = np.stack([f[0] @ self.sides[0].o + b[0] @ self.sides[1].o for f, b in zip(*runs, strict=True)]) + self.bias
-            p = np.exp(logits - logits.max(2, keepdims=True))
-            p /= p.sum(2, keepdims=True)
-            p[:, np.arange(batch), label] -= 1
-            p /= p.shape[0] * batch
-            grads = []
-            for s, side in enumerate(self.sides):
-                de, du, do = np.zeros_like(side.e), np.zeros_like(side.u), np.zeros_like(side.o)
-                dh = np.zeros((batch, k), np.float32)
-                for t in range(length - 1, -1, -1) if s == 0 else range(length):
-                    h, (row, old, z, r, n, bn) = runs[s][t]
-                    do += h.T @ p[t]
-                    dh = dh + p[t] @ side.o.T
-                    dn = dh * (1 - z) * (1 - n * n)
-                    dz = dh * (old - n) * z * (1 - z)
-                    dr = dn * bn * r * (1 - r)
-                    da = np.concatenate([dz, dr, dn], 1)
-                    db = np.concatenate([dz, dr, dn * r], 1)
-                    np.add.at(de, row, da)
-                    du += old.T @ db
-                    dh = dh * z + db @ side.u.T
-                grads += [de, du, do]
-            grads.append(p.sum((0, 1)))
+            _, grads = self.gradients(np.ascontiguousarray(x.T), label)
             lr = rate * min(1, 2 * (1 - step / (steps + 1)))
             for w, g, a, b in zip(weights, grads, m, v, strict=True):
                 np.clip(g, -1, 1, out=g)
@@ -175,8 +179,9 @@ def fit_language(docs: DataFrame, fit_docs: int = FIT_DOCS) -> BiGRU | None:
 def language(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every document.
 
-    A text that is null or has no letter is ``und`` with score 0; so is every text where no language is
-    known to learn from. The score is the mean probability of the predicted language over all bytes.
+    A text that is null or has no letter (Unicode category L) is ``und`` with score 0; so is every text where no language is
+    known to learn from. The score is the mean probability of the predicted language over all bytes; of languages with equal
+    means the first in the order of their names. Rows that repeat an id are judged each, and texts of any length are read whole.
     """
     network = fit_language(docs, fit_docs)
 
@@ -188,7 +193,7 @@ def language(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
                 best = pooled.argmax(1)
                 for i, text in enumerate(batch.column(2)[first:last]):
                     text = text.as_py()
-                    known = text is not None and _LETTER.search(text) is not None
+                    known = text is not None and any(map(str.isalpha, text))
                     names.append(network.languages[best[i]] if known else UNDETERMINED)
                     scores.append(float(min(1.0, pooled[i, best[i]])) if known else 0.0)
             if not network:
@@ -196,4 +201,4 @@ def language(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(work), "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(rows, work, "doc_id long, held_out boolean, lang_pred string, score double")
