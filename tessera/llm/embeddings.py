@@ -13,10 +13,11 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, trimmed
+from tessera.llm.common import binaries, mapped, stored
 from tessera.llm.components import components
 
 THRESHOLD = 0.93
@@ -105,14 +106,16 @@ def _star(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(vec_id, label, v): v the components as doubles, or null where the vector links with nothing."""
     for batch in batches:
-        out = []
-        for x, label in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            v = None
-            if x and label is not None and None not in x:
-                v = np.array(x, float)
-                v = v.tobytes() if np.isfinite(v).all() and v.any() else None
-            out.append(v)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
+        lists = batch.column(2)
+        offsets = lists.offsets.to_numpy()
+        values = lists.values.to_numpy(zero_copy_only=False).astype(float)  # a null is not a number here
+        size = np.diff(offsets)
+        within = lambda what: np.diff(np.concatenate([[0], np.cumsum(what)])[offsets])
+        valid = lists.is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        good = valid & (size > 0) & (within(~np.isfinite(values)) == 0) & (within(values != 0) > 0)
+        used = values[offsets[0] : offsets[-1]][np.repeat(good, size)]
+        v = binaries(used.view(np.uint8), np.where(good, 8 * size, 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.if_else(pa.array(good), v, pa.scalar(None, pa.binary()))], ["vec_id", "label", "v"])
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -192,15 +195,16 @@ def _tiles(threshold: float):
 
 def embedding_links(distinct: DataFrame, threshold: float) -> DataFrame:
     """(a, b, links) from distinct vectors (rep, n, label, v): see _tiles."""
-    schema = "rep long, n long, label int, dim int, t int, bucket int, own boolean, codes binary, v binary"
+    schema = "rep long, n long, label string, dim int, t int, bucket int, own boolean, codes binary, v binary"
     place = ["label", "dim", "t", "bucket"]
-    hashed = distinct.mapInArrow(trimmed(_hashed), schema)
+    hashed = mapped(distinct, _hashed, schema)
     sizes = hashed.groupBy(*place).agg(F.count("*").alias("m"), F.count_if("own").alias("k")).where("m > 1 AND k > 0").select(*place, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     rows = hashed.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("with", with_).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
     keys = [*place, "low", "high"]
-    return rows.select(*keys, "rep", "n", "own", "block", "codes", "v").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(trimmed(_tiles(threshold)), "a long, b long, links long")
+    rows = rows.select(*keys, "rep", "n", "own", "block", "codes", "v").repartition(*keys).sortWithinPartitions(*keys)
+    return mapped(rows, _tiles(threshold), "a long, b long, links long")
 
 
 def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,10 +213,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     Rows with equal non-null labels and cosine of the threshold or more are linked; component_id is the smallest
     vec_id reachable, kept whether that is the row's own. A null or empty vector, one that is zero or holds null or
     a non-finite component, and a row without an id link with nothing. Vectors of different lengths aren't compared.
-    Rows that repeat an id count as rows of their own.
+    Rows that repeat an id count as rows of their own. Labels of any type are compared by value. Vectors whose cosine is the
+    threshold exactly link; extra columns are ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), F.col("label").cast("int")).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.mapInArrow(trimmed(_clean), "vec_id long, label int, v binary").withColumn("mark", F.sha2("v", 256))
+    label = F.col("label")
+    if dict(vectors.dtypes)["label"] in ("float", "double"):
+        label = label + F.lit(0.0)  # -0.0 equals 0.0
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull(), label.cast("string")).alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = mapped(rows, _clean, "vec_id long, label string, v binary").withColumn("mark", F.sha2("v", 256))
     distinct = stored(rows.where("v IS NOT NULL").groupBy("label", "mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     found = stored(embedding_links(distinct.select("rep", "n", "label", "v"), threshold))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
