@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame functions alone.
 
-Every window of a benchmark item is filed under its longest word, the anchor. Training documents are
-scanned once: a word that is an anchor puts out its neighbourhood of at most 19 words, which a hash join
-compares with the windows of that anchor word by word. The anchors travel as a hashed set inside the
-filter and the windows as a broadcast table, both only up to ``BROADCAST_WINDOWS``; a larger benchmark
-takes the shuffled form of the same join.
+Training documents are scanned once. Every window of a benchmark item is filed under its longest word, the anchor; a word that
+is an anchor puts out its neighbourhood of at most 19 words, which a hash join compares with the windows of that anchor word by
+word. The anchors travel as a hashed set inside the filter and the windows as a broadcast table, both only up to
+``BROADCAST_WINDOWS``. For a larger benchmark the scan hashes every token window, drops those outside a filter of the
+benchmark's hashes, and a shuffled join verifies the rest.
 """
 
 from __future__ import annotations
@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import stored, unused
+
 WINDOW = 10
 #: Windows of the benchmark up to which its anchors and windows are sent to every executor (about 200 bytes each).
 BROADCAST_WINDOWS = 20_000
+#: Longs of the filter for the hashes of more windows (8 MB).
+FILTER_WORDS = 1 << 20
 _SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 
 
@@ -37,29 +41,54 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return wins.withColumn("a", longest).select("item_id", "win", "len", (-F.col("a.i")).alias("off"), F.col("a.x").alias("anchor"))
 
 
+def _bits(hashes: DataFrame, n: int) -> Column:
+    """A filter for so many 64-bit hashes (h) as an array of longs, as one value of the query; at most 8 MB, beyond which more passes in vain."""
+    words = min(FILTER_WORDS, 1 << max(6, (n // 4).bit_length()))
+    place = F.pmod("h", F.lit(64 * words))
+    set_ = hashes.select((place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    every = hashes.sparkSession.range(words).select(F.col("id").cast("int").alias("w")).join(set_, "w", "left")
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))), lambda x: x["v"]).alias("bits")).scalar()
+
+
+def _passes(bits: Column, h: Column) -> Column:
+    place = F.pmod(h, 64 * F.size(bits))
+    return F.call_function("getbit", F.get(bits, (place / 64).cast("int")), (place % 64).cast("int")) == 1
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row per row of docs: (doc_id, n_words, hits, items).
 
     hits: sorted distinct positions of the words inside an occurrence of a window; items: ids of the items
     whose windows occur, sorted as strings. A null or empty text has no words. An item without words never
     hits; one with fewer words than the window is one window. An item whose id is null hits but isn't
-    listed. Rows that repeat an id are judged each.
+    listed. Rows that repeat an id are judged each; texts of any length are read whole, extra columns are ignored.
+
+    Windows up to ``broadcast_windows`` are looked up where the documents are read. Of more, each document window's hash is tried
+    against a filter of their hashes there, and what passes is joined with the windows by hash and compared word by word.
     """
-    wins = item_windows(benchmark, window)
-    small = wins.limit(broadcast_windows + 1).count() <= broadcast_windows
+    wins = stored(item_windows(benchmark, window))
+    n = wins.count()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
     rows = rows.withColumn("n_words", F.size("w"))
-    at = F.when(F.col("n_words") > 0, F.sequence(F.lit(0), F.col("n_words") - 1)).otherwise(F.array().cast("array<int>"))
-    if small:
+    up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    if n <= broadcast_windows:
         anchors = [x.anchor for x in wins.select("anchor").distinct().collect()]
-        at = F.filter(at, lambda i: F.get("w", i).isin(anchors))
-        wins = F.broadcast(wins)
-    near = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("w", i).alias("anchor"), F.least(i, F.lit(window - 1)).alias("before"), F.slice("w", F.greatest(i - (window - 1), F.lit(0)) + 1, F.least(i, F.lit(window - 1)) + window).alias("words")))
-    found = rows.select("row", "doc_id", "n_words", near.alias("near")).select("row", "doc_id", "n_words", F.explode_outer("near").alias("x")).select("row", "doc_id", "n_words", F.col("x.at").alias("at"), F.col("x.anchor").alias("word"), F.col("x.before").alias("before"), F.col("x.words").alias("words"))
-    same = (F.col("word") == F.col("anchor")) & (F.col("before") >= F.col("off")) & F.expr("slice(words, before - off + 1, len) = win")
-    hit = found.join(wins, same, "left")
-    start = F.col("at") - F.col("off")
-    spans = F.collect_set(F.when(F.col("len").isNotNull(), F.struct(start.alias("s"), (start + F.col("len") - 1).alias("e"))))
+        at = F.filter(up_to(F.col("n_words")), lambda i: F.get("w", i).isin(anchors))
+        near = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("w", i).alias("anchor"), F.least(i, F.lit(window - 1)).alias("before"), F.slice("w", F.greatest(i - (window - 1), F.lit(0)) + 1, F.least(i, F.lit(window - 1)) + window).alias("words")))
+        found = rows.select("row", "doc_id", "n_words", F.explode_outer(near).alias("x")).select("row", "doc_id", "n_words", F.col("x.at").alias("at"), F.col("x.anchor").alias("word"), F.col("x.before").alias("before"), F.col("x.words").alias("words"))
+        same = (F.col("word") == F.col("anchor")) & (F.col("before") >= F.col("off")) & F.expr("slice(words, before - off + 1, len) = win")
+        hit = found.join(F.broadcast(wins), same, "left").withColumn("s", F.col("at") - F.col("off"))
+    else:
+        wins = wins.withColumn("h", F.xxhash64("win"))
+        bits = _bits(wins.select("h"), n)
+        hits = [
+            F.filter(F.transform(up_to(F.col("n_words") - (size - 1)), lambda i, size=size: F.struct(i.alias("s"), F.xxhash64(F.slice("w", i + 1, size)).alias("h"), F.lit(size).alias("size"))), lambda x: _passes(bits, x["h"]))
+            for size in sorted(r.len for r in wins.select("len").distinct().collect())  # of 1 to window words
+        ]
+        near = F.transform(F.concat(*hits), lambda x: F.struct(x["s"].alias("s"), x["h"].alias("h"), F.slice("w", x["s"] + 1, x["size"]).alias("words")))
+        found = rows.select("row", "doc_id", "n_words", F.explode_outer(near).alias("x")).select("row", "doc_id", "n_words", "x.s", "x.h", "x.words")
+        hit = found.join(wins, (found["h"] == wins["h"]) & (found["words"] == wins["win"]), "left")
+    spans = F.collect_set(F.when(F.col("len").isNotNull(), F.struct(F.col("s").alias("s"), (F.col("s") + F.col("len") - 1).alias("e"))))
     per_row = hit.groupBy("row", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.when(F.col("len").isNotNull(), F.col("item_id")))).alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))))
     return per_row.select("doc_id", "n_words", covered.alias("hits"), "items")
@@ -90,8 +119,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    cut = hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("__hits"))
+    mine = unused("hits", docs.columns)
+    cut = hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias(mine))
     pieces = F.regexp_extract_all("text", F.lit(f"[{_SEPARATORS}]*[^{_SEPARATORS}]+"), F.lit(0))
-    kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains("__hits", i)), ""), F.regexp_extract("text", f"[{_SEPARATORS}]*\\z", 0))
+    kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(mine, i)), ""), F.regexp_extract("text", f"[{_SEPARATORS}]*\\z", 0))
     joined = docs.join(cut, "doc_id", "left")
-    return joined.select(*[F.when(F.col("__hits").isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    return joined.select(*[F.when(F.col(mine).isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
