@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_blocks, trimmed
+from tessera.llm.common import mapped, text_blocks
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, limit: int) -> tuple[list[str], np.ndarray]:
@@ -40,7 +40,7 @@ def score_texts(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.nd
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(trimmed(work), "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, work, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

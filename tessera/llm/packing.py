@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import trimmed
+from tessera.llm.common import mapped
 from tessera.llm.tokens import encoder, vocabulary_files
 
 CAPACITY = 1024
@@ -95,7 +95,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | Non
     """Pack whole texts into sequences of at most ``capacity`` tokens; one row per piece.
 
     ids: the piece's token ids as little-endian unsigned 32-bit integers. Every document ends with id 0,
-    so a null or empty text is one piece of one token. Rows that repeat an id are packed each. A sequence's
+    so a null or empty text is one piece of one token. Rows that repeat an id are packed each, texts of any length whole; extra columns are ignored. A sequence's
     pieces lie gapless from offset 0. ``sequence_id`` is unique; its upper bits are the worker's number.
     Holds at most one bin for each class, and ``emit`` rows, at a time.
     """
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, files: tuple[str, str] | Non
         packer.finish()
         yield _batch(packer.take())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(work), SCHEMA)
+    return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), work, SCHEMA)
 
 
 def packing_digest(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, span_hashes, text_blocks, trimmed, word_bounds
+from tessera.llm.common import fold, mapped, span_hashes, text_blocks, word_bounds
 from tessera.llm.labelled import labelled_sample, score_texts, sigmoid
 
 RANK = 8
@@ -126,7 +126,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document, learned from labels.quality outside the held-out fold.
 
-    A null or empty text is scored by its statistics alone. Without labels of both kinds the score is a constant.
+    A null or empty text is scored by its statistics alone. Without labels of both kinds the score is a constant. Rows that
+    repeat an id are scored each, texts of any length whole; a score of one half predicts 1. Extra columns are ignored.
     """
     return score_texts(docs, fit_quality(docs, labels, fit_rows).score, fold(F.col("doc_id"), FOLDS) == HELD_OUT)
 
@@ -145,4 +146,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -
             scores = np.concatenate([*[score(data, offsets) for _, _, data, offsets in text_blocks(batch.column(text))], np.zeros(0)])
             yield batch.filter(pa.array(scores >= 0.5))
 
-    return docs.mapInArrow(trimmed(work), docs.schema)
+    return mapped(docs, work, docs.schema)

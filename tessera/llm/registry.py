@@ -105,5 +105,26 @@ JOIN (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a) c USING
 """
 
 
+_OP10 = r"""
+WITH RECURSIVE cut AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, html, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM cut),
+rules(rule_host, rule_path, ruled) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(ruled, length(rule_host || rule_path)) AS ruled
+         FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+judged AS (SELECT p.page_id, html, host, path, rule, ruled FROM p LEFT JOIN fits USING (page_id)),
+targets AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"''\s>]*)', 1)) AS target FROM p WHERE host <> ''),
+edges AS (SELECT src, translate(target, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst, count(*) AS n FROM targets WHERE target <> '' GROUP BY ALL HAVING src <> dst),
+walks AS (SELECT 'trust' AS walk, src AS a, dst AS b, n / sum(n) OVER (PARTITION BY src) AS share FROM edges
+          UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges),
+steps AS (SELECT CASE ruled WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS walk, host, CAST(count(*) AS DOUBLE) AS mass FROM judged WHERE ruled IS NOT NULL GROUP BY ALL
+          UNION ALL SELECT w.walk, w.b, 0.85 * s.mass * w.share FROM steps s JOIN walks w ON w.walk = s.walk AND w.a = s.host WHERE s.mass > 1e-9),
+hosts AS (SELECT host, count(*) AS pages FROM judged GROUP BY host),
+scores AS (SELECT host, sum(CASE walk WHEN 'distrust' THEN mass ELSE -mass END) AS s FROM steps GROUP BY host),
+blocked AS (SELECT host FROM hosts JOIN scores USING (host) WHERE s / pages >= 0.5 AND host <> '')
+SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN host IN (SELECT host FROM blocked) THEN 'block' ELSE 'allow' END AS verdict FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": _OP2, "op4_decontamination": _OP4, "op6_embedding_dedup": _OP6}
+    return {"op2_jaccard_join": _OP2, "op4_decontamination": _OP4, "op6_embedding_dedup": _OP6, "op10_url_filter": _OP10}

@@ -116,7 +116,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
     """(doc_id, held_out, score, predicted) for every document, learned from labels.toxic outside the held-out fold.
 
     A null or empty text gets the score of a text without n-grams that were learned. Without labels of both
-    kinds the score is a constant.
+    kinds the score is a constant. Rows that repeat an id are scored each, texts of any length whole; a score of one half
+    predicts 1. Extra columns are ignored.
     """
     texts, y = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), FOLDS) != 0, fit_rows)
     return score_texts(docs, CharNB().fit(texts, y).score, fold(F.col("doc_id"), FOLDS) == 0)

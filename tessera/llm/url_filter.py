@@ -13,7 +13,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, stored
 
 #: (host, path prefix, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -94,11 +94,13 @@ def url_filter(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> D
 
     A rule's verdict holds where a rule fits (the longest wins); elsewhere the host's. A null url, or one
     without ``://``, has an empty host, which no link reaches: allow. A null html has no links. Repeated
-    pages are judged each, and each counts as a page of its host.
+    pages are judged each, and each counts as a page of its host. A host whose distrust less trust is the threshold exactly is
+    blocked. Urls and html of any length are read whole; extra columns are ignored.
     """
     host, path = url_parts(F.col("url"))
     base = pages.select("page_id", "html", host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     judged = base.select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
-    blocked = host_verdicts(judged, host_edges(base), threshold).where("blocked AND host <> ''").select("host", F.lit("block").alias("linked"))
+    # Stored, so that the join may broadcast a small list of hosts and else split the pages of a large host.
+    blocked = stored(host_verdicts(judged, host_edges(base), threshold).where("blocked AND host <> ''").select("host", F.lit("block").alias("linked")))
     return judged.join(blocked, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "linked", F.lit("allow")).alias("verdict"))
