@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -267,20 +267,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kept = kept_bytes(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0] // 2)  # a word has a byte and a space
-    seen = stored(document_sets(docs, width, kept))
+    # Chunks follow from the files that are read, so what a lost executor held is made again alike.
+    seen = document_sets(docs, width, kept).persist(StorageLevel.DISK_ONLY)
     sets = seen.where("hashes IS NOT NULL").withColumnRenamed("doc_id", "node")
-    parts = parts_of(docs, seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    parts = parts_of(seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     shared = stored(several(chunk_blocks(sets, parts, kept), parts, kept), free=True)
-    left = stored(survivors(sets, shared, parts, kept, num, den), free=True)
+    left = survivors(sets, shared, parts, kept, num, den)
     # Sets that several rows have: the smallest id stands for them.
     first = stored(seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("digest", "rep"))
     same = stored(seen.select("doc_id", "n", "digest").join(first, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep")))
     left = left.groupBy("digest").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.min("node").alias("own"))
     left = left.join(first, "digest", "left").select(F.coalesce("rep", "own").alias("node"), "n", "hashes")
     left = stored(rechunked(left), free=True)
-    for table in (seen, shared):
-        discard(table)
-    parts = parts_of(docs, left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    seen.unpersist()
+    discard(shared)
+    parts = parts_of(left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     shared = stored(several(chunk_blocks(left, parts, kept), parts, kept, frequencies=True))
     found = stored(prefixes(left, shared, parts, kept, num, den), free=True)
     labels = jaccard_links(left, found, kept, num, den)

@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import binaries, mapped, packed, unpacked
 
-#: Hashes of one task and of one bucket, of which a task has several.
-TASK_HASHES, BUCKETS = 2_000_000, 8
+#: Hashes of one task, and the buckets among which it has them.
+TASK_HASHES, BUCKETS = 4_000_000, 16
 #: Hashes of a chunk that a task holds before it sends them on.
 CHUNK_HASHES = 2_000_000
 
 
-def parts_of(frame: DataFrame, hashes: int) -> int:
-    """Partitions for so many hashes, and no fewer than the session's."""
-    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hashes // TASK_HASHES))
+def parts_of(hashes: int) -> int:
+    """Partitions for so many hashes."""
+    return max(1, -(-hashes // TASK_HASHES))
 
 
 def kept_bytes(hashes: int) -> int:
