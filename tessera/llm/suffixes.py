@@ -312,24 +312,25 @@ def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.
     return table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks(), table.column(3).to_numpy(), table.column(4).to_numpy()
 
 
-def first_runs(each: DataFrame) -> DataFrame:
+def first_runs(each: DataFrame, parts: int) -> DataFrame:
     """(anchor, mark, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document.
 
     each: (anchor, mark, around, least, most), where a surrounding may stand more than once.
     """
-    large = stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
+    large = stored(each.select("anchor", "mark").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
     schema = "anchor long, mark long, low int, high int, first long"
     small = each if large.isEmpty() else each.join(large, "anchor", "left_anti")
-    runs = mapped(small.select("anchor", "mark", "around", "least", "most").repartition("anchor").sortWithinPartitions("anchor", "mark"), _runs, schema)
+    runs = mapped(small.select("anchor", "mark", "around", "least", "most").repartition(parts, "anchor").sortWithinPartitions("anchor", "mark"), _runs, schema)
     if large.isEmpty():
         return runs
     # An anchor with very many surroundings: each 50-byte string by itself, counted before it is dealt out.
     window = F.explode(F.sequence(F.lit(0), F.octet_length("around") - LENGTH)).alias("low")
-    windows = each.join(large, "anchor", "left_semi").select("anchor", "mark", "least", "most", "around", window)
+    once = each.join(large, "anchor", "left_semi").groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.min("least").alias("least"), F.max("most").alias("most"))
+    windows = stored(once).select("anchor", "mark", "least", "most", "around", window)
     windows = windows.select("anchor", "mark", "low", "least", "most", F.expr(f"substring(around, low + 1, {LENGTH})").alias("string"))
     first = stored(windows.groupBy("string").agg(F.min("least").alias("first")))
     hit = windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first")
-    return runs.unionByName(hit.distinct())
+    return runs.unionByName(hit)
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -348,10 +349,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     whole = stored(copies(docs))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     anchors = size // (LENGTH - GRAM) * 2
-    chunks, parts, kept = -(-size // CHUNK_BYTES) or 1, parts_of(docs, anchors), kept_bytes(anchors)
+    chunks, parts, kept = -(-size // CHUNK_BYTES) or 1, parts_of(anchors), kept_bytes(anchors)
     shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), parts, kept), parts, kept), free=True)
     found = stored(occurrences(in_chunks(docs, whole, parts, chunks, shared), kept), free=True)
-    runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "least", "most")), free=True)
+    runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "least", "most"), parts), free=True)
     hit = found.where("around IS NULL").select("anchor", "mark", "doc_id", "key", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
     span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
     spans = hit.select("doc_id", "key", span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + LENGTH).alias("span"))
