@@ -17,7 +17,7 @@ from tessera.llm.language import BiGRU, fit_language, language
 from tessera.llm.packing import CAPACITY, cuts, pack, packing_digest
 from tessera.llm.quality import FactorisationMachine, features, keep_quality, quality
 from tessera.llm.suffixes import first_documents, remove_repeats, suffix_array, without_repeats
-from tessera.llm.token_counts import TokenTree, sample_edits, token_counts
+from tessera.llm.token_counts import EDITS, TokenTree, edit_trees, sample_edits, token_counts, token_trees
 from tessera.llm.tokens import encoder, vocabulary_files, vocabulary_path
 from tessera.llm.toxicity import CharNB, toxicity
 from tessera.llm.url_filter import host_verdicts, propagate, url_filter
@@ -55,10 +55,10 @@ def test_token_trees_follow_edits():
     encode = encoder(*vocabulary_files())
     count = lambda t: len(encode.tokenizer.encode(t, add_special_tokens=False).ids)
     rng = random.Random(4)
-    piece = lambda n: "".join(rng.choice(["a", "b", " ", "the", "  ", "\n", "'s", "é", "1", ".", " x", " wor", "<|endoftext|>"]) for _ in range(n))
+    piece = lambda n: "".join(rng.choice(["a", "b", " ", "the", "  ", "\n", "'s", "'", "s", "é", "的", "時間", "か", "e\u0301", "1", ".", " x", " wor", "<|endoftext|>"]) for _ in range(n))
     for _ in range(60):
         text = piece(rng.randint(0, 150))
-        tree = TokenTree(text, encode.count, 16)
+        tree = TokenTree(text, encode, 16)
         for _ in range(5):
             a = rng.randint(0, len(text))
             b, new = rng.randint(a, min(len(text), a + rng.choice([0, 3, 40]))), piece(rng.choice([0, 1, 5, 60]))
@@ -71,18 +71,53 @@ def test_token_trees_follow_edits():
 
 def test_an_edit_encodes_little():
     encode = encoder(*vocabulary_files())
-    tree = TokenTree("some words here " * 20_000, encode.count)
+    tree = TokenTree("some words here " * 20_000, encode)
     before = tree.encoded
     tree.edit(100_000, 100_010, "new")
     assert tree.encoded - before < 2_000
 
 
+@pytest.mark.parametrize("text", ["日本語の文章を一つにまとめた長い文字列" * 2_000, "\n".join(["line"] * 20_000), "a,b;c." * 10_000])
+def test_leaves_in_any_script(text):
+    encode = encoder(*vocabulary_files())
+    count = lambda t: len(encode.tokenizer.encode(t, add_special_tokens=False).ids)
+    tree = TokenTree(text, encode)
+    assert max(map(len, tree.parts)) < 1_000 and tree.tokens[1] == count(text)
+    before, half = tree.encoded, len(text) // 2
+    tree.edit(half, half + 1, "x")
+    assert tree.encoded - before < 2_000 and tree.tokens[1] == count(text[:half] + "x" + text[half + 1 :])
+
+
+def test_a_large_insertion_encodes_itself_alone():
+    encode = encoder(*vocabulary_files())
+    tree = TokenTree("some words here " * 20_000, encode)
+    before = tree.encoded
+    tree.edit(100_000, 100_000, "new words " * 400)
+    assert tree.encoded - before < 4_000 + 2_000
+    assert tree.tokens[1] == len(encode.tokenizer.encode(tree.text(), add_special_tokens=False).ids)
+
+
+def test_trees_outlive_a_batch_of_edits(spark):
+    encode = encoder(*vocabulary_files())
+    texts = ["some words here " * 500, "", None, "short"]
+    trees = token_trees(docs_of(spark, texts))
+    schema = f"doc_id long, edits {EDITS}"
+    first = edit_trees(trees, spark.createDataFrame([(0, [(100, 110, "new")]), (1, [(0, 0, "begin")]), (7, [(0, 0, "x")])], schema))
+    again = {r.doc_id: r for r in edit_trees(spark.createDataFrame(first.collect(), first.schema), spark.createDataFrame([(0, [(4000, 4000, " more")]), (3, None)], schema)).collect()}
+    whole = texts[0][:100] + "new" + texts[0][110:]
+    expected = {0: whole[:4000] + " more" + whole[4000:], 1: "begin", 2: "", 3: "short"}
+    assert {k: "".join(r.leaves) for k, r in again.items()} == expected
+    assert all(sum(r.tokens) == len(encode.tokenizer.encode(expected[k], add_special_tokens=False).ids) for k, r in again.items())
+    assert 0 < again[0].n_reencoded < 2_000 and not again[1].n_reencoded
+
+
 def test_token_counts_edges(spark):
     frame = docs_of(spark, EDGES).withColumn("n_tokens", F.lit(1))
     encode = encoder(*vocabulary_files())
     out = {r.doc_id: r for r in token_counts(frame, sample_edits(frame["text"])).collect()}
     assert [out[k].n_tokens for k in range(len(EDGES))] == [len(encode.tokenizer.encode(t or "", add_special_tokens=False).ids) for t in EDGES]
     assert token_counts(frame.limit(0)).count() == 0
+    assert sorted(r.n_tokens for r in token_counts(frame.unionByName(frame)).collect()) == sorted(2 * [r.n_tokens for r in out.values()])
     assert all(r.n_edited_tokens == r.n_tokens for r in token_counts(frame).collect())
 
 
@@ -194,6 +229,38 @@ def test_remove_repeats(spark, monkeypatch):
         assert [out[k] for k in range(len(texts))] == repeats(texts)
 
 
+def test_rows_that_repeat_an_id(spark):
+    passage = "a passage that is repeated here and is longer than fifty bytes in all"
+    rows = [(1, passage), (2, passage), (2, "short"), (2, "x " + passage), (3, "y" * 80), (3, "y" * 80), (None, passage), (None, None), (4, "y" * 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("SPANS", F.lit("mine"))
+    earlier = lambda i, gram: any(a is not None and rows[i][0] is not None and a < rows[i][0] and gram in (b or "") for a, b in rows)
+    expected = []
+    for i, (doc_id, text) in enumerate(rows):
+        gone = [False] * len(text or "")
+        for k in range(len(text or "") - 49):
+            if earlier(i, text[k : k + 50]):
+                gone[k : k + 50] = [True] * 50
+        kept = "".join(c for c, g in zip(text or "", gone, strict=True) if not g)
+        expected.append((doc_id, len(text or ""), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    out = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in remove_repeats(frame).collect()]
+    assert sorted(map(str, out)) == sorted(str(e[:4]) for e in expected)
+    cut = without_repeats(frame)
+    assert cut.columns == frame.columns and sorted(str((r.doc_id, r.text or "")) for r in cut.collect()) == sorted(str((e[0], e[4])) for e in expected)
+
+
+def test_hashes_of_several_rows(spark):
+    from tessera.llm.common import packed, unpacked
+    from tessera.llm.shared import chunk_blocks, several
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, 8).astype(np.uint64) << np.uint64(40)) for _ in range(30)]
+    rows = [(k // 7, bytearray(packed(x, 5).tobytes())) for k, x in enumerate(sets)]
+    found = several(chunk_blocks(spark.createDataFrame(rows, "chunk long, hashes binary").coalesce(1), 3, 5), 3, 5, frequencies=True).collect()
+    often = {int(h): sum(h in x for x in sets) for x in sets for h in x}
+    got = {(r.chunk, int(h) << 24): int(n) for r in found for h, n in zip(unpacked(r.hashes, 5), np.frombuffer(r.df, np.uint32), strict=True)}
+    assert got == {(k // 7, int(h)): often[int(h)] for k, x in enumerate(sets) for h in x if often[int(h)] > 1}
+
+
 def test_repeats_in_long_texts_and_edges(spark, monkeypatch):
     from tessera.llm import suffixes
 
@@ -250,6 +317,9 @@ def test_contamination(spark, limit):
     spans = {r.doc_id: r.text for r in decontaminate(docs, bench, remove="spans").collect()}
     assert spans[2] == "a here" and spans[8] == texts[8] and spans[4] is None and spans[0] == "x é birds sing y"
     assert contamination_report(docs.limit(0), bench).count() == 0
+    long = docs_of(spark, ["filler words of no kind " * 20_000 + item]).unionByName(docs_of(spark, ["filler words of no kind " * 20_000 + item]))
+    raw = find_contamination(long, bench, broadcast_windows=limit).collect()
+    assert [(r.n_words, len(r.hits)) for r in raw] == [(100_014, 14)] * 2
     assert not any(r.contaminated for r in contamination_report(docs, bench.limit(0)).collect())
 
 
@@ -306,6 +376,44 @@ def test_scores_do_not_depend_on_the_block(spark):
     assert np.allclose(model.score(data, offsets), alone)
 
 
+def test_toxicity_score_by_plain_loops():
+    from tessera.llm.common import BASE, BYTE_VALUES
+    from tessera.llm.toxicity import BUCKET_BITS, GRAMS
+
+    def mixed(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = (x ^ (x >> shift)) * factor % 2**64
+        return x
+
+    model = CharNB()
+    model.weights[:] = np.random.default_rng(2).normal(0, 1, model.weights.shape)
+    model.bias = 0.3
+    texts = ["First text, here!", "", "x", "zweiter Text ß " * 3]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for text, score in zip(texts, model.score(data, offsets), strict=True):
+        raw = bytes(c + 32 if 65 <= c < 91 else c for c in f" {text} ".encode())
+        raw = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in raw)
+        total = 0.0
+        for g, n in enumerate(GRAMS):
+            for k in range(len(raw) - n + 1):
+                value = sum(int(BYTE_VALUES[raw[k + j]]) * int(BASE) ** j for j in range(n)) + n
+                total += float(model.weights[g][mixed(value % 2**64) >> (64 - BUCKET_BITS)])
+        assert abs(score - 1 / (1 + np.exp(-(0.3 + total / (len(text.encode()) + 2))))) < 1e-5
+
+
+@pytest.mark.parametrize(("operator", "label"), [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_on_repeated_rows_and_long_texts(spark, operator, label):
+    docs, labels = labelled(spark)
+    base = docs.where("doc_id in (5, 6)")
+    long = base.where("doc_id = 6").select(F.lit(950).cast("long").alias("doc_id"), F.repeat(F.concat("text", F.lit(" ")), 3_000).alias("text"), "lang", "source", "n_chars")
+    out = operator(docs.unionByName(base).unionByName(long), labels).collect()
+    assert len(out) == 403 + 3
+    by = {k: [r for r in out if r.doc_id == k] for k in (5, 6, 950)}
+    assert by[5][0] == by[5][1] and by[6][0] == by[6][1] and len(by[950]) == 1 and 0 <= by[950][0].score <= 1
+    if operator is toxicity:  # relative counts, so a text repeated many times scores about as it does once
+        assert abs(by[950][0].score - by[6][0].score) < 0.1
+
+
 def test_keep_quality_keeps_columns_and_clean_rows(spark):
     docs, labels = labelled(spark)
     kept = keep_quality(docs, labels)
@@ -341,6 +449,16 @@ def test_embedding_links(spark, monkeypatch):
     assert embedding_dedup(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "a", "b"), [("long", 1 << 40, 1), ("string", "left", "right"), ("double", 0.0, 1.5), ("boolean", True, False)])
+def test_embedding_labels_of_any_type_and_repeated_ids(spark, kind, a, b):
+    v, w = [1.0] * 16, [1.0, -1.0] * 8
+    rows = [(1, v, a), (1, v, a), (2, v, b), (3, w, a), (4, w, a), (5, v, None)]
+    if kind == "double":
+        rows[1] = (1, v, -0.0)
+    out = embedding_dedup(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True)]
+
+
 def test_hashing_recall_at_the_threshold():
     rng = np.random.default_rng(9)
     a = rng.normal(size=(2000, 64))
@@ -357,23 +475,63 @@ def test_hashing_recall_at_the_threshold():
 # Language
 
 
+def precise(net):
+    for side in net.sides:
+        side.e, side.u, side.o = side.e.astype(float), side.u.astype(float), side.o.astype(float)
+    net.bias = np.array([0.2, -0.1, 0.0])
+    return net
+
+
 def test_gradients_of_the_network():
     rng = np.random.default_rng(0)
-    x = rng.integers(97, 110, (5, 3)).astype(np.uint8)
-    net = BiGRU(["a", "b"], 3)
-    p = net.positions(x)
-    assert p.shape == (5, 3, 2) and np.allclose(p.sum(2), 1)
-    pooled = net.pooled(x.T.ravel(), np.array([0, 5, 10, 10, 15]))
-    assert np.allclose(pooled[0], p[:, 0].mean(0), atol=1e-5) and pooled[2].sum() == 0
+    x, label = rng.integers(97, 102, (6, 3)).astype(np.uint8), np.array([0, 2, 1])
+    net = precise(BiGRU(["a", "b", "c"], 3))
+    _, grads = net.gradients(x, label)
+    weights = [w for side in net.sides for w in side.weights()] + [net.bias]
+    for w, g in zip(weights, grads, strict=True):
+        for at in rng.permutation(np.flatnonzero(np.abs(g) > 1e-6))[:15]:
+            old, step = w.flat[at], 1e-6
+            w.flat[at] = old + step
+            up = net.gradients(x, label)[0]
+            w.flat[at] = old - step
+            down = net.gradients(x, label)[0]
+            w.flat[at] = old
+            assert abs((up - down) / (2 * step) - g.flat[at]) < 1e-6
+
+
+def test_network_by_plain_loops():
+    net = precise(BiGRU(["a", "b", "c"], 3))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(side, text):
+        h, out = np.zeros(3), []
+        for c in text:
+            a, b = side.e[c], h @ side.u
+            z, r = sigmoid(a[:3] + b[:3]), sigmoid(a[3:6] + b[3:6])
+            n = np.tanh(a[6:] + r * b[6:])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    texts = [b"hello", b"", "größe ".encode() * 40]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    for text, pooled in zip(texts, net.pooled(data, offsets), strict=True):
+        total = np.zeros(3)
+        for k in range(0, len(text), 128):
+            part = text[k : k + 128]
+            for f, g in zip(states(net.sides[0], part), states(net.sides[1], part[::-1])[::-1], strict=True):
+                p = np.exp(f @ net.sides[0].o + g @ net.sides[1].o + net.bias)
+                total += p / p.sum()
+        assert np.allclose(pooled, total / max(1, len(text)), atol=1e-5)
 
 
 def test_language(spark):
     rng = random.Random(3)
     make = {"en": ["the", "of", "with", "things"], "de": ["der", "über", "nicht", "schön"], "fr": ["le", "où", "était", "aux"]}
     rows = [(k, " ".join(rng.choice(make[lang]) for _ in range(40)), lang, "s", 1) for k, lang in enumerate(rng.choice(list(make)) for _ in range(300))]
-    docs = spark.createDataFrame([*rows, (900, None, "en", "s", 0), (901, "123 ...", "en", "s", 0), (902, "", None, "s", 0)], DOC).withColumn("lang_pred", F.lit(0))
+    docs = spark.createDataFrame([*rows, (900, None, "en", "s", 0), (901, "123 ...", "en", "s", 0), (902, "", None, "s", 0), (903, "½ ² ① Ⅷ 5", "en", "s", 0), (904, "the of with " * 20_000, "en", "s", 0), (904, "the of with " * 20_000, "en", "s", 0)], DOC).withColumn("lang_pred", F.lit(0))
     out = {r.doc_id: r for r in language(docs).collect()}
-    assert all(out[k].lang_pred == "und" for k in (900, 901, 902))
+    assert all(out[k].lang_pred == "und" for k in (900, 901, 902, 903)) and out[904].lang_pred == "en"
     tested = [r for r in rows if out[r[0]].held_out]
     assert np.mean([out[r[0]].lang_pred == r[2] for r in tested]) > 0.95 and all(0 <= r.score <= 1 for r in out.values())
     assert language(docs.limit(0)).count() == 0
@@ -421,6 +579,8 @@ def test_packing(spark):
     digest = packing_digest(frame).toPandas()
     assert sorted(digest.ids_crc32) == sorted(zlib.crc32(x) for x in out.ids)
     assert pack(frame.limit(0)).count() == 0
+    twice = pack(frame.unionByName(frame)).toPandas()
+    assert twice.length.sum() == 2 * out.length.sum()
 
 
 # URL filter
@@ -446,6 +606,15 @@ def test_url_rules(spark):
     assert url_filter(pages.limit(0)).count() == 0
 
 
+def test_graph_decides_where_no_rule_does(spark):
+    link = lambda *hosts: "".join(f"<a href='http://{h}/x'>y</a>" for h in hosts)
+    rows = [(k, f"http://bad{k}.net/p", None) for k in range(4)]
+    rows += [(10, "http://feeder.info/1", link(*(f"bad{k}.net" for k in range(4)))), (11, "http://plain.info/2" + "?q" * 50_000, "<p>no link" * 10_000), (12, "http://good.org/fr/x", link("near.info")), (13, "http://near.info/", None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("linked", F.lit(1))
+    out = {r.page_id: r.verdict for r in url_filter(frame).collect()}
+    assert out == {0: "block", 1: "block", 2: "block", 3: "block", 10: "block", 11: "allow", 12: "allow", 13: "allow"}
+
+
 def test_rank_against_power_iteration(spark):
     edges = [("a", "b", 1), ("b", "c", 2), ("b", "a", 1), ("c", "a", 1), ("d", "c", 3)]
     out = {r.host: r.score for r in propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("a", 2.0), ("d", 1.0)], "host string, mass double"), rounds=200).collect()}
@@ -490,3 +659,22 @@ def test_pipeline(spark, small):
     whole = corpus_pipeline.run(spark, small)
     total = lambda d: tuple(d.agg(F.sum("length"), F.count_distinct("doc_id")).first())
     assert total(packed) == total(whole) and total(whole)[1] == docs.count()
+
+
+@pytest.mark.parametrize("case", ["empty", "odd"])
+def test_pipeline_on_odd_documents(spark, small, case):
+    """Empty tables, null texts and ids, repeated ids and columns with clashing names pass through every stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0 if case == "empty" else 60)
+    if case == "odd":
+        odd = spark.createDataFrame([(1, None, None, None, None), (None, "text without an id", None, None, 1), (2, "a text with an id of its own, twice", "en", "s", 1), (2, "another text with the same id", "en", "s", 1)], docs.schema)
+        docs = docs.unionByName(odd)
+    for name in ("__spans", "__hits", "spans", "hits", "component_id", "key"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    for _, stage in corpus_pipeline.STAGES:
+        columns, docs = docs.columns, stage(spark, docs, small)
+        if "sequence_id" not in docs.columns:
+            assert docs.columns == columns
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    assert (docs.count() == 0) == (case == "empty")
