@@ -194,10 +194,10 @@ def pooled_tags(t: Catalog) -> DataFrame:
 
 
 _POOL = f"(SELECT r.id AS entity_id, e.id, e.value, e.confidence, e.source_id, CASE WHEN e.entity_id = r.id THEN 1.6 ELSE 1.0 END AS weight FROM core_recordings r JOIN core_recordings s ON r.album_id = s.album_id JOIN meta_evidence e ON e.entity_id = s.id WHERE e.field_name = 'genre' AND e.value <> '' AND r.album_id IN (SELECT album_id FROM ({COMPILATIONS}) c WHERE NOT compilation) UNION ALL SELECT r.id, e.id, e.value, e.confidence, e.source_id, 1.0 FROM core_recordings r JOIN meta_evidence e ON e.entity_id = r.id WHERE e.field_name = 'genre' AND e.value <> '' AND (r.album_id IS NULL OR r.album_id NOT IN (SELECT album_id FROM ({COMPILATIONS}) c WHERE NOT compilation)))"
-_TAGGED = "(SELECT r.id, a.name FROM core_recordings r LEFT JOIN core_artists a ON r.artist_id = a.id WHERE r.id < 150)"
+_TAGGED = "(SELECT r.id, a.name FROM core_recordings r LEFT JOIN core_artists a ON r.artist_id = a.id)"
 
 
-@q("dm14_album_pooled_genre", _GENRES.format(source=f"(SELECT * FROM {_POOL} p WHERE entity_id < 150)", artists=_TAGGED))
+@q("dm14_album_pooled_genre", _GENRES.format(source=_POOL, artists=_TAGGED))
 def album_genre(t: Catalog) -> DataFrame:
     artists = t.core_recordings.select(F.col("id").alias("entity_id"), "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left").select("entity_id", "artist")
     return genre_consensus(pooled_tags(t), artists)
@@ -365,6 +365,6 @@ q("dm38_candidates_by_state", "SELECT c.candidate_id, coalesce(s.v_rel, 0.0) AS
 q("dm42_entity_fan_out", "SELECT asset_id, 'recording' AS kind, md5(md5_file) AS value FROM core_assets WHERE channels = 1 UNION ALL SELECT asset_id, 'asset', audio_stream_hash FROM core_assets WHERE channels = 1 UNION ALL SELECT asset_id, 'validation', '0.2' FROM core_assets WHERE channels = 1")(
     lambda t: t.core_assets.where("channels = 1").select("asset_id", F.md5(F.col("md5_file").cast("binary")).alias("recording"), F.col("audio_stream_hash").alias("asset"), F.lit("0.2").alias("validation")).unpivot("asset_id", ["recording", "asset", "validation"], "kind", "value")
 )
-q("dm50_provider_health", "SELECT coalesce(m.source_id, b.source_id) AS provider, coalesce(m.n, 0) AS requests, coalesce(m.mean, 0.0) AS mean, CASE WHEN b.bad >= 20 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM (SELECT source_id, count(*) AS n, round(avg(confidence), 6) AS mean FROM meta_evidence WHERE id % 2 = 0 GROUP BY source_id) m FULL JOIN (SELECT source_id, count(*) AS bad FROM meta_evidence WHERE value = 'broken' GROUP BY source_id) b ON m.source_id = b.source_id")(
+q("dm50_provider_health", "SELECT coalesce(m.source_id, b.source_id) AS provider, coalesce(m.n, 0) AS requests, coalesce(m.mean, 0.0) AS mean, CASE WHEN b.bad >= 20 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM (SELECT source_id, count(*) AS n, round(avg(confidence), 6) AS mean FROM meta_evidence GROUP BY source_id) m FULL JOIN (SELECT source_id, count(*) AS bad FROM meta_evidence WHERE value = 'broken' GROUP BY source_id) b ON m.source_id = b.source_id")(
     lambda t: t.meta_evidence.groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")).join(t.meta_evidence.where("value = 'broken'").groupBy("source_id").agg(F.count("*").alias("bad")), "source_id", "full").select(F.col("source_id").alias("provider"), F.coalesce("n", F.lit(0)).alias("requests"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(F.col("bad") >= 20, "OPEN").otherwise("CLOSED").alias("state"))
 )

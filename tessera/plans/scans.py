@@ -18,8 +18,8 @@ def overview(t: Catalog) -> DataFrame:
     return views.overview(t.core_recordings, t.core_artists, t.core_albums, t.core_assets, t.core_asset_locations, t.meta_validation)
 
 
-q("src02_overview", "SELECT * FROM vw_recording_overview")(overview)
-q("src03_open_issues", "SELECT i.id, i.entity_id, coalesce(r.title, 'Untitled Work') AS recording_title, i.issue_code, i.severity, i.status, i.created_at FROM meta_issues i LEFT JOIN core_recordings r ON i.entity_id = r.id WHERE i.status = 'OPEN'")(
+q("src02_overview", "SELECT * EXCLUDE (by_artist, on_album, own_date) FROM vw_recording_overview")(overview)
+q("src03_open_issues", "WITH waiting AS (FROM meta_issues WHERE status = 'OPEN'), names AS (SELECT id AS entity_id, title FROM core_recordings WHERE id IN (SELECT entity_id FROM waiting)) SELECT waiting.*, 'Untitled Work' AS recording_title FROM waiting ANTI JOIN names USING (entity_id) UNION ALL BY NAME SELECT waiting.*, coalesce(names.title, 'Untitled Work') AS recording_title FROM waiting JOIN names USING (entity_id)")(
     lambda t: views.open_issues(t.meta_issues, t.core_recordings)
 )
 
@@ -54,15 +54,15 @@ def flatten_bindings(t: Catalog) -> DataFrame:
     return rows.select("n_nationkey", F.element_at(F.split("b.item.value", "/"), -1).alias("qid"), F.col("b.label.value").alias("label"))
 
 
-@q("src11_flatten_media", "SELECT p_partkey AS release, k AS position, p_name || ' ' || CAST(k AS VARCHAR) AS title, CASE WHEN k = 1 THEN 'I' || CAST(p_partkey AS VARCHAR) END AS isrc FROM part, (VALUES (1), (2)) AS v(k) WHERE p_size < 10")
+@q("src11_flatten_media", "SELECT p_partkey AS release, k AS position, p_name || ' ' || CAST(k AS VARCHAR) AS title, CASE WHEN k = 1 THEN 'I' || CAST(p_partkey AS VARCHAR) END AS isrc FROM part, (VALUES (1), (2)) AS v(k)")
 def flatten_media(t: Catalog) -> DataFrame:
     raw = F.expr("""'{"media":[{"tracks":[{"position":1,"title":"' || p_name || ' 1","isrcs":["I' || p_partkey || '","X"]}]},{"tracks":[{"position":2,"title":"' || p_name || ' 2","isrcs":[]}]}]}'""")
     schema = "struct<media:array<struct<tracks:array<struct<position:int,title:string,isrcs:array<string>>>>>>"
-    media = t.part.where("p_size < 10").select(F.col("p_partkey").alias("release"), F.from_json(raw, schema).alias("j")).select("release", F.explode("j.media").alias("m"))
+    media = t.part.select(F.col("p_partkey").alias("release"), F.from_json(raw, schema).alias("j")).select("release", F.explode("j.media").alias("m"))
     return media.select("release", F.explode("m.tracks").alias("x")).select("release", "x.position", "x.title", F.get("x.isrcs", 0).alias("isrc"))
 
 
-@q("src12_cache_lookup", "SELECT r.id, v.quality_score AS cached FROM core_recordings r LEFT JOIN meta_validation v ON r.id = v.recording_id WHERE r.id % 3 = 0")
+@q("src12_cache_lookup", "SELECT r.id, v.quality_score AS cached FROM core_recordings r LEFT JOIN meta_validation v ON r.id = v.recording_id")
 def cache_lookup(t: Catalog) -> DataFrame:
     return t.core_recordings.select("id").join(t.meta_validation.select(F.col("recording_id").alias("id"), F.col("quality_score").alias("cached")), "id", "left")
 
@@ -242,7 +242,7 @@ def fuzzy(t: Catalog, close) -> DataFrame:
 
 q(
     "jn14_blocked_levenshtein",
-    f"WITH lib AS (SELECT DISTINCT substr({duck.alnum('b.title')}, 1, 3) AS block, b.title AS lib_title, coalesce(a.name, 'Unknown Artist') AS lib_artist FROM core_albums b LEFT JOIN core_artists a ON b.artist_id = a.id) SELECT DISTINCT candidate_id FROM sys_discovery_candidates c JOIN lib ON block = substr({duck.alnum('c.title')}, 1, 3) WHERE c.title LIKE 'Album%' AND abs(length(title) - length(lib_title)) <= 2 AND abs(length(artist_name) - length(lib_artist)) <= 1 AND levenshtein(title, lib_title) <= 2 AND levenshtein(artist_name, lib_artist) <= 1",
+    f"WITH lib AS (SELECT DISTINCT substr({duck.alnum('b.title')}, 1, 3) AS block, b.title AS lib_title, coalesce(a.name, 'Unknown Artist') AS lib_artist FROM core_albums b LEFT JOIN core_artists a ON b.artist_id = a.id) SELECT DISTINCT candidate_id FROM sys_discovery_candidates c JOIN lib ON block = substr({duck.alnum('c.title')}, 1, 3) WHERE abs(length(title) - length(lib_title)) <= 2 AND abs(length(artist_name) - length(lib_artist)) <= 1 AND levenshtein(title, lib_title) <= 2 AND levenshtein(artist_name, lib_artist) <= 1",
 )(lambda t: fuzzy(t, F.expr("abs(length(title) - length(lib_title)) <= 2 AND abs(length(artist_name) - length(lib_artist)) <= 1 AND levenshtein(title, lib_title) <= 2 AND levenshtein(artist_name, lib_artist) <= 1")))
 q("jn17_regions", f"SELECT id, {duck.region('country')} AS region FROM core_artists")(lambda t: t.core_artists.select("id", text.region(F.col("country")).alias("region")))
 q("jn18_priors", f"SELECT id, {duck.family('source_id')} AS family, {duck.prior('field_name', duck.family('source_id'))} AS prior FROM meta_evidence")(lambda t: with_priors(t.meta_evidence).select("id", "family", "prior"))
@@ -267,7 +267,7 @@ def album_pool(t: Catalog) -> DataFrame:
     return t.core_recordings.select("album_id", "id").join(s, "album_id").select("id", "fact")
 
 
-@q("jn21_full_outer", "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(n, 0) AS requests, coalesce(state, 'CLOSED') AS state FROM (SELECT source_id, count(*) AS n FROM meta_evidence WHERE id % 2 = 0 AND source_id < 'SRC_L' GROUP BY source_id) a FULL JOIN (SELECT source_id, 'OPEN' AS state FROM meta_evidence WHERE source_id > 'SRC_E' GROUP BY source_id) b ON a.source_id = b.source_id")
+@q("jn21_full_outer", "SELECT coalesce(a.source_id, b.source_id) AS source_id, coalesce(n, 0) AS requests, coalesce(state, 'CLOSED') AS state FROM (SELECT source_id, count(*) AS n FROM meta_evidence WHERE source_id < 'SRC_L' GROUP BY source_id) a FULL JOIN (SELECT source_id, 'OPEN' AS state FROM meta_evidence WHERE source_id > 'SRC_E' GROUP BY source_id) b ON a.source_id = b.source_id")
 def full_outer(t: Catalog) -> DataFrame:
     a = t.meta_evidence.where("source_id < 'SRC_L'").groupBy("source_id").agg(F.count("*").alias("n"))
     b = t.meta_evidence.where("source_id > 'SRC_E'").select("source_id").distinct().withColumn("state", F.lit("OPEN"))
@@ -285,11 +285,11 @@ q("so06_score_slice", "SELECT candidate_id, final_ccs FROM sys_discovery_candida
 q("st01_union_of_ids", "SELECT musicbrainz_recording_id AS id FROM core_recordings WHERE musicbrainz_recording_id IS NOT NULL UNION SELECT release_group_mbid FROM core_albums WHERE release_group_mbid IS NOT NULL UNION SELECT barcode FROM core_albums WHERE barcode IS NOT NULL")(
     lambda t: t.core_recordings.select(F.col("musicbrainz_recording_id").alias("id")).unionByName(t.core_albums.select(F.explode(F.array("release_group_mbid", "barcode")).alias("id"))).where("id IS NOT NULL").distinct()
 )
-q("st02_union_all", "SELECT c_name AS name, 'a' AS via FROM customer WHERE c_custkey < 50 UNION ALL SELECT s_name, 'b' FROM supplier UNION ALL SELECT p_name, 'c' FROM part WHERE p_size = 7")(
+q("st02_union_all", "SELECT c_name AS name, 'a' AS via FROM customer UNION ALL SELECT s_name, 'b' FROM supplier UNION ALL SELECT p_name, 'c' FROM part WHERE p_size = 7")(
     lambda t: t.customer.select(F.col("c_name").alias("name"), F.lit("a").alias("via")).unionByName(t.supplier.select(F.col("s_name").alias("name"), F.lit("b").alias("via"))).unionByName(t.part.where("p_size = 7").select(F.col("p_name").alias("name"), F.lit("c").alias("via")))
 )
 q("st03_distinct_union", "SELECT primary_genre AS genre FROM sys_discovery_candidates UNION SELECT genre FROM core_recordings WHERE genre IS NOT NULL")(lambda t: t.sys_discovery_candidates.select(F.col("primary_genre").alias("genre")).union(t.core_recordings.where("genre IS NOT NULL").select("genre")).distinct().orderBy("genre"))
-q("st04_tag_union", "SELECT id, list_sort(list_distinct(list_concat([coalesce(genre, '-')], [coalesce(subgenre, '-'), 'Rock']))) AS tags FROM core_recordings WHERE id % 50 = 0")(lambda t: t.core_recordings.select("id", F.array_sort(F.array_union(F.array(F.coalesce("genre", F.lit("-"))), F.array(F.coalesce("subgenre", F.lit("-")), F.lit("Rock")))).alias("tags")))
+q("st04_tag_union", "SELECT id, list_sort(list_distinct(list_concat([coalesce(genre, '-')], [coalesce(subgenre, '-'), 'Rock']))) AS tags FROM core_recordings")(lambda t: t.core_recordings.select("id", F.array_sort(F.array_union(F.array(F.coalesce("genre", F.lit("-"))), F.array(F.coalesce("subgenre", F.lit("-")), F.lit("Rock")))).alias("tags")))
 
 # Windows
 

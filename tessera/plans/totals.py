@@ -155,7 +155,7 @@ def family_trust(evidence: DataFrame) -> DataFrame:
 
 @q(
     "ag20_latency_average",
-    """WITH RECURSIVE seq AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 40),
+    """WITH RECURSIVE seq AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
     fold AS (SELECT user_id, n, CAST(value AS DOUBLE) AS ema FROM seq WHERE n = 1 UNION ALL SELECT s.user_id, s.n, CASE WHEN f.ema = 0 THEN s.value ELSE 0.2 * s.value + 0.8 * f.ema END FROM fold f JOIN seq s ON s.user_id = f.user_id AND s.n = f.n + 1)
     SELECT user_id, round(arg_max(ema, n), 6) AS ema FROM fold GROUP BY user_id""",
 )

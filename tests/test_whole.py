@@ -1,37 +1,7 @@
-"""Queries over whole tables: beside SQL without the id bounds that the registered SQL may have, or by brute force."""
-
-import duckdb
-import pytest
+"""Queries without SQL, over whole tables, by brute force."""
 
 from tessera.plans import registry
 
-from .compare import plain
-
-#: The conditions that a registered statement may have and the query doesn't.
-BOUNDS = {
-    "dm14_album_pooled_genre": ["WHERE r.id < 150", "WHERE entity_id < 150"],
-    "ag20_latency_average": ["WHERE user_id < 40"],
-    "dm50_provider_health": ["WHERE id % 2 = 0"],
-    "jn21_full_outer": ["id % 2 = 0 AND "],
-    "src12_cache_lookup": ["WHERE r.id % 3 = 0"],
-    "st02_union_all": ["WHERE c_custkey < 50"],
-    "st04_tag_union": ["WHERE id % 50 = 0"],
-}
-
-
-@pytest.mark.parametrize("name", sorted(BOUNDS))
-def test_query_takes_whole_tables(name, spark, small):
-    sql = registry.oracle_sql()[name]
-    for bound in BOUNDS[name]:
-        sql = sql.replace(bound, "")
-    connection = duckdb.connect()
-    connection.sql("SET timezone = 'UTC'")
-    for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
-        connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{small}/{table}.parquet'")
-    expected = connection.sql(sql).df()
-    assert plain(registry.queries()[name](spark, small).toPandas()) == plain(expected)
-
-
 def test_first_come_over_all_assets(spark, small):
     from tessera.sources.fixtures import Catalog
 
