@@ -1,3 +1,3 @@
-"""Registers every query of the library."""
+"""Imports every module of queries, so that they register."""
 
-from tessera.plans import changes, domain, flows, scans, totals  # noqa: F401
+from tessera.plans import changes, decisions, domain, flows, scans, totals  # noqa: F401

@@ -102,35 +102,6 @@ q("dm05_quality_score", f"SELECT id, CAST({SCORE} AS DOUBLE) AS score FROM core_
 q("dm06_lifecycle_state", f"SELECT id, {STATE} AS state FROM (SELECT *, {SCORE} AS score FROM core_recordings) x")(lambda t: scored(t.core_recordings).select("id", "state"))
 
 
-def apply_codes(recordings: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Set isrc where the choice (entity_id, isrc) collides with no other recording; else an issue.
-
-    A choice collides with a recording that has the code already, and with a choice of a smaller id.
-    """
-    first = decisions.groupBy("isrc").agg(F.min("entity_id").alias("first"))
-    # Two holders are enough to tell whether another than the entity itself has the code.
-    held = recordings.where("isrc <> ''").groupBy("isrc").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    judged = decisions.join(first, "isrc").join(held, "isrc", "left")
-    clash = (F.col("first") != F.col("entity_id")) | F.coalesce((F.col("low") != F.col("entity_id")) | (F.col("high") != F.col("entity_id")), F.lit(False))
-    judged = judged.select("entity_id", "isrc", clash.alias("clash"))
-    free = judged.where("NOT clash").select(F.col("entity_id").alias("id"), F.col("isrc").alias("new"))
-    out = recordings.join(free, "id", "left").withColumn("isrc", F.coalesce("new", "isrc")).drop("new")
-    issues = judged.where("clash").select("entity_id", F.lit("DUPLICATE_IDENTIFIER_COLLISION").alias("issue_code"), F.lit("WARNING").alias("severity"), F.lit("OPEN").alias("status"))
-    return out, issues
-
-
-_CODES = "SELECT o_orderkey AS entity_id, 'USABC' || substr(CAST(10000000 + o_orderkey % 7000 AS STRING), 2, 7) AS isrc FROM orders WHERE o_orderkey % 9 = 2"
-_JUDGED = f"SELECT d.entity_id, d.isrc, d.entity_id <> (min(d.entity_id) OVER (PARTITION BY d.isrc)) OR EXISTS (SELECT 1 FROM core_recordings r WHERE r.isrc = d.isrc AND r.id <> d.entity_id) AS clash FROM ({_CODES}) d"
-
-
-def _codes(t: Catalog) -> DataFrame:
-    return t.orders.where("o_orderkey % 9 = 2").select(F.col("o_orderkey").alias("entity_id"), F.concat(F.lit("USABC"), F.substring((F.col("o_orderkey") % 7000 + 10000000).cast("string"), 2, 7)).alias("isrc"))
-
-
-q("dm07_apply_decisions", f"SELECT r.id, coalesce(j.isrc, r.isrc) AS isrc FROM core_recordings r LEFT JOIN (SELECT * FROM ({_JUDGED}) x WHERE NOT clash) j ON r.id = j.entity_id")(lambda t: apply_codes(t.core_recordings, _codes(t))[0].select("id", "isrc"))
-q("dm07_collisions", f"SELECT entity_id, 'DUPLICATE_IDENTIFIER_COLLISION' AS issue_code, 'WARNING' AS severity, 'OPEN' AS status FROM ({_JUDGED}) x WHERE clash")(lambda t: apply_codes(t.core_recordings, _codes(t))[1])
-
-
 def get_or_create(names: DataFrame, known: DataFrame) -> DataFrame:
     """(name, id, created): id of each distinct name in known (id, name) by key, or a new one by a stable hash."""
     from tessera.functions.text import artist_key

@@ -66,29 +66,46 @@ def exact_functions(t: Catalog) -> DataFrame:
 
 # Resolution
 
-_PASS = f"""
-facts AS (SELECT *, trim(value) AS raw, {duck.normalise('field_name', 'trim(value)')} AS norm, {duck.family('source_id')} AS family FROM meta_evidence WHERE coalesce(trim(value), '') <> '' AND upper(trim(value)) NOT IN ('NONE', 'NULL')),
+_FIRST_CURRENT = "(SELECT entity_id, field_name, arg_max(value, struct_pack(a := confidence, b := id)) AS old_value FROM meta_evidence GROUP BY entity_id, field_name)"
+
+
+def passes(source: str = "meta_evidence") -> str:
+    """SQL of the candidates (cands) of facts in a table."""
+    return f"""
+facts AS (SELECT *, trim(value) AS raw, {duck.normalise('field_name', 'trim(value)')} AS norm, {duck.family('source_id')} AS family FROM {source} WHERE coalesce(trim(value), '') <> '' AND upper(trim(value)) NOT IN ('NONE', 'NULL')),
 by_family AS (SELECT entity_id, field_name, norm, family, avg(confidence * positional_weight) * max({duck.prior('field_name', 'family')}) AS score, min(id) AS first_id, arg_min(raw, id) AS raw FROM facts WHERE norm <> '' GROUP BY entity_id, field_name, norm, family),
 cands AS (SELECT entity_id, field_name, norm, greatest(0.01, round(sum(score), 9)) AS trust, list_sort(list(family)) AS families, min(first_id) AS first_id, CASE WHEN field_name IN ('genre', 'subgenre') THEN norm ELSE arg_min(raw, first_id) END AS value FROM by_family GROUP BY entity_id, field_name, norm)"""
-q("dm01_candidates", f"WITH {_PASS} SELECT entity_id, field_name, norm, value, trust, array_to_string(families, ',') AS families, first_id FROM cands")(lambda t: consensus.candidates(t.meta_evidence).withColumn("families", F.array_join("families", ",")))
-_RESOLVE = f"""WITH {_PASS},
-won AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY trust DESC, len(families) DESC, first_id) AS n FROM cands) c WHERE n = 1),
-cur AS (SELECT entity_id, field_name, arg_max(value, struct_pack(a := confidence, b := id)) AS old_value FROM meta_evidence GROUP BY entity_id, field_name),
-rows AS (SELECT e.entity_id, e.field_name, e.by_user, l.lock_state, cur.old_value, won.value AS won, won.trust, won.families,
-    CASE WHEN l.lock_state = 'MANUAL' THEN 'Field locked as MANUAL by user' WHEN l.lock_state = 'PROTECTED' AND NOT e.by_user THEN 'Field is PROTECTED and no user evidence present' WHEN won.value IS NULL THEN 'All evidence values were invalid or placeholders' END AS kept
-  FROM (SELECT entity_id, field_name, bool_or(source_id = 'SRC_USER') AS by_user FROM meta_evidence GROUP BY entity_id, field_name) e
-  LEFT JOIN meta_locks l ON e.entity_id = l.entity_id AND e.field_name = l.field_name LEFT JOIN cur ON e.entity_id = cur.entity_id AND e.field_name = cur.field_name LEFT JOIN won ON e.entity_id = won.entity_id AND e.field_name = won.field_name)
+
+
+def resolution(source: str = "meta_evidence", current: str = _FIRST_CURRENT, targets: str | None = None) -> str:
+    """SQL of one decision for each entity and field of a table of facts, and of targets."""
+    seen = f"(SELECT entity_id, field_name, bool_or(source_id = 'SRC_USER') AS by_user FROM {source} GROUP BY entity_id, field_name)"
+    wanted = seen if targets is None else f"(SELECT entity_id, field_name, by_user FROM {targets} g LEFT JOIN {seen} s USING (entity_id, field_name))"
+    return f"""WITH {passes(source)},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY trust DESC, len(families) DESC, first_id) AS n FROM cands),
+won AS (SELECT * FROM ranked WHERE n = 1),
+lost AS (SELECT entity_id, field_name, list(struct_pack(value := value, families := families) ORDER BY n) AS rest FROM ranked WHERE n > 1 GROUP BY entity_id, field_name),
+rows AS (SELECT e.entity_id, e.field_name, l.lock_state, cur.old_value, won.value AS won, won.trust, won.families, lost.rest,
+    CASE WHEN l.lock_state = 'MANUAL' THEN 'Field locked as MANUAL by user' WHEN l.lock_state = 'PROTECTED' AND NOT coalesce(e.by_user, FALSE) THEN 'Field is PROTECTED and no user evidence present'
+      WHEN e.by_user IS NULL THEN 'No evidence facts available' WHEN won.value IS NULL THEN 'All evidence values were invalid or placeholders' END AS kept
+  FROM {wanted} e LEFT JOIN meta_locks l ON e.entity_id = l.entity_id AND e.field_name = l.field_name LEFT JOIN {current} cur ON e.entity_id = cur.entity_id AND e.field_name = cur.field_name
+  LEFT JOIN won ON e.entity_id = won.entity_id AND e.field_name = won.field_name LEFT JOIN lost ON e.entity_id = lost.entity_id AND e.field_name = lost.field_name)
 SELECT entity_id, field_name, old_value, CASE WHEN kept IS NULL THEN won ELSE old_value END AS selected_value, CASE WHEN kept IS NULL THEN trust END AS trust,
-  coalesce(kept, 'Selected ''' || won || ''' (Trust weight: ' || printf('%.2f', round(trust + 1e-7, 2)) || ', Families: [' || array_to_string(families, ', ') || '])') AS reason FROM rows"""
+  coalesce(kept, 'Selected \'\'' || won || '\'\' (Trust weight: ' || printf('%.2f', round(trust + 1e-7, 2)) || ', Families: [' || array_to_string(families, ', ') || '])') AS reason,
+  CASE WHEN kept IS NULL AND rest IS NOT NULL THEN CAST(to_json(rest) AS VARCHAR) ELSE '[]' END AS rejected FROM rows"""
+
+
+_PASS = passes()
+q("dm01_candidates", f"WITH {_PASS} SELECT entity_id, field_name, norm, value, trust, array_to_string(families, ',') AS families, first_id FROM cands")(lambda t: consensus.candidates(t.meta_evidence).withColumn("families", F.array_join("families", ",")))
 
 
 def current_values(t: Catalog) -> DataFrame:
     return t.meta_evidence.groupBy("entity_id", "field_name").agg(F.max_by("value", F.struct("confidence", "id")).alias("value"))
 
 
-@q("dm01_resolve_field", _RESOLVE)
+@q("dm01_resolve_field", resolution())
 def resolve_field(t: Catalog) -> DataFrame:
-    return consensus.resolve(t.meta_evidence, t.meta_locks, current_values(t)).drop("rejected")
+    return consensus.resolve(t.meta_evidence, t.meta_locks, current_values(t))
 
 
 q("wn01_winner", f"WITH {_PASS} SELECT entity_id, field_name, value FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, field_name ORDER BY trust DESC, len(families) DESC, first_id) AS n FROM cands) c WHERE n = 1")(
@@ -108,17 +125,6 @@ q("dm04_trust_priors", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{k}', CAS
 q("dm08_purge_codes", f"WITH {_PASS} SELECT entity_id, count(*) FILTER (WHERE {duck.isrc('value')} = '') AS purged, count(*) FILTER (WHERE {duck.isrc('value')} <> '') AS kept FROM meta_evidence WHERE field_name = 'isrc' GROUP BY entity_id")(
     lambda t: t.meta_evidence.where("field_name = 'isrc'").withColumn("code", text.normal_isrc(F.col("value"))).groupBy("entity_id").agg(F.count_if(F.col("code") == "").alias("purged"), F.count_if(F.col("code") != "").alias("kept"))
 )
-q("dm08_purge_and_resolve")(lambda t: purge(t))
-
-
-def purge(t: Catalog) -> DataFrame:
-    """Delete facts with a malformed code, then resolve the field of the entities that had one."""
-    facts = t.meta_evidence.where("field_name = 'isrc'")
-    bad = text.normal_isrc(F.col("value")) == ""
-    touched = facts.where(bad).select("entity_id", "field_name").distinct()
-    return consensus.resolve(facts.where(~bad).join(touched, ["entity_id", "field_name"], "left_semi"), t.meta_locks, current_values(t), targets=touched)
-
-
 q("dm28_manual_override", "SELECT entity_id, field_name, arg_max(trim(value), id) AS selected_value FROM meta_evidence WHERE source_id = 'SRC_USER' AND field_name = 'country' AND trim(value) <> '' AND lower(trim(value)) NOT IN ('none', 'null') AND NOT EXISTS (SELECT 1 FROM meta_locks l WHERE l.entity_id = meta_evidence.entity_id AND l.field_name = 'country' AND l.lock_state = 'MANUAL') GROUP BY entity_id, field_name")(
     lambda t: override(t)
 )
@@ -160,7 +166,7 @@ q("wn09_first_come")(lambda t: dedup.first_come(t.core_assets.select("asset_id",
 
 # Taxonomy
 
-_GENRES = f"""WITH tags AS (SELECT entity_id, id AS seq, value AS tag, confidence * weight AS w, source_id, {duck.space("lower(value)")} AS clean FROM {{source}}),
+GENRES = f"""WITH tags AS (SELECT entity_id, id AS seq, value AS tag, confidence * weight AS w, source_id, {duck.space("lower(value)")} AS clean FROM {{source}}),
 scores AS (SELECT entity_id, clean, round(sum(w * {duck.tag_weight('source_id')}), 6) AS score, min(seq) AS first, coalesce(arg_min(trim(tag), seq) FILTER (WHERE tag <> lower(tag)), arg_min(trim(tag), seq)) AS spelled FROM tags WHERE length(clean) >= 2 AND NOT regexp_matches(clean, '^[0-9]+$') GROUP BY entity_id, clean),
 top AS (SELECT *, {duck.title('spelled')} AS title, row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, first) AS n FROM scores),
 best AS (SELECT entity_id, max(title) FILTER (WHERE n = 1) AS one, max(title) FILTER (WHERE n = 2) AS two, max(score) FILTER (WHERE n = 1) AS score FROM top GROUP BY entity_id),
@@ -170,7 +176,7 @@ z AS (SELECT *, CASE WHEN one IS NULL THEN sub WHEN two IS NOT NULL AND lower(tw
 SELECT entity_id, genre, CASE WHEN one IS NOT NULL AND lower(second) = lower(genre) THEN CASE WHEN lower(sub) <> lower(genre) THEN sub ELSE 'Alternative Rock' END ELSE second END AS subgenre, CASE WHEN one IS NULL THEN CAST(0.5 AS DOUBLE) ELSE round(least(0.99::DOUBLE, greatest(0.40::DOUBLE, 0.40 + score * 0.10)), 2) END AS confidence FROM z"""
 
 
-@q("dm13_genre_consensus", _GENRES.format(source="(SELECT *, 1.0 AS weight FROM meta_evidence WHERE field_name = 'genre')", artists="core_artists"))
+@q("dm13_genre_consensus", GENRES.format(source="(SELECT *, 1.0 AS weight FROM meta_evidence WHERE field_name = 'genre')", artists="core_artists"))
 def genres(t: Catalog) -> DataFrame:
     tags = t.meta_evidence.where("field_name = 'genre'").select("entity_id", F.col("id").alias("seq"), F.col("value").alias("tag"), F.col("confidence").alias("weight"), F.col("source_id").alias("source"))
     return genre_consensus(tags, t.core_artists.select(F.col("id").alias("entity_id"), F.col("name").alias("artist")))
@@ -197,14 +203,12 @@ _POOL = f"(SELECT r.id AS entity_id, e.id, e.value, e.confidence, e.source_id, C
 _TAGGED = "(SELECT r.id, a.name FROM core_recordings r LEFT JOIN core_artists a ON r.artist_id = a.id)"
 
 
-@q("dm14_album_pooled_genre", _GENRES.format(source=_POOL, artists=_TAGGED))
+@q("dm14_album_pooled_genre", GENRES.format(source=_POOL, artists=_TAGGED))
 def album_genre(t: Catalog) -> DataFrame:
     artists = t.core_recordings.select(F.col("id").alias("entity_id"), "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left").select("entity_id", "artist")
     return genre_consensus(pooled_tags(t), artists)
 
 
-q("dm15_reclassify", "SELECT r.id, r.genre AS kept FROM core_recordings r WHERE r.id IN (SELECT entity_id FROM meta_locks WHERE field_name IN ('genre', 'subgenre'))")(lambda t: t.core_recordings.join(t.meta_locks.where("field_name IN ('genre', 'subgenre')").select(F.col("entity_id").alias("id")), "id", "left_semi").select("id", F.col("genre").alias("kept")))
-
 # Propagation
 
 _DONORS = "SELECT * FROM (SELECT r.album_id, r.id AS donor, a.name AS artist, b.title AS album, r.release_date, b.original_release_date, r.genre, r.subgenre, c.compilation, row_number() OVER (PARTITION BY r.album_id ORDER BY v.quality_score DESC, r.id) AS n FROM core_recordings r JOIN meta_validation v ON v.recording_id = r.id JOIN (" + COMPILATIONS + ") c ON c.album_id = r.album_id LEFT JOIN core_artists a ON a.id = r.artist_id LEFT JOIN core_albums b ON b.id = r.album_id WHERE v.quality_score >= 0.9) d WHERE n = 1 AND genre IS NOT NULL AND genre <> 'Unclassified'"
