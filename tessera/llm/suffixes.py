@@ -27,7 +27,7 @@ from tessera.llm.shared import BLOCKS, BUCKETS, ChunkTable, blocks, kept_bytes,
 
 LENGTH = 50
 GRAM = 20
-#: Different surroundings of one anchor up to which they are sorted together; more are split by window.
+#: Different surroundings of one anchor up to which they are sorted together; more are split by the bytes beside it.
 SORTED_TOGETHER = 2048
 #: Bytes that a worker sorts at once; names then fit in 21 bits.
 SORT_BYTES = 1 << 19
@@ -312,25 +312,51 @@ def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.
     return table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).combine_chunks(), table.column(3).to_numpy(), table.column(4).to_numpy()
 
 
+def _crowded(each: DataFrame) -> DataFrame:
+    """The anchors with more different surroundings than are sorted together."""
+    return stored(each.select("anchor", "mark").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
+
+
+def _sorted_runs(each: DataFrame, parts: int) -> DataFrame:
+    dealt = each.select("anchor", "mark", "around", "least", "most").repartition(parts, "anchor").sortWithinPartitions("anchor", "mark")
+    return mapped(dealt, _runs, "anchor long, mark long, low int, high int, first long")
+
+
+def _window_runs(each: DataFrame) -> DataFrame:
+    """The same runs from each 50-byte string by itself, counted before it is dealt out; each surrounding stands once."""
+    windows = each.select("anchor", "mark", "least", "most", "around", F.explode(F.sequence(F.lit(0), F.octet_length("around") - LENGTH)).alias("low"))
+    windows = windows.select("anchor", "mark", "low", "least", "most", F.expr(f"substring(around, low + 1, {LENGTH})").alias("string"))
+    first = stored(windows.groupBy("string").agg(F.min("least").alias("first")))
+    return windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first")
+
+
 def first_runs(each: DataFrame, parts: int) -> DataFrame:
     """(anchor, mark, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document.
 
-    each: (anchor, mark, around, least, most), where a surrounding may stand more than once.
+    each: (anchor, mark, around, at, least, most), where a surrounding may stand more than once. The surroundings of a crowded
+    anchor are cut in two: strings with 15 bytes or more before the anchor are dealt by those 15, the others by the 16 behind it.
+    Equal strings stay together. Where that leaves a crowd still, each string is dealt by itself.
     """
-    large = stored(each.select("anchor", "mark").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
-    schema = "anchor long, mark long, low int, high int, first long"
-    small = each if large.isEmpty() else each.join(large, "anchor", "left_anti")
-    runs = mapped(small.select("anchor", "mark", "around", "least", "most").repartition(parts, "anchor").sortWithinPartitions("anchor", "mark"), _runs, schema)
+    large = _crowded(each)
     if large.isEmpty():
-        return runs
-    # An anchor with very many surroundings: each 50-byte string by itself, counted before it is dealt out.
-    window = F.explode(F.sequence(F.lit(0), F.octet_length("around") - LENGTH)).alias("low")
-    once = each.join(large, "anchor", "left_semi").groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.min("least").alias("least"), F.max("most").alias("most"))
-    windows = stored(once).select("anchor", "mark", "least", "most", "around", window)
-    windows = windows.select("anchor", "mark", "low", "least", "most", F.expr(f"substring(around, low + 1, {LENGTH})").alias("string"))
-    first = stored(windows.groupBy("string").agg(F.min("least").alias("first")))
-    hit = windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first")
-    return runs.unionByName(hit)
+        return _sorted_runs(each, parts)
+    half = (LENGTH - GRAM) // 2
+    once = each.join(large, "anchor", "left_semi").groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.first("at").alias("at"), F.min("least").alias("least"), F.max("most").alias("most"))
+    base = F.greatest(F.col("at") - half + 1, F.lit(0))
+    cut = lambda start, size: F.substring(F.col("around"), start, size)
+    before = F.when(F.col("at") >= half, F.struct(F.lit(0).alias("base"), cut(F.lit(1), F.col("at") - half + LENGTH).alias("part"), F.xxhash64("anchor", F.lit(0), cut(F.col("at") - half + 1, F.lit(half))).alias("place")))
+    behind = F.struct(base.alias("base"), cut(base + 1, F.octet_length("around")).alias("part"), F.xxhash64("anchor", F.lit(1), cut(F.col("at") + GRAM + 1, F.lit(half + 1))).alias("place"))
+    halves = once.select("anchor", "mark", "least", "most", F.explode(F.array(before, behind)).alias("h")).where(F.octet_length("h.part") >= LENGTH)
+    halves = stored(halves.select("anchor", "mark", "least", "most", "h.base", "h.part", "h.place", F.xxhash64("h.part").alias("piece")))
+    again = stored(halves.groupBy(F.col("place").alias("anchor"), F.col("piece").alias("mark")).agg(F.first("part").alias("around"), F.min("least").alias("least"), F.max("most").alias("most")))
+    crowd = _crowded(again)
+    runs = _sorted_runs(again.join(crowd, "anchor", "left_anti"), parts)
+    if not crowd.isEmpty():
+        runs = runs.unionByName(_window_runs(again.join(crowd, "anchor", "left_semi")))
+    runs = stored(runs.select(F.col("anchor").alias("place"), F.col("mark").alias("piece"), "low", "high", "first"))
+    back = halves.select("anchor", "mark", "base", "place", "piece").join(runs, ["place", "piece"])
+    back = back.select("anchor", "mark", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"), "first")
+    return _sorted_runs(each.join(large, "anchor", "left_anti"), parts).unionByName(back)
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -352,7 +378,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     chunks, parts, kept = -(-size // CHUNK_BYTES) or 1, parts_of(anchors), kept_bytes(anchors)
     shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), parts, kept), parts, kept), free=True)
     found = stored(occurrences(in_chunks(docs, whole, parts, chunks, shared), kept), free=True)
-    runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "least", "most"), parts), free=True)
+    runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "at", "least", "most"), parts), free=True)
     hit = found.where("around IS NULL").select("anchor", "mark", "doc_id", "key", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
     span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
     spans = hit.select("doc_id", "key", span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + LENGTH).alias("span"))
