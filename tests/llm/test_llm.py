@@ -223,7 +223,7 @@ def test_remove_repeats(spark, monkeypatch):
 
     texts = random_texts() + ["q" * 200, "z" + "q" * 120, "é" + "q" * 49, "q" * 49]
     frame = docs_of(spark, texts)
-    for together in (2048, 1):  # the second way: every shared anchor's strings one by one
+    for together in (2048, 3, 1, 0):  # crowded anchors are split by the bytes beside them, and then string by string
         monkeypatch.setattr(suffixes, "SORTED_TOGETHER", together)
         out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(frame.repartition(3)).collect()}
         assert [out[k] for k in range(len(texts))] == repeats(texts)
