@@ -1,3 +1,3 @@
 """Imports every module of queries, so that they register."""
 
-from tessera.plans import changes, decisions, domain, flows, providers, scans, totals  # noqa: F401
+from tessera.plans import changes, decisions, domain, flows, providers, scans, totals, upkeep  # noqa: F401

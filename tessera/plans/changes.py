@@ -166,7 +166,6 @@ def sweep(t: Catalog) -> DataFrame:
 
 q("dm49_resolve_issue", "SELECT id, CASE WHEN entity_id = 15 AND status = 'OPEN' THEN 'RESOLVED' ELSE status END AS status FROM meta_issues")(lambda t: mutate.update_where(t.meta_issues, (F.col("entity_id") == 15) & (F.col("status") == "OPEN"), {"status": F.lit("RESOLVED")}).select("id", "status"))
 q("dm46_cache_flush", "SELECT run_id, started_at FROM sys_runs WHERE run_id = '2024-01-03'")(lambda t: mutate.delete_where(t.sys_runs, F.col("run_id") != "2024-01-03").select("run_id", "started_at"))
-q("dm41_run_ledger", "SELECT run_id, count(*) AS facts, max(observed_at) AS finished_at FROM meta_evidence GROUP BY run_id")(lambda t: t.meta_evidence.groupBy("run_id").agg(F.count("*").alias("facts"), F.max("observed_at").alias("finished_at")))
 q("dm39_state_hash", "SELECT md5((SELECT max(run_id) FROM sys_runs) || '|' || (SELECT count(*) FROM core_recordings) || '|' || (SELECT count(*) FROM meta_evidence)) AS state")(
     lambda t: t.sys_runs.agg(F.max("run_id").alias("r")).crossJoin(t.core_recordings.agg(F.count("*").alias("n"))).crossJoin(t.meta_evidence.agg(F.count("*").alias("m"))).select(F.md5(F.concat_ws("|", "r", "n", "m").cast("binary")).alias("state"))
 )

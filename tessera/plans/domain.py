@@ -328,34 +328,8 @@ def ranked_match(t: Catalog) -> DataFrame:
     return scored.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("tier", F.desc("score"), "remote"))).where("n = 1").select("id", "remote", "tier", "score")
 
 
-q("dm17_cluster_facts")(lambda t: cluster_match(t).select(F.col("id").alias("entity_id"), F.lit("title").alias("field_name"), F.col("official").alias("value"), F.lit(0.98).alias("confidence")))
-
 # Frontier, research, audit
 
-_FIRST = "SELECT id, 'Artist' AS kind FROM (SELECT a.id, count(*) AS n FROM core_artists a JOIN core_recordings r ON r.artist_id = a.id WHERE a.musicbrainz_artist_id IS NOT NULL GROUP BY a.id HAVING count(*) >= 3) x"
-q("dm25_seed_harvest", f"{_FIRST} UNION ALL SELECT id, 'Any' FROM core_artists WHERE musicbrainz_artist_id IS NOT NULL AND NOT EXISTS ({_FIRST})")(lambda t: seeds(t))
-
-
-def seeds(t: Catalog) -> DataFrame:
-    """Artists with three tracks or more; all with an identifier only where there are none."""
-    a = t.core_artists.where("musicbrainz_artist_id IS NOT NULL")
-    active = a.join(t.core_recordings.select(F.col("artist_id").alias("id"), F.lit(1).alias("one")), "id").groupBy("id").agg(F.count("*").alias("n")).where("n >= 3").select("id", F.lit("Artist").alias("kind"))
-    none = active.agg(F.count("*").alias("c")).where("c = 0")
-    return active.unionByName(a.join(F.broadcast(none), how="cross").select("id", F.lit("Any").alias("kind")))  # one row or none
-
-
-q("dm26_frontier_states", "SELECT seed_id, CASE WHEN state = 'ACTIVE' THEN 'PENDING' WHEN seed_id = (SELECT seed_id FROM sys_crawl_frontier WHERE state = 'PENDING' ORDER BY priority DESC, created_seq, seed_id LIMIT 1) THEN 'ACTIVE' ELSE state END AS state FROM sys_crawl_frontier")(lambda t: advance(t.sys_crawl_frontier))
-
-
-def advance(frontier: DataFrame) -> DataFrame:
-    """Stuck seeds wait again, and the next in line becomes active."""
-    first = frontier.where("state = 'PENDING'").orderBy(F.desc("priority"), "created_seq", "seed_id").limit(1).select("seed_id", F.lit(True).alias("next"))
-    return frontier.join(first, "seed_id", "left").select("seed_id", F.when(F.col("state") == "ACTIVE", "PENDING").when(F.col("next"), "ACTIVE").otherwise(F.col("state")).alias("state"))
-
-
-q("dm30_provenance", "SELECT 'decision' AS kind, id, field_name, selected_value AS value FROM meta_decisions WHERE entity_id = 5 UNION ALL SELECT 'fact', id, field_name, value FROM meta_evidence WHERE entity_id = 5")(
-    lambda t: t.meta_decisions.where("entity_id = 5").select(F.lit("decision").alias("kind"), "id", "field_name", F.col("selected_value").alias("value")).unionByName(t.meta_evidence.where("entity_id = 5").select(F.lit("fact").alias("kind"), "id", "field_name", "value")).orderBy(F.desc("id"))
-)
 q("dm31_provenance_search", "SELECT r.id, r.title FROM core_recordings r LEFT JOIN core_artists a ON r.artist_id = a.id WHERE CAST(r.id AS VARCHAR) ILIKE '%12%' OR r.title ILIKE '%12%' OR a.name ILIKE '%12%' ORDER BY r.id LIMIT 50")(lambda t: t.core_recordings.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").withColumn("key", F.col("id").cast("string")).where(views.containing("12", "key", "title", "name")).orderBy("id").limit(50).select("id", "title"))
 q("dm32_cohort", "SELECT id, title FROM vw_recording_overview WHERE quality_score >= 0.7 AND upper(format) = 'MP3' ORDER BY id, title LIMIT 200")(lambda t: overview(t).where((F.col("quality_score") >= 0.7) & (F.upper("format") == "MP3")).orderBy("id", "title").limit(200).select("id", "title"))
 q("dm33_browse", "SELECT id, title, artist_name FROM vw_recording_overview WHERE (title ILIKE '%song%' OR artist_name ILIKE '%song%' OR album_title ILIKE '%song%') AND quality_score >= 0.5 ORDER BY id, title, artist_name LIMIT 100 OFFSET 100")(lambda t: views.page(overview(t).where(views.containing("song", "title", "artist_name", "album_title") & (F.col("quality_score") >= 0.5)).select("id", "title", "artist_name"), [F.col("id"), F.col("title"), F.col("artist_name")], 1))
@@ -366,9 +340,6 @@ q("dm35_inspector", "SELECT r.id, r.title, a.name, b.title AS album, v.quality_s
 q("dm36_run_history", "SELECT run_id, started_at FROM sys_runs ORDER BY started_at DESC, run_id DESC LIMIT 20")(lambda t: t.sys_runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(20).select("run_id", "started_at"))
 q("dm36_audit_diff", "SELECT id, field_name, value FROM meta_evidence WHERE run_id = '2024-01-05' ORDER BY id DESC LIMIT 200")(lambda t: t.meta_evidence.where("run_id = '2024-01-05'").orderBy(F.desc("id")).limit(200).select("id", "field_name", "value"))
 q("dm38_candidates_by_state", "SELECT c.candidate_id, coalesce(s.v_rel, 0.0) AS v_rel FROM sys_discovery_candidates c LEFT JOIN sys_discovery_scores s ON c.candidate_id = s.candidate_id WHERE c.state = 'NEW' ORDER BY c.final_ccs DESC, c.candidate_id LIMIT 250")(lambda t: t.sys_discovery_candidates.where("state = 'NEW'").join(t.sys_discovery_scores.select("candidate_id", "v_rel"), "candidate_id", "left").orderBy(F.desc("final_ccs"), "candidate_id").limit(250).select("candidate_id", F.coalesce("v_rel", F.lit(0.0)).alias("v_rel")))
-q("dm42_entity_fan_out", "SELECT asset_id, 'recording' AS kind, md5(md5_file) AS value FROM core_assets WHERE channels = 1 UNION ALL SELECT asset_id, 'asset', audio_stream_hash FROM core_assets WHERE channels = 1 UNION ALL SELECT asset_id, 'validation', '0.2' FROM core_assets WHERE channels = 1")(
-    lambda t: t.core_assets.where("channels = 1").select("asset_id", F.md5(F.col("md5_file").cast("binary")).alias("recording"), F.col("audio_stream_hash").alias("asset"), F.lit("0.2").alias("validation")).unpivot("asset_id", ["recording", "asset", "validation"], "kind", "value")
-)
 q("dm50_provider_health", "SELECT coalesce(m.source_id, b.source_id) AS provider, coalesce(m.n, 0) AS requests, coalesce(m.mean, 0.0) AS mean, CASE WHEN b.bad >= 20 THEN 'OPEN' ELSE 'CLOSED' END AS state FROM (SELECT source_id, count(*) AS n, round(avg(confidence), 6) AS mean FROM meta_evidence GROUP BY source_id) m FULL JOIN (SELECT source_id, count(*) AS bad FROM meta_evidence WHERE value = 'broken' GROUP BY source_id) b ON m.source_id = b.source_id")(
     lambda t: t.meta_evidence.groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean")).join(t.meta_evidence.where("value = 'broken'").groupBy("source_id").agg(F.count("*").alias("bad")), "source_id", "full").select(F.col("source_id").alias("provider"), F.coalesce("n", F.lit(0)).alias("requests"), F.coalesce("mean", F.lit(0.0)).alias("mean"), F.when(F.col("bad") >= 20, "OPEN").otherwise("CLOSED").alias("state"))
 )
