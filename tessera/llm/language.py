@@ -64,14 +64,18 @@ class BiGRU:
         self.sides = [Direction(rng, len(languages), hidden) for _ in range(2)]
         self.bias = np.zeros(len(languages), np.float32)
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """time x batch x languages probabilities."""
+    def positions(self, x: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+        """time x batch x languages probabilities. length: the bytes of each segment; what stands behind them changes nothing before."""
         forward, backward = self.sides
-        out = np.empty((*x.shape, len(self.bias)), np.float32)
+        out, back = (np.empty((*x.shape, len(self.bias)), np.float32) for _ in range(2))
         for t, h in enumerate(forward.run(x)):
             np.matmul(h, forward.o, out=out[t])
-        for t, h in enumerate(backward.run(x[::-1])):
-            out[len(x) - 1 - t] += h @ backward.o
+        # The backward pass begins at each segment's own last byte.
+        lane = np.arange(x.shape[1])
+        place = np.maximum((len(x) if length is None else length) - 1 - np.arange(len(x))[:, None], 0) + 0 * lane
+        for t, h in enumerate(backward.run(x[place, lane])):
+            np.matmul(h, backward.o, out=back[t])
+        out += back[place, lane]
         out += self.bias
         out -= out.max(2, keepdims=True)
         np.exp(out, out=out)
@@ -149,7 +153,7 @@ class BiGRU:
             most = length[part[-1]]
             inside = step[:most, None] < length[part]
             at = np.where(inside, start[part] + step[:most, None], 0)
-            p = self.positions(np.where(inside, data[at], np.uint8(32)))
+            p = self.positions(np.where(inside, data[at], np.uint8(32)), length[part])
             p *= inside[:, :, None]
             np.add.at(total, row[part], p.sum(0))
         return total / np.maximum(1, size)[:, None]
