@@ -80,13 +80,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         hit = found.join(F.broadcast(wins), same, "left").withColumn("s", F.col("at") - F.col("off"))
     else:
         wins = wins.withColumn("h", F.xxhash64("win"))
-        bits = _bits(wins.select("h"), n)
-        hits = [
-            F.filter(F.transform(up_to(F.col("n_words") - (size - 1)), lambda i, size=size: F.struct(i.alias("s"), F.xxhash64(F.slice("w", i + 1, size)).alias("h"), F.lit(size).alias("size"))), lambda x: _passes(bits, x["h"]))
-            for size in sorted(r.len for r in wins.select("len").distinct().collect())  # of 1 to window words
-        ]
-        near = F.transform(F.concat(*hits), lambda x: F.struct(x["s"].alias("s"), x["h"].alias("h"), F.slice("w", x["s"] + 1, x["size"]).alias("words")))
-        found = rows.select("row", "doc_id", "n_words", F.explode_outer(near).alias("x")).select("row", "doc_id", "n_words", "x.s", "x.h", "x.words")
+        spot = lambda start, h, size: F.struct(start.cast("int").alias("s"), h.cast("long").alias("h"), size.cast("int").alias("size"))
+        none = F.lit(None)
+        spots = [F.array(spot(none, none, none))]  # one that stays, for rows without a hit
+        for size in sorted(r.len for r in wins.select("len").distinct().collect()):  # of 1 to window words
+            spots.append(F.transform(up_to(F.col("n_words") - (size - 1)), (lambda size: lambda i: spot(i, F.xxhash64(F.slice("w", i + 1, size)), F.lit(size)))(size)))
+        every = rows.select("row", "doc_id", "n_words", "w", F.explode(F.concat(*spots)).alias("x"))
+        found = every.where(F.col("x.h").isNull() | _passes(_bits(wins.select("h"), n), F.col("x.h"))).select("row", "doc_id", "n_words", "x.s", "x.h", F.slice("w", F.col("x.s") + 1, F.col("x.size")).alias("words"))
         hit = found.join(wins, (found["h"] == wins["h"]) & (found["words"] == wins["win"]), "left")
     spans = F.collect_set(F.when(F.col("len").isNotNull(), F.struct(F.col("s").alias("s"), (F.col("s") + F.col("len") - 1).alias("e"))))
     per_row = hit.groupBy("row", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.when(F.col("len").isNotNull(), F.col("item_id")))).alias("items"))
