@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,18 @@ from tessera.functions import text
 def evaluate(incoming: DataFrame, assets: DataFrame, prints: DataFrame, titles: DataFrame) -> DataFrame:
     """(asset_id, label): the first of file, stream, fingerprint and title with artist that the store has, or null.
 
-    prints: (fingerprint, duration); titles: (title, artist) of the library.
+    prints: (fingerprint, duration); titles: (title, artist) of the library. Each key is looked up with its asset's id alone; the
+    first hit of each asset goes back to it in one join.
     """
-    mark = lambda d, on, name: d.select(*on).distinct().withColumn(name, F.lit(True))
-    rows = incoming.withColumn("kt", F.lower(F.trim("title"))).withColumn("ka", text.artist_key(F.col("artist")))
-    rows = rows.join(mark(assets, ["md5_file"], "file"), "md5_file", "left").join(mark(assets, ["audio_stream_hash"], "stream"), "audio_stream_hash", "left")
-    close = incoming.where("fingerprint IS NOT NULL AND duration > 0").join(prints.select("fingerprint", F.col("duration").alias("d")), "fingerprint").where("abs(duration - d) <= 2.0")
-    rows = rows.join(mark(close, ["asset_id"], "sound"), "asset_id", "left")
-    library = titles.select(F.lower("title").alias("kt"), text.artist_key(F.col("artist")).alias("ka")).where("kt <> ''")
-    rows = rows.join(mark(library, ["kt", "ka"], "name"), ["kt", "ka"], "left")
-    label = F.when(F.col("file"), "FILE_DUPLICATE").when(F.col("stream"), "STREAM_DUPLICATE").when(F.col("sound"), "FINGERPRINT_DUPLICATE").when(F.col("name"), "TITLE_ARTIST_DUPLICATE")
-    return rows.select("asset_id", label.alias("label"))
+    files = incoming.select("asset_id", "md5_file").join(assets.select("md5_file"), "md5_file", "left_semi")
+    streams = incoming.select("asset_id", "audio_stream_hash").join(assets.select("audio_stream_hash"), "audio_stream_hash", "left_semi")
+    close = incoming.where("fingerprint IS NOT NULL AND duration > 0").select("asset_id", "fingerprint", "duration").join(prints.select("fingerprint", F.col("duration").alias("d")), "fingerprint").where("abs(duration - d) <= 2.0")
+    library = titles.select(F.lower("title").alias("kt"), text.artist_key(F.col("artist")).alias("ka")).where("kt <> ''").distinct()
+    named = incoming.select("asset_id", F.lower(F.trim("title")).alias("kt"), text.artist_key(F.col("artist")).alias("ka")).join(library, ["kt", "ka"], "left_semi")
+    ranked = reduce(DataFrame.unionByName, [rows.select("asset_id", F.lit(k).alias("rank")) for k, rows in enumerate((files, streams, close, named))])
+    first = ranked.groupBy("asset_id").agg(F.min("rank").alias("rank"))
+    labels = F.array(*map(F.lit, ("FILE_DUPLICATE", "STREAM_DUPLICATE", "FINGERPRINT_DUPLICATE", "TITLE_ARTIST_DUPLICATE")))
+    return incoming.select("asset_id").join(first, "asset_id", "left").select("asset_id", F.get(labels, F.col("rank")).alias("label"))
 
 
 def first_come(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:

@@ -21,8 +21,10 @@ def score_candidates(candidates: DataFrame, library: DataFrame, scored_before: D
     library: rows of the overview, from which genres, subgenres and artists are counted once each. scored_before:
     candidates that had a score before this run. confidence: a column of the candidates' identifier confidence.
     """
-    count = lambda c, name: library.groupBy(c.alias(f"__{name}")).agg(F.count("*").alias(name))
-    genre, sub, artist = count(F.col("primary_genre"), "n_genre"), count(F.col("primary_subgenre"), "n_sub"), count(F.lower("artist_name"), "n_artist")
+    # The library is joined and shuffled once; the three counts come from its groups.
+    groups = library.groupBy("primary_genre", "primary_subgenre", F.lower("artist_name").alias("artist")).agg(F.count("*").alias("n"))
+    count = lambda c, name: groups.groupBy(F.col(c).alias(f"__{name}")).agg(F.sum("n").alias(name))
+    genre, sub, artist = count("primary_genre", "n_genre"), count("primary_subgenre", "n_sub"), count("artist", "n_artist")
     c = candidates.join(genre, F.col("primary_genre") == F.col("__n_genre"), "left").join(sub, F.col("primary_subgenre") == F.col("__n_sub"), "left")
     c = c.join(artist, F.lower(F.trim("artist_name")) == F.col("__n_artist"), "left").na.fill(0, ["n_genre", "n_sub", "n_artist"])
     c = c.join(scored_before.select("candidate_id", F.lit(True).alias("seen")).distinct(), "candidate_id", "left")

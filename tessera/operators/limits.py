@@ -1,49 +1,92 @@
-"""Circuit breakers and token buckets as ordered folds over a provider's calls."""
+"""Circuit breakers, token buckets and moving averages as ordered folds over a key's rows.
+
+A key's rows reach one task in order and are folded as they stream by, so that memory holds one state however many rows a key has.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: (state, failures, time of the last failure, rejected)
+BREAKER = ("CLOSED", 0, 0.0, 0)
 
-BREAKER = "struct<state:string,failures:int,last:double,rejected:int>"
-BUCKET = "struct<tokens:double,at:double,waited:double,delayed:int>"
 
+def folded(rows: DataFrame, key: str, order: list[str], fields: list[str], start: tuple, step: Callable[..., tuple], out: str) -> DataFrame:
+    """(key and the state's columns as declared in out) after step(state, *fields) over each key's rows in order; a null key has no row."""
+    names = [x.split(" ")[0] for x in out.split(", ")]
+    dealt = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("fold_key"), *order, *[F.col(f).alias(f"fold_{f}") for f in fields])
+    dealt = dealt.repartition("fold_key").sortWithinPartitions("fold_key", *order)
+    schema = f"{key} {dict(rows.dtypes)[key]}, {out}"
+    kinds = [to_arrow_type(f.dataType) for f in T._parse_datatype_string(schema).fields]
 
-def _calls(calls: DataFrame, key: str, at: str, order: str, *fields: str) -> DataFrame:
-    return calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("o"), *fields))).alias("calls"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state, done = None, start, []
 
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [()] * (1 + len(names))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [key, *names])
 
-def breaker_step(threshold: int, recovery: float):
-    """State after one more call (at, ok): closed, open from the threshold of failures on, half open once it has recovered."""
+        for batch in batches:
+            values = [c.to_pylist() for c in batch.columns]
+            for k, *row in zip(values[0], *values[1 + len(order) :], strict=True):
+                if k != at:
+                    if at is not None:
+                        done.append((at, *state[: len(names)]))
+                    at, state = k, start
+                state = step(state, *row)
+            if len(done) > 5_000:
+                yield flush()
+                done = []
+        if at is not None:
+            done.append((at, *state[: len(names)]))
+        if done:
+            yield flush()
 
-    def step(s: Column, c: Column) -> Column:
-        waiting = (s["state"] == "OPEN") & (c["at"] - s["last"] <= recovery)
-        half = (s["state"] == "HALF_OPEN") | ((s["state"] == "OPEN") & ~waiting)
-        trips = half | (s["failures"] + 1 >= threshold)
-        make = lambda state, failures, last, rejected: F.struct(state.alias("state"), failures.cast("int").alias("failures"), last.cast("double").alias("last"), rejected.cast("int").alias("rejected"))
-        failed = make(F.when(trips, "OPEN").otherwise("CLOSED"), s["failures"] + 1, c["at"], s["rejected"])
-        return F.when(waiting, make(s["state"], s["failures"], s["last"], s["rejected"] + 1)).when(c["ok"], make(F.lit("CLOSED"), F.lit(0), s["last"], s["rejected"])).otherwise(failed)
+    return dealt.mapInArrow(work, schema)
 
-    return step
+
+def breaker_next(state: tuple, at: float, ok: bool, threshold: int, recovery: float) -> tuple:
+    """The breaker after one more call: closed, open from the threshold of failures on, half open once it has recovered."""
+    name, failures, last, rejected = state
+    if name == "OPEN" and at - last <= recovery:
+        return name, failures, last, rejected + 1
+    if ok:
+        return "CLOSED", 0, last, rejected
+    return ("OPEN" if name == "OPEN" or failures + 1 >= threshold else "CLOSED"), failures + 1, float(at), rejected
 
 
 def breaker_states(calls: DataFrame, key: str, at: str, order: str, threshold: int = 10, recovery: float = 30.0) -> DataFrame:
     """(key, state, failures, rejected) after all calls with a boolean ``ok``, times in seconds."""
-    start = F.from_json(F.lit('{"state":"CLOSED","failures":0,"last":0,"rejected":0}'), BREAKER)
-    rows = _calls(calls, key, at, order, "ok").select(key, F.aggregate("calls", start, breaker_step(threshold, recovery)).alias("s"))
-    return rows.select(key, "s.state", "s.failures", "s.rejected")
+
+    def step(state: tuple, when: float, ok: bool) -> tuple:
+        return breaker_next(state, when, ok, threshold, recovery)
+
+    return folded(calls, key, [at, order], [at, "ok"], BREAKER, step, "state string, failures int, last double, rejected int").drop("last")
 
 
 def bucket_waits(calls: DataFrame, key: str, at: str, order: str, fill: float, capacity: float) -> DataFrame:
     """(key, delayed, waited): calls that waited for a token, and seconds waited, with a bucket that starts full."""
 
-    def step(s: Column, c: Column) -> Column:
-        now = F.greatest(c["at"], s["at"])
-        have = F.least(F.lit(capacity), s["tokens"] + F.greatest(F.lit(0.0), now - s["at"]) * fill)
-        short = have < 1.0
-        wait = F.when(short, (1.0 - have) / fill).otherwise(0.0)
-        return F.struct(F.when(short, 0.0).otherwise(have - 1.0).alias("tokens"), (now + wait).alias("at"), (s["waited"] + wait + (now - c["at"])).alias("waited"), (s["delayed"] + F.when(short, 1).otherwise(0)).cast("int").alias("delayed"))
+    def step(state: tuple, called: float) -> tuple:
+        delayed, waited, tokens, then = state
+        now = max(called, then)
+        have = min(capacity, tokens + max(0.0, now - then) * fill)
+        wait = (1.0 - have) / fill if have < 1.0 else 0.0
+        return delayed + (have < 1.0), waited + wait + (now - called), max(have - 1.0, 0.0), now + wait
+
+    return folded(calls, key, [at, order], [at], (0, 0.0, float(capacity), 0.0), step, "delayed int, waited double").withColumn("waited", F.round("waited", 3))
+
+
+def moving_average(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
+    """(key, ema): exponential average in order; the first value, and any after an average of zero, starts it anew."""
+
+    def step(state: tuple, x: float) -> tuple:
+        return (x if state[0] == 0.0 else weight * x + (1 - weight) * state[0],)
 
-    start = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(0.0).alias("at"), F.lit(0.0).alias("waited"), F.lit(0).alias("delayed"))
-    rows = _calls(calls, key, at, order).select(key, F.aggregate("calls", start, step).alias("s"))
-    return rows.select(key, "s.delayed", F.round("s.waited", 3).alias("waited"))
+    return folded(rows, key, [order], [value], (0.0,), step, "ema double").withColumn("ema", F.round("ema", 6))

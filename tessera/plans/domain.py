@@ -251,11 +251,16 @@ _SCORES = """SELECT candidate_id, v_rel, v_graph, v_def, p_sat, fatigue, round(r
 
 def _strategy(name: str) -> str:
     w = discovery.weights(name)
+    told = f"""CAST(to_json(struct_pack(active_strategy := '{name}', scores := struct_pack(v_rel := v_rel, v_coll := 0.78::DOUBLE, v_graph := v_graph, v_def := v_def), penalties := struct_pack(p_sat := p_sat, fatigue := fatigue), uncertainty_margin := margin)) AS VARCHAR)"""
+    return f"SELECT *, {told} AS explanation FROM ({_scores(name, w)}) e"
+
+
+def _scores(name: str, w: dict[str, float]) -> str:
     return _SCORES.format(rel=f"{w['rel']!r}::DOUBLE", coll=f"{w['coll']!r}::DOUBLE", graph=f"{w['graph']!r}::DOUBLE", def_=f"{w['def']!r}::DOUBLE")
 
 
 for _name in fixed.STRATEGIES:
-    q(f"dm21_scores_{_name.lower().replace(' ', '_')}", _strategy(_name))(lambda t, name=_name: discovery.score_candidates(t.sys_discovery_candidates, overview(t), t.sys_discovery_scores, strategy=name).drop("explanation"))
+    q(f"dm21_scores_{_name.lower().replace(' ', '_')}", _strategy(_name))(lambda t, name=_name: discovery.score_candidates(t.sys_discovery_candidates, overview(t), t.sys_discovery_scores, strategy=name))
 q("dm22_strategies", "SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{k}', CAST({v} AS DOUBLE))" for s, w in fixed.STRATEGIES.items() for k, v in w.items()) + ") s(strategy, part, weight)")(lambda t: t.spark.createDataFrame([(s, k, v) for s, w in fixed.STRATEGIES.items() for k, v in w.items()], "strategy string, part string, weight double"))
 _TOP = f"SELECT candidate_id, ccs FROM ({_strategy('Balanced Curator')}) z WHERE candidate_id IN (SELECT candidate_id FROM sys_discovery_candidates WHERE state NOT IN ('IGNORED', 'ACQUIRED') AND (state <> 'SNOOZED' OR snoozed_until IS NULL OR snoozed_until <= TIMESTAMP '{AS_OF}')) AND candidate_id NOT IN (SELECT candidate_id FROM sys_discovery_candidates c WHERE release_group_mbid IN (SELECT musicbrainz_recording_id FROM core_recordings WHERE musicbrainz_recording_id IS NOT NULL UNION SELECT release_group_mbid FROM core_albums WHERE release_group_mbid IS NOT NULL) OR EXISTS (SELECT 1 FROM core_recordings r JOIN core_artists a ON r.artist_id = a.id WHERE r.title <> '' AND {duck.alnum('r.title')} = {duck.alnum('c.title')} AND {duck.alnum('a.name')} = {duck.alnum('c.artist_name')})) ORDER BY ccs DESC, candidate_id LIMIT 50"
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import graph
+from tessera.operators import graph, limits
 from tessera.plans import duck
 from tessera.plans.registry import catalog_query as q
 from tessera.plans.scans import overview, scoped
@@ -160,14 +160,7 @@ def family_trust(evidence: DataFrame) -> DataFrame:
     SELECT user_id, round(arg_max(ema, n), 6) AS ema FROM fold GROUP BY user_id""",
 )
 def latency_average(t: Catalog) -> DataFrame:
-    return moving_average(t.events, "user_id", "event_id", "value")
-
-
-def moving_average(rows: DataFrame, key: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
-    """Exponential average in order; the first value, and any after an average of zero, starts it anew."""
-    seq = F.array_sort(F.collect_list(F.struct(order, value)))
-    fold = F.aggregate("seq", F.lit(0.0), lambda acc, x: F.when(acc == 0.0, x[value]).otherwise(weight * x[value] + (1 - weight) * acc))
-    return rows.groupBy(key).agg(seq.alias("seq")).select(key, F.round(fold, 6).alias("ema"))
+    return limits.moving_average(t.events, "user_id", "event_id", "value")
 
 
 q("ag21_identifier_count", "SELECT id, round(least(1.0, greatest(0.20, 0.25 * ((coalesce(trim(mbid), '') <> '')::INT + (discogs_id IS NOT NULL)::INT + (coalesce(trim(wikidata_qid), '') <> '')::INT + (coalesce(trim(lastfm_name), '') <> '')::INT))), 2)::DOUBLE AS confidence FROM sys_authority_map")(lambda t: t.sys_authority_map.select("id", identifier_confidence("mbid", "discogs_id", "wikidata_qid", "lastfm_name").alias("confidence")))

@@ -59,12 +59,34 @@ def parsed_fingerprints(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pairs", pairs).withColumn("duration", F.element_at("pairs", "DURATION").try_cast("double")).withColumn("fingerprint", F.when(F.length(F.element_at("pairs", "FINGERPRINT")) >= 10, F.element_at("pairs", "FINGERPRINT"))).drop("pairs")
 
 
-def markdown_report(figures: DataFrame, title: str) -> str:
-    """A short report from at most 1000 rows (metric, n)."""
-    rows = figures.orderBy("metric").limit(1000).collect()
+def markdown_report(figures: DataFrame, title: str, most: int = 1000) -> str:
+    """A report of figures (metric, n), ordered; more than ``most`` are an error, as a report is to be read."""
+    rows = figures.orderBy("metric").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report holds {most} figures at most")
     return "\n".join([f"# {title}", "", "| metric | n |", "|---|---|", *[f"| {r.metric} | {r.n} |" for r in rows], ""])
 
 
+def run_report(runs: DataFrame, decisions: DataFrame, run_id: str, sample: int = 30) -> str:
+    """A report of one run and of its first decisions, of which it tells how many there are."""
+    run = runs.where(F.col("run_id") == run_id).first()
+    rows = decisions.where(F.col("run_id") == run_id)
+    shown = rows.orderBy("id").limit(sample).collect()
+    lines = [f"# Run {run_id}", "", f"* started: {run.started_at if run else 'unknown'}", f"* finished: {(run.finished_at if run else None) or 'not yet'}", f"* decisions: {rows.count()}, the first {len(shown)} below", ""]
+    return "\n".join([*lines, *[f"* `{r.field_name}` of {r.entity_id}: '{r.selected_value}' (was '{r.old_value}')" for r in shown], ""])
+
+
+def library_report(recordings: DataFrame, validation: DataFrame, assets: DataFrame, overview: DataFrame) -> str:
+    """A summary: tracks, mean quality, formats with their shares of the tracks, the five largest genres."""
+    total = recordings.count()
+    mean = validation.agg(F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("q")).first().q
+    count = lambda rows, key: rows.groupBy(key.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("k"))
+    part = lambda r, other: f"* {r.k or other}: {r.n} ({100 * r.n / total if total else 0:.1f} %)"
+    formats = [part(r, "UNKNOWN") for r in count(assets, F.upper("format")).limit(100).collect()]
+    genres = [part(r, "Unclassified") for r in count(overview, F.col("primary_genre")).limit(5).collect()]
+    return "\n".join(["# Library", "", f"* tracks: {total}", f"* mean quality: {100 * mean:.1f} %", "", "## Formats", "", *formats, "", "## Genres", "", *genres, ""])
+
+
 def table_sizes(spark: SparkSession) -> DataFrame:
     """Names of the session's tables and views."""
     return spark.createDataFrame([(x.name, x.isTemporary) for x in spark.catalog.listTables()], "name string, temporary boolean")

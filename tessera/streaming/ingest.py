@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators import mutate
+from tessera.operators import limits, mutate
 
 AUDIO = r"\.(mp3|flac|wav|m4a|ogg)$"
 
@@ -29,6 +31,55 @@ def watch_files(spark: SparkSession, folder: str, per_trigger: int = 1000, archi
     return reader.load(folder).where(F.rlike(F.lower("path"), F.lit(AUDIO))).select("path", F.md5("content").alias("md5_file"), F.col("length").alias("size"), F.col("modificationTime").alias("seen_at"))
 
 
+def move_file(source: str, folder: str, name: str | None = None) -> str:
+    """Move a file into a folder, under a new name where the name is taken; the new path, or an empty text where the file is gone."""
+    import os
+    import shutil
+    import uuid
+
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, name or os.path.basename(source))
+    if os.path.exists(target):
+        stem, suffix = os.path.splitext(target)
+        target = f"{stem}_{uuid.uuid4().hex[:6]}{suffix}"
+    try:
+        return shutil.move(source, target)  # across devices it copies and deletes
+    except FileNotFoundError:
+        return ""
+
+
+def restore_files(folders: list[str], inbox: str) -> int:
+    """Move the audio files below archive folders back to the inbox, to be taken in anew; how many."""
+    import os
+    import re
+
+    found = [os.path.join(top, name) for folder in folders for top, _, names in os.walk(folder) for name in names if re.search(AUDIO, name.lower())]
+    return sum(move_file(path, inbox) != "" for path in found)
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps the last events of streams as (kind, name, batch, rows, rate), oldest first; ``table`` gives them as rows."""
+
+    def __init__(self, most: int = 1000):
+        self.events: deque = deque(maxlen=most)
+
+    def onQueryStarted(self, event) -> None:
+        self.events.append(("started", event.name, None, None, None))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.events.append(("progress", p.name, p.batchId, p.numInputRows, float(p.processedRowsPerSecond or 0.0)))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.events.append(("failed" if event.exception else "finished", None, None, None, None))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.events), "kind string, name string, batch long, rows long, rate double")
+
+
 def ingest_batch(batch: DataFrame, store: DataFrame) -> DataFrame:
     """The store with the batch's files that it doesn't have, of equal files the first path."""
     return mutate.insert_ignore(store, batch, ["md5_file"], [F.col("path")])
@@ -69,18 +120,11 @@ def breaker_stream(calls: DataFrame, threshold: int = 10, recovery: float = 30.0
     """Breaker state per provider after each batch of calls (provider, at, ok)."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        name, failures, last, rejected = state.get if state.exists else ("CLOSED", 0, 0.0, 0)
+        now = state.get if state.exists else limits.BREAKER
         for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            if name == "OPEN" and row.at - last <= recovery:
-                rejected += 1
-                continue
-            half = name in ("OPEN", "HALF_OPEN")
-            if row.ok:
-                name, failures = "CLOSED", 0
-            else:
-                failures, last = failures + 1, float(row.at)
-                name = "OPEN" if half or failures >= threshold else "CLOSED"
-        state.update((name, failures, last, rejected))
+            now = limits.breaker_next(now, row.at, row.ok, threshold, recovery)
+        state.update(now)
+        name, failures, _, rejected = now
         yield pd.DataFrame({"provider": [key[0]], "state": [name], "failures": [failures], "rejected": [rejected]})
 
     return calls.groupBy("provider").applyInPandasWithState(update, "provider string, state string, failures int, rejected int", "state string, failures int, last double, rejected int", "update", GroupStateTimeout.NoTimeout)

@@ -50,3 +50,30 @@ def test_feedback_moves_priorities(rows):
     feedback = rows([("a", "accept"), ("b", "snooze"), ("c", "ignore")], "entity_name string, action string")
     out = {r.entity_name: round(r.priority, 6) for r in ingest.apply_feedback(frontier, feedback).collect()}
     assert out == {"a": 0.75, "b": 0.3, "c": 0.1}
+
+
+def test_the_stream_archives_what_it_has_taken_and_reports_progress(spark, tmp_path):
+    log = ingest.ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        source, archive = f"{tmp_path}/in", f"{tmp_path}/archive"
+        write(source, a_mp3="one")
+        for name in ("b_mp3", "c_mp3"):
+            ingest.ingest(ingest.watch_files(spark, source, archive=archive), f"{tmp_path}/store", f"{tmp_path}/mark").awaitTermination()
+            write(source, **{name: name})
+        ingest.ingest(ingest.watch_files(spark, source, archive=archive), f"{tmp_path}/store", f"{tmp_path}/mark").awaitTermination()
+        assert any(files for _, _, files in os.walk(archive))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    finally:
+        spark.streams.removeListener(log)
+    kinds = [r.kind for r in log.table(spark).collect()]
+    assert kinds.count("started") == 3 and "progress" in kinds and "failed" not in kinds
+
+
+def test_first_seen_without_a_store(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    write(source, a_mp3="one", b_mp3="one", c_mp3="two")
+    stream = ingest.first_seen(ingest.watch_files(spark, source))
+    run = stream.writeStream.format("memory").queryName("first_seen").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/m").start()
+    run.awaitTermination()
+    assert spark.table("first_seen").count() == 2
