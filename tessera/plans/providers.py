@@ -25,18 +25,21 @@ def value(column):
     return F.struct(column.cast("string").alias("value"))
 
 
-PART = F.col("p_partkey")
+
+
+def part():
+    return F.col("p_partkey")
 
 
 def store(t: Catalog) -> DataFrame:
     """Two answers to two keys of three, of two days each."""
-    rows = t.part.where("p_partkey % 3 <> 0").select(PART.cast("string").alias("key"), "p_name", F.explode(F.array(F.col("p_size"), F.floor(F.col("p_size") / 2).cast("int"))).alias("day"))
+    rows = t.part.where("p_partkey % 3 <> 0").select(part().cast("string").alias("key"), "p_name", F.explode(F.array(F.col("p_size"), F.floor(F.col("p_size") / 2).cast("int"))).alias("day"))
     return rows.select("key", F.concat("p_name", F.lit(" "), F.col("day").cast("string")).alias("body"), F.expr("TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(day)").alias("stored_at"))
 
 
 _STORE = "(SELECT p_partkey, p_name, unnest([p_size, p_size // 2]) AS day FROM part WHERE p_partkey % 3 <> 0)"
 _FRESH = f"(SELECT p_partkey, p_name || ' ' || max(day) AS body FROM {_STORE} s WHERE day >= 43 GROUP BY p_partkey, p_name)"
-q("src09_stored_payload", f"SELECT CAST(p.p_partkey AS VARCHAR) AS key, f.body FROM part p LEFT JOIN {_FRESH} f ON f.p_partkey = p.p_partkey")(lambda t: payloads.cached(t.part.select(PART.cast("string").alias("key")), store(t), F.lit(NOW).cast("timestamp")))
+q("src09_stored_payload", f"SELECT CAST(p.p_partkey AS VARCHAR) AS key, f.body FROM part p LEFT JOIN {_FRESH} f ON f.p_partkey = p.p_partkey")(lambda t: payloads.cached(t.part.select(part().cast("string").alias("key")), store(t), F.lit(NOW).cast("timestamp")))
 q("ss06_single_flight", f"SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS waiting FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM {_FRESH} f) GROUP BY l_partkey")(
     lambda t: payloads.to_fetch(payloads.cached(t.lineitem.select(F.col("l_partkey").cast("string").alias("key")), store(t), F.lit(NOW).cast("timestamp")))
 )
@@ -44,10 +47,10 @@ q("ss06_single_flight", f"SELECT CAST(l_partkey AS VARCHAR) AS key, count(*) AS
 
 def attempts(t: Catalog) -> DataFrame:
     """Three attempts for each part, most of them busy."""
-    status = lambda k: F.when((PART + k) % 4 == 0, 200).when((PART + k) % 4 == 1, 404).when((PART + k) % 4 == 2, 429).otherwise(503)
-    wait = lambda k: F.when((PART + k) % 5 == 0, F.lit("2.5")).when((PART + k) % 5 == 1, F.lit("soon"))
+    status = lambda k: F.when((part() + k) % 4 == 0, 200).when((part() + k) % 4 == 1, 404).when((part() + k) % 4 == 2, 429).otherwise(503)
+    wait = lambda k: F.when((part() + k) % 5 == 0, F.lit("2.5")).when((part() + k) % 5 == 1, F.lit("soon"))
     tries = F.array(*[F.struct(F.lit(k).alias("attempt"), status(2 * k).alias("status"), wait(k).alias("retry_after")) for k in range(3)])
-    return t.part.select(PART.cast("string").alias("key"), F.explode(tries).alias("x")).select("key", "x.*")
+    return t.part.select(part().cast("string").alias("key"), F.explode(tries).alias("x")).select("key", "x.*")
 
 
 _WAITS = "CASE (p_partkey + {0}) % 5 WHEN 0 THEN 2.5 ELSE 1.5 END"
@@ -61,36 +64,36 @@ q(
 
 def fingerprint_lookups(t: Catalog) -> DataFrame:
     """Answers with two results: an id alone, and one with two recordings."""
-    rec = lambda shift: F.struct(F.concat(F.lit("mb"), PART + shift).alias("id"), F.concat("p_name", F.lit(" "), (PART % 3 + shift).cast("string")).alias("title"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("artists"))
-    results = F.array(F.struct(F.concat(F.lit("a"), PART).alias("id"), F.lit(0.95).alias("score"), F.array().cast("array<struct<id:string,title:string,artists:array<struct<name:string>>>>").alias("recordings")), F.struct(F.concat(F.lit("b"), PART).alias("id"), (F.col("p_size") / 50).alias("score"), F.when(PART % 5 != 0, F.array(rec(0), rec(1))).alias("recordings")))
-    body = F.to_json(F.struct(F.when(PART % 11 == 0, "error").otherwise("ok").alias("status"), results.alias("results")))
-    return t.part.select(PART.cast("string").alias("key"), body.alias("body"), F.when(PART % 2 == 0, F.col("p_brand")).alias("artist"), F.col("p_name").alias("title"))
+    rec = lambda shift: F.struct(F.concat(F.lit("mb"), part() + shift).alias("id"), F.concat("p_name", F.lit(" "), (part() % 3 + shift).cast("string")).alias("title"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("artists"))
+    results = F.array(F.struct(F.concat(F.lit("a"), part()).alias("id"), F.lit(0.95).alias("score"), F.array().cast("array<struct<id:string,title:string,artists:array<struct<name:string>>>>").alias("recordings")), F.struct(F.concat(F.lit("b"), part()).alias("id"), (F.col("p_size") / 50).alias("score"), F.when(part() % 5 != 0, F.array(rec(0), rec(1))).alias("recordings")))
+    body = F.to_json(F.struct(F.when(part() % 11 == 0, "error").otherwise("ok").alias("status"), results.alias("results")))
+    return t.part.select(part().cast("string").alias("key"), body.alias("body"), F.when(part() % 2 == 0, F.col("p_brand")).alias("artist"), F.col("p_name").alias("title"))
 
 
 q("cn01_fingerprint")(lambda t: payloads.fingerprint_matches(fingerprint_lookups(t)))
 q("cn02_by_code", f"SELECT {_KEY}, 'm' || p_partkey AS mbid, p_name AS title FROM part WHERE p_partkey % 7 <> 0")(
-    lambda t: payloads.recordings_by_code(answers(t.part, PART, F.when(PART % 7 != 0, F.array(F.struct(F.concat(F.lit("m"), PART).alias("id"), F.col("p_name").alias("title")), F.struct(F.lit("x").alias("id"), F.lit("y").alias("title")))).alias("recordings")))
+    lambda t: payloads.recordings_by_code(answers(t.part, part(), F.when(part() % 7 != 0, F.array(F.struct(F.concat(F.lit("m"), part()).alias("id"), F.col("p_name").alias("title")), F.struct(F.lit("x").alias("id"), F.lit("y").alias("title")))).alias("recordings")))
 )
 q("cn02_by_id", f"SELECT {_KEY}, 'm' || p_partkey AS mbid, p_name AS title, CAST(p_size * 10 AS DOUBLE) AS seconds, p_brand || ',I2' AS isrcs, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '' END AS tags FROM part WHERE p_partkey % 7 <> 0")(
-    lambda t: payloads.recording(answers(t.part, PART, F.when(PART % 7 != 0, F.concat(F.lit("m"), PART)).alias("id"), F.col("p_name").alias("title"), (F.col("p_size") * 10_000).alias("length"), F.array("p_brand", F.lit("I2")).alias("isrcs"), F.when(PART % 2 == 0, F.array(F.struct(F.col("p_type").alias("name")))).alias("tags"))).withColumn("isrcs", F.array_join("isrcs", ",")).withColumn("tags", F.array_join("tags", ","))
+    lambda t: payloads.recording(answers(t.part, part(), F.when(part() % 7 != 0, F.concat(F.lit("m"), part())).alias("id"), F.col("p_name").alias("title"), (F.col("p_size") * 10_000).alias("length"), F.array("p_brand", F.lit("I2")).alias("isrcs"), F.when(part() % 2 == 0, F.array(F.struct(F.col("p_type").alias("name")))).alias("tags"))).withColumn("isrcs", F.array_join("isrcs", ",")).withColumn("tags", F.array_join("tags", ","))
 )
 
 
 def search_answers(t: Catalog) -> DataFrame:
     """Answers to two tiers of a search: the first empty for every third part."""
-    hit = lambda shift, far: F.struct(F.concat(F.lit("h"), PART * 10 + shift).alias("id"), F.concat(F.lit("Track "), ((PART + shift) % 9).cast("string")).alias("title"), (F.lit(200_000) + far).cast("double").alias("length"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("artist-credit"))
-    tiers = F.array(F.when(PART % 3 != 0, F.array(hit(0, 70_000), hit(1, 20_000), hit(2, 0))), F.array(hit(3, 0), hit(4, 10_000)))
-    rows = t.part.select(PART.cast("string").alias("key"), F.posexplode(tiers).alias("tier", "hits"))
+    hit = lambda shift, far: F.struct(F.concat(F.lit("h"), part() * 10 + shift).alias("id"), F.concat(F.lit("Track "), ((part() + shift) % 9).cast("string")).alias("title"), (F.lit(200_000) + far).cast("double").alias("length"), F.array(F.struct(F.col("p_brand").alias("name"))).alias("artist-credit"))
+    tiers = F.array(F.when(part() % 3 != 0, F.array(hit(0, 70_000), hit(1, 20_000), hit(2, 0))), F.array(hit(3, 0), hit(4, 10_000)))
+    rows = t.part.select(part().cast("string").alias("key"), F.posexplode(tiers).alias("tier", "hits"))
     return rows.select("key", "tier", F.to_json(F.struct(F.col("hits").alias("recordings"))).alias("body"))
 
 
 def searched(t: Catalog) -> DataFrame:
-    return t.part.select(PART.cast("string").alias("key"), F.concat(F.lit("Track "), (PART % 9).cast("string")).alias("title"), F.when(PART % 4 != 0, F.col("p_brand")).alias("artist"), F.when(PART % 5 != 0, 200.0).alias("seconds"))
+    return t.part.select(part().cast("string").alias("key"), F.concat(F.lit("Track "), (part() % 9).cast("string")).alias("title"), F.when(part() % 4 != 0, F.col("p_brand")).alias("artist"), F.when(part() % 5 != 0, 200.0).alias("seconds"))
 
 
 q("cn02_search")(lambda t: payloads.best_hits(searched(t), payloads.search_hits(search_answers(t))))
 q("cn03_release_group", f"SELECT {_KEY}, 'g' || p_partkey AS mbid, CASE WHEN p_partkey % 2 = 0 THEN '1999-01-0' || (p_partkey % 9 + 1) END AS first_release_date FROM part WHERE p_partkey % 7 <> 0")(
-    lambda t: payloads.release_groups(answers(t.part, PART, F.when(PART % 7 != 0, F.array(F.struct(F.concat(F.lit("g"), PART).alias("id"), F.when(PART % 2 == 0, F.concat(F.lit("1999-01-0"), PART % 9 + 1)).alias("first-release-date")), F.struct(F.lit("z").alias("id"), F.lit("z").alias("first-release-date")))).alias("release-groups")))
+    lambda t: payloads.release_groups(answers(t.part, part(), F.when(part() % 7 != 0, F.array(F.struct(F.concat(F.lit("g"), part()).alias("id"), F.when(part() % 2 == 0, F.concat(F.lit("1999-01-0"), part() % 9 + 1)).alias("first-release-date")), F.struct(F.lit("z").alias("id"), F.lit("z").alias("first-release-date")))).alias("release-groups")))
 )
 
 
@@ -98,39 +101,37 @@ def release_answers(t: Catalog) -> DataFrame:
     """Releases of two media: a titled track with codes, and one that only its recording names."""
     none = F.lit(None).cast("string")
     track = lambda n, title, mbid, name, codes: F.struct(F.lit(n).alias("position"), title.alias("title"), F.struct(mbid.alias("id"), name.alias("title"), codes.cast("array<string>").alias("isrcs")).alias("recording"))
-    one, two = track(1, F.col("p_name"), F.concat(F.lit("r"), PART), none, F.array(F.concat(F.lit("I"), PART), F.lit("X"))), track(2, F.lit(""), none, F.col("p_type"), F.array())
-    return answers(t.part, PART, F.array(F.struct(F.array(one).alias("tracks")), F.struct(F.array(two).alias("tracks"))).alias("media"))
+    one, two = track(1, F.col("p_name"), F.concat(F.lit("r"), part()), none, F.array(F.concat(F.lit("I"), part()), F.lit("X"))), track(2, F.lit(""), none, F.col("p_type"), F.array())
+    return answers(t.part, part(), F.array(F.struct(F.array(one).alias("tracks")), F.struct(F.array(two).alias("tracks"))).alias("media"))
 
 
 q("cn03_tracklist", f"SELECT {_KEY}, 1 AS disc, 1 AS position, p_name AS title, 'r' || p_partkey AS mbid, 'I' || p_partkey AS isrc FROM part UNION ALL SELECT {_KEY}, 2, 2, p_type, NULL, NULL FROM part")(lambda t: payloads.tracklists(release_answers(t)))
 q("cn04_artist_facts", f"SELECT {_KEY}, CASE WHEN p_partkey % 7 <> 0 THEN 'Q' || p_partkey END AS qid, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 2 = 0 THEN 'FR' END AS country, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS gender, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS artist_type, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 THEN 1900 + p_partkey % 100 END AS formed_year FROM part")(
     lambda t: payloads.artist_facts(
-        answers(t.part, PART, F.struct(F.when(PART % 7 != 0, F.array(F.struct(value(F.concat(F.lit("Q"), PART)).alias("wikidataQID"), F.when(PART % 2 == 0, value(F.lit("FR"))).alias("countryCode"), value(F.when(PART % 3 != 0, F.concat((PART % 100 + 1900).cast("string"), F.lit("-05-01T00:00:00Z"))).otherwise("unknown")).alias("inception"), value(F.col("p_brand")).alias("genderLabel"), value(F.col("p_type")).alias("artistTypeLabel")))).otherwise(F.array().cast("array<struct<wikidataQID:struct<value:string>,countryCode:struct<value:string>,inception:struct<value:string>,genderLabel:struct<value:string>,artistTypeLabel:struct<value:string>>>")).alias("bindings")).alias("results"))
+        answers(t.part, part(), F.struct(F.when(part() % 7 != 0, F.array(F.struct(value(F.concat(F.lit("Q"), part())).alias("wikidataQID"), F.when(part() % 2 == 0, value(F.lit("FR"))).alias("countryCode"), value(F.when(part() % 3 != 0, F.concat((part() % 100 + 1900).cast("string"), F.lit("-05-01T00:00:00Z"))).otherwise("unknown")).alias("inception"), value(F.col("p_brand")).alias("genderLabel"), value(F.col("p_type")).alias("artistTypeLabel")))).otherwise(F.array().cast("array<struct<wikidataQID:struct<value:string>,countryCode:struct<value:string>,inception:struct<value:string>,genderLabel:struct<value:string>,artistTypeLabel:struct<value:string>>>")).alias("bindings")).alias("results"))
     )
 )
-q("cn05_track_codes", f"SELECT {_KEY}, 'USABC' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS isrc FROM part WHERE p_partkey % 4 <> 0")(lambda t: payloads.track_codes(answers(t.part, PART, F.array(F.struct(F.when(PART % 4 != 0, F.concat(F.lit("usabc"), F.lpad(PART.cast("string"), 7, "0"))).otherwise("short").alias("isrc")), F.struct(F.lit("USABC0000000").alias("isrc"))).alias("data"))))
+q("cn05_track_codes", f"SELECT {_KEY}, 'USABC' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS isrc FROM part WHERE p_partkey % 4 <> 0")(lambda t: payloads.track_codes(answers(t.part, part(), F.array(F.struct(F.when(part() % 4 != 0, F.concat(F.lit("usabc"), F.lpad(part().cast("string"), 7, "0"))).otherwise("short").alias("isrc")), F.struct(F.lit("USABC0000000").alias("isrc"))).alias("data"))))
 q("cn06_store_tracks", f"SELECT {_KEY}, p_name AS album, p_type AS genre, CASE WHEN p_partkey % 2 = 0 THEN '2001-02-03' END AS release_date FROM part WHERE p_partkey % 7 <> 0")(
-    lambda t: payloads.store_tracks(answers(t.part, PART, F.when(PART % 7 != 0, F.array(F.struct(F.col("p_name").alias("collectionName"), F.col("p_type").alias("primaryGenreName"), F.when(PART % 2 == 0, "2001-02-03T07:00:00Z").otherwise("").alias("releaseDate")))).alias("results")))
+    lambda t: payloads.store_tracks(answers(t.part, part(), F.when(part() % 7 != 0, F.array(F.struct(F.col("p_name").alias("collectionName"), F.col("p_type").alias("primaryGenreName"), F.when(part() % 2 == 0, "2001-02-03T07:00:00Z").otherwise("").alias("releaseDate")))).alias("results")))
 )
 q("cn07_release_search", f"SELECT {_KEY}, p_brand AS catno, CASE WHEN p_partkey % 2 = 0 THEN '7 24' END AS barcode, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'Style,' || p_type END AS styles FROM part WHERE p_partkey % 7 <> 0")(
-    lambda t: payloads.release_search(answers(t.part, PART, F.when(PART % 7 != 0, F.array(F.struct(F.col("p_brand").alias("catno"), F.when(PART % 2 == 0, F.array(F.lit(" 7 24 "), F.lit("9"))).alias("barcode"), F.when(PART % 3 != 0, F.array(F.lit("Style"))).alias("style"), F.array("p_type").alias("genre")))).alias("results"))).withColumn("styles", F.array_join("styles", ","))
+    lambda t: payloads.release_search(answers(t.part, part(), F.when(part() % 7 != 0, F.array(F.struct(F.col("p_brand").alias("catno"), F.when(part() % 2 == 0, F.array(F.lit(" 7 24 "), F.lit("9"))).alias("barcode"), F.when(part() % 3 != 0, F.array(F.lit("Style"))).alias("style"), F.array("p_type").alias("genre")))).alias("results"))).withColumn("styles", F.array_join("styles", ","))
 )
 
 
 def tag_answers(t: Catalog) -> DataFrame:
     tags = F.transform(F.sequence(F.lit(0), F.col("p_size") % 12), lambda k: F.struct(F.when(k == 2, "").otherwise(F.concat(F.lit("tag "), k.cast("string"))).alias("name"), F.when(k % 3 == 0, "many").otherwise((100 - k).cast("string")).alias("count")))
-    return answers(t.part, PART, F.struct(tags.alias("tag")).alias("toptags"))
+    return answers(t.part, part(), F.struct(tags.alias("tag")).alias("toptags"))
 
 
 q("cn08_top_tags", f"SELECT {_KEY}, CAST(k AS INT) AS n, 'tag ' || k AS tag, CAST(CASE WHEN k % 3 = 0 THEN 50 ELSE 100 - k END AS DOUBLE) AS weight FROM part, range(8) r(k) WHERE k <= p_size % 12 AND k <> 2")(lambda t: payloads.top_tags(tag_answers(t)))
 
-_SEED = F.md5(PART.cast("string").cast("binary"))
-
-
 def with_seed(t: Catalog) -> DataFrame:
     """Parts as seeds: an identifier of 36 characters for all but every fifth."""
-    long = F.concat_ws("-", F.substring(_SEED, 1, 8), F.substring(_SEED, 9, 4), F.substring(_SEED, 13, 4), F.substring(_SEED, 17, 4), F.substring(_SEED, 21, 12))
-    return t.part.withColumn("seed", F.when(PART % 5 != 0, long).otherwise(F.col("p_name")))
+    mark = F.md5(part().cast("string").cast("binary"))
+    long = F.concat_ws("-", F.substring(mark, 1, 8), F.substring(mark, 9, 4), F.substring(mark, 13, 4), F.substring(mark, 17, 4), F.substring(mark, 21, 12))
+    return t.part.withColumn("seed", F.when(part() % 5 != 0, long).otherwise(F.col("p_name")))
 
 
 _SEED_SQL = "(SELECT *, substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) AS seed FROM (SELECT *, md5(CAST(p_partkey AS VARCHAR)) AS m FROM part) x)"
@@ -146,15 +147,15 @@ def discography_answers(t: Catalog) -> DataFrame:
 def network_answers(t: Catalog) -> DataFrame:
     """As many bindings as the part's size, of which forty count."""
     row = lambda k: F.struct(value(F.concat(F.lit("http://x/entity/Q"), k.cast("string"))).alias("releaseGroup"), value(F.concat(F.lit("Album "), k.cast("string"))).alias("title"), value(F.concat("p_brand", F.lit(" "), (k % 3).cast("string"))).alias("similarArtistLabel"), F.when(k % 2 == 0, value(F.col("p_type"))).alias("genreLabel"))
-    return answers(t.part, PART, F.struct(F.transform(F.sequence(F.lit(1), F.col("p_size")), row).alias("bindings")).alias("results"))
+    return answers(t.part, part(), F.struct(F.transform(F.sequence(F.lit(1), F.col("p_size")), row).alias("bindings")).alias("results"))
 
 
 q("cn09_genre_network", f"SELECT {_KEY}, 'Album ' || k AS title, p_brand || ' ' || (k % 3) AS artist_name, 'Q' || k AS mbid, CASE WHEN k % 2 = 0 THEN p_type ELSE 'Unclassified' END AS genre FROM part, range(1, 41) r(k) WHERE k <= p_size")(lambda t: payloads.genre_network(network_answers(t)))
 
 
 def similar_answers(t: Catalog) -> DataFrame:
-    names = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(F.when(k == 1, "").otherwise(F.concat(F.lit("Brand#"), ((PART + k) % 25 + 11).cast("string"))).alias("name")))
-    return answers(t.part, PART, F.struct(names.alias("artist")).alias("similarartists"))
+    names = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(F.when(k == 1, "").otherwise(F.concat(F.lit("Brand#"), ((part() + k) % 25 + 11).cast("string"))).alias("name")))
+    return answers(t.part, part(), F.struct(names.alias("artist")).alias("similarartists"))
 
 
 def album_answers(t: Catalog) -> DataFrame:
@@ -165,7 +166,7 @@ def album_answers(t: Catalog) -> DataFrame:
 
 
 q("cn09_similar", f"SELECT {_KEY}, 'Top ' || a.k AS title, 'Brand#' || ((p_partkey + s.k) % 25 + 11) AS artist_name, CASE WHEN a.k = 0 THEN repeat('f', 36) END AS mbid, 'Similar' AS genre FROM part, (VALUES (0), (2)) s(k), range(3) a(k)")(lambda t: payloads.similar_albums(payloads.similar_artists(similar_answers(t)), album_answers(t)))
-q("cn09_names", f"SELECT {_KEY}, 'm' || p_partkey AS mbid FROM part WHERE p_partkey % 6 <> 0")(lambda t: payloads.artist_ids(answers(t.part, PART, F.when(PART % 6 != 0, F.array(F.struct(F.concat(F.lit("m"), PART).alias("id")), F.struct(F.lit("z").alias("id")))).alias("artists"))))
+q("cn09_names", f"SELECT {_KEY}, 'm' || p_partkey AS mbid FROM part WHERE p_partkey % 6 <> 0")(lambda t: payloads.artist_ids(answers(t.part, part(), F.when(part() % 6 != 0, F.array(F.struct(F.concat(F.lit("m"), part()).alias("id")), F.struct(F.lit("z").alias("id")))).alias("artists"))))
 
 
 @q(
@@ -186,14 +187,14 @@ def genre_seed_harvest(t: Catalog) -> DataFrame:
 def crawled(t: Catalog) -> dict[str, DataFrame]:
     """One step over a frontier of parts, a fifth of them names that a search has to find."""
     rows = with_seed(t)
-    named = F.concat(F.lit("name:"), "p_name", F.lit("/"), PART)
-    frontier = rows.select(F.when(PART % 5 != 0, F.col("seed")).otherwise(named).alias("seed_id"), F.col("p_brand").alias("entity_name"), (F.col("p_size") / 50).alias("priority"), F.when(PART % 9 == 0, "COOLDOWN").otherwise("PENDING").alias("state"), PART.alias("created_seq"))
+    named = F.concat(F.lit("name:"), "p_name", F.lit("/"), part())
+    frontier = rows.select(F.when(part() % 5 != 0, F.col("seed")).otherwise(named).alias("seed_id"), F.col("p_brand").alias("entity_name"), (F.col("p_size") / 50).alias("priority"), F.when(part() % 9 == 0, "COOLDOWN").otherwise("PENDING").alias("state"), part().alias("created_seq"))
     frontier = crawl.harvest(frontier, t.core_artists, t.core_recordings, t.meta_validation)
     said = {
-        "artist_search": rows.where("p_partkey % 5 = 0").select(named.alias("key"), F.to_json(F.struct(F.when(PART % 10 == 0, F.array(F.struct(F.concat(F.lit("found "), PART).alias("id")))).alias("artists"))).alias("body")),
+        "artist_search": rows.where("p_partkey % 5 = 0").select(named.alias("key"), F.to_json(F.struct(F.when(part() % 10 == 0, F.array(F.struct(F.concat(F.lit("found "), part()).alias("id")))).alias("artists"))).alias("body")),
         "discography": discography_answers(t).select("key", "body"),
-        "genre_network": network_answers(t).join(rows.select(PART.cast("string").alias("key"), "seed"), "key").select(F.col("seed").alias("key"), "body"),
-        "similar": similar_answers(t).join(rows.select(PART.cast("string").alias("key"), "p_brand"), "key").groupBy(F.col("p_brand").alias("key")).agg(F.min("body").alias("body")),
+        "genre_network": network_answers(t).join(rows.select(part().cast("string").alias("key"), "seed"), "key").select(F.col("seed").alias("key"), "body"),
+        "similar": similar_answers(t).join(rows.select(part().cast("string").alias("key"), "p_brand"), "key").groupBy(F.col("p_brand").alias("key")).agg(F.min("body").alias("body")),
         "albums": album_answers(t),
     }
     lib = overview(t).select("title", "artist_name").distinct()
