@@ -12,7 +12,7 @@ from tessera.operators import resolve as consensus
 from tessera.operators.taxonomy import genre_consensus
 from tessera.plans import duck
 from tessera.plans.registry import catalog_query as q
-from tessera.plans.scans import AS_OF, overview, owned, scoped, visible
+from tessera.plans.scans import AS_OF, OWNED, overview, owned, scoped, visible
 from tessera.plans.totals import AFFINITY, COMPILATIONS, affinity, compilations
 from tessera.sources.fixtures import Catalog
 
@@ -53,15 +53,22 @@ q("fn27_snooze_until", f"SELECT seq, TIMESTAMP '{AS_OF}' + to_days(CAST(seq % 30
 q("fn28_json", """SELECT event_id, '{"type":"' || event_type || '","k":' || regexp_extract(props, '([0-9]+)', 1) || '}' AS j, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events""")(lambda t: t.events.select("event_id", "event_type", F.from_json("props", "k int").alias("p")).select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("p.k").alias("k"))).alias("j"), F.col("p.k").alias("k")))
 q("fn29_inception", "SELECT id, try_cast(substr(d, 1, 4) AS INT) AS y FROM (SELECT id, coalesce(release_date, 'unknown') AS d FROM core_recordings) x")(lambda t: t.core_recordings.select("id", text.year(F.coalesce("release_date", F.lit("unknown"))).alias("y")))
 q("fn30_uri_tail", "SELECT page_id, list_last(string_split(url, '/')) AS tail FROM pages")(lambda t: t.pages.select("page_id", F.element_at(F.split("url", "/"), -1).alias("tail")))
-q("fn01_exact_functions")(lambda t: exact_functions(t))
+q("fn01_exact_functions", r"SELECT p_partkey, trim(p_name) AS nfc, lower(p_name) AS folded, trim(regexp_replace(lower(trim(p_name)), '[\s\-_]+', ' ', 'g')) AS alias, trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s-]', '', 'g'), '[-\s]+', '_', 'g'), '_') AS slug FROM part")(lambda t: exact_functions(t))
+q("fn17_similarity")(lambda t: similarities(t))
 
 
 def exact_functions(t: Catalog) -> DataFrame:
-    """Unicode-exact forms: composed, folded, alias, slug, and similarity in both orders."""
+    """Unicode-exact forms: composed, folded, alias, slug; the table's names are ASCII."""
     from tessera.functions import exact
 
-    p = t.part
-    return p.select("p_partkey", exact.nfc("p_name").alias("nfc"), exact.casefold("p_name").alias("folded"), exact.tag_alias("p_name").alias("alias"), exact.slug("p_name").alias("slug"), exact.similarity("p_name", "p_type").alias("ab"), exact.similarity("p_type", "p_name").alias("ba"))
+    return t.part.select("p_partkey", exact.nfc("p_name").alias("nfc"), exact.casefold("p_name").alias("folded"), exact.tag_alias("p_name").alias("alias"), exact.slug("p_name").alias("slug"))
+
+
+def similarities(t: Catalog) -> DataFrame:
+    """Likeness of two texts in both orders."""
+    from tessera.functions import exact
+
+    return t.part.select("p_partkey", exact.similarity("p_name", "p_type").alias("ab"), exact.similarity("p_type", "p_name").alias("ba"))
 
 
 # Resolution
@@ -115,10 +122,19 @@ q("dm02_normalisers", f"SELECT id, {duck.normalise('field_name', 'value')} AS no
 q("dm03_artist_rule")(lambda t: artist_rule(t))
 
 
+def artist_facts(t: Catalog) -> DataFrame:
+    """Facts about recordings' artists: what the catalog has, what was proposed, and what a tenth of the users said."""
+    fact = lambda rows, source, confidence: rows.select("id", "entity_id", F.lit("artist").alias("field_name"), "value", F.lit(source).alias("source_id"), F.lit(confidence).alias("confidence"), F.lit(1.0).alias("positional_weight"))
+    named = t.core_recordings.join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("value")), "artist_id").select((F.col("id") * 3).alias("id"), F.col("id").alias("entity_id"), "value")
+    asked = t.meta_proposals.where("field_name IN ('artist', 'album')").select((F.col("entity_id") * 3 + 1).alias("id"), "entity_id", F.col("selected_value").alias("value"))
+    said = asked.where("entity_id % 10 = 1").withColumn("id", F.col("id") + 1)
+    return fact(named, "SRC_EMBEDDED_TAGS", 0.9).unionByName(fact(asked, "SRC_LASTFM", 0.8)).unionByName(fact(said, "SRC_USER", 0.8))
+
+
 def artist_rule(t: Catalog) -> DataFrame:
-    """Candidates of the field artist, penalised where they contradict the artist the entity has."""
-    facts = t.meta_evidence.where("field_name = 'country'").withColumn("field_name", F.lit("artist"))
-    return consensus.candidates(facts, references=t.core_artists.select(F.col("id").alias("entity_id"), F.lower("name").alias("reference")))
+    """Candidates of the field artist, penalised where they are unlike the artist of the recording and no user said them."""
+    names = t.core_recordings.select(F.col("id").alias("entity_id"), "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.lower("name").alias("reference")), "artist_id")
+    return consensus.candidates(artist_facts(t), references=names.select("entity_id", "reference"))
 
 
 q("dm04_trust_priors", "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{k}', CAST({v} AS DOUBLE))" for f, table in fixed.FIELD_PRIORS.items() for k, v in table.items()) + ") p(field_name, family, prior)")(lambda t: t.spark.createDataFrame([(f, k, v) for f, table in fixed.FIELD_PRIORS.items() for k, v in table.items()], "field_name string, family string, prior double"))
@@ -233,7 +249,7 @@ q("dm18_evidence_buffer", "SELECT entity_id, field_name, source_id, value, confi
 # Discovery
 
 
-@q("dm19_ownership_sweep", None)
+@q("dm19_ownership_sweep", f"SELECT candidate_id, CASE WHEN state NOT IN ('ACQUIRED', 'IGNORED') AND candidate_id IN ({OWNED}) THEN 'ACQUIRED' ELSE state END AS state FROM sys_discovery_candidates")
 def ownership_sweep(t: Catalog) -> DataFrame:
     from tessera.operators.mutate import update_keys
 

@@ -53,6 +53,8 @@ def feedback(t: Catalog) -> DataFrame:
 q("ss09_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")(lambda t: streams.event_counts(t.events))
 
 
-@q("ss02_ingest_dedup", "SELECT min(asset_id) AS path, md5_file, count(*) AS copies FROM core_assets GROUP BY md5_file")
+@q("ss02_ingest_dedup", "SELECT path, md5_file, size FROM (SELECT asset_id AS path, md5_file, file_size AS size FROM core_assets WHERE channels = 1) k UNION ALL SELECT min(asset_id), md5_file, arg_min(file_size, asset_id) FROM core_assets WHERE md5_file NOT IN (SELECT md5_file FROM core_assets WHERE channels = 1) GROUP BY md5_file")
 def ingest_dedup(t: Catalog) -> DataFrame:
-    return t.core_assets.groupBy("md5_file").agg(F.min("asset_id").alias("path"), F.count("*").alias("copies"))
+    """One batch of the watched folder's stream: all assets, against a store that has those of one channel."""
+    files = t.core_assets.select(F.col("asset_id").alias("path"), "md5_file", F.col("file_size").alias("size"))
+    return streams.ingest_batch(files, t.core_assets.where("channels = 1").select(F.col("asset_id").alias("path"), "md5_file", F.col("file_size").alias("size")))

@@ -214,7 +214,7 @@ def siblings(t: Catalog) -> DataFrame:
     return t.core_recordings.select("album_id", F.col("id").alias("donor")).join(r, "album_id").where("donor <> sibling").select("donor", "sibling")
 
 
-_OWNED = f"""
+OWNED = f"""
 SELECT candidate_id FROM sys_discovery_candidates c WHERE release_group_mbid IN (SELECT musicbrainz_recording_id FROM core_recordings WHERE musicbrainz_recording_id IS NOT NULL UNION SELECT release_group_mbid FROM core_albums WHERE release_group_mbid IS NOT NULL)
 OR EXISTS (SELECT 1 FROM core_recordings r JOIN core_artists a ON r.artist_id = a.id WHERE r.title <> '' AND {duck.alnum("r.title")} = {duck.alnum("c.title")} AND {duck.alnum("a.name")} = {duck.alnum("c.artist_name")})"""
 
@@ -228,7 +228,7 @@ def owned(t: Catalog) -> DataFrame:
     return c.join(ids, "release_group_mbid", "left_semi").select("candidate_id").unionByName(c.join(names, ["kt", "ka"], "left_semi").select("candidate_id")).distinct()
 
 
-q("jn13_either_key", _OWNED)(owned)
+q("jn13_either_key", OWNED)(owned)
 
 
 def fuzzy(t: Catalog, close) -> DataFrame:

@@ -27,3 +27,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the library to the executors of a cluster that doesn't have it installed, as one archive."""
+    import os
+    import tempfile
+    import zipfile
+
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(archive)

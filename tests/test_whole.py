@@ -29,8 +29,6 @@ def test_cluster_match_over_all_albums(spark, small):
                 expected[r.id] = (name, k, round(-score, 9))
     found = registry.queries()["jn15_cluster_match"](spark, small).collect()
     assert {r.id: (r.official, r.position, round(r.score, 9)) for r in found} == expected and len(found) == len(expected)
-    facts = registry.queries()["dm17_cluster_facts"](spark, small).collect()
-    assert {r.entity_id: r.value for r in facts} == {k: v[0] for k, v in expected.items()}
 
 
 def test_ranked_match_over_all_recordings(spark, small):
@@ -73,3 +71,38 @@ def test_fuzzy_ownership_takes_any_title(rows):
     )
     assert [r.candidate_id for r in fuzzy_owned(t).collect()] == ["a"]
     assert [r.candidate_id for r in fuzzy(t, F.expr("levenshtein(title, lib_title) <= 2")).collect()] == ["a"]
+
+
+def test_similarity_of_all_parts(spark, small):
+    from tessera.functions.exact import ratio
+
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{small}/part.parquet").collect()}
+    for r in registry.queries()["fn17_similarity"](spark, small).collect():
+        assert (r.ab, r.ba) == (ratio(parts[r.p_partkey].p_name, parts[r.p_partkey].p_type), ratio(parts[r.p_partkey].p_type, parts[r.p_partkey].p_name))
+
+
+def test_artist_rule_over_all_recordings(spark, small):
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import fixed, text
+    from tessera.functions.exact import ratio
+    from tessera.plans.domain import artist_facts
+    from tessera.sources.fixtures import Catalog
+
+    t = Catalog(spark, small)
+    names = {r.id: r.name.lower() for r in t.core_artists.collect()}
+    reference = {r.id: names.get(r.artist_id) for r in t.core_recordings.collect()}
+    groups = defaultdict(lambda: defaultdict(list))
+    for r in artist_facts(t).withColumn("norm", text.normalise(F.col("field_name"), F.trim("value"))).collect():
+        if (r.value or "").strip() and r.value.strip().upper() not in ("NONE", "NULL") and r.norm:
+            groups[r.entity_id, r.norm][fixed.SOURCE_FAMILIES[r.source_id]].append(r.confidence)
+    expected = {}
+    for (entity, norm), families in groups.items():
+        score = sum(sum(c) / len(c) * fixed.FIELD_PRIORS["artist"].get(f, fixed.MISSING_PRIOR) for f, c in families.items())
+        unlike = reference.get(entity) is not None and ratio(norm, reference[entity]) < 0.40 and "USER_OVERRIDE" not in families
+        expected[entity, norm] = max(0.01, round(score - 0.30 * unlike, 9))
+    found = registry.queries()["dm03_artist_rule"](spark, small).collect()
+    assert {(r.entity_id, r.norm): round(r.trust, 9) for r in found} == {k: round(v, 9) for k, v in expected.items()} and len(found) == len(expected)
+    assert 0.01 in expected.values()
