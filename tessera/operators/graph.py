@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a folder of our own only where none is set."""
+    """Cut the lineage in the folder that spark.checkpoint.dir names; a temporary one only in a local session, which has no other machine."""
     context = frame.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return frame.checkpoint()
 
 
