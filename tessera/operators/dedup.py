@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +11,26 @@ from tessera.functions import text
 def evaluate(incoming: DataFrame, assets: DataFrame, prints: DataFrame, titles: DataFrame) -> DataFrame:
     """(asset_id, label): the first of file, stream, fingerprint and title with artist that the store has, or null.
 
-    prints: (fingerprint, duration); titles: (title, artist) of the library. Each key is looked up with its asset's id alone; the
-    first hit of each asset goes back to it in one join.
+    prints: (fingerprint, duration); titles: (title, artist) of the library. All keys of both sides meet in one join of narrow rows,
+    and the first hit of each asset counts.
     """
-    files = incoming.select("asset_id", "md5_file").join(assets.select("md5_file"), "md5_file", "left_semi")
-    streams = incoming.select("asset_id", "audio_stream_hash").join(assets.select("audio_stream_hash"), "audio_stream_hash", "left_semi")
-    close = incoming.where("fingerprint IS NOT NULL AND duration > 0").select("asset_id", "fingerprint", "duration").join(prints.select("fingerprint", F.col("duration").alias("d")), "fingerprint").where("abs(duration - d) <= 2.0")
-    library = titles.select(F.lower("title").alias("kt"), text.artist_key(F.col("artist")).alias("ka")).where("kt <> ''").distinct()
-    named = incoming.select("asset_id", F.lower(F.trim("title")).alias("kt"), text.artist_key(F.col("artist")).alias("ka")).join(library, ["kt", "ka"], "left_semi")
-    ranked = reduce(DataFrame.unionByName, [rows.select("asset_id", F.lit(k).alias("rank")) for k, rows in enumerate((files, streams, close, named))])
-    first = ranked.groupBy("asset_id").agg(F.min("rank").alias("rank"))
+    none = F.lit(None).cast("double")
+    entry = lambda kind, value, duration=none: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("key"), duration.cast("double").alias("d"))
+    name = lambda title, artist: F.concat_ws("\n", F.nullif(F.lower(title), F.lit("")), text.artist_key(artist))
+    titled = F.when(F.coalesce(F.trim("title"), F.lit("")) != "", name(F.trim("title"), F.col("artist")))
+    heard = F.when(F.col("duration") > 0, F.col("fingerprint"))
+    # One entry always stays, so every asset has a row at the end.
+    mine = F.filter(F.array(entry(0, F.col("md5_file")), entry(1, F.col("audio_stream_hash")), entry(2, heard, F.col("duration")), entry(3, titled), entry(9, F.col("asset_id"))), lambda x: x["key"].isNotNull())
+    keys = incoming.select("asset_id", F.explode(mine).alias("x")).select("asset_id", "x.*")
+    held = assets.select(F.explode(F.array(entry(0, F.col("md5_file")), entry(1, F.col("audio_stream_hash")))).alias("x")).select("x.*")
+    held = held.unionByName(prints.select(entry(2, F.col("fingerprint"), F.col("duration")).alias("x")).select("x.*"))
+    held = held.unionByName(titles.where("title <> ''").select(entry(3, name(F.col("title"), F.col("artist"))).alias("x")).select("x.*")).where("key IS NOT NULL").distinct().withColumnRenamed("d", "other")
+    same = (F.col("kind") != 2) | (F.abs(F.col("d") - F.col("other")) <= 2.0)
+    hit = F.when(F.col("stored") & same, F.col("kind"))
+    met = keys.join(held.withColumn("stored", F.lit(True)), ["kind", "key"], "left")
+    first = met.groupBy("asset_id").agg(F.min(hit).alias("rank"))
     labels = F.array(*map(F.lit, ("FILE_DUPLICATE", "STREAM_DUPLICATE", "FINGERPRINT_DUPLICATE", "TITLE_ARTIST_DUPLICATE")))
-    return incoming.select("asset_id").join(first, "asset_id", "left").select("asset_id", F.get(labels, F.col("rank")).alias("label"))
+    return first.select("asset_id", F.get(labels, F.col("rank")).alias("label"))
 
 
 def first_come(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import fixed, text
@@ -72,11 +72,10 @@ def resolve(evidence: DataFrame, locks: DataFrame, current: DataFrame, targets:
     seen = evidence.groupBy(*key).agg(F.max(F.col("source_id") == "SRC_USER").alias("by_user"))
     wanted = seen if targets is None else targets.select(*key).distinct().join(seen, key, "full")
     found = candidates(evidence, references)
-    order = Window.partitionBy(*key).orderBy(F.desc("trust"), F.desc(F.size("families")), "first_id")
-    ranked = found.withColumn("n", F.row_number().over(order))
-    won = ranked.where("n = 1").select(*key, F.col("value").alias("won"), "trust", "families")
-    lost = ranked.where("n > 1").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "value", "families"))).alias("lost"))
-    rows = wanted.join(locks.select(*key, "lock_state"), key, "left").join(current.select(*key, F.col("value").alias("old_value")), key, "left").join(won, key, "left").join(lost, key, "left")
+    # Best first; first_id is unique, so nothing behind it is compared.
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("trust")).alias("t"), (-F.size("families")).alias("f"), "first_id", "value", "trust", "families")))
+    best = found.groupBy(*key).agg(listed.alias("c")).select(*key, F.get("c", 0)["value"].alias("won"), F.get("c", 0)["trust"].alias("trust"), F.get("c", 0)["families"].alias("families"), F.slice("c", F.lit(2), F.size("c")).alias("lost"))
+    rows = wanted.join(locks.select(*key, "lock_state"), key, "left").join(current.select(*key, F.col("value").alias("old_value")), key, "left").join(best, key, "left")
     kept = (
         F.when(F.col("lock_state") == "MANUAL", "Field locked as MANUAL by user")
         .when((F.col("lock_state") == "PROTECTED") & ~F.coalesce("by_user", F.lit(False)), "Field is PROTECTED and no user evidence present")
