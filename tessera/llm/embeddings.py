@@ -158,11 +158,18 @@ def _tiles(threshold: float):
         key, rows = None, []
 
         def solve(key: tuple, rows: list[tuple]) -> tuple | None:
+            if len(rows) < 2:
+                return None
             rep, weight, own, block, codes, v = zip(*rows, strict=True)
+            unit = _unit(v)
+            near = unit @ unit.T >= threshold - 1e-9
+            np.fill_diagonal(near, False)
+            if not near.any():  # as in most buckets
+                return None
             rep, weight = np.array(rep), np.array(weight)
             order = np.argsort(rep, kind="stable")
             codes = np.frombuffer(b"".join(codes), np.int32).reshape(len(rows), TABLES, -1)
-            i, j = tile_links(_unit(v)[order], codes[order], np.array(own)[order], np.array(block)[order], key[2], key[3], threshold)
+            i, j = tile_links(unit[order], codes[order], np.array(own)[order], np.array(block)[order], key[2], key[3], threshold)
             if not len(i):
                 return None
             rep, weight = rep[order], weight[order]
