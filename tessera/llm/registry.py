@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.clusters import centroid_clusters
+from tessera.llm.codes import vector_codes
 from tessera.llm.common import table
 from tessera.llm.decontamination import contamination_report
 from tessera.llm.embeddings import embedding_dedup
@@ -60,8 +62,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_embedding_dedup, op7_language, op8_packing, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_embedding_dedup, op7_language, op8_packing, op9_quality, op10_url_filter, op12_vector_codes, op13_centroid_clusters)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -126,5 +136,42 @@ SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN ho
 """
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op12(rounds: int = 2) -> str:
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS BIGINT)) AS x FROM embeddings WHERE {_FINITE}),
+parts AS (SELECT r, vec_id, p, len(x) // 16 AS w, list_slice(x, 1 + p * (len(x) // 16), (p + 1) * (len(x) // 16)) AS x FROM v, range(16) AS _(p)),
+book0 AS (SELECT p, dense_rank() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64))"""]
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS (SELECT r, p, any_value(x) AS x, min([list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e]) AS found FROM parts JOIN book{k} USING (p) GROUP BY r, p)")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (SELECT p, e, list(m ORDER BY i) AS c FROM (SELECT p, found[2] AS e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM near{k}, range(1, 1 + len(x)) AS _(i) GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN mean{k} m USING (p, e))""")
+    return f"""
+WITH {", ".join(steps)},
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}),
+coded AS (SELECT r, string_agg(lpad(printf('%x', found[2]), 2, '0'), '' ORDER BY p) AS code, CAST(sum(found[1]) AS BIGINT) AS error FROM near{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (r), digest
+"""
+
+
+def _op13(rounds: int = 3) -> str:
+    steps = [f"""v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, x AS c FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16)"""]
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS (SELECT r, any_value(x) AS x, min([list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), k]) AS found FROM v, c{k} GROUP BY r)")
+        if k < rounds:
+            steps.append(f"""mean{k} AS (SELECT k, list(m ORDER BY i) AS c FROM (SELECT found[2] AS k, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m FROM near{k}, range(1, 65) AS _(i) GROUP BY ALL) GROUP BY k),
+c{k + 1} AS (SELECT k, coalesce(m.c, b.c) AS c FROM c{k} b LEFT JOIN mean{k} m USING (k))""")
+    return f"""
+WITH {", ".join(steps)},
+placed AS (SELECT r, found[2] AS k, CAST(found[1] AS BIGINT) AS distance FROM near{rounds})
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN placed USING (r) JOIN c{rounds} USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": _OP2, "op4_decontamination": _OP4, "op6_embedding_dedup": _OP6, "op10_url_filter": _OP10}
+    return {"op2_jaccard_join": _OP2, "op4_decontamination": _OP4, "op6_embedding_dedup": _OP6, "op10_url_filter": _OP10, "op12_vector_codes": _op12(), "op13_centroid_clusters": _op13()}
