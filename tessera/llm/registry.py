@@ -14,6 +14,7 @@ from tessera.llm.embeddings import embedding_dedup
 from tessera.llm.jaccard import jaccard_components
 from tessera.llm.language import language
 from tessera.llm.packing import packing_digest
+from tessera.llm.pii import personal_data
 from tessera.llm.quality import quality
 from tessera.llm.suffixes import remove_repeats
 from tessera.llm.token_counts import sample_edits, token_counts
@@ -62,6 +63,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -71,7 +76,7 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_embedding_dedup, op7_language, op8_packing, op9_quality, op10_url_filter, op12_vector_codes, op13_centroid_clusters)}
+    return {f.__name__: f for f in (op1_token_counts, op2_jaccard_join, op3_suffix_dedup, op4_decontamination, op5_toxicity, op6_embedding_dedup, op7_language, op8_packing, op9_quality, op10_url_filter, op11_pii, op12_vector_codes, op13_centroid_clusters)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
