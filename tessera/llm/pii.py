@@ -79,12 +79,36 @@ def contexts(hashes: list[np.ndarray], starts: np.ndarray, ends: np.ndarray, low
 
 
 _FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-_SEEN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("kinds", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.int64()))]))
-_READ = "doc_id long, mark string, base array<struct<kind:int,start:int,end:int>>, seen array<struct<start:int,end:int,seed:boolean,kinds:int,instance:string,patterns:array<long>>>"
+_SEEN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("kinds", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.struct([("pattern", pa.int64()), ("stands", pa.int32())])))]))
+_READ = "doc_id long, mark string, base array<struct<kind:int,start:int,end:int>>, seen array<struct<start:int,end:int,seed:boolean,kinds:int,instance:string,patterns:array<struct<pattern:long,stands:int>>>>"
+
+
+def _places(hashes: list[np.ndarray], row: np.ndarray) -> Iterator[np.ndarray]:
+    """The patterns at all places of rows with these first tokens: before a token, and behind one."""
+    low, high = np.repeat(row[:-1], np.diff(row)), np.repeat(row[1:], np.diff(row))
+    for n, each in enumerate(hashes, 1):
+        at = np.arange(len(each))
+        if n <= BEFORE:
+            yield each[at + n < high[: len(at)]]
+        if n <= BEHIND:
+            yield each[(at > low[: len(at)]) & (at + n <= high[: len(at)])] | np.uint64(1)
+
+
+def _standing(hashes: list[np.ndarray], row: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """How often each of the ascending patterns stands in the rows with these first tokens."""
+    out = np.zeros(len(patterns), np.int64)
+    for h in map(_signed, _places(hashes, row)):
+        place = np.searchsorted(patterns, h)
+        place[place == len(patterns)] = 0
+        out += np.bincount(place[patterns[place] == h], minlength=len(patterns))
+    return out
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each text its base spans, and these and the candidates with their patterns."""
+    """For each text its base spans, and these and the candidates with their patterns.
+
+    stands: how often the pattern stands in a block of texts, at its first note there; at further notes 0.
+    """
     for batch in batches:
         for first, last, data, offsets in text_blocks(batch.column(2)):
             texts = [data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -98,6 +122,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if spans:
                         at = offsets[k] + np.append(np.flatnonzero((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80), offsets[k + 1] - offsets[k])
                         noted[k] = [{"start": s, "end": e, "seed": seed, "kinds": kinds, "instance": instance(texts[k][s:e], kinds), "patterns": contexts(hashes, starts, ends, row[k], row[k + 1], at[min(s, len(at) - 1)], at[min(e, len(at) - 1)])} for s, e, seed, kinds in spans]
+                patterns = np.unique(np.array([p for notes in noted for x in notes for p in x["patterns"]], np.int64))
+                stands = dict(zip(patterns.tolist(), _standing(hashes, row, patterns).tolist(), strict=True)) if len(patterns) else {}
+                for notes in noted:
+                    for x in notes:
+                        x["patterns"] = [{"pattern": p, "stands": stands.pop(p, 0)} for p in x["patterns"]]
             found = pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in base], _FOUND)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), found, pa.array(noted, _SEEN)], ["doc_id", "mark", "base", "seen"])
 
@@ -111,14 +140,9 @@ def _counts(bits: np.ndarray):
             passed = []
             for _, _, data, offsets in text_blocks(batch.column(0), 1 << 20):
                 starts, ends, row = tokens(data, offsets)
-                low, high = np.repeat(row[:-1], np.diff(row)), np.repeat(row[1:], np.diff(row))
-                for n, hashes in enumerate(grams(data, starts, ends), 1):
-                    at = np.arange(len(hashes))
-                    for side, most, fits in ((0, BEFORE, at + n < high[: len(at)]), (1, BEHIND, (at > low[: len(at)]) & (at + n <= high[: len(at)]))):
-                        if n <= most:
-                            h = hashes[fits] | np.uint64(side)
-                            place = mix(h) & mask
-                            passed.append(h[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                for h in _places(grams(data, starts, ends), row):
+                    place = mix(h) & mask
+                    passed.append(h[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1])
             found, n = np.unique(np.concatenate([*passed, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(found)), pa.array(n)], ["pattern", "n"])
 
@@ -151,10 +175,12 @@ def pattern_graph(docs: DataFrame, read: DataFrame) -> DataFrame | None:
     None if no pattern has enough instances.
     """
     kinds = F.array(*[F.when(F.col("s.kinds").bitwiseAND(1 << k) != 0, F.lit(k)) for k in range(len(KINDS))])
-    notes = read.select(F.explode("seen").alias("s")).select("s.instance", "s.seed", F.explode("s.patterns").alias("pattern"), F.array_compact(kinds).alias("kinds"))
-    notes = notes.select("pattern", F.explode("kinds").alias("kind"), "instance", "seed")
-    edges = stored(notes.groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed")))
-    enough = stored(edges.groupBy("pattern", "kind").agg(F.count("*").alias("instances"), F.sum("n").alias("held")).where(F.col("instances") >= SUPPORT).select("pattern", "kind", "held"))
+    notes = read.select(F.explode("seen").alias("s")).select("s.instance", "s.seed", F.explode("s.patterns").alias("p"), F.array_compact(kinds).alias("kinds"))
+    notes = notes.select("p.pattern", F.explode("kinds").alias("kind"), "instance", "seed", "p.stands")
+    edges = stored(notes.groupBy("pattern", "kind", "instance").agg(F.count("*").alias("n"), F.bool_or("seed").alias("seed"), F.sum("stands").alias("stands")))
+    # What a pattern's own blocks hold of it may be too much already; that leaves out all common words.
+    enough = edges.groupBy("pattern", "kind").agg(F.count("*").alias("instances"), F.sum("n").alias("held"), F.sum("stands").alias("stands"))
+    enough = stored(enough.where((F.col("instances") >= SUPPORT) & (F.col("held") >= CONFIDENT * F.col("stands"))).select("pattern", "kind", "held"))
     named = enough.select("pattern").distinct()
     if enough.isEmpty():
         discard(edges)
@@ -162,7 +188,7 @@ def pattern_graph(docs: DataFrame, read: DataFrame) -> DataFrame | None:
         return None
     stands = mapped(docs.select(F.col("text").cast("string").alias("text")), _counts(_filter(named)), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
     able = enough.join(stands, "pattern").withColumn("total", F.greatest("total", "held")).where(F.col("held") >= CONFIDENT * F.col("total"))
-    graph = stored(edges.join(able.select("pattern", "kind", "total"), ["pattern", "kind"]), free=True)
+    graph = stored(edges.drop("stands").join(able.select("pattern", "kind", "total"), ["pattern", "kind"]), free=True)
     discard(edges)
     discard(enough)
     return graph
