@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exact, text
 from tessera.operators import crawl, ledger
+from tessera.operators.graph import cut
 from tessera.plans import duck
 from tessera.plans.domain import GENRES, cluster_match
 from tessera.plans.registry import catalog_query as q
@@ -185,18 +186,24 @@ def run_ledger(t: Catalog) -> DataFrame:
 
 
 def parsed_files(t: Catalog) -> DataFrame:
-    """The stored assets as a parser would give them, tags and all."""
-    names = t.core_recordings.select(F.col("id").alias("recording_id"), "title", "isrc", "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left")
-    k = F.col("file_size") % 3
-    genre = F.when(k == 0, "Post-Rock; free  jazz/IDM").when(k == 1, "Rock")
-    tags = F.map_filter(F.create_map(*[x for f, c in (("title", F.col("title")), ("artist", F.col("artist")), ("isrc", F.col("isrc")), ("genre", genre)) for x in (F.lit(f), c)]), lambda _, v: v.isNotNull())
-    rows = t.core_assets.join(names, "recording_id").join(t.core_asset_locations.select("asset_id", F.replace("filepath", F.lit("/music/"), F.concat(F.lit("/music/x"), "asset_id", F.lit("/"))).alias("path")).distinct(), "asset_id")
-    return rows.select("path", F.when(F.col("file_size") % 50 == 0, "CORRUPTED").otherwise("SUCCESS").alias("status"), "md5_file", F.lit("").alias("sha256_file"), "audio_stream_hash", "duration", "format", "bitrate", "sample_rate", "channels", "file_size", tags.alias("tags"), F.lit(None).cast("binary").alias("payload"), F.lit("p").alias("payload_hash"))
+    """The files of the assets, parsed from their bytes."""
+    return media.parse_media(t.media_files.select("path", "content"))
+
+
+#: What parsing gives, by the kind of a file. ``held``: the bytes that its stream's hash is of.
+_SOUNDS = """sounds AS (SELECT *, md5(content) AS md5_file, md5(unhex(sound)) AS stream, octet_length(content) AS size, CASE WHEN kind = 'mp3' THEN title WHEN kind = 'flac' THEN title END AS tag_title, CASE WHEN kind = 'mp3' THEN artist END AS tag_artist, CASE WHEN kind = 'mp3' AND isrc NOT IN ('', 'NONE') THEN isrc END AS tag_isrc, CASE WHEN kind = 'mp3' THEN genre END AS tag_genre,
+    CASE kind WHEN 'wav' THEN length(sound) / 4 / channels / sample_rate::DOUBLE WHEN 'flac' THEN 16 / 44100::DOUBLE WHEN 'mp3' THEN (1 + recording_id % 2) * 1152 / 44100::DOUBLE ELSE 0 END AS seconds FROM media_files)"""
+q(
+    "src06_media_files",
+    f"""WITH {_SOUNDS} SELECT path, CASE kind WHEN 'none' THEN 'CORRUPTED' ELSE 'SUCCESS' END AS status, CASE WHEN kind <> 'none' THEN md5_file END AS md5_file, CASE WHEN kind <> 'none' THEN sha256(content) END AS sha256_file, CASE WHEN kind <> 'none' THEN stream END AS audio_stream_hash, CASE WHEN kind <> 'none' THEN seconds END AS duration, CASE WHEN kind <> 'none' THEN upper(kind) END AS format,
+    CAST(CASE kind WHEN 'wav' THEN 16 * channels * sample_rate WHEN 'flac' THEN 926100 WHEN 'mp3' THEN 128000 WHEN 'ogg' THEN 0 END AS INT) AS bitrate, CAST(CASE kind WHEN 'wav' THEN sample_rate WHEN 'none' THEN NULL ELSE 44100 END AS INT) AS sample_rate, CAST(CASE kind WHEN 'wav' THEN channels WHEN 'flac' THEN 1 WHEN 'none' THEN NULL ELSE 2 END AS INT) AS channels, CASE WHEN kind <> 'none' THEN size END AS file_size,
+    tag_title AS title, tag_artist AS artist, tag_isrc AS isrc, tag_genre AS genre FROM sounds""",
+)(lambda t: parsed_files(t).select("path", "status", "md5_file", "sha256_file", "audio_stream_hash", "duration", "format", "bitrate", "sample_rate", "channels", "file_size", *[F.element_at("tags", k).alias(k) for k in ("title", "artist", "isrc", "genre")]))
 
 
 def fan_out(t: Catalog) -> DataFrame:
     """All rows that the parsed files give, as (kind, key, name, value)."""
-    made = media.fan_out(parsed_files(t))
+    made = media.fan_out(cut(parsed_files(t)))  # parsed once, read by each of the tables
     row = lambda kind, key, name, value: made[kind].select(F.lit(kind).alias("kind"), F.col(key).alias("key"), name.alias("name"), value.cast("string").alias("value"))
     fact = F.concat_ws("|", "value", "source_id", "evidence_class", F.round("confidence", 4).cast("string"), F.col("token_index").cast("string"))
     out = row("recordings", "id", F.col("state"), F.col("title")).unionByName(row("assets", "asset_id", F.col("recording_id"), F.concat_ws("|", "md5_file", "audio_stream_hash", "file_size")))
@@ -204,7 +211,8 @@ def fan_out(t: Catalog) -> DataFrame:
     return out.unionByName(row("evidence", "entity_id", F.col("field_name"), fact)).unionByName(row("payloads", "content_hash", F.lit("payload"), F.lit("")))
 
 
-_FILES = "files AS (SELECT a.*, l.path, r.title, r.isrc, p.name AS artist, CASE a.file_size % 3 WHEN 0 THEN 'Post-Rock; free  jazz/IDM' WHEN 1 THEN 'Rock' END AS genre, md5('recording' || a.md5_file || l.path) AS rec, md5('asset' || a.md5_file || l.path) AS aid FROM core_assets a JOIN core_recordings r ON r.id = a.recording_id LEFT JOIN core_artists p ON p.id = r.artist_id JOIN (SELECT DISTINCT asset_id, replace(filepath, '/music/', '/music/x' || asset_id || '/') AS path FROM core_asset_locations) l ON l.asset_id = a.asset_id WHERE a.file_size % 50 <> 0)"
+_RAW = "CASE kind WHEN 'mp3' THEN concat_ws(', ', '\"TCON\": [\"' || genre || '\"]', '\"TIT2\": [\"' || title || '\"]', '\"TPE1\": [\"' || artist || '\"]', CASE WHEN isrc = '' THEN '\"TSRC\": []' ELSE '\"TSRC\": [\"' || isrc || '\"]' END) WHEN 'flac' THEN coalesce('\"TITLE\": [\"' || title || '\"]', '') ELSE '' END"
+_FILES = f"{_SOUNDS}, files AS (SELECT md5_file, stream AS audio_stream_hash, size AS file_size, path, tag_title AS title, tag_isrc AS isrc, tag_artist AS artist, tag_genre AS genre, md5('recording' || md5_file || path) AS rec, md5('asset' || md5_file || path) AS aid, sha256('{{' || {_RAW} || '}}') AS payload FROM sounds WHERE kind <> 'none')"
 _STEM = duck.space(duck.sub(duck.sub(duck.sub("trim(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', ''))", duck.fixed.SEED_PREFIX), duck.fixed.EDITION_NOISE), r"[._\-]", " "))
 _GENRE_PARTS = "(SELECT rec AS entity_id, 'genre0000' || k AS id, list_extract(['post rock', 'free jazz', 'idm'], k + 1) AS value, list_extract([1.0, 0.75, 0.5625], k + 1) AS confidence, CAST(1 AS DOUBLE) AS weight, 'SRC_EMBEDDED_TAGS' AS source_id FROM files, (VALUES (0), (1), (2)) v(k) WHERE genre LIKE 'Post%' UNION ALL SELECT rec, 'genre00000', 'rock', 1.0, 1.0, 'SRC_EMBEDDED_TAGS' FROM files WHERE genre = 'Rock')"
 _DOUBLE = "CAST(round({0}, 4) AS DOUBLE)"
@@ -216,7 +224,7 @@ q(
       UNION ALL SELECT rec, 'title', {_STEM}, 'SRC_PATH_SEED', 'LOCAL', 1.0, 0 FROM files UNION ALL SELECT rec, 'disc_number', coalesce(CAST(try_cast(regexp_extract(lower(path), {duck.lit(duck.fixed.DISC)}, 2) AS INT) AS VARCHAR), '1'), 'SRC_PATH_SEED', 'LOCAL', 1.0, 0 FROM files
       UNION ALL SELECT entity_id, 'genre', genre, 'SRC_TAXONOMY', 'DERIVED', confidence, 0 FROM derived UNION ALL SELECT entity_id, 'subgenre', subgenre, 'SRC_TAXONOMY', 'DERIVED', confidence, 0 FROM derived)
     SELECT 'recordings' AS kind, rec AS key, 'PARSED' AS name, regexp_extract(path, '([^/]*)$', 1) AS value FROM files UNION ALL SELECT 'assets', aid, rec, md5_file || '|' || audio_stream_hash || '|' || file_size FROM files UNION ALL SELECT 'locations', aid, 'filepath', path FROM files
-    UNION ALL SELECT 'validation', rec, 'quality_score', '0.2' FROM files UNION ALL SELECT 'evidence', rec, f, v || '|' || s || '|' || c || '|' || CAST(w AS VARCHAR) || '|' || k FROM facts WHERE v <> '' UNION ALL SELECT DISTINCT 'payloads', 'p', 'payload', '' FROM files""",
+    UNION ALL SELECT 'validation', rec, 'quality_score', '0.2' FROM files UNION ALL SELECT 'evidence', rec, f, v || '|' || s || '|' || c || '|' || CAST(w AS VARCHAR) || '|' || k FROM facts WHERE v <> '' UNION ALL SELECT DISTINCT 'payloads', payload, 'payload', '' FROM files""",
 )(fan_out)
 
 # Schemas

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import struct
-import wave
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exact, fixed, text
+from tessera.sources.audio import Sound, mp4_atoms, ogg_packets, sound_of
 
 SKIPPED, LONGEST = 8192, 2000
 PARSED = "path string, status string, md5_file string, sha256_file string, audio_stream_hash string, duration double, format string, bitrate int, sample_rate int, channels int, file_size long, tags map<string,string>, payload binary, payload_hash string"
@@ -55,9 +54,8 @@ def vorbis_tags(data: bytes) -> dict[str, list[str]]:
                 break
             at += 4 + size
     elif data[:4] == b"OggS":
-        for mark in (b"\x03vorbis", b"OpusTags"):
-            if mark in data:
-                block = data[data.index(mark) + len(mark) :]
+        packet = next((p for k, (p, _) in enumerate(ogg_packets(data)) if k == 1), b"")
+        block = next((packet[len(mark) :] for mark in (b"\x03vorbis", b"OpusTags") if packet.startswith(mark)), b"")
     word = lambda at: struct.unpack_from("<I", block, at)[0]
     try:
         at = 4 + word(0)
@@ -73,28 +71,46 @@ def vorbis_tags(data: bytes) -> dict[str, list[str]]:
     return found
 
 
-#: The field of each tag, first found first, for files with comments and for files with frames.
+def mp4_tags(data: bytes) -> dict[str, list[str]]:
+    """Texts and numbers in the list of items of an MP4 file by name, without pictures."""
+    found: dict[str, list[str]] = {}
+    for path, a, b in mp4_atoms(data):
+        if path[-1] != b"data" or path[-3:-2] != (b"ilst",) or b - a < 8:
+            continue
+        kind, body = int.from_bytes(data[a + 1 : a + 4], "big"), data[a + 8 : b]
+        name = path[-2].decode("latin-1")
+        if kind == 1:
+            found.setdefault(name, []).append(body.decode("utf-8", "replace"))
+        elif path[-2] in (b"trkn", b"disk") and len(body) >= 6:
+            found.setdefault(name, []).append("/".join(str(int.from_bytes(body[k : k + 2], "big")) for k in (2, 4)))
+        elif kind == 21:
+            found.setdefault(name, []).append(str(int.from_bytes(body, "big", signed=True)))
+    return found
+
+
+#: The field of each tag, first found first, for files with comments and for files with frames; MP4 items make no fields.
 _COMMENTS = {"title": ["TITLE"], "artist": ["ARTIST"], "album": ["ALBUM"], "release_date": ["DATE", "YEAR"], "isrc": ["ISRC"], "genre": ["GENRE"], "subgenre": ["SUBGENRE"], "track_number": ["TRACKNUMBER"], "musicbrainz_recording_id": ["MUSICBRAINZ_TRACKID"]}
 _FRAMES = {"title": ["TIT2"], "artist": ["TPE1"], "album": ["TALB"], "release_date": ["TDRC", "TYER"], "isrc": ["TSRC"], "genre": ["TCON"], "subgenre": ["TXXX:SUBGENRE"], "track_number": ["TRCK"], "musicbrainz_recording_id": ["TXXX:MUSICBRAINZ_TRACKID"]}
 
 
 def tags_of(data: bytes, suffix: str) -> tuple[dict[str, str], dict[str, list[str]]]:
     """Fields with a value, several joined by " ; ", and all tags as they are."""
-    raw, wanted = (id3_tags(data), _FRAMES) if suffix == "mp3" else (vorbis_tags(data), _COMMENTS) if suffix in ("flac", "ogg") else ({}, {})
+    if suffix == "mp3":
+        raw, wanted = id3_tags(data), _FRAMES
+    elif suffix in ("flac", "ogg"):
+        raw, wanted = vorbis_tags(data), _COMMENTS
+    else:
+        raw, wanted = mp4_tags(data) if suffix == "m4a" else {}, {}
     joined = {field: next((" ; ".join(raw[n]) for n in names if raw.get(n) and " ; ".join(raw[n]).upper() not in _EMPTY), None) for field, names in wanted.items()}
     return {k: v for k, v in joined.items() if v}, raw
 
 
-def audio_of(data: bytes) -> tuple[str, float, int, int]:
-    """Hash of the samples, seconds, rate and channels of a WAV file of 16 bits; of any other file the hash of what follows its first 8 KiB."""
+def audio_of(data: bytes) -> Sound:
+    """The file's sound; where it can't be read, the hash of what follows the first 8 KiB and the least that is assumed of any file."""
     try:
-        with wave.open(io.BytesIO(data)) as sound:
-            if sound.getsampwidth() == 2:
-                frames = sound.readframes(sound.getnframes())
-                return hashlib.md5(frames).hexdigest(), sound.getnframes() / sound.getframerate(), sound.getframerate(), sound.getnchannels()
-    except (wave.Error, EOFError, ZeroDivisionError):
-        pass
-    return hashlib.md5(data[min(len(data), SKIPPED) :]).hexdigest(), 0.0, 44_100, 2
+        return sound_of(data)
+    except ValueError:
+        return Sound(hashlib.md5(data[min(len(data), SKIPPED) :]).hexdigest(), 0.0, 44_100, 2, 0)
 
 
 def parse_media(files: DataFrame) -> DataFrame:
@@ -112,9 +128,9 @@ def parse_media(files: DataFrame) -> DataFrame:
                     continue
                 suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
                 tags, raw = tags_of(data, suffix)
-                stream, seconds, rate, channels = audio_of(data)
+                sound = audio_of(data)
                 dump = json.dumps(raw, sort_keys=True).encode()
-                rows.append((path, "SUCCESS", hashlib.md5(data).hexdigest(), hashlib.sha256(data).hexdigest(), stream, seconds, suffix.upper() or "MP3", 0, rate, channels, len(data), tags, gzip.compress(dump, mtime=0), hashlib.sha256(dump).hexdigest()))
+                rows.append((path, "SUCCESS", hashlib.md5(data).hexdigest(), hashlib.sha256(data).hexdigest(), sound.stream, sound.seconds, suffix.upper() or "MP3", sound.bitrate, sound.rate, sound.channels, len(data), tags, gzip.compress(dump, mtime=0), hashlib.sha256(dump).hexdigest()))
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("path", "content").mapInPandas(work, PARSED)
