@@ -124,10 +124,10 @@ def breaker_stream(calls: DataFrame, threshold: int = 10, recovery: float = 30.0
         for row in pd.concat(list(frames)).sort_values("at").itertuples():
             now = limits.breaker_next(now, row.at, row.ok, threshold, recovery)
         state.update(now)
-        name, failures, _, rejected = now
+        rejected, name, failures, _ = now
         yield pd.DataFrame({"provider": [key[0]], "state": [name], "failures": [failures], "rejected": [rejected]})
 
-    return calls.groupBy("provider").applyInPandasWithState(update, "provider string, state string, failures int, rejected int", "state string, failures int, last double, rejected int", "update", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("provider").applyInPandasWithState(update, "provider string, state string, failures int, rejected int", "rejected int, state string, failures int, last double", "update", GroupStateTimeout.NoTimeout)
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
