@@ -24,9 +24,9 @@ from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, folded, mapped, mix, packed, span_hashes, stored, text_blocks, unpacked, word_bounds
+from tessera.llm.common import discard, folded, mapped, mix, packed, stored, text_blocks, unpacked, word_bounds, word_hashes
 from tessera.llm.components import components
-from tessera.llm.shared import ChunkTable, beside, chunk_blocks, kept_bytes, parts_of, several
+from tessera.llm.shared import ChunkTable, beside, buckets_of, chunk_blocks, kept_bytes, parts_of, several
 
 #: Partners of one document that one task verifies.
 MEMBERS = 200
@@ -40,7 +40,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     """The sorted distinct shingle hashes of each text; fewer words than the width are one shingle, no words none."""
     low = folded(data)
     starts, ends, first = word_bounds(low, offsets, _WORD)
-    word = span_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
+    word = word_hashes(low, starts, ends) if len(starts) else np.zeros(0, np.uint64)
     n = len(word) - width + 1
     step = np.uint64(0xD6E8FEB86659FD93)
     rolled = np.full(max(n, 0), width, np.uint64)
@@ -239,7 +239,8 @@ def jaccard_links(sets: DataFrame, found: DataFrame, kept: int, num: int, den: i
         sizes = member.groupBy("token", "c").agg(F.count("*").alias("m"))
         # Tokens whose members aren't one component yet, with the component of most of them.
         most = stored(sizes.groupBy("token").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("k")).where("k > 1").select("token", "main"))
-        member = stored(member.join(most, "token"))
+        all_members, member = member, stored(member.join(most, "token"))
+        discard(all_members)
         rest = member.where("c <> main")
         if last:
             pivots = rest.select("token", F.struct("node", "n", "pos", "c").alias("x"))
@@ -252,8 +253,13 @@ def jaccard_links(sets: DataFrame, found: DataFrame, kept: int, num: int, den: i
         more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = stored(more.join(tried, ["a", "b"], "left_anti"))
         links = verified(sets, more, kept, num, den).unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = stored(components(stored(links)))
+        links = stored(links)
+        labels = stored(components(links))
         tried = tried.unionByName(more)
+        for table in (links, member, most):
+            discard(table)
+    for table in (tokens, shared, tried):
+        discard(table)
     return labels
 
 
@@ -270,8 +276,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     # Chunks follow from the files that are read, so what a lost executor held is made again alike.
     seen = document_sets(docs, width, kept).persist(StorageLevel.DISK_ONLY)
     sets = seen.where("hashes IS NOT NULL").withColumnRenamed("doc_id", "node")
-    parts = parts_of(seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    shared = stored(several(chunk_blocks(sets, parts, kept), parts, kept), free=True)
+    hashes = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts, buckets = parts_of(hashes), buckets_of(hashes)
+    shared = stored(several(chunk_blocks(sets, buckets, kept), parts, kept), free=True)
     left = survivors(sets, shared, parts, kept, num, den)
     # Sets that several rows have: the smallest id stands for them.
     first = stored(seen.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1").select("digest", "rep"))
@@ -281,10 +288,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     left = stored(rechunked(left), free=True)
     seen.unpersist()
     discard(shared)
-    parts = parts_of(left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    shared = stored(several(chunk_blocks(left, parts, kept), parts, kept, frequencies=True))
+    hashes = left.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts, buckets = parts_of(hashes), buckets_of(hashes)
+    shared = stored(several(chunk_blocks(left, buckets, kept), parts, kept, frequencies=True))
     found = stored(prefixes(left, shared, parts, kept, num, den), free=True)
+    discard(shared)
     labels = jaccard_links(left, found, kept, num, den)
+    for table in (left, found):
+        discard(table)
     # An id that is repeated joins the sets of all its texts.
     twice = same.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("doc_id")
     both = same.where("n_shingles > 0").join(twice, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -19,13 +19,20 @@ from tessera.llm.common import binaries, mapped, packed, unpacked
 
 #: Hashes of one task, and the buckets among which it has them.
 TASK_HASHES, BUCKETS = 4_000_000, 16
+#: Partitions of a shuffle at most; beyond, a task works through more buckets, one after the other.
+MOST_PARTS = 20_000
 #: Hashes of a chunk that a task holds before it sends them on.
 CHUNK_HASHES = 2_000_000
 
 
 def parts_of(hashes: int) -> int:
     """Partitions for so many hashes."""
-    return max(1, -(-hashes // TASK_HASHES))
+    return min(MOST_PARTS, max(1, -(-hashes // TASK_HASHES)))
+
+
+def buckets_of(hashes: int) -> int:
+    """Buckets for so many hashes, each of which a task holds at once."""
+    return BUCKETS * max(1, -(-hashes // TASK_HASHES))
 
 
 def kept_bytes(hashes: int) -> int:
@@ -102,9 +109,8 @@ def several(rows: DataFrame, parts: int, kept: int, frequencies: bool = False) -
     return mapped(rows.repartition(parts, "bucket").sortWithinPartitions("bucket"), work, "chunk long, hashes binary, df binary")
 
 
-def chunk_blocks(sets: DataFrame, parts: int, kept: int) -> DataFrame:
+def chunk_blocks(sets: DataFrame, buckets: int, kept: int) -> DataFrame:
     """BLOCKS of rows (chunk, hashes), each a set of packed hashes."""
-    buckets = parts * BUCKETS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BYTE_VALUES, discard, mapped, mix, powers, span_hashes, stored, text_blocks, unused
-from tessera.llm.shared import BLOCKS, BUCKETS, ChunkTable, blocks, kept_bytes, parts_of, several
+from tessera.llm.shared import BLOCKS, ChunkTable, blocks, buckets_of, kept_bytes, parts_of, several
 
 LENGTH = 50
 GRAM = 20
@@ -152,9 +152,9 @@ def chunk_texts(batches: Iterator[pa.RecordBatch], table: ChunkTable) -> Iterato
                 yield at, ids, keys, part.column(4)
 
 
-def anchor_blocks(texts: DataFrame, parts: int, kept: int) -> DataFrame:
+def anchor_blocks(texts: DataFrame, buckets: int, kept: int) -> DataFrame:
     """BLOCKS of the anchors of each chunk; an anchor counts once for each text that holds it."""
-    buckets, short = parts * BUCKETS, np.uint64(64 - 8 * kept)
+    short = np.uint64(64 - 8 * kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -249,7 +249,7 @@ def first_documents(around: list[bytes], least: np.ndarray) -> tuple[np.ndarray,
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (anchor, mark, around, least, most) sorted by anchor and mark to runs (anchor, mark, low, high, first) of offsets with one first document.
+    """From rows (anchor, mark, around, least, most), each surrounding once, sorted by anchor to runs (anchor, mark, low, high, first) of offsets with one first document.
 
     least, most: the smallest and the largest document with that text. Runs that no document follows are left out.
     """
@@ -260,11 +260,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((anchor, mark, low, high, first), kinds, strict=True)], names)
 
     def solve(anchor: np.ndarray, mark: np.ndarray, around: pa.Array, least: np.ndarray, most: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # One row for each surrounding.
-        fresh = np.ones(len(anchor), bool)
-        fresh[1:] = (anchor[1:] != anchor[:-1]) | (mark[1:] != mark[:-1])
-        one = np.flatnonzero(fresh)
-        anchor, mark, around, least, most = anchor[one], mark[one], around.take(pa.array(one)).to_pylist(), np.minimum.reduceat(least, one), np.maximum.reduceat(most, one)
+        around = around.to_pylist()
         size = np.array([len(x) for x in around])
         edge = np.flatnonzero(np.diff(anchor, prepend=anchor[0] - 1))
         group = np.diff(np.append(edge, len(anchor)))
@@ -313,8 +309,8 @@ def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.
 
 
 def _crowded(each: DataFrame) -> DataFrame:
-    """The anchors with more different surroundings than are sorted together."""
-    return stored(each.select("anchor", "mark").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
+    """The anchors with more surroundings, each of which stands once, than are sorted together."""
+    return stored(each.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_TOGETHER).select("anchor"))
 
 
 def _sorted_runs(each: DataFrame, parts: int) -> DataFrame:
@@ -330,18 +326,25 @@ def _window_runs(each: DataFrame) -> DataFrame:
     return windows.join(first, "string").where("first < most").select("anchor", "mark", "low", F.col("low").alias("high"), "first")
 
 
+def surroundings(found: DataFrame) -> DataFrame:
+    """(anchor, mark, around, at, least, most): each surrounding once, however many chunks of the corpus hold it.
+
+    Each task combines its own before anything is dealt out, so one that all chunks hold fills no task.
+    """
+    return found.groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.first("at").alias("at"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def first_runs(each: DataFrame, parts: int) -> DataFrame:
     """(anchor, mark, low, high, first): for each surrounding, runs of offsets whose 50-byte strings have ``first`` as smallest document.
 
-    each: (anchor, mark, around, at, least, most), where a surrounding may stand more than once. The surroundings of a crowded
-    anchor are cut in two: strings with 15 bytes or more before the anchor are dealt by those 15, the others by the 16 behind it.
+    each: what surroundings() gives. The surroundings of a crowded anchor are cut in two: strings with 15 bytes or more before the anchor are dealt by those 15, the others by the 16 behind it.
     Equal strings stay together. Where that leaves a crowd still, each string is dealt by itself.
     """
     large = _crowded(each)
     if large.isEmpty():
         return _sorted_runs(each, parts)
     half = (LENGTH - GRAM) // 2
-    once = each.join(large, "anchor", "left_semi").groupBy("anchor", "mark").agg(F.first("around").alias("around"), F.first("at").alias("at"), F.min("least").alias("least"), F.max("most").alias("most"))
+    once = each.join(large, "anchor", "left_semi")
     base = F.greatest(F.col("at") - half + 1, F.lit(0))
     cut = lambda start, size: F.substring(F.col("around"), start, size)
     before = F.when(F.col("at") >= half, F.struct(F.lit(0).alias("base"), cut(F.lit(1), F.col("at") - half + LENGTH).alias("part"), F.xxhash64("anchor", F.lit(0), cut(F.col("at") - half + 1, F.lit(half))).alias("place")))
@@ -376,14 +379,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     anchors = size // (LENGTH - GRAM) * 2
     chunks, parts, kept = -(-size // CHUNK_BYTES) or 1, parts_of(anchors), kept_bytes(anchors)
-    shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), parts, kept), parts, kept), free=True)
+    shared = stored(several(anchor_blocks(in_chunks(docs, whole, parts, chunks), buckets_of(anchors), kept), parts, kept), free=True)
     found = stored(occurrences(in_chunks(docs, whole, parts, chunks, shared), kept), free=True)
-    runs = stored(first_runs(found.where("around IS NOT NULL").select("anchor", "mark", "around", "at", "least", "most"), parts), free=True)
+    once = stored(surroundings(found.where("around IS NOT NULL")), free=True)
+    runs = stored(first_runs(once, parts), free=True)
+    discard(once)
     hit = found.where("around IS NULL").select("anchor", "mark", "doc_id", "key", "start").join(runs, ["anchor", "mark"]).where("first < doc_id")
     span = lambda low, high: F.struct(low.cast("long").alias("low"), high.cast("long").alias("high"))
     spans = hit.select("doc_id", "key", span(F.col("start") + F.col("low"), F.col("start") + F.col("high") + LENGTH).alias("span"))
     spans = spans.unionByName(whole.select("doc_id", "key", span(F.lit(0), F.lit(1 << 62)).alias("span")))
-    spans = stored(spans.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans")), free=True)
+    spans = stored(spans.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")), free=True)
     for table in (shared, found, runs, whole):
         discard(table)
     return spans
