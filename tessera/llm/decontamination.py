@@ -55,8 +55,8 @@ def _passes(bits: Column, h: Column) -> Column:
     return F.call_function("getbit", F.get(bits, (place / 64).cast("int")), (place % 64).cast("int")) == 1
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per row of docs: (doc_id, n_words, hits, items).
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, also: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: (doc_id, n_words, hits, items), and the columns named in also.
 
     hits: sorted distinct positions of the words inside an occurrence of a window; items: ids of the items
     whose windows occur, sorted as strings. A null or empty text has no words. An item without words never
@@ -68,14 +68,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     wins = stored(item_windows(benchmark, window))
     n = wins.count()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("w"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *also, words(F.col("text")).alias("w"))
     rows = rows.withColumn("n_words", F.size("w"))
     up_to = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     if n <= broadcast_windows:
         anchors = [x.anchor for x in wins.select("anchor").distinct().collect()]
         at = F.filter(up_to(F.col("n_words")), lambda i: F.get("w", i).isin(anchors))
         near = F.transform(at, lambda i: F.struct(i.alias("at"), F.get("w", i).alias("anchor"), F.least(i, F.lit(window - 1)).alias("before"), F.slice("w", F.greatest(i - (window - 1), F.lit(0)) + 1, F.least(i, F.lit(window - 1)) + window).alias("words")))
-        found = rows.select("row", "doc_id", "n_words", F.explode_outer(near).alias("x")).select("row", "doc_id", "n_words", F.col("x.at").alias("at"), F.col("x.anchor").alias("word"), F.col("x.before").alias("before"), F.col("x.words").alias("words"))
+        found = rows.select("row", "doc_id", *also, "n_words", F.explode_outer(near).alias("x")).select("row", "doc_id", *also, "n_words", F.col("x.at").alias("at"), F.col("x.anchor").alias("word"), F.col("x.before").alias("before"), F.col("x.words").alias("words"))
         same = (F.col("word") == F.col("anchor")) & (F.col("before") >= F.col("off")) & F.expr("slice(words, before - off + 1, len) = win")
         hit = found.join(F.broadcast(wins), same, "left").withColumn("s", F.col("at") - F.col("off"))
     else:
@@ -85,13 +85,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         spots = [F.array(spot(none, none, none))]  # one that stays, for rows without a hit
         for size in sorted(r.len for r in wins.select("len").distinct().collect()):  # of 1 to window words
             spots.append(F.transform(up_to(F.col("n_words") - (size - 1)), (lambda size: lambda i: spot(i, F.xxhash64(F.slice("w", i + 1, size)), F.lit(size)))(size)))
-        every = rows.select("row", "doc_id", "n_words", "w", F.explode(F.concat(*spots)).alias("x"))
-        found = every.where(F.col("x.h").isNull() | _passes(_bits(wins.select("h"), n), F.col("x.h"))).select("row", "doc_id", "n_words", "x.s", "x.h", F.slice("w", F.col("x.s") + 1, F.col("x.size")).alias("words"))
+        every = rows.select("row", "doc_id", *also, "n_words", "w", F.explode(F.concat(*spots)).alias("x"))
+        found = every.where(F.col("x.h").isNull() | _passes(_bits(wins.select("h"), n), F.col("x.h"))).select("row", "doc_id", *also, "n_words", "x.s", "x.h", F.slice("w", F.col("x.s") + 1, F.col("x.size")).alias("words"))
         hit = found.join(wins, (found["h"] == wins["h"]) & (found["words"] == wins["win"]), "left")
     spans = F.collect_set(F.when(F.col("len").isNotNull(), F.struct(F.col("s").alias("s"), (F.col("s") + F.col("len") - 1).alias("e"))))
-    per_row = hit.groupBy("row", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.when(F.col("len").isNotNull(), F.col("item_id")))).alias("items"))
+    per_row = hit.groupBy("row", "doc_id", *also, "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set(F.when(F.col("len").isNotNull(), F.col("item_id")))).alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"])))))
-    return per_row.select("doc_id", "n_words", covered.alias("hits"), "items")
+    return per_row.select("doc_id", *also, "n_words", covered.alias("hits"), "items")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -111,17 +111,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """The documents without benchmark passages, in the columns of docs.
 
     remove="documents" drops every document that holds one; remove="spans" cuts the hit words, each with
-    the separators before it. Documents are matched by doc_id, so rows that repeat an id are judged together.
-    A null id or text is kept.
+    the separators before it. Rows that repeat an id are dropped together, but words are cut only from rows with the text that
+    holds them. A null id or text is kept.
     """
-    hits = find_contamination(docs.select("doc_id", "text"), benchmark, window).where("size(hits) > 0 AND doc_id IS NOT NULL")
     if remove == "documents":
+        hits = find_contamination(docs.select("doc_id", "text"), benchmark, window).where("size(hits) > 0 AND doc_id IS NOT NULL")
         return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    mine = unused("hits", docs.columns)
-    cut = hits.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias(mine))
+    mine, key = unused("hits", docs.columns), unused("key", docs.columns)
+    mark = F.md5(F.col("text").cast("binary"))
+    hits = find_contamination(docs.select("doc_id", "text", mark.alias(key)), benchmark, window, also=(key,)).where("size(hits) > 0 AND doc_id IS NOT NULL")
+    cut = hits.groupBy("doc_id", key).agg(F.first("hits").alias(mine))  # equal texts have equal hits
     pieces = F.regexp_extract_all("text", F.lit(f"[{_SEPARATORS}]*[^{_SEPARATORS}]+"), F.lit(0))
     kept = F.concat(F.array_join(F.filter(pieces, lambda x, i: ~F.array_contains(mine, i)), ""), F.regexp_extract("text", f"[{_SEPARATORS}]*\\z", 0))
-    joined = docs.join(cut, "doc_id", "left")
-    return joined.select(*[F.when(F.col(mine).isNull(), docs["text"]).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns])
+    joined = docs.withColumn(key, mark).join(cut, ["doc_id", key], "left")
+    return joined.select(*[F.when(F.col(mine).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -161,6 +161,16 @@ def test_jaccard_chains_within_one_common_group(spark):
     assert {r.doc_id: r.component_id for r in out} == {k: c for k, (_, c) in enumerate(linked(texts, 4, 85, 100))}
 
 
+def test_long_words_made_by_a_rule_differ(spark):
+    """Words on which sums of powers modulo 2**64 agree for any base."""
+    texts = []
+    for n in (9, 10, 11, 12):
+        word = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << n))
+        texts += [word, word.translate(str.maketrans("ab", "ba"))]
+    got = jaccard_components(docs_of(spark, texts), 4, 85, 100).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(k, 1, k) for k in range(len(texts))]
+
+
 def test_jaccard_edges(spark):
     frame = docs_of(spark, EDGES).withColumn("component_id", F.lit("mine"))
     frame = frame.unionByName(frame.where("doc_id = 6")).unionByName(frame.where("doc_id = 6").withColumn("doc_id", F.lit(None).cast("long")))
@@ -248,6 +258,39 @@ def test_rows_that_repeat_an_id(spark):
     assert cut.columns == frame.columns and sorted(str((r.doc_id, r.text or "")) for r in cut.collect()) == sorted(str((e[0], e[4])) for e in expected)
 
 
+def test_surroundings_that_all_chunks_hold(spark, monkeypatch):
+    """A line that every chunk holds is one surrounding by the time that it is dealt out; so are all of a row that is repeated."""
+    from tessera.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "CHUNK_BYTES", 400)
+    line = " ".join(f"Clause {k} of this licence stands in every document, word {k * k} for word, without end." for k in range(12))
+    texts = [f"{k * 7919 % 1009} {line} {k * 104729 % 1013}" for k in range(300)]
+    seen = []
+    plain_surroundings = suffixes.surroundings
+
+    def noted(found):
+        once = plain_surroundings(found)
+        seen.append((found.count(), once.count(), once.select("anchor", "mark").distinct().count()))
+        return once
+
+    monkeypatch.setattr(suffixes, "surroundings", noted)
+    out = sorted(map(tuple, remove_repeats(docs_of(spark, texts)).collect()))
+    assert [r[1:] for r in out] == repeats(texts)
+    (found, once, different), *_ = seen
+    assert once == different and once < found / 5
+    same = docs_of(spark, texts[:2] + [texts[1]]).withColumn("doc_id", F.least("doc_id", F.lit(1)))
+    rows = sorted(tuple(r) for r in remove_repeats(same).collect())
+    assert rows[1] == rows[2] and rows[1][2] > 0
+
+
+def test_partitions_are_bounded():
+    from tessera.llm.shared import BUCKETS, MOST_PARTS, TASK_HASHES, buckets_of, parts_of
+
+    assert parts_of(0) == 1 and buckets_of(1) == BUCKETS and parts_of(10**14) == MOST_PARTS
+    for hashes in (10**6, 10**9, 10**14):
+        assert hashes / buckets_of(hashes) <= TASK_HASHES / BUCKETS
+
+
 def test_hashes_of_several_rows(spark):
     from tessera.llm.common import packed, unpacked
     from tessera.llm.shared import chunk_blocks, several
@@ -326,6 +369,19 @@ def test_contamination(spark, limit):
 # Classifiers
 
 
+def test_words_are_cut_from_the_rows_that_hold_them(spark):
+    window = "one two three four five six seven eight nine ten"
+    clean = " ".join(f"w{k}" for k in range(14))
+    rows = [(1, "x " + window), (1, clean), (1, "x " + window), (2, "a " + window + " b"), (3, clean), (None, window), (4, None)]
+    frame = spark.createDataFrame([(i, t, "k", 0) for i, t in rows], "doc_id long, text string, key string, hits int")
+    items = spark.createDataFrame([("i", window)], "item_id string, text string")
+    got = decontaminate(frame, items, remove="spans")
+    assert got.columns == frame.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == [(0, window), (1, clean), (1, "x"), (1, "x"), (2, "a b"), (3, clean), (4, "")]
+    left = decontaminate(frame, items)
+    assert sorted(((r.doc_id or 0, r.text or "") for r in left.collect())) == [(0, window), (3, clean), (4, "")]
+
+
 def labelled(spark, n=400):
     rng = random.Random(6)
     clean = ["the", "of", "and", "house", "river", "walks", "green", "stone"]
@@ -643,7 +699,7 @@ def test_distrust_flows_back_along_links(spark):
 def test_queries_are_registered():
     from tessera.llm import registry
 
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()] == list(range(1, 14))
 
 
 def test_pipeline(spark, small):
