@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.functions import text
+from tessera.operators.graph import components, cut
 
 
 def evaluate(incoming: DataFrame, assets: DataFrame, prints: DataFrame, titles: DataFrame) -> DataFrame:
@@ -33,25 +39,101 @@ def evaluate(incoming: DataFrame, assets: DataFrame, prints: DataFrame, titles:
     return first.select("asset_id", F.get(labels, F.col("rank")).alias("label"))
 
 
-def first_come(rows: DataFrame, order: str, keys: list[str]) -> DataFrame:
+#: Rows that share keys in turn and are settled one after the other by one task.
+TOGETHER = 1_000_000
+
+
+def _entries(rows: DataFrame, order: str, keys: list[str], near: dict[str, str]) -> DataFrame:
+    """(order, k, v, d): the keys of each row; d: the number of a key that counts as equal only near it."""
+    entry = lambda k: F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v"), (F.col(near[k]) if k in near else F.lit(None)).cast("double").alias("d"))
+    found = rows.select(order, F.explode(F.array(*map(entry, keys))).alias("x")).select(order, "x.*").where("v IS NOT NULL")
+    return found.where(F.col("d").isNotNull() | ~F.col("k").isin(list(near))) if near else found
+
+
+def _earlier(here: DataFrame, order: str, near: dict[str, str], within: float) -> DataFrame:
+    """Rows of here that an earlier one has a key of."""
+    exact = here.where(~F.col("k").isin(list(near))) if near else here
+    first = exact.groupBy("k", "v").agg(F.min(order).alias("first"))
+    out = exact.join(first, ["k", "v"]).where(F.col(order) > F.col("first")).select(order)
+    if near:
+        beside = f"min(`{order}`) OVER (PARTITION BY k, v ORDER BY d RANGE BETWEEN {float(within)}D PRECEDING AND {float(within)}D FOLLOWING)"
+        close = here.where(F.col("k").isin(list(near))).withColumn("first", F.expr(beside))
+        out = out.unionByName(close.where(F.col(order) > F.col("first")).select(order))
+    return out.distinct()
+
+
+def _taken(held: DataFrame, fresh: DataFrame, order: str, near: dict[str, str], within: float) -> DataFrame:
+    """Rows of held that have a key of a fresh one; fresh rows don't share keys, so those of one key are further apart than within."""
+    other = held.join(fresh, order)
+    exact = held.where(~F.col("k").isin(list(near))) if near else held
+    out = exact.join(other.select("k", "v").distinct(), ["k", "v"], "left_semi").select(order)
+    if near:
+        # In cells as wide as the reach, what is near lies in the same cell or beside it.
+        cell = F.floor(F.col("d") / within) if within else F.col("d")
+        spots = other.where(F.col("k").isin(list(near))).select("k", "v", F.col("d").alias("at"), F.explode(F.array(cell - 1, cell, cell + 1) if within else F.array(cell)).alias("cell"))
+        close = held.where(F.col("k").isin(list(near))).withColumn("cell", cell)
+        out = out.unionByName(close.join(spots, ["k", "v", "cell"]).where(F.abs(F.col("d") - F.col("at")) <= within).select(order))
+    return out.distinct()
+
+
+def _in_order(entries: DataFrame, order: str, near: dict[str, str], within: float) -> DataFrame:
+    """The accepted rows of (component, order, k, v, d), each component by one task that reads its rows in order."""
+    kind = dict(entries.dtypes)[order]
+    arrow = to_arrow_type(entries.schema[order].dataType)
+    rows = entries.groupBy("component", order).agg(F.collect_list(F.struct("k", "v", "d")).alias("x"))
+    rows = rows.repartition("component").sortWithinPartitions("component", order).select("component", order, "x")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, spots = None, set(), {}
+        for batch in batches:
+            kept = []
+            for component, row, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != at:
+                    at, seen, spots = component, set(), {}
+                exact = [(x["k"], x["v"]) for x in found if x["k"] not in near]
+                close = [((x["k"], x["v"]), x["d"]) for x in found if x["k"] in near]
+                if any(key in seen for key in exact) or any(_beside(spots.get(key, ()), d, within) for key, d in close):
+                    continue
+                seen.update(exact)
+                for key, d in close:
+                    insort(spots.setdefault(key, []), d)
+                kept.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, arrow)], [order])
+
+    return rows.mapInArrow(work, f"`{order}` {kind}")
+
+
+def _beside(spots: list[float] | tuple, d: float, within: float) -> bool:
+    k = bisect_left(spots, d)
+    return k < len(spots) and spots[k] - d <= within or k > 0 and d - spots[k - 1] <= within
+
+
+def first_come(rows: DataFrame, order: str, keys: list[str], near: dict[str, str] | None = None, within: float = 2.0, together: int = TOGETHER) -> DataFrame:
     """Rows that share no key with an accepted row before them; a rejected row's keys don't count.
 
-    Rows are settled in rounds: one is accepted once all earlier rows with a key of its are rejected, and rejected
-    once one of them is accepted. The first open row is settled each round, most others with it.
+    near: keys that two rows share only if the numbers in this other column differ by ``within`` at most; without a number the key
+    doesn't count. A row is accepted once no earlier open row has a key of its, and rejected once an accepted one has; that
+    settles most rows at once, whatever a key's share of them. The rows left fall into components that share keys in turn:
+    those of up to ``together`` rows are settled in order, each by one task, however long their chains; larger
+    ones by the same step again.
     """
-    from tessera.operators.graph import cut
-
-    held = cut(rows.select(order, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v")) for k in keys])).alias("x")).select(order, "x.k", "x.v").where("v IS NOT NULL"))
+    near = near or {}
+    held = cut(_entries(rows, order, keys, near))
     pending = cut(rows.select(order))
     accepted = None
     while not pending.isEmpty():
         here = held.join(pending, order)
-        first = here.groupBy("k", "v").agg(F.min(order).alias("first"))
-        # Accepted: first for each of its keys among the open rows.
-        blocked = here.join(first, ["k", "v"]).where(F.col(order) > F.col("first")).select(order).distinct()
-        fresh = cut(pending.join(blocked, order, "left_anti"))
-        accepted = fresh if accepted is None else accepted.unionByName(fresh)
-        taken = held.join(fresh, order).select("k", "v").distinct()
-        gone = held.join(taken, ["k", "v"], "left_semi").select(order).distinct().unionByName(fresh).distinct()
+        fresh = cut(pending.join(_earlier(here, order, near, within), order, "left_anti"))
+        gone = _taken(here, fresh, order, near, within).unionByName(fresh).distinct()
         pending = cut(pending.join(gone, order, "left_anti"))
+        accepted = fresh if accepted is None else accepted.unionByName(fresh)
+        if pending.isEmpty():
+            break
+        here = cut(held.join(pending, order))
+        first = here.groupBy("k", "v").agg(F.min(order).alias("a"))
+        labels = components(here.join(first, ["k", "v"]).select("a", F.col(order).alias("b"))).withColumnRenamed("node", order)
+        small = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= together)
+        labels = cut(labels.join(small.select("component"), "component"))
+        accepted = accepted.unionByName(cut(_in_order(here.join(labels, order), order, near, within)))
+        pending = cut(pending.join(labels, order, "left_anti"))
     return rows if accepted is None else rows.join(accepted, order, "left_semi")
