@@ -1,17 +1,14 @@
-"""Structured Streaming: watched folders, deduplicated ingestion, feedback, breaker state, windowed counts."""
+"""Structured Streaming: watched folders, deduplicated ingestion, feedback, windowed counts."""
 
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessera.operators import limits, mutate
+from tessera.operators import mutate
 
 AUDIO = r"\.(mp3|flac|wav|m4a|ogg)$"
 
@@ -116,20 +113,6 @@ def apply_feedback(frontier: DataFrame, feedback: DataFrame) -> DataFrame:
     return frontier.join(change, "entity_name", "left").select(*[F.coalesce(moved, F.col("priority")).alias(c) if c == "priority" else F.col(c) for c in frontier.columns])
 
 
-def breaker_stream(calls: DataFrame, threshold: int = 10, recovery: float = 30.0) -> DataFrame:
-    """Breaker state per provider after each batch of calls (provider, at, ok)."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else limits.BREAKER
-        for row in pd.concat(list(frames)).sort_values("at").itertuples():
-            now = limits.breaker_next(now, row.at, row.ok, threshold, recovery)
-        state.update(now)
-        rejected, name, failures, _ = now
-        yield pd.DataFrame({"provider": [key[0]], "state": [name], "failures": [failures], "rejected": [rejected]})
-
-    return calls.groupBy("provider").applyInPandasWithState(update, "provider string, state string, failures int, rejected int", "rejected int, state string, failures int, last double", "update", GroupStateTimeout.NoTimeout)
-
-
 def event_counts(events: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
     """Events and their values by type and time window (beyond the catalog's own operators); the same on a stream and a table."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)

@@ -25,16 +25,6 @@ def test_ingest_keeps_each_content_once(spark, tmp_path):
     assert ingest.scan_files(spark, source).count() == 5
 
 
-def test_breaker_state_over_batches(spark, tmp_path):
-    schema = "provider string, at double, ok boolean"
-    source = f"{tmp_path}/calls"
-    spark.createDataFrame([("p", 0.0, False), ("p", 1.0, False), ("p", 2.0, True), ("q", 1.0, True)], schema).coalesce(1).write.json(source)
-    stream = ingest.breaker_stream(spark.readStream.schema(schema).json(source), threshold=2)
-    run = stream.writeStream.outputMode("update").format("memory").queryName("breakers").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/m").start()
-    run.awaitTermination()
-    assert {r.provider: (r.state, r.rejected) for r in spark.table("breakers").collect()} == {"p": ("OPEN", 1), "q": ("CLOSED", 0)}
-
-
 def test_windowed_counts_on_a_stream_are_those_of_the_table(spark, small, tmp_path):
     table = spark.read.parquet(f"{small}/events.parquet")
     table.coalesce(2).write.parquet(f"{tmp_path}/events")
