@@ -43,7 +43,7 @@ def evaluate(incoming: DataFrame, assets: DataFrame, prints: DataFrame, titles:
 TOGETHER = 1_000_000
 
 
-def _entries(rows: DataFrame, order: str, keys: list[str], near: dict[str, str]) -> DataFrame:
+def entries(rows: DataFrame, order: str, keys: list[str], near: dict[str, str]) -> DataFrame:
     """(order, k, v, d): the keys of each row; d: the number of a key that counts as equal only near it."""
     entry = lambda k: F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("v"), (F.col(near[k]) if k in near else F.lit(None)).cast("double").alias("d"))
     found = rows.select(order, F.explode(F.array(*map(entry, keys))).alias("x")).select(order, "x.*").where("v IS NOT NULL")
@@ -76,22 +76,22 @@ def _taken(held: DataFrame, fresh: DataFrame, order: str, near: dict[str, str],
     return out.distinct()
 
 
-def _in_order(entries: DataFrame, order: str, near: dict[str, str], within: float) -> DataFrame:
+def _in_order(found: DataFrame, order: str, near: dict[str, str], within: float) -> DataFrame:
     """The accepted rows of (component, order, k, v, d), each component by one task that reads its rows in order."""
-    kind = dict(entries.dtypes)[order]
-    arrow = to_arrow_type(entries.schema[order].dataType)
-    rows = entries.groupBy("component", order).agg(F.collect_list(F.struct("k", "v", "d")).alias("x"))
+    kind = dict(found.dtypes)[order]
+    arrow = to_arrow_type(found.schema[order].dataType)
+    rows = found.groupBy("component", order).agg(F.collect_list(F.struct("k", "v", "d")).alias("x"))
     rows = rows.repartition("component").sortWithinPartitions("component", order).select("component", order, "x")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, seen, spots = None, set(), {}
         for batch in batches:
             kept = []
-            for component, row, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for component, row, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if component != at:
                     at, seen, spots = component, set(), {}
-                exact = [(x["k"], x["v"]) for x in found if x["k"] not in near]
-                close = [((x["k"], x["v"]), x["d"]) for x in found if x["k"] in near]
+                exact = [(x["k"], x["v"]) for x in keys if x["k"] not in near]
+                close = [((x["k"], x["v"]), x["d"]) for x in keys if x["k"] in near]
                 if any(key in seen for key in exact) or any(_beside(spots.get(key, ()), d, within) for key, d in close):
                     continue
                 seen.update(exact)
@@ -118,7 +118,7 @@ def first_come(rows: DataFrame, order: str, keys: list[str], near: dict[str, str
     ones by the same step again.
     """
     near = near or {}
-    held = cut(_entries(rows, order, keys, near))
+    held = cut(entries(rows, order, keys, near))
     pending = cut(rows.select(order))
     accepted = None
     while not pending.isEmpty():
