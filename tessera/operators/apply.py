@@ -112,10 +112,10 @@ def purge_codes(recordings: DataFrame, evidence: DataFrame, locks: DataFrame, is
     return {"evidence": evidence.where((F.col("field_name") != "isrc") | ~bad), "decisions": decisions, "recordings": rows, "issues": settle_issues(issues, resolved, opened)}
 
 
-def reclassify(recordings: DataFrame, evidence: DataFrame, locks: DataFrame, artists: DataFrame) -> DataFrame:
+def reclassify(recordings: DataFrame, evidence: DataFrame, locks: DataFrame, artists: DataFrame, validation: DataFrame) -> DataFrame:
     """Recordings with genre and subgenre by consensus of their tags, scored again: those without a lock on either that have tags.
 
-    The others stay as they are, score and state aside, which all have anew.
+    The others stay as they are, state and the score that validation (recording_id, quality_score) has of them included.
     """
     locked = locks.where("field_name IN ('genre', 'subgenre')").select(F.col("entity_id").alias("id"))
     tags = evidence.where("field_name IN ('genre', 'subgenre') AND value <> ''").select("entity_id", F.col("id").alias("seq"), F.col("value").alias("tag"), F.col("confidence").alias("weight"), F.col("source_id").alias("source"))
@@ -126,4 +126,9 @@ def reclassify(recordings: DataFrame, evidence: DataFrame, locks: DataFrame, art
     rows = recordings.join(new, "id", "left")
     for f in ("genre", "subgenre"):
         rows = rows.withColumn(f, F.when(F.col("judged"), F.col(f"new_{f}")).otherwise(F.col(f)))
-    return rescored(rows.select(*[c for c in recordings.columns if c != "state"]))
+    old = validation.select(F.col("recording_id").alias("id"), F.col("quality_score").alias("old_score"))
+    rows = rescored(rows.withColumn("old_state", F.col("state"))).join(old, "id", "left")
+    for f in ("score", "state"):
+        new = "quality_score" if f == "score" else f
+        rows = rows.withColumn(new, F.when(F.col("judged"), F.col(new)).otherwise(F.col(f"old_{f}")))
+    return rows.select(*recordings.columns, *[c for c in ("quality_score",) if c not in recordings.columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import mutate
@@ -19,6 +19,20 @@ def finish_run(runs: DataFrame, run_id: str, at: Column) -> DataFrame:
     return mutate.update_where(runs, (F.col("run_id") == run_id) & F.col("finished_at").isNull(), {"finished_at": at})
 
 
+def observed(rows: DataFrame, name: str, **figures: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and an observation that holds figures of them once they have been written: counts of the same scan, no second one."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[column.alias(key) for key, column in figures.items()]), seen
+
+
+def batch_figures(spark: SparkSession, seen: list[Observation], seconds: float | None = None) -> DataFrame:
+    """(batch, metric, n) of observed batches that have been written, and rows a second where the seconds are known."""
+    data = [(o._name, key, float(n) if n is not None else None) for o in seen for key, n in o.get.items()]
+    if seconds:
+        data += [(name, "rows_per_second", n / seconds) for name, key, n in data if key == "rows"]
+    return spark.createDataFrame(data, "batch string, metric string, n double")
+
+
 def progress(rows: DataFrame) -> DataFrame:
     """(run_id, done, tps, eta, finish, stage_pct, total_pct) from (run_id, done, total, seconds): rate, seconds and text of what is left, shares.
 

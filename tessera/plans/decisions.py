@@ -83,6 +83,7 @@ def purged(t: Catalog) -> dict[str, DataFrame]:
 
 _FREE = "(SELECT r.id, a.name FROM core_recordings r LEFT JOIN core_artists a ON r.artist_id = a.id WHERE r.id NOT IN (SELECT entity_id FROM meta_locks WHERE field_name IN ('genre', 'subgenre')) AND r.id IN (SELECT entity_id FROM meta_evidence WHERE field_name IN ('genre', 'subgenre') AND value <> ''))"
 _TAGS = "(SELECT *, 1.0 AS weight FROM meta_evidence WHERE field_name IN ('genre', 'subgenre') AND value <> '')"
-q("dm15_reclassify", f"WITH judged AS ({GENRES.format(source=_TAGS, artists=_FREE)}) SELECT id, genre, subgenre, quality_score, state FROM ({rescored('(SELECT r.* EXCLUDE (genre, subgenre, state), CASE WHEN j.entity_id IS NULL THEN r.genre ELSE j.genre END AS genre, CASE WHEN j.entity_id IS NULL THEN r.subgenre ELSE j.subgenre END AS subgenre FROM core_recordings r LEFT JOIN judged j ON j.entity_id = r.id)')}) z")(
-    lambda t: apply.reclassify(t.core_recordings, t.meta_evidence, t.meta_locks, t.core_artists).select("id", "genre", "subgenre", "quality_score", "state")
-)
+q(
+    "dm15_reclassify",
+    f"WITH judged AS ({GENRES.format(source=_TAGS, artists=_FREE)}), anew AS (SELECT * FROM ({rescored('(SELECT r.* EXCLUDE (genre, subgenre, state), j.genre, j.subgenre FROM core_recordings r JOIN judged j ON j.entity_id = r.id)')}) z) SELECT id, genre, subgenre, quality_score, state FROM anew UNION ALL SELECT r.id, r.genre, r.subgenre, v.quality_score, r.state FROM core_recordings r LEFT JOIN meta_validation v ON v.recording_id = r.id WHERE r.id NOT IN (SELECT entity_id FROM judged)",
+)(lambda t: apply.reclassify(t.core_recordings, t.meta_evidence, t.meta_locks, t.core_artists, t.meta_validation).select("id", "genre", "subgenre", "quality_score", "state"))

@@ -37,9 +37,10 @@ q("fn16_title_case", f"SELECT id, {duck.title('value')} AS v FROM meta_evidence
 q("fn18_split_tags", "SELECT id, CAST(p - 1 AS INT) AS pos, parts[p] AS tag FROM (SELECT id, parts, unnest(range(1, len(parts) + 1)) AS p FROM (SELECT id, string_split(genre || ';' || coalesce(subgenre, 'x') || ',Live/Rock', ',') AS raw, regexp_split_to_array(genre || ';' || coalesce(subgenre, 'x') || ',Live/Rock', '[;|\\x00\\r\\n,/]+') AS parts FROM core_recordings WHERE genre IS NOT NULL) a) b")(
     lambda t: t.core_recordings.where("genre IS NOT NULL").select("id", F.posexplode(F.split(F.concat("genre", F.lit(";"), F.coalesce("subgenre", F.lit("x")), F.lit(",Live/Rock")), fixed.TAG_DELIMITERS)).alias("pos", "tag"))
 )
-_SEARCH = duck.space("replace(replace(" + duck.sub(duck.sub(duck.sub(duck.sub(duck.sub(duck.unquote("replace(replace(trim(coalesce(title, '')), '’', ''''), '`', '''')"), r"[–—\-]", " "), r"(?i)\bPart\s+I\s*[\-–—]?\s*V\b", "Part 1-5"), r"(?i)\bPart\s+VI\s*[\-–—]?\s*IX\b", "Part 6-9"), fixed.SEARCH_NOISE), r"(?i)\s+(feat\.?|ft\.?)\s+.*$") + ", '/', ' '), '&', 'and')")
-q("fn19_search_title", f"SELECT id, {_SEARCH} AS title FROM core_recordings")(lambda t: t.core_recordings.select("id", text.search_title(F.col("title")).alias("title")))
-q("fn20_core_title", f"SELECT id, {duck.space(duck.sub('trim(' + duck.sub('trim(' + duck.sub(_SEARCH, r'\s*[(\[{].*?[)\]}]\s*', ' ') + ')', r'\s*:\s*.*$') + ')', r'\.+$'))} AS core FROM core_recordings")(lambda t: t.core_recordings.select("id", text.core_title(F.col("title")).alias("core")))
+SEARCH_TITLE = duck.space("replace(replace(" + duck.sub(duck.sub(duck.sub(duck.sub(duck.sub(duck.unquote("replace(replace(trim(coalesce(title, '')), '’', ''''), '`', '''')"), r"[–—\-]", " "), r"(?i)\bPart\s+I\s*[\-–—]?\s*V\b", "Part 1-5"), r"(?i)\bPart\s+VI\s*[\-–—]?\s*IX\b", "Part 6-9"), fixed.SEARCH_NOISE), r"(?i)\s+(feat\.?|ft\.?)\s+.*$") + ", '/', ' '), '&', 'and')")
+q("fn19_search_title", f"SELECT id, {SEARCH_TITLE} AS title FROM core_recordings")(lambda t: t.core_recordings.select("id", text.search_title(F.col("title")).alias("title")))
+CORE_TITLE = duck.space(duck.sub("trim(" + duck.sub("trim(" + duck.sub(SEARCH_TITLE, r"\s*[(\[{].*?[)\]}]\s*", " ") + ")", r"\s*:\s*.*$") + ")", r"\.+$"))
+q("fn20_core_title", f"SELECT id, {CORE_TITLE} AS core FROM core_recordings")(lambda t: t.core_recordings.select("id", text.core_title(F.col("title")).alias("core")))
 q("fn21_query_text", f"SELECT id, {duck.space(duck.sub('coalesce(title, NULL, ' + duck.lit('') + ')', r'[+\-&|!(){}\[\]^~*?:\\/]', ' '))} AS clean FROM core_recordings")(lambda t: t.core_recordings.select("id", text.query_text(F.col("title")).alias("clean")))
 q("fn22_ids", "SELECT candidate_id, 'cand_' || substr(md5(title || artist_name), 1, 10) AS cid, sha256(title || '|' || artist_name) AS hash FROM sys_discovery_candidates")(lambda t: t.sys_discovery_candidates.select("candidate_id", text.candidate_id(F.col("title"), F.col("artist_name")).alias("cid"), F.sha2(F.concat_ws("|", "title", "artist_name").cast("binary"), 256).alias("hash")))
 q("fn22_query_hash", "SELECT p_partkey, sha256('fmt=json&name=' || p_name) AS hash FROM part")(lambda t: t.part.select("p_partkey", text.query_hash(F.create_map(F.lit("name"), F.col("p_name"), F.lit("token"), F.lit("s"), F.lit("fmt"), F.lit("json"))).alias("hash")))
@@ -54,7 +55,7 @@ q("fn28_json", """SELECT event_id, '{"type":"' || event_type || '","k":' || rege
 q("fn29_inception", "SELECT id, try_cast(substr(d, 1, 4) AS INT) AS y FROM (SELECT id, coalesce(release_date, 'unknown') AS d FROM core_recordings) x")(lambda t: t.core_recordings.select("id", text.year(F.coalesce("release_date", F.lit("unknown"))).alias("y")))
 q("fn30_uri_tail", "SELECT page_id, list_last(string_split(url, '/')) AS tail FROM pages")(lambda t: t.pages.select("page_id", F.element_at(F.split("url", "/"), -1).alias("tail")))
 q("fn01_exact_functions", r"SELECT p_partkey, trim(p_name) AS nfc, lower(p_name) AS folded, trim(regexp_replace(lower(trim(p_name)), '[\s\-_]+', ' ', 'g')) AS alias, trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s-]', '', 'g'), '[-\s]+', '_', 'g'), '_') AS slug FROM part")(lambda t: exact_functions(t))
-q("fn17_similarity")(lambda t: similarities(t))
+q("fn09_similarity")(lambda t: similarities(t))
 
 
 def exact_functions(t: Catalog) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import crawl, mutate
+from tessera.plans import duck
+from tessera.plans.domain import CORE_TITLE, SEARCH_TITLE
 from tessera.plans.registry import catalog_query as q
 from tessera.plans.scans import overview
 from tessera.plans.totals import affinity
@@ -91,6 +93,19 @@ def searched(t: Catalog) -> DataFrame:
     return t.part.select(part().cast("string").alias("key"), F.concat(F.lit("Track "), (part() % 9).cast("string")).alias("title"), F.when(part() % 4 != 0, F.col("p_brand")).alias("artist"), F.when(part() % 5 != 0, 200.0).alias("seconds"))
 
 
+def _clean(x: str) -> str:
+    return duck.space(duck.sub(f"replace(replace({x}, '’', ''''), '`', '''')", r'[+\-&|!(){}\[\]^"~*?:\\/]', " "))
+
+
+_PLAIN = f"(SELECT r.id, {SEARCH_TITLE} AS whole, {CORE_TITLE} AS middle, {duck.sanitize('name')} AS artist FROM core_recordings r LEFT JOIN (SELECT id AS artist_id, name FROM core_artists) a ON a.artist_id = r.artist_id)"
+_TERMS = f"(SELECT id, {_clean('whole')} AS whole, {_clean('middle')} AS core, {_clean('coalesce(artist, ' + duck.lit('') + ')')} AS who FROM {_PLAIN} p)"
+_KNOWN = "core <> '' AND who <> '' AND lower(who) <> 'unknown artist'"
+q(
+    "cn02_search_tiers",
+    f"""WITH t AS (SELECT * FROM {_TERMS} x) SELECT id AS key, 0 AS tier, 'recording:"' || core || '" AND artist:"' || who || '"' AS query FROM t WHERE {_KNOWN}
+    UNION ALL SELECT id, 1, 'recording:"' || whole || '" AND artist:"' || who || '"' FROM t WHERE whole <> '' AND whole <> core AND who <> '' AND lower(who) <> 'unknown artist' UNION ALL SELECT id, 2, 'recording:(' || core || ') AND artist:(' || who || ')' FROM t WHERE {_KNOWN}
+    UNION ALL SELECT id, 3, '"' || core || '" AND "' || who || '"' FROM t WHERE {_KNOWN} UNION ALL SELECT id, 4, 'recording:"' || core || '"' FROM t WHERE core <> ''""",
+)(lambda t: payloads.search_queries(t.core_recordings.join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left").select(F.col("id").alias("key"), "title", "artist")))
 q("cn02_search")(lambda t: payloads.best_hits(searched(t), payloads.search_hits(search_answers(t))))
 q("cn03_release_group", f"SELECT {_KEY}, 'g' || p_partkey AS mbid, CASE WHEN p_partkey % 2 = 0 THEN '1999-01-0' || (p_partkey % 9 + 1) END AS first_release_date FROM part WHERE p_partkey % 7 <> 0")(
     lambda t: payloads.release_groups(answers(t.part, part(), F.when(part() % 7 != 0, F.array(F.struct(F.concat(F.lit("g"), part()).alias("id"), F.when(part() % 2 == 0, F.concat(F.lit("1999-01-0"), part() % 9 + 1)).alias("first-release-date")), F.struct(F.lit("z").alias("id"), F.lit("z").alias("first-release-date")))).alias("release-groups")))
@@ -105,6 +120,26 @@ def release_answers(t: Catalog) -> DataFrame:
     return answers(t.part, part(), F.array(F.struct(F.array(one).alias("tracks")), F.struct(F.array(two).alias("tracks"))).alias("media"))
 
 
+def group_answers(t: Catalog) -> DataFrame:
+    """Groups with two releases, some of which have none or no tags."""
+    named = lambda *names: F.array(*[F.struct(n.alias("name")) for n in names])
+    releases = F.when(part() % 7 != 0, F.array(F.struct(F.concat(F.lit("rel"), part()).alias("id")), F.struct(F.lit("other").alias("id"))))
+    return answers(t.part, part(), F.when(part() % 2 == 0, "1999-01-05").alias("first-release-date"), F.when(part() % 3 != 0, named(F.col("p_type"), F.lit(""), F.col("p_brand"))).alias("tags"), releases.alias("releases"))
+
+
+def first_releases(t: Catalog) -> DataFrame:
+    """The first releases' answers, one of five missing: tracks as in release_answers, tags that the group has too."""
+    body = F.from_json("body", "struct<media:array<struct<tracks:array<struct<position:int,title:string,recording:struct<id:string,title:string,isrcs:array<string>>>>>>>")
+    rows = release_answers(t).join(t.part.select(part().cast("string").alias("key"), "p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("size"), (part() % 5).alias("r")), "key").where("r <> 0").withColumn("j", body)
+    tags = F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.col("size").alias("name")))
+    return rows.select(F.concat(F.lit("rel"), "key").alias("key"), F.to_json(F.struct(tags.alias("tags"), F.when(F.col("r") != 1, F.col("j.media")).alias("media"))).alias("body"))
+
+
+q(
+    "cn03_release",
+    f"""SELECT {_KEY}, CASE WHEN p_partkey % 2 = 0 THEN '1999-01-05' END AS first_release_date, array_to_string(list_sort(list_distinct(CASE WHEN p_partkey % 3 <> 0 THEN [p_type, p_brand, 'size ' || p_size] ELSE [p_brand, 'size ' || p_size] END)), ',') AS tags,
+    CASE WHEN p_partkey % 5 = 1 THEN '' ELSE '1|' || p_name || '|r' || p_partkey || '|I' || p_partkey || ';2|' || p_type || '|-|-' END AS tracks FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0""",
+)(lambda t: payloads.release_details(group_answers(t), first_releases(t)).select("key", "first_release_date", F.array_join("tags", ",").alias("tags"), F.array_join(F.transform("tracks", lambda x: F.concat_ws("|", x["position"].cast("string"), x["title"], F.coalesce(x["mbid"], F.lit("-")), F.coalesce(x["isrc"], F.lit("-")))), ";").alias("tracks")))
 q("cn03_tracklist", f"SELECT {_KEY}, 1 AS disc, 1 AS position, p_name AS title, 'r' || p_partkey AS mbid, 'I' || p_partkey AS isrc FROM part UNION ALL SELECT {_KEY}, 2, 2, p_type, NULL, NULL FROM part")(lambda t: payloads.tracklists(release_answers(t)))
 q("cn04_artist_facts", f"SELECT {_KEY}, CASE WHEN p_partkey % 7 <> 0 THEN 'Q' || p_partkey END AS qid, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 2 = 0 THEN 'FR' END AS country, CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS gender, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS artist_type, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 3 <> 0 THEN 1900 + p_partkey % 100 END AS formed_year FROM part")(
     lambda t: payloads.artist_facts(

@@ -19,7 +19,7 @@ def overview(t: Catalog) -> DataFrame:
 
 
 q("src02_overview", "SELECT * EXCLUDE (by_artist, on_album, own_date) FROM vw_recording_overview")(overview)
-q("src03_open_issues", "WITH waiting AS (FROM meta_issues WHERE status = 'OPEN'), names AS (SELECT id AS entity_id, title FROM core_recordings WHERE id IN (SELECT entity_id FROM waiting)) SELECT waiting.*, 'Untitled Work' AS recording_title FROM waiting ANTI JOIN names USING (entity_id) UNION ALL BY NAME SELECT waiting.*, coalesce(names.title, 'Untitled Work') AS recording_title FROM waiting JOIN names USING (entity_id)")(
+q("src03_open_issues", "SELECT i.*, coalesce(r.title, 'Untitled Work') AS recording_title FROM meta_issues i LEFT JOIN core_recordings r ON r.id = i.entity_id WHERE i.status = 'OPEN'")(
     lambda t: views.open_issues(t.meta_issues, t.core_recordings)
 )
 

@@ -29,6 +29,15 @@ _OUT = "CASE WHEN p_partkey % 5 = 0 THEN 'no output' ELSE 'DURATION=' || p_size
 q("src07_fingerprints", "SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS duration, CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN p_name || '=' || p_brand END AS fingerprint FROM part")(
     lambda t: files.parsed_fingerprints(t.part.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, "no output").otherwise(F.concat(F.lit("DURATION="), F.col("p_size").cast("string"), F.lit("\nFINGERPRINT="), F.when(F.col("p_partkey") % 3 == 0, "short").otherwise(F.concat("p_name", F.lit("="), "p_brand")))).alias("output"))).drop("output")
 )
+def taken_in(t: Catalog) -> DataFrame:
+    """Figures of a batch of assets, seen while it is written."""
+    rows = t.core_assets.select("asset_id", "format", "file_size")
+    watched, seen = ledger.observed(rows, "assets", without_format=F.count_if(F.col("format").isNull()), bytes=F.sum("file_size"), largest=F.max("file_size"))
+    watched.write.format("noop").mode("overwrite").save()
+    return ledger.batch_figures(t.spark, [seen])
+
+
+q("ss07_observed_batch", "SELECT 'assets' AS batch, unnest(['rows', 'without_format', 'bytes', 'largest']) AS metric, unnest([n, m, b, l]) AS n FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE format IS NULL) AS DOUBLE) AS m, CAST(sum(file_size) AS DOUBLE) AS b, CAST(max(file_size) AS DOUBLE) AS l FROM core_assets) x")(taken_in)
 q("ss07_progress", "SELECT run_id, done, round(done / 0.5, 1) AS tps, CASE WHEN done = 0 THEN 0.0 ELSE round((total - done) / (done / 0.5), 3) END AS eta, CASE WHEN done > 0 AND total > done THEN CAST(CAST(floor((total - done) / (done / 0.5)) AS BIGINT) AS VARCHAR) || 's left' ELSE 'Finishing...' END AS finish, CAST(floor(done / total * 100) AS INT) AS stage_pct, CAST(floor(floor(done / total * 100) / 2) AS INT) AS total_pct FROM (SELECT CAST(s_suppkey AS VARCHAR) AS run_id, s_suppkey % 51 AS done, 50 AS total FROM supplier) x")(
     lambda t: ledger.progress(t.supplier.select(F.col("s_suppkey").cast("string").alias("run_id"), (F.col("s_suppkey") % 51).alias("done"), F.lit(50).alias("total"), F.lit(0.5).alias("seconds")))
 )

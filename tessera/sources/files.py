@@ -76,13 +76,16 @@ def run_report(runs: DataFrame, decisions: DataFrame, run_id: str, sample: int =
     return "\n".join([*lines, *[f"* `{r.field_name}` of {r.entity_id}: '{r.selected_value}' (was '{r.old_value}')" for r in shown], ""])
 
 
-def library_report(recordings: DataFrame, validation: DataFrame, assets: DataFrame, overview: DataFrame) -> str:
-    """A summary: tracks, mean quality, formats with their shares of the tracks, the five largest genres."""
+def library_report(recordings: DataFrame, validation: DataFrame, assets: DataFrame, overview: DataFrame, most: int = 1000) -> str:
+    """A summary: tracks, mean quality, formats with their shares of the tracks (more than ``most`` are an error), the five largest genres."""
     total = recordings.count()
     mean = validation.agg(F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("q")).first().q
     count = lambda rows, key: rows.groupBy(key.alias("k")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("k"))
     part = lambda r, other: f"* {r.k or other}: {r.n} ({100 * r.n / total if total else 0:.1f} %)"
-    formats = [part(r, "UNKNOWN") for r in count(assets, F.upper("format")).limit(100).collect()]
+    formats = count(assets, F.upper("format")).limit(most + 1).collect()
+    if len(formats) > most:
+        raise ValueError(f"a report holds {most} formats at most")
+    formats = [part(r, "UNKNOWN") for r in formats]
     genres = [part(r, "Unclassified") for r in count(overview, F.col("primary_genre")).limit(5).collect()]
     return "\n".join(["# Library", "", f"* tracks: {total}", f"* mean quality: {100 * mean:.1f} %", "", "## Formats", "", *formats, "", "## Genres", "", *genres, ""])
 

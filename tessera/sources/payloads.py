@@ -88,6 +88,26 @@ def search_hits(answers: DataFrame) -> DataFrame:
     return rows.select("key", "tier", "n", F.col("r.id").alias("mbid"), F.coalesce("r.title", F.lit("")).alias("title"), F.coalesce(_filled(credit["name"]), credit["artist"]["name"], F.lit("")).alias("artist"), (F.col("r.length") / 1000).alias("seconds"))
 
 
+def search_queries(tracks: DataFrame) -> DataFrame:
+    """(key, tier, query): the queries of a search for each track (key, title, artist), of which the first that finds anything counts.
+
+    Tiers 0 to 4: the core title by the artist, the whole title by the artist (where it differs), both as terms, both anywhere, the
+    core title alone. Without a known artist only the last is left, without a title none.
+    """
+    rows = tracks.select("key", text.query_text(text.search_title(F.col("title"))).alias("full"), text.query_text(text.core_title(F.col("title"))).alias("core"), text.query_text(text.sanitize_artist(F.col("artist"))).alias("by"))
+    known = (F.col("core") != "") & (F.col("by") != "") & (F.lower("by") != "unknown artist")
+    named = (F.col("full") != "") & (F.col("full") != F.col("core")) & (F.col("by") != "") & (F.lower("by") != "unknown artist")
+    form = lambda pattern, *columns: F.format_string(pattern, *columns)
+    tiers = F.array(
+        F.when(known, form('recording:"%s" AND artist:"%s"', "core", "by")),
+        F.when(named, form('recording:"%s" AND artist:"%s"', "full", "by")),
+        F.when(known, form("recording:(%s) AND artist:(%s)", "core", "by")),
+        F.when(known, form('"%s" AND "%s"', "core", "by")),
+        F.when(F.col("core") != "", form('recording:"%s"', "core")),
+    )
+    return rows.select("key", F.posexplode(tiers).alias("tier", "query")).where("query IS NOT NULL")
+
+
 def best_hits(tracks: DataFrame, hits: DataFrame) -> DataFrame:
     """(key, tier, mbid, score): for each track (key, title, artist, seconds) the best hit of the first tier that has one.
 
@@ -118,6 +138,35 @@ def tracklists(answers: DataFrame) -> DataFrame:
     return media.select("key", "disc", "x.position", F.coalesce(_filled(F.col("x.title")), F.col("x.recording.title")).alias("title"), F.col("x.recording.id").alias("mbid"), F.get("x.recording.isrcs", 0).alias("isrc"))
 
 
+_TAGS = "tags:array<struct<name:string>>"
+
+
+def _names(tags: Column) -> Column:
+    return F.filter(F.coalesce(tags["name"], F.array().cast("array<string>")), lambda x: F.coalesce(x, F.lit("")) != "")
+
+
+def group_releases(answers: DataFrame) -> DataFrame:
+    """(key, release, first_release_date, tags): the first release of a group's answer; a group without one has no row."""
+    j = _json(F.col("body"), f"struct<`first-release-date`:string,{_TAGS},releases:array<struct<id:string>>>")
+    rows = answers.select("key", j.alias("j")).select("key", _filled(F.get("j.releases", 0)["id"]).alias("release"), F.col("j.first-release-date").alias("first_release_date"), _names(F.col("j.tags")).alias("tags"))
+    return rows.where("release IS NOT NULL")
+
+
+def release_details(groups: DataFrame, releases: DataFrame) -> DataFrame:
+    """(key, first_release_date, tags, tracks) of groups' answers (key, body) by their first release, releases: answers (key, body) by its id.
+
+    tags: those of the group and of the release, each once, in order; tracks: (position, title, mbid, isrc), media after
+    media. A group whose release has no answer has no row; one without media has no tracks.
+    """
+    schema = f"struct<{_TAGS},media:array<struct<tracks:array<struct<position:int,title:string,recording:struct<id:string,title:string,isrcs:array<string>>>>>>>"
+    track = lambda x: F.struct(x["position"].alias("position"), F.coalesce(_filled(x["title"]), x["recording"]["title"]).alias("title"), x["recording"]["id"].alias("mbid"), F.get(x["recording"]["isrcs"], 0).alias("isrc"))
+    none = F.array().cast("array<struct<position:int,title:string,mbid:string,isrc:string>>")
+    listed = F.flatten(F.transform(F.coalesce("j.media", F.array().cast("array<struct<tracks:array<struct<position:int,title:string,recording:struct<id:string,title:string,isrcs:array<string>>>>>>")), lambda m: F.coalesce(F.transform(m["tracks"], track), none)))
+    details = releases.select(F.col("key").alias("release"), _json(F.col("body"), schema).alias("j")).where("j IS NOT NULL").select("release", _names(F.col("j.tags")).alias("more"), listed.alias("tracks"))
+    found = group_releases(groups).join(details, "release")
+    return found.select("key", "first_release_date", F.array_sort(F.array_distinct(F.concat("tags", "more"))).alias("tags"), "tracks")
+
+
 def artist_facts(answers: DataFrame) -> DataFrame:
     """(key, qid, country, gender, artist_type, formed_year): the first binding of an answer, null throughout where there is none (known to be unknown)."""
     value = "struct<value:string>"

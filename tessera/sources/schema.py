@@ -19,6 +19,10 @@ TABLES = {
 }
 
 
+#: Views over the declared tables.
+VIEWS = ("vw_recording_overview", "vw_open_issues_queue")
+
+
 def empty(spark: SparkSession, table: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[table])
 
@@ -30,6 +34,31 @@ def create_all(spark: SparkSession) -> None:
             empty(spark, name).createOrReplaceTempView(name)
 
 
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """Each declared table that the database doesn't have yet, stored and empty."""
+    for name, columns in TABLES.items():
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
+def wipe(spark: SparkSession, database: str = "default", inbox: str | None = None, archives: list[str] | None = None) -> int:
+    """Drop the declared tables of a database, and the session's views that have their names or read them, and declare them anew.
+
+    With an inbox, the audio files below the archives go back to it, to be taken in again; how many there were is returned. Other
+    tables and views stay.
+    """
+    from tessera.streaming.ingest import restore_files
+
+    restored = restore_files(archives or [], inbox) if inbox else 0
+    for name in [*TABLES, *VIEWS]:
+        spark.catalog.dropTempView(name)
+    for name in VIEWS:
+        spark.sql(f"DROP VIEW IF EXISTS {database}.{name}")
+    for name in TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+    create_tables(spark, database)
+    return restored
+
+
 def conform(frame: DataFrame, declared: str, backfill: dict[str, Column] | None = None) -> DataFrame:
     """The frame with the declared columns in their order and types: missing ones are null, narrower ones are cast.
 

@@ -105,6 +105,28 @@ def test_media_parser_and_fan_out(spark, rows, tmp_path):
     assert [made[k].count() for k in ("recordings", "assets", "locations", "validation")] == [5] * 4
 
 
+def test_wipe_drops_tables_and_views_and_declares_them_anew(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE wiped LOCATION '{tmp_path}/wiped'")
+    try:
+        schema.create_tables(spark, "wiped")
+        spark.sql("INSERT INTO wiped.sys_runs (run_id) VALUES ('r')")
+        spark.sql("CREATE TABLE wiped.other USING parquet AS SELECT 1 AS k")
+        spark.sql("CREATE VIEW wiped.vw_open_issues_queue AS SELECT run_id FROM wiped.sys_runs")
+        spark.sql("SELECT 1 AS k").createOrReplaceTempView("meta_locks")
+        os.makedirs(f"{tmp_path}/archive/x")
+        with open(f"{tmp_path}/archive/x/a.mp3", "w") as out:
+            out.write("x")
+        schema.create_tables(spark, "wiped")
+        assert spark.table("wiped.sys_runs").count() == 1
+        assert schema.wipe(spark, "wiped", f"{tmp_path}/inbox", [f"{tmp_path}/archive"]) == 1
+        tables = {x.name for x in spark.catalog.listTables("wiped") if not x.isTemporary}
+        assert tables == {*schema.TABLES, "other"} and spark.table("wiped.sys_runs").count() == 0
+        assert spark.table("wiped.meta_locks").columns == ["entity_id", "field_name", "lock_state"] and os.listdir(f"{tmp_path}/inbox") == ["a.mp3"]
+        assert not spark.catalog.tableExists("meta_locks")
+    finally:
+        spark.sql("DROP DATABASE wiped CASCADE")
+
+
 def test_declared_schemas(spark, rows):
     assert schema.empty(spark, "meta_locks").columns == ["entity_id", "field_name", "lock_state"]
     schema.create_all(spark)
