@@ -10,6 +10,7 @@ from tessera.operators import catalog as views
 from tessera.operators import dedup, discovery, propagate
 from tessera.operators import resolve as consensus
 from tessera.operators.taxonomy import genre_consensus
+from tessera.operators.fuzzy import alike
 from tessera.plans import duck
 from tessera.plans.registry import catalog_query as q
 from tessera.plans.scans import AS_OF, OWNED, overview, owned, scoped, visible
@@ -313,7 +314,9 @@ def fuzzy_owned(t: Catalog) -> DataFrame:
     lib = t.core_albums.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
     c = t.sys_discovery_candidates.select("candidate_id", "title", "artist_name")
     # Different titles are few, so they are compared once each, and so are the artists behind those that agree.
-    titles = c.select("title", key("title")).distinct().join(lib.select("lib_title", key("lib_title")).distinct(), "block").where(near("title", "lib_title", 0.85)).where(similarity("title", "lib_title") >= 0.85)
+    spelled = lambda frame, column: frame.select(F.col(column).alias("spelled"), key(column), text.alnum_key(F.col(column)).alias("text")).distinct()
+    mine, theirs = spelled(c, "title"), spelled(lib, "lib_title")
+    titles = alike(mine, theirs, 0.85).join(mine.select(F.col("spelled").alias("title"), "block", F.col("text").alias("a")), ["block", "a"]).join(theirs.select(F.col("spelled").alias("lib_title"), "block", F.col("text").alias("b")), ["block", "b"]).where(similarity("title", "lib_title") >= 0.85)
     pairs = c.join(titles.select("title", "lib_title"), "title").join(lib, "lib_title").select("artist_name", "lib_artist", "candidate_id").distinct()
     artists = pairs.select("artist_name", "lib_artist").distinct().where(near("artist_name", "lib_artist", 0.70)).where(similarity("artist_name", "lib_artist") >= 0.70)
     return pairs.join(artists, ["artist_name", "lib_artist"], "left_semi").select("candidate_id").distinct()

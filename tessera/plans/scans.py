@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed, text
 from tessera.operators import catalog as views
+from tessera.operators.fuzzy import within_edits
 from tessera.plans import duck
 from tessera.plans.registry import catalog_query as q
 from tessera.sources.fixtures import Catalog
@@ -231,19 +232,21 @@ def owned(t: Catalog) -> DataFrame:
 q("jn13_either_key", OWNED)(owned)
 
 
-def fuzzy(t: Catalog, close) -> DataFrame:
-    """Candidates whose title and artist are close to an album's that begins with the same three letters."""
+def fuzzy(t: Catalog, titles: int = 2, artists: int = 1) -> DataFrame:
+    """Candidates whose title and artist are few edits from those of an album that begins with the same three letters."""
     key = lambda c: F.substring(text.alnum_key(F.col(c)), 1, 3)
     lib = t.core_albums.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(key("title").alias("block"), F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
     c = t.sys_discovery_candidates.select("candidate_id", key("title").alias("block"), "title", "artist_name")
-    # Albums of one artist hold few titles, so the artist decides early.
-    return c.join(lib, "block").where(close).select("candidate_id").distinct()
+    # Albums of one artist hold few titles, so the artist decides first.
+    named = lambda frame, column: frame.select(F.lit(0).alias("block"), F.col(column).alias("text"))
+    near = within_edits(named(c, "artist_name"), named(lib, "lib_artist"), artists).select(F.col("a").alias("artist_name"), F.col("b").alias("lib_artist"))
+    return c.join(near, "artist_name").join(lib, ["block", "lib_artist"]).where(F.levenshtein("title", "lib_title") <= titles).select("candidate_id").distinct()
 
 
 q(
     "jn14_blocked_levenshtein",
     f"WITH lib AS (SELECT DISTINCT substr({duck.alnum('b.title')}, 1, 3) AS block, b.title AS lib_title, coalesce(a.name, 'Unknown Artist') AS lib_artist FROM core_albums b LEFT JOIN core_artists a ON b.artist_id = a.id) SELECT DISTINCT candidate_id FROM sys_discovery_candidates c JOIN lib ON block = substr({duck.alnum('c.title')}, 1, 3) WHERE abs(length(title) - length(lib_title)) <= 2 AND abs(length(artist_name) - length(lib_artist)) <= 1 AND levenshtein(title, lib_title) <= 2 AND levenshtein(artist_name, lib_artist) <= 1",
-)(lambda t: fuzzy(t, F.expr("abs(length(title) - length(lib_title)) <= 2 AND abs(length(artist_name) - length(lib_artist)) <= 1 AND levenshtein(title, lib_title) <= 2 AND levenshtein(artist_name, lib_artist) <= 1")))
+)(lambda t: fuzzy(t))
 q("jn17_regions", f"SELECT id, {duck.region('country')} AS region FROM core_artists")(lambda t: t.core_artists.select("id", text.region(F.col("country")).alias("region")))
 q("jn18_priors", f"SELECT id, {duck.family('source_id')} AS family, {duck.prior('field_name', duck.family('source_id'))} AS prior FROM meta_evidence")(lambda t: with_priors(t.meta_evidence).select("id", "family", "prior"))
 
