@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import exact, text
 from tessera.operators import crawl, ledger
-from tessera.operators.graph import cut
+from tessera.operators.graph import cut, shared_folder
 from tessera.plans import duck
 from tessera.plans.domain import GENRES, cluster_match
 from tessera.plans.registry import catalog_query as q
@@ -15,6 +17,7 @@ from tessera.plans.scans import overview, scoped
 from tessera.plans.totals import assets, histogram
 from tessera.sources import files, media, schema
 from tessera.sources.fixtures import Catalog
+from tessera.streaming import store
 
 # Functions and sources
 
@@ -236,6 +239,36 @@ q(
     UNION ALL SELECT 'validation', rec, 'quality_score', '0.2' FROM files UNION ALL SELECT 'evidence', rec, f, v || '|' || s || '|' || c || '|' || CAST(w AS VARCHAR) || '|' || k FROM facts WHERE v <> '' UNION ALL SELECT DISTINCT 'payloads', payload, 'payload', '' FROM files""",
 )(fan_out)
 
+# Files written, and read again
+
+
+def exported(t: Catalog) -> DataFrame:
+    """The artists as an export in order, read back."""
+    folder = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    files.write_export(t.core_artists.select("id", "name", "region"), folder, ["name", "id"])
+    return files.read_table(t.spark, folder, "csv", "id bigint, name string, region string")
+
+
+def reported(t: Catalog) -> DataFrame:
+    """Lines of a report of recordings by genre."""
+    figures = t.core_recordings.groupBy(F.coalesce("genre", F.lit("none")).alias("metric")).agg(F.count("*").alias("n"))
+    return t.spark.createDataFrame(list(enumerate(files.markdown_report(figures, "Genres").split("\n"))), "line int, text string")
+
+
+def taken_by_batch(t: Catalog) -> DataFrame:
+    """The store after two batches of assets: those of one channel, then those of two, each against all before it."""
+    names = t.core_recordings.select(F.col("id").alias("recording_id"), "title", "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left")
+    rows = t.core_assets.join(names, "recording_id").select(F.col("asset_id").alias("path"), "md5_file", "audio_stream_hash", "duration", (F.col("recording_id") % 3000).cast("string").alias("fingerprint"), "title", "artist", "channels")
+    folder = f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        store.add_batch(rows.where(F.col("channels") == batch + 1).drop("channels"), batch, folder)
+    return store.accepted_files(t.spark, folder).select("path", "batch")
+
+
+q("snk08_export", "SELECT id, name, region FROM core_artists")(exported)
+q("snk11_report", "WITH f AS (SELECT coalesce(genre, 'none') AS metric, count(*) AS n FROM core_recordings GROUP BY 1), l AS (SELECT 4 + row_number() OVER (ORDER BY metric) AS line, '| ' || metric || ' | ' || n || ' |' AS text FROM f) SELECT CAST(line - 1 AS INT) AS line, text FROM l UNION ALL SELECT * FROM (VALUES (0, '# Genres'), (1, ''), (2, '| metric | n |'), (3, '|---|---|')) h UNION ALL SELECT CAST(4 + count(*) AS INT), '' FROM f")(reported)
+q("ss02_ingest_store")(taken_by_batch)
+
 # Schemas
 
 q("dm48_conform", f"SELECT id, name, coalesce(nullif(normalized_name, ''), {duck.artist_key('name')}) AS normalized_name, CAST(NULL AS VARCHAR) AS country, region, CAST(NULL AS VARCHAR) AS artist_type, musicbrainz_artist_id, 7 AS extra FROM (SELECT id, name, CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN normalized_name END AS normalized_name, region, musicbrainz_artist_id FROM core_artists) a")(

@@ -89,3 +89,23 @@ def test_the_store_behind_a_stream(spark, tmp_path):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
         stores.ingest(spark.readStream.schema(SCHEMA).json(f"{tmp_path}/in"), store, f"{tmp_path}/mark").awaitTermination()
     assert read(spark, store) == plain(groups, KEYS)
+
+
+def test_the_query_over_all_assets(spark, small):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+    from tessera.plans import registry
+    from tessera.sources.fixtures import Catalog
+
+    t = Catalog(spark, small)
+    names = {r.id: r for r in t.core_recordings.select("id", "title", "artist_id").collect()}
+    artists = {r.id: (r.name, r.key) for r in t.core_artists.select("id", "name", text.artist_key(F.col("name")).alias("key")).collect()}
+    groups = [[], []]
+    for r in t.core_assets.collect():
+        track = names[r.recording_id]
+        groups[r.channels - 1].append((r.asset_id, r.md5_file, r.audio_stream_hash, float(r.duration) if r.duration is not None else None, str(r.recording_id % 3000), track.title, artists.get(track.artist_id, (None,))[0]))
+    accepted, _ = plain(groups, {**dict(artists.values()), None: None})
+    first = {row[0] for row in groups[0]}
+    got = registry.queries()["ss02_ingest_store"](spark, small).collect()
+    assert sorted((r.path, r.batch) for r in got) == sorted((p, int(p not in first)) for p in accepted)
