@@ -312,7 +312,8 @@ def mp3_sound(data: bytes) -> Sound:
             raise ValueError("no frame")
         frame = _mp3_frame(data, at)
         follows = at + frame[0] if frame else 0
-        if frame and (_mp3_frame(data, follows) or follows == len(data) or data[follows : follows + 3] == b"TAG" or data[follows : follows + 8] == b"APETAGEX"):
+        after = _mp3_frame(data, follows) if frame else None
+        if frame and (after and after[1:3] == frame[1:3] or follows == len(data) or data[follows : follows + 3] == b"TAG" or data[follows : follows + 8] == b"APETAGEX"):
             break
         at += 1
     slow, mono = frame[1] == 576, frame[3] == 1
@@ -320,7 +321,7 @@ def mp3_sound(data: bytes) -> Sound:
     if data[tag : tag + 4] in (b"Xing", b"Info") or data[at + 36 : at + 40] == b"VBRI":
         at += frame[0]
     stream, samples, size, kinds, first = hashlib.md5(), 0, 0, set(), frame
-    while (frame := _mp3_frame(data, at)) and at + frame[0] <= len(data):
+    while (frame := _mp3_frame(data, at)) and frame[1:3] == first[1:3] and at + frame[0] <= len(data):
         stream.update(data[at : at + frame[0]])
         samples, size, at = samples + frame[1], size + frame[0], at + frame[0]
         kinds.add(frame[4])
