@@ -125,31 +125,17 @@ def _unit(rows: list[bytes]) -> np.ndarray:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, label, dim, t, bucket, own, codes): a row for each bucket that a distinct vector visits."""
-    names = ["rep", "n", "label", "dim", "t", "bucket", "own", "codes", "v"]
+    """(rep, mark, label, dim, codes): the buckets that a distinct vector visits, table after table, its own first in each."""
     for batch in batches:
         raw = batch.column("v").to_pylist()
         sizes = np.array([len(x) for x in raw])
         for size in np.unique(sizes):
             for part in np.array_split(np.flatnonzero(sizes == size), 1 + (sizes == size).sum() // 1000):
                 codes = buckets(_unit([raw[k] for k in part]))
-                n, tables, each = codes.shape
-                who = np.repeat(part, tables * each)
-                packed = [c.tobytes() for c in codes]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("rep").take(pa.array(who)),
-                        batch.column("n").take(pa.array(who)),
-                        batch.column("label").take(pa.array(who)),
-                        pa.array(np.full(len(who), size // 8, np.int32)),
-                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), n)),
-                        pa.array(codes.ravel()),
-                        pa.array(np.tile(np.arange(each) == 0, n * tables)),
-                        pa.array(packed, pa.binary()).take(pa.array(np.repeat(np.arange(n), tables * each))),
-                        batch.column("v").take(pa.array(who)),
-                    ],
-                    names,
-                )
+                rows = batch.take(pa.array(part))
+                offsets = np.arange(len(part) + 1, dtype=np.int32) * codes[0].size
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(codes.ravel()))
+                yield pa.RecordBatch.from_arrays([rows.column("rep"), rows.column("mark"), rows.column("label"), pa.array(np.full(len(part), size // 8, np.int32)), lists], ["rep", "mark", "label", "dim", "codes"])
 
 
 def _tiles(threshold: float):
@@ -168,7 +154,7 @@ def _tiles(threshold: float):
                 return None
             rep, weight = np.array(rep), np.array(weight)
             order = np.argsort(rep, kind="stable")
-            codes = np.frombuffer(b"".join(codes), np.int32).reshape(len(rows), TABLES, -1)
+            codes = np.array(codes, np.int32).reshape(len(rows), TABLES, -1)
             i, j = tile_links(unit[order], codes[order], np.array(own)[order], np.array(block)[order], key[2], key[3], threshold)
             if not len(i):
                 return None
@@ -201,15 +187,23 @@ def _tiles(threshold: float):
 
 
 def embedding_links(distinct: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, links) from distinct vectors (rep, n, label, v): see _tiles."""
-    schema = "rep long, n long, label string, dim int, t int, bucket int, own boolean, codes binary, v binary"
+    """(a, b, links) from distinct vectors (rep, n, label, v): see _tiles.
+
+    Vectors are hashed once; their buckets travel without them. A vector follows to those of its buckets that hold another one, once
+    for each tile.
+    """
     place = ["label", "dim", "t", "bucket"]
-    hashed = mapped(distinct, _hashed, schema)
-    sizes = hashed.groupBy(*place).agg(F.count("*").alias("m"), F.count_if("own").alias("k")).where("m > 1 AND k > 0").select(*place, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rows = hashed.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    distinct = distinct.withColumn("mark", F.xxhash64("v"))
+    coded = stored(mapped(distinct.select("rep", "mark", "label", "v"), _hashed, "rep long, mark long, label string, dim int, codes array<int>"))
+    visits = coded.select("rep", "mark", "label", "dim", F.posexplode("codes").alias("at", "bucket"), (F.size("codes") / TABLES).cast("int").alias("each"))
+    visits = visits.select("rep", "mark", "label", "dim", F.expr("at div each").cast("int").alias("t"), "bucket", (F.col("at") % F.col("each") == 0).alias("own"))
+    sizes = visits.groupBy(*place).agg(F.count("*").alias("m"), F.count_if("own").alias("k")).where("m > 1 AND k > 0").select(*place, F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = visits.join(sizes, place).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     with_ = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("with", with_).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
     keys = [*place, "low", "high"]
+    vectors = distinct.select("rep", "mark", "n", "v").join(coded.select("rep", "mark", "codes"), ["rep", "mark"])
+    rows = rows.drop("blocks", "with").join(vectors, ["rep", "mark"])
     rows = rows.select(*keys, "rep", "n", "own", "block", "codes", "v").repartition(*keys).sortWithinPartitions(*keys)
     return mapped(rows, _tiles(threshold), "a long, b long, links long")
 
