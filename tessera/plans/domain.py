@@ -174,10 +174,10 @@ _DEDUP = f"""SELECT i.asset_id, CASE WHEN i.md5_file IN (SELECT md5_file FROM co
 def duplicates(t: Catalog) -> DataFrame:
     fp = (F.col("recording_id") % 3000).cast("string").alias("fingerprint")
     titles = t.core_recordings.select(F.col("id").alias("recording_id"), "title", "artist_id").join(t.core_artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist")), "artist_id", "left")
-    incoming = t.core_assets.where("channels = 2").select("*", fp).join(titles, "recording_id")
+    incoming = t.core_assets.where("channels = 2").select("*", fp)
     store = t.core_assets.where("channels = 1")
     files = store.select("md5_file", F.when(F.col("file_size") % 40 == 0, F.col("audio_stream_hash")).alias("audio_stream_hash"))
-    return dedup.evaluate(incoming, files, store.select(fp, "duration"), t.sys_discovery_candidates.select("title", F.col("artist_name").alias("artist")))
+    return dedup.evaluate(incoming, files, store.select(fp, "duration"), t.sys_discovery_candidates.select("title", F.col("artist_name").alias("artist")), titles)
 
 
 q("wn09_first_come")(lambda t: dedup.first_come(t.core_assets.select("asset_id", "md5_file", F.concat_ws("/", "audio_stream_hash", "duration").alias("stream")), "asset_id", ["md5_file", "stream"]))
