@@ -11,6 +11,7 @@ from tessera.operators import dedup, discovery, propagate
 from tessera.operators import resolve as consensus
 from tessera.operators.taxonomy import genre_consensus
 from tessera.operators.fuzzy import alike
+from tessera.operators.graph import cut
 from tessera.plans import duck
 from tessera.plans.registry import catalog_query as q
 from tessera.plans.scans import AS_OF, OWNED, overview, owned, scoped, visible
@@ -317,9 +318,27 @@ def fuzzy_owned(t: Catalog) -> DataFrame:
     spelled = lambda frame, column: frame.select(F.col(column).alias("spelled"), key(column), text.alnum_key(F.col(column)).alias("text")).distinct()
     mine, theirs = spelled(c, "title"), spelled(lib, "lib_title")
     titles = alike(mine, theirs, 0.85).join(mine.select(F.col("spelled").alias("title"), "block", F.col("text").alias("a")), ["block", "a"]).join(theirs.select(F.col("spelled").alias("lib_title"), "block", F.col("text").alias("b")), ["block", "b"]).where(similarity("title", "lib_title") >= 0.85)
-    pairs = c.join(titles.select("title", "lib_title"), "title").join(lib, "lib_title").select("artist_name", "lib_artist", "candidate_id").distinct()
-    artists = pairs.select("artist_name", "lib_artist").distinct().where(near("artist_name", "lib_artist", 0.70)).where(similarity("artist_name", "lib_artist") >= 0.70)
-    return pairs.join(artists, ["artist_name", "lib_artist"], "left_semi").select("candidate_id").distinct()
+    # What is asked of each artist of a title is asked once, whoever has it, and one album that is near answers it.
+    asked = cut(c.join(titles.select("title", "lib_title"), "title").select("lib_title", "artist_name").where("artist_name IS NOT NULL").distinct())
+    held = cut(lib.join(asked.select("lib_title").distinct(), "lib_title", "left_semi").select("lib_title", "lib_artist"))
+    answered = None
+    for letters in (64, 12, 8, 4):  # the likeliest first: an artist that begins alike
+        start = lambda column: F.substring(text.alnum_key(F.col(column)), 1, letters).alias("start")  # noqa: B023, E731
+        left = asked if answered is None else asked.join(answered, ["lib_title", "artist_name"], "left_anti")
+        likely = held.groupBy("lib_title", start("lib_artist")).agg(F.min("lib_artist").alias("lib_artist"))
+        tried = left.withColumn("start", start("artist_name")).join(likely, ["lib_title", "start"]).where(near("artist_name", "lib_artist", 0.70)).where(similarity("artist_name", "lib_artist") >= 0.70)
+        tried = tried.select("lib_title", "artist_name")
+        answered = cut(tried if answered is None else answered.unionByName(tried))
+    # The others are held against every artist of the title that shares rare letter pairs with them.
+    left = cut(asked.join(answered, ["lib_title", "artist_name"], "left_anti"))
+    if not left.isEmpty():
+        block = lambda frame, column: frame.select(F.col("lib_title").alias("block"), text.alnum_key(F.col(column)).alias("text"))
+        found = alike(block(left, "artist_name"), block(held, "lib_artist"), 0.70).withColumnRenamed("block", "lib_title")
+        spelled_by = lambda frame, column, as_: frame.select("lib_title", column, text.alnum_key(F.col(column)).alias(as_))
+        tried = found.join(spelled_by(left, "artist_name", "a"), ["lib_title", "a"]).join(spelled_by(held, "lib_artist", "b"), ["lib_title", "b"]).where(similarity("artist_name", "lib_artist") >= 0.70)
+        answered = answered.unionByName(tried.select("lib_title", "artist_name").distinct())
+    near_titles = titles.select("title", "lib_title").join(answered, "lib_title").select("title", "artist_name").distinct()
+    return c.join(near_titles, ["title", "artist_name"], "left_semi").select("candidate_id").distinct()
 
 
 q("jn15_cluster_match")(lambda t: cluster_match(t))
