@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """The frame as a table in the shared folder: smaller than a checkpoint, and read by columns."""
+    folder = f"{shared_folder(frame.sparkSession)}/rows-{uuid.uuid4().hex}"
+    frame.write.option("compression", "zstd").parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (a, b); the component is its smallest node.
 

@@ -14,12 +14,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import dedup
-from tessera.operators.graph import cut
+from tessera.operators.graph import cut, stored
 
 BUCKETS = 64
 #: Keys of a file in the order in which they name a duplicate, and the reach of the fingerprint's in seconds.
 KEYS = ["md5_file", "audio_stream_hash", "heard", "titled"]
-LABELS = ["FILE_DUPLICATE", "STREAM_DUPLICATE", "FINGERPRINT_DUPLICATE", "TITLE_ARTIST_DUPLICATE"]
 NEAR, WITHIN = {"heard": "duration"}, 2.0
 _HELD = "k string, v string, d double, bucket int, batch long"
 
@@ -46,33 +45,22 @@ def held_keys(spark: SparkSession, store: str, buckets: list[int], batch: int) -
     return keys.where(F.col("bucket").isin(buckets) & (F.col("batch") < batch))
 
 
-def _named(mine: DataFrame, held: DataFrame, order: str, earlier: str | None = None) -> DataFrame:
-    """(order, rank): the first key of each row that held has; held's rows count for later ones only, where they have an order."""
-    same = F.col("d").isNull() | (F.abs(F.col("d") - F.col("other")) <= WITHIN)
-    if earlier:
-        same = same & (F.col(earlier) < F.col(order))
-    met = mine.join(held.withColumnRenamed("d", "other"), ["k", "v"]).where(same)
-    rank = F.coalesce(*[F.when(F.col("k") == k, F.lit(n)) for n, k in enumerate(KEYS)])
-    return met.groupBy(order).agg(F.min(rank).alias("rank"))
-
-
 def add_batch(rows: DataFrame, batch: int, store: str, order: str = "path") -> None:
     """Take in the files of one batch, in the order of a column that is different for each: see keyed() for the columns."""
     spark = rows.sparkSession
-    files = cut(keyed(rows))
-    mine = cut(_bucketed(dedup.entries(files, order, KEYS, NEAR)))
-    buckets = sorted(r.bucket for r in mine.select("bucket").distinct().collect())  # of BUCKETS
-    held = held_keys(spark, store, buckets, batch).select("k", "v", "d")
-    stored = cut(_named(mine, held, order))
-    left = files.join(stored, order, "left_anti")
+    files = stored(keyed(rows))
+    mine = files.select(*dict.fromkeys([order, "path", *KEYS, "duration"]))
+    buckets = sorted(r.bucket for r in _bucketed(dedup.entries(mine, order, KEYS, NEAR)).select("bucket").distinct().collect())  # of BUCKETS
+    held = cut(held_keys(spark, store, buckets, batch).select("k", "v", "d").withColumn("taken", F.lit(None).cast(dict(mine.dtypes)[order])))
+    left = mine if held.isEmpty() else stored(dedup.ranked(mine, order, KEYS, NEAR, WITHIN, held).where("rank IS NULL").drop("rank"))
     accepted = cut(dedup.first_come(left, order, KEYS, NEAR, WITHIN).select(order))
-    taken = mine.join(accepted, order).select("k", "v", "d", F.col(order).alias("taken"))
-    others = mine.join(accepted, order, "left_anti")
-    named = stored.unionByName(_named(others, taken, order, "taken")).groupBy(order).agg(F.min("rank").alias("rank"))
-    label = F.get(F.array(*map(F.lit, LABELS)), F.col("rank"))
-    write = lambda frame, name, *by: frame.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(f"{store}/{name}")
-    write(named.join(files.select(order, *[c for c in ("path",) if c != order]), order).withColumn("label", label).drop("rank"), "duplicates")
-    write(files.join(accepted, order, "left_semi").drop("heard", "titled"), "files")
+    kept = files.join(F.broadcast(accepted) if accepted.count() <= dedup.FEW else accepted, order, "left_semi")
+    taken = cut(dedup.entries(kept, order, KEYS, NEAR).withColumnRenamed(order, "taken"))
+    named = dedup.ranked(mine, order, KEYS, NEAR, WITHIN, held.unionByName(taken.select("k", "v", "d", "taken"))).where("rank IS NOT NULL")
+    label = F.get(F.array(*map(F.lit, dedup.LABELS)), F.col("rank"))
+    write = lambda frame, name, *by: frame.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by, "batch").parquet(f"{store}/{name}")
+    write(named.select(*dict.fromkeys([order, "path"]), label.alias("label")), "duplicates")
+    write(kept.drop("heard", "titled"), "files")
     write(_bucketed(taken.select("k", "v", "d")).repartition("bucket"), "keys", "bucket")
 
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tessera.operators import dedup
 from tessera.streaming import store as stores
 
 SCHEMA = "path string, md5_file string, audio_stream_hash string, duration double, fingerprint string, title string, artist string"
@@ -109,3 +110,20 @@ def test_the_query_over_all_assets(spark, small):
     first = {row[0] for row in groups[0]}
     got = registry.queries()["ss02_ingest_store"](spark, small).collect()
     assert sorted((r.path, r.batch) for r in got) == sorted((p, int(p not in first)) for p in accepted)
+
+
+def test_a_batch_stores_few_rows_besides_its_files(spark, tmp_path, monkeypatch):
+    """The keys of files are not stored anew for each step; only what is accepted or may come first is."""
+    sizes, plain_cut = [], dedup.cut
+
+    def counted(frame):
+        out = plain_cut(frame)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(stores, "cut", counted)
+    monkeypatch.setattr(dedup, "cut", counted)
+    frame = spark.range(5000).selectExpr("concat('/in/', 10000 + id) AS path", "concat('m', id % 900) AS md5_file", "concat('s', id % 20) AS audio_stream_hash", "1.0D AS duration", "'' AS fingerprint", "'' AS title", "'' AS artist")
+    stores.add_batch(frame, 0, f"{tmp_path}/store")
+    assert stores.accepted_files(spark, f"{tmp_path}/store").count() == 20 and sum(sizes) < 1000
+    assert spark.read.parquet(f"{tmp_path}/store/duplicates").groupBy("label").count().count() == 2
