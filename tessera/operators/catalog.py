@@ -16,7 +16,9 @@ def overview(recordings: DataFrame, artists: DataFrame, albums: DataFrame, asset
     # The condition on the right side goes before the outer join, so rows without a location stay.
     where = locations.where("is_available = 1").select("asset_id", "filepath")
     v = validation.select(F.col("recording_id").alias("id"), "quality_score")
-    joined = recordings.join(a, "artist_id", "left").join(b, "album_id", "left").join(f, "id", "left").join(where, "asset_id", "left").join(v, "id", "left")
+    # Files find their places while they are narrow; the wide rows of recordings move once by their id.
+    placed = f.join(where, "asset_id", "left").drop("asset_id")
+    joined = recordings.join(a, "artist_id", "left").join(b, "album_id", "left").join(v, "id", "left").join(placed, "id", "left")
     return joined.select(
         "id",
         "title",
