@@ -118,7 +118,8 @@ def best_hits(tracks: DataFrame, hits: DataFrame) -> DataFrame:
     mine = tracks.select("key", text.search_title(F.col("title")).alias("full"), text.core_title(F.col("title")).alias("core"), text.sanitize_artist(F.col("artist")).alias("by"), F.col("seconds").alias("mine"))
     gap = F.abs(F.col("mine") - F.col("seconds"))
     timed = (F.coalesce("mine", F.lit(0.0)) > 0) & (F.coalesce("seconds", F.lit(0.0)) > 0)
-    rows = hits.withColumn("their", text.sanitize_artist(F.col("artist"))).join(mine, "key").where(~timed | (gap <= 60))
+    # Neither side is small because its files are: answers grow when they are read, so both are cut by their key.
+    rows = hits.withColumn("their", text.sanitize_artist(F.col("artist"))).join(mine.hint("merge"), "key").where(~timed | (gap <= 60))
     rows = rows.withColumn("t", F.greatest(similarity("full", "title"), similarity("core", "title"))).withColumn("a", F.when(F.col("by") != "", similarity("by", "their")).otherwise(0.85))
     score = 0.50 * F.col("t") + 0.50 * F.col("a") - F.when(timed & (gap > 15), 0.10).otherwise(0.0)
     best = rows.where("t >= 0.40 AND a >= 0.40").withColumn("score", score).groupBy("key").agg(F.min_by(F.struct("tier", "mbid", "score"), F.struct("tier", (-F.col("score")).alias("s"), "n")).alias("b"))
