@@ -130,7 +130,7 @@ def group_answers(t: Catalog) -> DataFrame:
 def first_releases(t: Catalog) -> DataFrame:
     """The first releases' answers, one of five missing: tracks as in release_answers, tags that the group has too."""
     body = F.from_json("body", "struct<media:array<struct<tracks:array<struct<position:int,title:string,recording:struct<id:string,title:string,isrcs:array<string>>>>>>>")
-    rows = release_answers(t).join(t.part.select(part().cast("string").alias("key"), "p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("size"), (part() % 5).alias("r")), "key").where("r <> 0").withColumn("j", body)
+    rows = release_answers(t).join(t.part.select(part().cast("string").alias("key"), "p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("size"), (part() % 5).alias("r")).hint("merge"), "key").where("r <> 0").withColumn("j", body)
     tags = F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.col("size").alias("name")))
     return rows.select(F.concat(F.lit("rel"), "key").alias("key"), F.to_json(F.struct(tags.alias("tags"), F.when(F.col("r") != 1, F.col("j.media")).alias("media"))).alias("body"))
 

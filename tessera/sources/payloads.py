@@ -164,7 +164,7 @@ def release_details(groups: DataFrame, releases: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<position:int,title:string,mbid:string,isrc:string>>")
     listed = F.flatten(F.transform(F.coalesce("j.media", F.array().cast("array<struct<tracks:array<struct<position:int,title:string,recording:struct<id:string,title:string,isrcs:array<string>>>>>>")), lambda m: F.coalesce(F.transform(m["tracks"], track), none)))
     details = releases.select(F.col("key").alias("release"), _json(F.col("body"), schema).alias("j")).where("j IS NOT NULL").select("release", _names(F.col("j.tags")).alias("more"), listed.alias("tracks"))
-    found = group_releases(groups).join(details, "release")
+    found = group_releases(groups).join(details.hint("merge"), "release")  # both grow with the answers, neither is small
     return found.select("key", "first_release_date", F.array_sort(F.array_distinct(F.concat("tags", "more"))).alias("tags"), "tracks")
 
 
