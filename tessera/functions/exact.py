@@ -23,15 +23,21 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x.casefold() if x else "")
 
 
+def _alias(tag: str | None) -> str:
+    letters = unicodedata.normalize("NFKD", unicodedata.normalize("NFC", tag or "").strip().casefold())
+    return re.sub(r"[\s\-_]+", " ", "".join(c for c in letters if not unicodedata.combining(c))).strip()
+
+
 @F.pandas_udf(T.StringType())
 def tag_alias(tag: pd.Series) -> pd.Series:
     """Folded tag without accents, with runs of space, hyphen and underscore as one space."""
+    return tag.map(_alias)
 
-    def plain(x: str | None) -> str:
-        letters = unicodedata.normalize("NFKD", unicodedata.normalize("NFC", x or "").strip().casefold())
-        return re.sub(r"[\s\-_]+", " ", "".join(c for c in letters if not unicodedata.combining(c))).strip()
 
-    return tag.map(plain)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def tag_aliases(tags: pd.Series) -> pd.Series:
+    """The aliases of a row's tags, in order."""
+    return tags.map(lambda found: None if found is None else [_alias(x) for x in found])
 
 
 @F.pandas_udf(T.StringType())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exact, text
 from tessera.operators import crawl, ledger
-from tessera.operators.graph import cut, shared_folder
+from tessera.operators.graph import shared_folder, stored
 from tessera.plans import duck
 from tessera.plans.domain import GENRES, cluster_match
 from tessera.plans.registry import catalog_query as q
@@ -197,9 +197,9 @@ def run_ledger(t: Catalog) -> DataFrame:
 # Ingestion
 
 
-def parsed_files(t: Catalog) -> DataFrame:
-    """The files of the assets, parsed from their bytes."""
-    return media.parse_media(t.media_files.select("path", "content"))
+def parsed_files(t: Catalog, *skipped: str) -> DataFrame:
+    """The files of the assets, parsed from their bytes; skipped columns are null."""
+    return media.parse_media(t.media_files.select("path", "content"), skipped)
 
 
 #: What parsing gives, by the kind of a file. ``held``: the bytes that its stream's hash is of.
@@ -210,12 +210,13 @@ q(
     f"""WITH {_SOUNDS} SELECT path, CASE kind WHEN 'none' THEN 'CORRUPTED' ELSE 'SUCCESS' END AS status, CASE WHEN kind <> 'none' THEN md5_file END AS md5_file, CASE WHEN kind <> 'none' THEN sha256(content) END AS sha256_file, CASE WHEN kind <> 'none' THEN stream END AS audio_stream_hash, CASE WHEN kind <> 'none' THEN seconds END AS duration, CASE WHEN kind <> 'none' THEN upper(kind) END AS format,
     CAST(CASE kind WHEN 'wav' THEN 16 * channels * sample_rate WHEN 'flac' THEN 926100 WHEN 'mp3' THEN 128000 WHEN 'ogg' THEN 0 END AS INT) AS bitrate, CAST(CASE kind WHEN 'wav' THEN sample_rate WHEN 'none' THEN NULL ELSE 44100 END AS INT) AS sample_rate, CAST(CASE kind WHEN 'wav' THEN channels WHEN 'flac' THEN 1 WHEN 'none' THEN NULL ELSE 2 END AS INT) AS channels, CASE WHEN kind <> 'none' THEN size END AS file_size,
     tag_title AS title, tag_artist AS artist, tag_isrc AS isrc, tag_genre AS genre FROM sounds""",
-)(lambda t: parsed_files(t).select("path", "status", "md5_file", "sha256_file", "audio_stream_hash", "duration", "format", "bitrate", "sample_rate", "channels", "file_size", *[F.element_at("tags", k).alias(k) for k in ("title", "artist", "isrc", "genre")]))
+)(lambda t: parsed_files(t, "payload", "payload_hash").select("path", "status", "md5_file", "sha256_file", "audio_stream_hash", "duration", "format", "bitrate", "sample_rate", "channels", "file_size", *[F.element_at("tags", k).alias(k) for k in ("title", "artist", "isrc", "genre")]))
 
 
 def fan_out(t: Catalog) -> DataFrame:
     """All rows that the parsed files give, as (kind, key, name, value)."""
-    made = media.fan_out(cut(parsed_files(t)))  # parsed once, read by each of the tables
+    # Parsed once, stored by columns without those that no row below shows, and read by each of the tables.
+    made = media.fan_out(stored(parsed_files(t, "sha256_file", "duration", "format", "bitrate", "sample_rate", "channels", "payload")))
     row = lambda kind, key, name, value: made[kind].select(F.lit(kind).alias("kind"), F.col(key).alias("key"), name.alias("name"), value.cast("string").alias("value"))
     fact = F.concat_ws("|", "value", "source_id", "evidence_class", F.round("confidence", 4).cast("string"), F.col("token_index").cast("string"))
     out = row("recordings", "id", F.col("state"), F.col("title")).unionByName(row("assets", "asset_id", F.col("recording_id"), F.concat_ws("|", "md5_file", "audio_stream_hash", "file_size")))

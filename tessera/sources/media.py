@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import struct
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,42 +114,74 @@ def audio_of(data: bytes) -> Sound:
         return Sound(hashlib.md5(data[min(len(data), SKIPPED) :]).hexdigest(), 0.0, 44_100, 2, 0)
 
 
-def parse_media(files: DataFrame) -> DataFrame:
-    """Rows of PARSED from files (path, content); a file without content is CORRUPTED and has nothing else."""
+def parse_media(files: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of PARSED from files (path, content); a file without content is CORRUPTED and has nothing else.
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
+    Columns named in ``skipped`` are null; their work is left out.
+    """
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
+    fields = [pa.field(name, kinds[kind]) for name, kind in (c.split(" ") for c in PARSED.split(", "))]
+    tagged = not {"tags", "payload", "payload_hash"} <= {*skipped}
+
+    def row(path: str, data: bytes | None) -> dict:
+        if not data:
+            return {"path": path, "status": "CORRUPTED"}
+        suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+        sound = audio_of(data)
+        out = {"path": path, "status": "SUCCESS", "audio_stream_hash": sound.stream, "duration": sound.seconds, "format": suffix.upper() or "MP3", "bitrate": sound.bitrate, "sample_rate": sound.rate, "channels": sound.channels, "file_size": len(data)}
+        if "md5_file" not in skipped:
+            out["md5_file"] = hashlib.md5(data).hexdigest()
+        if "sha256_file" not in skipped:
+            out["sha256_file"] = hashlib.sha256(data).hexdigest()
+        if tagged:
+            tags, raw = tags_of(data, suffix)
+            out["tags"] = list(tags.items())
+            dump = json.dumps(raw, sort_keys=True).encode() if raw else b"{}"
+            if "payload" not in skipped:
+                out["payload"] = gzip.compress(dump, mtime=0)
+            if "payload_hash" not in skipped:
+                out["payload_hash"] = hashlib.sha256(dump).hexdigest()
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row(path.as_py(), data.as_py()) for path, data in zip(batch["path"], batch["content"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) if f.name in skipped else pa.array([r.get(f.name) for r in rows], f.type) for f in fields], schema=pa.schema(fields))
+
+    return files.select("path", "content").mapInArrow(work, PARSED)
+
+
+def facts_of(parsed: DataFrame, *kept: str) -> DataFrame:
+    """(path, kept columns, field_name, value, source_id, confidence, raw_value, token_index, positional_weight) from the tags and paths of parsed files.
 
-        columns = [c.split(" ")[0] for c in PARSED.split(", ")]
-        for frame in frames:
-            rows = []
-            for path, data in zip(frame["path"], frame["content"], strict=True):
-                if not data:
-                    rows.append((path, "CORRUPTED", *[None] * 12))
-                    continue
-                suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-                tags, raw = tags_of(data, suffix)
-                sound = audio_of(data)
-                dump = json.dumps(raw, sort_keys=True).encode()
-                rows.append((path, "SUCCESS", hashlib.md5(data).hexdigest(), hashlib.sha256(data).hexdigest(), sound.stream, sound.seconds, suffix.upper() or "MP3", sound.bitrate, sound.rate, sound.channels, len(data), tags, gzip.compress(dump, mtime=0), hashlib.sha256(dump).hexdigest()))
-            yield pd.DataFrame(rows, columns=columns)
+    A genre is cut at its delimiters; each further part weighs 0.75 of the one before.
+    """
+    own = ("path", *kept)
+    tags = parsed.select(*own, F.explode("tags").alias("field_name", "raw")).where("trim(raw) <> ''").withColumn("raw", F.substring(F.trim("raw"), 1, LONGEST))
+    listed = F.col("field_name").isin(*_LISTED)
+    parts = genre_parts(parsed).select(*own, F.explode("parts").alias("p")).where("p.value <> ''")
+    parts = parts.select(*own, "p.field_name", "p.value", F.lit("SRC_EMBEDDED_TAGS").alias("source_id"), F.col("p.weight").alias("confidence"), "p.raw_value", "p.token_index", F.col("p.weight").alias("positional_weight"))
+    plain = lambda rows, source: rows.select(*own, "field_name", "value", F.lit(source).alias("source_id"), F.lit(1.0).alias("confidence"), F.col("value").alias("raw_value"), F.lit(0).alias("token_index"), F.lit(1.0).alias("positional_weight"))
+    seeds = parsed.select(*own, F.explode(F.create_map(F.lit("title"), text.path_seed(F.col("path")), F.lit("disc_number"), text.disc_number(F.col("path")).cast("string"))).alias("field_name", "value")).where("value <> ''")
+    return parts.unionByName(plain(tags.where(~listed).withColumnRenamed("raw", "value"), "SRC_EMBEDDED_TAGS")).unionByName(plain(seeds, "SRC_PATH_SEED"))
 
-    return files.select("path", "content").mapInPandas(work, PARSED)
 
+#: Fields whose tags are lists.
+_LISTED = ("genre", "subgenre")
 
-def facts_of(parsed: DataFrame) -> DataFrame:
-    """(path, seq, field_name, value, source_id, confidence, raw_value, token_index, positional_weight) from the tags and paths of parsed files.
 
-    A genre is cut at its delimiters; each further part weighs 0.75 of the one before.
-    """
-    tags = parsed.select("path", F.explode("tags").alias("field_name", "raw")).where("trim(raw) <> ''").withColumn("raw", F.substring(F.trim("raw"), 1, LONGEST))
-    listed = F.col("field_name").isin("genre", "subgenre")
-    parts = tags.where(listed).select("path", "field_name", F.posexplode(F.split("raw", fixed.TAG_DELIMITERS)).alias("token_index", "raw_value"))
-    weight = F.round(F.pow(F.lit(0.75), F.col("token_index")), 4)
-    parts = parts.select("path", "field_name", exact.tag_alias("raw_value").alias("value"), F.lit("SRC_EMBEDDED_TAGS").alias("source_id"), weight.alias("confidence"), F.trim("raw_value").alias("raw_value"), "token_index", weight.alias("positional_weight")).where("value <> ''")
-    plain = lambda rows, source: rows.select("path", "field_name", "value", F.lit(source).alias("source_id"), F.lit(1.0).alias("confidence"), F.col("value").alias("raw_value"), F.lit(0).alias("token_index"), F.lit(1.0).alias("positional_weight"))
-    seeds = parsed.select("path", F.explode(F.create_map(F.lit("title"), text.path_seed(F.col("path")), F.lit("disc_number"), text.disc_number(F.col("path")).cast("string"))).alias("field_name", "value")).where("value <> ''")
-    return parts.unionByName(plain(tags.where(~listed).withColumnRenamed("raw", "value"), "SRC_EMBEDDED_TAGS")).unionByName(plain(seeds, "SRC_PATH_SEED"))
+def genre_parts(parsed: DataFrame) -> DataFrame:
+    """Parsed files with a genre or subgenre, and their parts: array of (field_name, token_index, value, raw_value, weight)."""
+    raw = {f: F.trim(F.element_at("tags", f)) for f in _LISTED}
+    rows = parsed.where(F.greatest(*[F.coalesce(F.length(x), F.lit(0)) for x in raw.values()]) > 0)
+    cuts = {f"__{f}": F.when(x != "", F.split(F.substring(x, 1, LONGEST), fixed.TAG_DELIMITERS)) for f, x in raw.items()}
+    rows = rows.withColumns(cuts).withColumns({f"__{f}_values": exact.tag_aliases(f"__{f}") for f in _LISTED})
+    part = lambda f: lambda x, k: F.struct(F.lit(f).alias("field_name"), k.alias("token_index"), F.get(f"__{f}_values", k).alias("value"), F.trim(x).alias("raw_value"), F.round(F.pow(F.lit(0.75), k), 4).alias("weight"))
+    parts = F.concat(*[F.coalesce(F.transform(f"__{f}", part(f)), F.array().cast(_PARTS)) for f in _LISTED])
+    return rows.withColumn("parts", parts).select(*parsed.columns, "parts")
+
+
+_PARTS = "array<struct<field_name:string,token_index:int,value:string,raw_value:string,weight:double>>"
 
 
 def fan_out(parsed: DataFrame) -> dict[str, DataFrame]:
@@ -157,15 +190,16 @@ def fan_out(parsed: DataFrame) -> dict[str, DataFrame]:
     Ids follow from the file's hash. Genres of the tags add derived facts of the consensus. A recording starts with its file
     name as title, PARSED and of quality 0.20.
     """
-    from tessera.operators.taxonomy import genre_consensus
+    from tessera.operators.taxonomy import row_consensus
 
     good = parsed.where("status = 'SUCCESS'").withColumn("asset_id", F.md5(F.concat(F.lit("asset"), "md5_file", "path").cast("binary"))).withColumn("recording_id", F.md5(F.concat(F.lit("recording"), "md5_file", "path").cast("binary")))
-    ids = good.select("path", "recording_id", "payload_hash")
-    facts = facts_of(good).join(ids, "path").withColumn("evidence_class", F.lit("LOCAL"))
-    tags = facts.where("field_name IN ('genre', 'subgenre')").select(F.col("recording_id").alias("entity_id"), F.concat(F.col("field_name"), F.format_string("%05d", "token_index")).alias("seq"), F.col("value").alias("tag"), F.col("confidence").alias("weight"), F.col("source_id").alias("source"))
-    named = good.select(F.col("recording_id").alias("entity_id"), F.element_at("tags", "artist").alias("artist")).join(tags.select("entity_id"), "entity_id", "left_semi")
-    derived = genre_consensus(tags, named).where("genre <> 'Unclassified'").join(ids.withColumnRenamed("recording_id", "entity_id"), "entity_id")
-    derived = derived.select("path", F.explode(F.create_map(F.lit("genre"), F.col("genre"), F.lit("subgenre"), F.col("subgenre"))).alias("field_name", "value"), F.col("entity_id").alias("recording_id"), "payload_hash", "confidence").where("value <> ''")
+    facts = facts_of(good, "recording_id", "payload_hash").withColumn("evidence_class", F.lit("LOCAL"))
+    # A recording's tags are those of its file, so they lie in one row.
+    tag = lambda p: F.struct(F.concat(p["field_name"], F.format_string("%05d", p["token_index"])).alias("seq"), p["value"].alias("tag"), p["weight"].alias("weight"), F.lit("SRC_EMBEDDED_TAGS").alias("source"))
+    tagged = genre_parts(good).select("recording_id", "payload_hash", F.element_at("tags", "artist").alias("artist"), F.transform(F.filter("parts", lambda p: p["value"] != ""), tag).alias("listed"))
+    # What doesn't count becomes null in the map: a condition on the consensus itself would be worked out once more below it.
+    said = lambda c: F.when((F.col("genre") != "Unclassified") & (F.size("listed") > 0), F.col(c))
+    derived = row_consensus(tagged).select("recording_id", "payload_hash", "confidence", F.explode(F.create_map(F.lit("genre"), said("genre"), F.lit("subgenre"), said("subgenre"))).alias("field_name", "value")).where("value <> ''")
     derived = derived.withColumn("source_id", F.lit("SRC_TAXONOMY")).withColumn("evidence_class", F.lit("DERIVED")).withColumn("raw_value", F.col("value")).withColumn("token_index", F.lit(0)).withColumn("positional_weight", F.lit(1.0))
     columns = ["recording_id", "field_name", "value", "evidence_class", "source_id", "payload_hash", "confidence", "raw_value", "token_index", "positional_weight"]
     return {
