@@ -1,13 +1,24 @@
-"""What follows from a parsed file is worked out within its row."""
+"""Files are dealt evenly before they are parsed, and what follows from a parsed file is worked out within its row."""
 
 import random
 
+from pyspark.sql import functions as F
+
 from tessera.operators.taxonomy import genre_consensus, row_consensus
 from tessera.plans.upkeep import parsed_files
 from tessera.sources import media
 from tessera.sources.fixtures import Catalog
 
 
+def test_files_are_dealt_evenly(spark, small):
+    files = Catalog(spark, small).media_files
+    plan = files._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join " in line and "n_nationkey" not in line and "n_regionkey" not in line]
+    assert "Inner" in joins[0] and "LeftOuter" in joins[1] and len(joins) == 2  # names meet recordings before files do
+    counts = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) >= 4 * spark.sparkContext.defaultParallelism and max(counts) < 2 * sum(counts) / len(counts)
+
+
 def test_skipped_columns_are_null_and_the_others_stay(spark, small):
     t = Catalog(spark, small)
     files = t.media_files.limit(40).localCheckpoint()
