@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed
 from tessera.operators import discovery
+from tessera.operators.graph import cut
 from tessera.sources import payloads
 
 FRONTIER = "seed_id string, entity_name string, priority double, state string, created_seq long"
@@ -14,16 +15,16 @@ FRONTIER = "seed_id string, entity_name string, priority double, state string, c
 
 def local_seeds(artists: DataFrame, recordings: DataFrame, validation: DataFrame) -> DataFrame:
     """(seed_id, entity_name): artists with an identifier and three recordings or more of quality 0.80 and up."""
-    good = validation.where("quality_score >= 0.80").select(F.col("recording_id").alias("rid"))
+    good = validation.where("quality_score >= 0.80").select(F.col("recording_id").alias("rid")).hint("merge")  # grows with the catalog
     tracks = recordings.select(F.col("id").alias("rid"), F.col("artist_id").alias("id")).join(good, "rid")
-    counted = artists.where("musicbrainz_artist_id IS NOT NULL").join(tracks, "id").groupBy(F.col("musicbrainz_artist_id").alias("seed_id"), F.col("name").alias("entity_name")).agg(F.count("*").alias("n"))
+    counted = artists.where("musicbrainz_artist_id IS NOT NULL").join(tracks.hint("merge"), "id").groupBy(F.col("musicbrainz_artist_id").alias("seed_id"), F.col("name").alias("entity_name")).agg(F.count("*").alias("n"))
     return counted.where("n >= 3").groupBy("seed_id").agg(F.min("entity_name").alias("entity_name"))
 
 
 def _added(frontier: DataFrame, seeds: DataFrame, priority: float) -> DataFrame:
     """The frontier with the seeds that it lacks, waiting, behind those that are there."""
     last = frontier.agg(F.coalesce(F.max("created_seq"), F.lit(0)).alias("last"))
-    fresh = seeds.join(frontier.select("seed_id"), "seed_id", "left_anti").crossJoin(F.broadcast(last))  # one row
+    fresh = seeds.join(frontier.select("seed_id").hint("merge"), "seed_id", "left_anti").crossJoin(F.broadcast(last))  # one row
     return frontier.select("seed_id", "entity_name", "priority", "state", "created_seq").unionByName(fresh.select("seed_id", "entity_name", F.lit(priority).alias("priority"), F.lit("PENDING").alias("state"), (F.col("last") + 1).cast("long").alias("created_seq")))
 
 
@@ -70,13 +71,14 @@ def crawl_batch(frontier: DataFrame, answers: dict[str, DataFrame], known: DataF
     albums by (name, body). A name that finds no identifier fails; one that does is replaced by it, of priority 1.5.
     frontier: the new frontier; candidates: the admitted; seeds: (seed_id, crawled_id, accepted found candidates) of this step.
     """
-    seeds = pop(frontier, n).select("seed_id", "entity_name")
-    by_name = seeds.where("seed_id LIKE 'name:%'").join(payloads.artist_ids(answers["artist_search"]).select(F.col("key").alias("seed_id"), "mbid"), "seed_id", "left")
+    # The step's seeds are n rows, found once and sent to the answers; answers and frontier grow and are never sent whole.
+    seeds = cut(pop(frontier, n).select("seed_id", "entity_name"))
+    by_name = seeds.where("seed_id LIKE 'name:%'").join(payloads.artist_ids(answers["artist_search"]).select(F.col("key").alias("seed_id"), "mbid").hint("merge"), "seed_id", "left")
     crawled = seeds.where("seed_id NOT LIKE 'name:%'").withColumn("mbid", F.col("seed_id")).unionByName(by_name).withColumn("ok", F.col("mbid").isNotNull())
-    ok = crawled.where("ok").select(F.col("mbid").alias("key"), "entity_name").distinct()
+    ok = F.broadcast(crawled.where("ok").select(F.col("mbid").alias("key"), "entity_name").distinct())
     found = payloads.discography(ok.join(answers["discography"], "key"))
     found = found.unionByName(payloads.genre_network(ok.join(answers["genre_network"], "key")))
-    named = ok.select(F.col("entity_name").alias("key")).distinct()
+    named = F.broadcast(ok.select(F.col("entity_name").alias("key")).distinct())
     found = found.unionByName(payloads.similar_albums(payloads.similar_artists(named.join(answers["similar"], "key")), answers["albums"])).drop("key")
     first = found.groupBy("title", "artist_name").agg(F.min_by("genre", F.struct("genre", "mbid")).alias("genre"), F.min("mbid").alias("mbid"))
     admitted = discovery.admit(first, known, owned, affinity, target)
@@ -85,5 +87,5 @@ def crawl_batch(frontier: DataFrame, answers: dict[str, DataFrame], known: DataF
     rest = mark(frontier, done).join(renamed.select("seed_id"), "seed_id", "left_anti")
     ids = renamed.groupBy(F.col("mbid").alias("seed_id")).agg(F.min("entity_name").alias("new_name"))
     rest = rest.join(ids, "seed_id", "left").withColumn("state", F.when(F.col("new_name").isNotNull(), "COOLDOWN").otherwise(F.col("state"))).drop("new_name")
-    fresh = ids.join(frontier.select("seed_id"), "seed_id", "left_anti").select("seed_id", F.col("new_name").alias("entity_name"), F.lit(1.5).alias("priority"), F.lit("COOLDOWN").alias("state"), F.lit(None).cast("long").alias("created_seq"))
+    fresh = ids.join(frontier.select("seed_id").hint("merge"), "seed_id", "left_anti").select("seed_id", F.col("new_name").alias("entity_name"), F.lit(1.5).alias("priority"), F.lit("COOLDOWN").alias("state"), F.lit(None).cast("long").alias("created_seq"))
     return {"frontier": rest.select("seed_id", "entity_name", "priority", "state", "created_seq").unionByName(fresh), "candidates": admitted, "seeds": crawled.select("seed_id", F.col("mbid").alias("crawled_id"), "ok")}

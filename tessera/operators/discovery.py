@@ -61,7 +61,7 @@ def admit(found: DataFrame, known: DataFrame, owned: DataFrame, affinity: DataFr
     rows = found.where(~F.exists(F.array(*map(F.lit, fixed.TITLE_BLOCKLIST)), lambda w: F.contains(title, w)))
     if target:
         rows = rows.where(F.contains(F.lower("genre"), F.lit(target)) | F.contains(title, F.lit(target)))
-    rows = rows.withColumn("kt", text.alnum_key(F.col("title"))).withColumn("ka", text.alnum_key(F.col("artist_name"))).join(owned, ["kt", "ka"], "left_anti")
-    rows = rows.withColumn("candidate_id", text.candidate_id(F.col("title"), F.col("artist_name"))).dropDuplicates(["candidate_id"]).join(known.select("candidate_id"), "candidate_id", "left_anti")
+    rows = rows.withColumn("kt", text.alnum_key(F.col("title"))).withColumn("ka", text.alnum_key(F.col("artist_name"))).join(owned.hint("merge"), ["kt", "ka"], "left_anti")
+    rows = rows.withColumn("candidate_id", text.candidate_id(F.col("title"), F.col("artist_name"))).dropDuplicates(["candidate_id"]).join(known.select("candidate_id").hint("merge"), "candidate_id", "left_anti")
     share = affinity.select(F.col("genre").alias("g"), "score")
     return rows.join(share, F.lower("genre") == F.col("g"), "left").select("candidate_id", "title", "artist_name", "genre", F.coalesce("score", F.lit(0.8)).alias("ccs"))

@@ -228,8 +228,8 @@ def crawled(t: Catalog) -> dict[str, DataFrame]:
     said = {
         "artist_search": rows.where("p_partkey % 5 = 0").select(named.alias("key"), F.to_json(F.struct(F.when(part() % 10 == 0, F.array(F.struct(F.concat(F.lit("found "), part()).alias("id")))).alias("artists"))).alias("body")),
         "discography": discography_answers(t).select("key", "body"),
-        "genre_network": network_answers(t).join(rows.select(part().cast("string").alias("key"), "seed"), "key").select(F.col("seed").alias("key"), "body"),
-        "similar": similar_answers(t).join(rows.select(part().cast("string").alias("key"), "p_brand"), "key").groupBy(F.col("p_brand").alias("key")).agg(F.min("body").alias("body")),
+        "genre_network": network_answers(t).join(rows.select(part().cast("string").alias("key"), "seed").hint("merge"), "key").select(F.col("seed").alias("key"), "body"),
+        "similar": similar_answers(t).join(rows.select(part().cast("string").alias("key"), "p_brand").hint("merge"), "key").groupBy(F.col("p_brand").alias("key")).agg(F.min("body").alias("body")),
         "albums": album_answers(t),
     }
     lib = overview(t).select("title", "artist_name").distinct()
