@@ -61,6 +61,12 @@ def ratio(a: str | None, b: str | None) -> float:
     return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
 
 
+@F.pandas_udf(T.StringType())
+def alnum(text: pd.Series) -> pd.Series:
+    """The letters and digits that a similarity is counted on."""
+    return text.map(_alnum)
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple, float] = {}

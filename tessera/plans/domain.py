@@ -303,21 +303,25 @@ def admission(t: Catalog) -> DataFrame:
 
 
 q("dm20_exact_ownership", "SELECT c.candidate_id, c.release_group_mbid IN (SELECT release_group_mbid FROM core_albums WHERE release_group_mbid IS NOT NULL) AS by_id FROM sys_discovery_candidates c WHERE c.release_group_mbid IS NOT NULL")(lambda t: t.sys_discovery_candidates.where("release_group_mbid IS NOT NULL").join(t.core_albums.where("release_group_mbid IS NOT NULL").select("release_group_mbid", F.lit(True).alias("own")).distinct(), "release_group_mbid", "left").select("candidate_id", F.coalesce("own", F.lit(False)).alias("by_id")))
-q("dm20_fuzzy_ownership")(lambda t: fuzzy_owned(t))
+q("dm20_fuzzy_ownership")(lambda t: fuzzy_owned(t, t.core_recordings.select("title", "artist_id").where("title <> ''")))
 
 
-def fuzzy_owned(t: Catalog) -> DataFrame:
-    """Candidates close to an album by title (0.85) and artist (0.70) among those with the same first three letters."""
-    from tessera.functions.exact import similarity
+def fuzzy_owned(t: Catalog, recordings: DataFrame | None = None) -> DataFrame:
+    """Candidates close to an album of the library by title (0.85) and artist (0.70), whatever letters these begin with.
+
+    recordings: (title, artist_id) of what else is in the library.
+    """
+    from tessera.functions.exact import alnum, similarity
 
-    key = lambda c: F.substring(text.alnum_key(F.col(c)), 1, 3).alias("block")
-    near = lambda a, b, least: 2 * F.least(F.length(text.alnum_key(F.col(a))), F.length(text.alnum_key(F.col(b)))) >= least * (F.length(text.alnum_key(F.col(a))) + F.length(text.alnum_key(F.col(b))))
-    lib = t.core_albums.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
+    works = t.core_albums.select("title", "artist_id")
+    works = works if recordings is None else works.unionByName(recordings.distinct())
+    lib = works.join(t.core_artists.select(F.col("id").alias("artist_id"), "name"), "artist_id", "left").select(F.col("title").alias("lib_title"), F.coalesce("name", F.lit("Unknown Artist")).alias("lib_artist")).distinct()
     c = t.sys_discovery_candidates.select("candidate_id", "title", "artist_name")
     # Different titles are few, so they are compared once each, and so are the artists behind those that agree.
-    spelled = lambda frame, column: frame.select(F.col(column).alias("spelled"), key(column), text.alnum_key(F.col(column)).alias("text")).distinct()
-    mine, theirs = spelled(c, "title"), spelled(lib, "lib_title")
-    titles = alike(mine, theirs, 0.85).join(mine.select(F.col("spelled").alias("title"), "block", F.col("text").alias("a")), ["block", "a"]).join(theirs.select(F.col("spelled").alias("lib_title"), "block", F.col("text").alias("b")), ["block", "b"]).where(similarity("title", "lib_title") >= 0.85)
+    spelled = lambda frame, column: cut(frame.select(F.col(column).alias("spelled")).distinct().select("spelled", F.lit(0).alias("block"), alnum("spelled").alias("text")))
+    mine, theirs = spelled(c, "title"), spelled(works, "title")
+    titles = alike(mine, theirs, 0.85).join(mine.select(F.col("spelled").alias("title"), F.col("text").alias("a")), "a").join(theirs.select(F.col("spelled").alias("lib_title"), F.col("text").alias("b")), "b").where(similarity("title", "lib_title") >= 0.85)
+    titles = cut(titles.select("title", "lib_title"))
     # What is asked of each artist of a title is asked once, whoever has it, and one album that is near answers it.
     asked = cut(c.join(titles.select("title", "lib_title"), "title").select("lib_title", "artist_name").where("artist_name IS NOT NULL").distinct())
     held = cut(lib.join(asked.select("lib_title").distinct(), "lib_title", "left_semi").select("lib_title", "lib_artist"))
@@ -326,15 +330,16 @@ def fuzzy_owned(t: Catalog) -> DataFrame:
         start = lambda column: F.substring(text.alnum_key(F.col(column)), 1, letters).alias("start")  # noqa: B023, E731
         left = asked if answered is None else asked.join(answered, ["lib_title", "artist_name"], "left_anti")
         likely = held.groupBy("lib_title", start("lib_artist")).agg(F.min("lib_artist").alias("lib_artist"))
-        tried = left.withColumn("start", start("artist_name")).join(likely, ["lib_title", "start"]).where(near("artist_name", "lib_artist", 0.70)).where(similarity("artist_name", "lib_artist") >= 0.70)
+        tried = left.withColumn("start", start("artist_name")).join(likely, ["lib_title", "start"]).where(similarity("artist_name", "lib_artist") >= 0.70)
         tried = tried.select("lib_title", "artist_name")
         answered = cut(tried if answered is None else answered.unionByName(tried))
     # The others are held against every artist of the title that shares rare letter pairs with them.
     left = cut(asked.join(answered, ["lib_title", "artist_name"], "left_anti"))
     if not left.isEmpty():
-        block = lambda frame, column: frame.select(F.col("lib_title").alias("block"), text.alnum_key(F.col(column)).alias("text"))
+        block = lambda frame, column: frame.select(F.col("lib_title").alias("block"), alnum(column).alias("text"))
+        held = held.join(left.select("lib_title").distinct(), "lib_title", "left_semi")
         found = alike(block(left, "artist_name"), block(held, "lib_artist"), 0.70).withColumnRenamed("block", "lib_title")
-        spelled_by = lambda frame, column, as_: frame.select("lib_title", column, text.alnum_key(F.col(column)).alias(as_))
+        spelled_by = lambda frame, column, as_: frame.select("lib_title", column, alnum(column).alias(as_))
         tried = found.join(spelled_by(left, "artist_name", "a"), ["lib_title", "a"]).join(spelled_by(held, "lib_artist", "b"), ["lib_title", "b"]).where(similarity("artist_name", "lib_artist") >= 0.70)
         answered = answered.unionByName(tried.select("lib_title", "artist_name").distinct())
     near_titles = titles.select("title", "lib_title").join(answered, "lib_title").select("title", "artist_name").distinct()

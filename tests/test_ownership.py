@@ -18,3 +18,18 @@ def test_against_all_pairs(rows, monkeypatch):
     block = lambda x: x.replace(" ", "").lower()[:3]
     assert got == {c for c, title, who in wanted if any(block(title) == block(a) and ratio(title, a) >= 0.85 and ratio(who, names[k]) >= 0.70 for k, a in albums)}
     assert "d0" in got and "d1" not in got and len(asked) == 2 and asked[1] <= 6
+
+
+def test_titles_that_begin_otherwise_and_recordings_are_found(rows):
+    names = {1: "Aurora Sky", 2: "ΟΔΟΣ", 3: "Brass Ring"}
+    albums = [(1, "The Quiet Harbour"), (2, "ΝΥΧΤΕΣ ΤΗΣ ΠΟΛΗΣ"), (3, "Ab")]
+    tracks = [("Second Lantern Song", 1), ("Loose Ends Forever", None), ("", 3)]
+    wanted = [("first letter", "A Quiet Harbour", "Aurora Sky"), ("one more", "1 The Quiet Harbour", "Aurora Sky"), ("sigma", "Ν.ΥΧΤΕΣ ΤΗΣ ΠΟΛΗΣ", "οδοσ"), ("recording", "Xecond Lantern Song", "Aurora Skye"), ("unknown", "Loose Ends Forever", "unknown artist"), ("other artist", "Second Lantern Song", "Brass Ring"), ("short", "Ac", "Brass Ring"), ("empty", "", "Brass Ring"), ("none", None, "Brass Ring")]
+    t = SimpleNamespace(core_artists=rows(list(names.items()), "id long, name string"), core_albums=rows(albums, "artist_id long, title string"), sys_discovery_candidates=rows(wanted, "candidate_id string, title string, artist_name string"))
+    found = lambda *more: {r.candidate_id for r in domain.fuzzy_owned(t, *more).collect()}
+    frame = rows(tracks, "title string, artist_id long")
+    held = [(title, names[k]) for k, title in albums]
+    near = lambda: {c for c, title, who in wanted if any(ratio(title, x) >= 0.85 and ratio(who, y) >= 0.70 for x, y in held)}
+    assert found() == near() == {"first letter", "one more", "sigma"}
+    held += [(title, names.get(k, "Unknown Artist")) for title, k in tracks]
+    assert found(frame) == near() == {"first letter", "one more", "sigma", "recording", "unknown"}
