@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import gzip
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +26,7 @@ def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda x: x.casefold() if x else "")
 
 
+@functools.lru_cache(1 << 16)  # the same tags come again and again
 def _alias(tag: str | None) -> str:
     letters = unicodedata.normalize("NFKD", unicodedata.normalize("NFC", tag or "").strip().casefold())
     return re.sub(r"[\s\-_]+", " ", "".join(c for c in letters if not unicodedata.combining(c))).strip()
@@ -34,10 +38,13 @@ def tag_alias(tag: pd.Series) -> pd.Series:
     return tag.map(_alias)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def tag_aliases(tags: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def tag_aliases(tags: pa.Array) -> pa.Array:
     """The aliases of a row's tags, in order."""
-    return tags.map(lambda found: None if found is None else [_alias(x) for x in found])
+    none = tags.is_null().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(tags.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int32)
+    starts = pa.array(np.concatenate([[0], ends]), pa.int32(), mask=np.append(none, False))
+    return pa.ListArray.from_arrays(starts, pa.array([_alias(x) for x in tags.flatten().to_pylist()], pa.string()))
 
 
 @F.pandas_udf(T.StringType())

@@ -47,7 +47,7 @@ def artist_key(name: Column) -> Column:
 
 
 def path_seed(path: Column) -> Column:
-    name = F.regexp_extract(or_blank(path), r"([^/]*)$", 1)
+    name = F.substring_index(or_blank(path), "/", -1)
     stem = F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
     text = F.regexp_replace(F.regexp_replace(F.trim(stem), fixed.SEED_PREFIX, ""), fixed.EDITION_NOISE, "")
     return one_space(F.regexp_replace(text, r"[._\-]", " "))

@@ -215,13 +215,21 @@ q(
 
 def fan_out(t: Catalog) -> DataFrame:
     """All rows that the parsed files give, as (kind, key, name, value)."""
-    # Parsed once, stored by columns without those that no row below shows, and read by each of the tables.
-    made = media.fan_out(stored(parsed_files(t, "sha256_file", "duration", "format", "bitrate", "sample_rate", "channels", "payload")))
-    row = lambda kind, key, name, value: made[kind].select(F.lit(kind).alias("kind"), F.col(key).alias("key"), name.alias("name"), value.cast("string").alias("value"))
-    fact = F.concat_ws("|", "value", "source_id", "evidence_class", F.round("confidence", 4).cast("string"), F.col("token_index").cast("string"))
-    out = row("recordings", "id", F.col("state"), F.col("title")).unionByName(row("assets", "asset_id", F.col("recording_id"), F.concat_ws("|", "md5_file", "audio_stream_hash", "file_size")))
-    out = out.unionByName(row("locations", "asset_id", F.lit("filepath"), F.col("filepath"))).unionByName(row("validation", "recording_id", F.lit("quality_score"), F.col("quality_score")))
-    return out.unionByName(row("evidence", "entity_id", F.col("field_name"), fact)).unionByName(row("payloads", "content_hash", F.lit("payload"), F.lit("")))
+    # Parsed once and stored by columns without those that no row below shows; then each file gives all its rows at once.
+    parsed = stored(parsed_files(t, "sha256_file", "duration", "format", "bitrate", "sample_rate", "channels", "payload"))
+    good = media.good_files(parsed)
+    row = lambda kind, key, name, value: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), name.alias("name"), value.alias("value"))
+    fact = lambda f: row("evidence", "recording_id", f["field_name"], F.concat_ws("|", f["value"], f["source_id"], f["evidence_class"], F.round(f["confidence"], 4).cast("string"), f["token_index"].cast("string")))
+    own = F.array(
+        row("recordings", "recording_id", F.lit("PARSED"), F.substring_index("path", "/", -1)),
+        row("assets", "asset_id", F.col("recording_id"), F.concat_ws("|", "md5_file", "audio_stream_hash", "file_size")),
+        row("locations", "asset_id", F.lit("filepath"), F.col("path")),
+        row("validation", "recording_id", F.lit("quality_score"), F.lit(str(media.START_QUALITY))),
+    )
+    plain = good.select(F.inline(F.concat(own, F.transform(media.plain_facts(), fact))))
+    genres = media.genre_facts(good).select(F.inline(F.transform("facts", fact)))
+    payloads = good.select("payload_hash").distinct().select(F.inline(F.array(row("payloads", "payload_hash", F.lit("payload"), F.lit("")))))
+    return plain.unionByName(genres).unionByName(payloads)
 
 
 _RAW = "CASE kind WHEN 'mp3' THEN concat_ws(', ', '\"TCON\": [\"' || genre || '\"]', '\"TIT2\": [\"' || title || '\"]', '\"TPE1\": [\"' || artist || '\"]', CASE WHEN isrc = '' THEN '\"TSRC\": []' ELSE '\"TSRC\": [\"' || isrc || '\"]' END) WHEN 'flac' THEN coalesce('\"TITLE\": [\"' || title || '\"]', '') ELSE '' END"

@@ -9,13 +9,15 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import exact, fixed, text
 from tessera.sources.audio import Sound, mp4_atoms, ogg_packets, sound_of
 
 SKIPPED, LONGEST = 8192, 2000
+#: Quality of a recording that only its file tells of.
+START_QUALITY = 0.2
 PARSED = "path string, status string, md5_file string, sha256_file string, audio_stream_hash string, duration double, format string, bitrate int, sample_rate int, channels int, file_size long, tags map<string,string>, payload binary, payload_hash string"
 _EMPTY = ("NONE", "NULL", "UNKNOWN")
 
@@ -102,7 +104,12 @@ def tags_of(data: bytes, suffix: str) -> tuple[dict[str, str], dict[str, list[st
         raw, wanted = vorbis_tags(data), _COMMENTS
     else:
         raw, wanted = mp4_tags(data) if suffix == "m4a" else {}, {}
-    joined = {field: next((" ; ".join(raw[n]) for n in names if raw.get(n) and " ; ".join(raw[n]).upper() not in _EMPTY), None) for field, names in wanted.items()}
+    joined = {}
+    for field, names in wanted.items() if raw else ():
+        for name in names:
+            if raw.get(name) and (value := " ; ".join(raw[name])).upper() not in _EMPTY:
+                joined[field] = value
+                break
     return {k: v for k, v in joined.items() if v}, raw
 
 
@@ -121,7 +128,7 @@ def parse_media(files: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
     """
     kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
     fields = [pa.field(name, kinds[kind]) for name, kind in (c.split(" ") for c in PARSED.split(", "))]
-    tagged = not {"tags", "payload", "payload_hash"} <= {*skipped}
+    tagged, encode = not {"tags", "payload", "payload_hash"} <= {*skipped}, json.JSONEncoder(sort_keys=True).encode
 
     def row(path: str, data: bytes | None) -> dict:
         if not data:
@@ -136,7 +143,7 @@ def parse_media(files: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
         if tagged:
             tags, raw = tags_of(data, suffix)
             out["tags"] = list(tags.items())
-            dump = json.dumps(raw, sort_keys=True).encode() if raw else b"{}"
+            dump = encode(raw).encode() if raw else b"{}"
             if "payload" not in skipped:
                 out["payload"] = gzip.compress(dump, mtime=0)
             if "payload_hash" not in skipped:
@@ -145,25 +152,48 @@ def parse_media(files: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row(path.as_py(), data.as_py()) for path, data in zip(batch["path"], batch["content"], strict=True)]
+            rows = [row(path, data) for path, data in zip(batch["path"].to_pylist(), batch["content"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), f.type) if f.name in skipped else pa.array([r.get(f.name) for r in rows], f.type) for f in fields], schema=pa.schema(fields))
 
     return files.select("path", "content").mapInArrow(work, PARSED)
 
 
-def facts_of(parsed: DataFrame, *kept: str) -> DataFrame:
-    """(path, kept columns, field_name, value, source_id, confidence, raw_value, token_index, positional_weight) from the tags and paths of parsed files.
+def good_files(parsed: DataFrame) -> DataFrame:
+    """Parsed files that could be read, with asset_id and recording_id, which follow from the file's hash and path."""
+    made = lambda kind: F.md5(F.concat(F.lit(kind), "md5_file", "path").cast("binary"))
+    return parsed.where("status = 'SUCCESS'").withColumn("asset_id", made("asset")).withColumn("recording_id", made("recording"))
+
+
+def _fact(field: Column, value: Column, raw: Column, source: str, kind: str = "LOCAL", weight: Column | None = None, confidence: Column | None = None, index: Column | None = None) -> Column:
+    one = F.lit(1.0)
+    weight = one if weight is None else weight
+    return F.struct(field.alias("field_name"), value.alias("value"), F.lit(kind).alias("evidence_class"), F.lit(source).alias("source_id"), (weight if confidence is None else confidence).alias("confidence"), raw.alias("raw_value"), (F.lit(0) if index is None else index).alias("token_index"), weight.alias("positional_weight"))
+
 
-    A genre is cut at its delimiters; each further part weighs 0.75 of the one before.
+def plain_facts() -> Column:
+    """The facts of a parsed file's tags but lists, and of its path: array of (field_name, value, evidence_class, source_id, confidence, raw_value, token_index, positional_weight)."""
+    raw = lambda e: F.substring(F.trim(e["value"]), 1, LONGEST)
+    tags = F.transform(F.filter(F.map_entries("tags"), lambda e: (F.trim(e["value"]) != "") & ~e["key"].isin(*_LISTED)), lambda e: _fact(e["key"], raw(e), raw(e), "SRC_EMBEDDED_TAGS"))
+    seeds = F.array(*[F.struct(F.lit(f).alias("key"), v.alias("value")) for f, v in (("title", text.path_seed(F.col("path"))), ("disc_number", text.disc_number(F.col("path")).cast("string")))])
+    seeded = F.transform(F.filter(seeds, lambda e: e["value"] != ""), lambda e: _fact(e["key"], e["value"], e["value"], "SRC_PATH_SEED"))
+    return F.concat(F.coalesce(tags, F.filter(seeded, lambda e: F.lit(False))), seeded)
+
+
+def genre_facts(good: DataFrame) -> DataFrame:
+    """(recording_id, payload_hash, facts) of good files with a genre or subgenre; facts like those of plain_facts.
+
+    A genre is cut at its delimiters; each further part weighs 0.75 of the one before. What the parts agree on is derived.
     """
-    own = ("path", *kept)
-    tags = parsed.select(*own, F.explode("tags").alias("field_name", "raw")).where("trim(raw) <> ''").withColumn("raw", F.substring(F.trim("raw"), 1, LONGEST))
-    listed = F.col("field_name").isin(*_LISTED)
-    parts = genre_parts(parsed).select(*own, F.explode("parts").alias("p")).where("p.value <> ''")
-    parts = parts.select(*own, "p.field_name", "p.value", F.lit("SRC_EMBEDDED_TAGS").alias("source_id"), F.col("p.weight").alias("confidence"), "p.raw_value", "p.token_index", F.col("p.weight").alias("positional_weight"))
-    plain = lambda rows, source: rows.select(*own, "field_name", "value", F.lit(source).alias("source_id"), F.lit(1.0).alias("confidence"), F.col("value").alias("raw_value"), F.lit(0).alias("token_index"), F.lit(1.0).alias("positional_weight"))
-    seeds = parsed.select(*own, F.explode(F.create_map(F.lit("title"), text.path_seed(F.col("path")), F.lit("disc_number"), text.disc_number(F.col("path")).cast("string"))).alias("field_name", "value")).where("value <> ''")
-    return parts.unionByName(plain(tags.where(~listed).withColumnRenamed("raw", "value"), "SRC_EMBEDDED_TAGS")).unionByName(plain(seeds, "SRC_PATH_SEED"))
+    from tessera.operators.taxonomy import row_consensus
+
+    # A recording's tags are those of its file, so they lie in one row.
+    tag = lambda p: F.struct(F.concat(p["field_name"], F.format_string("%05d", p["token_index"])).alias("seq"), p["value"].alias("tag"), p["weight"].alias("weight"), F.lit("SRC_EMBEDDED_TAGS").alias("source"))
+    parts = genre_parts(good).select("recording_id", "payload_hash", F.element_at("tags", "artist").alias("artist"), F.filter("parts", lambda p: p["value"] != "").alias("parts"))
+    agreed = row_consensus(parts.withColumn("listed", F.transform("parts", tag)))
+    said = lambda c: F.when((F.col("genre") != "Unclassified") & (F.size("parts") > 0), F.col(c))
+    derived = F.filter(F.array(*[_fact(F.lit(c), said(c), said(c), "SRC_TAXONOMY", "DERIVED", confidence=F.col("confidence")) for c in _LISTED]), lambda f: f["value"] != "")
+    own = F.transform("parts", lambda p: _fact(p["field_name"], p["value"], p["raw_value"], "SRC_EMBEDDED_TAGS", weight=p["weight"], index=p["token_index"]))
+    return agreed.select("recording_id", "payload_hash", F.concat(own, derived).alias("facts"))
 
 
 #: Fields whose tags are lists.
@@ -190,23 +220,14 @@ def fan_out(parsed: DataFrame) -> dict[str, DataFrame]:
     Ids follow from the file's hash. Genres of the tags add derived facts of the consensus. A recording starts with its file
     name as title, PARSED and of quality 0.20.
     """
-    from tessera.operators.taxonomy import row_consensus
-
-    good = parsed.where("status = 'SUCCESS'").withColumn("asset_id", F.md5(F.concat(F.lit("asset"), "md5_file", "path").cast("binary"))).withColumn("recording_id", F.md5(F.concat(F.lit("recording"), "md5_file", "path").cast("binary")))
-    facts = facts_of(good, "recording_id", "payload_hash").withColumn("evidence_class", F.lit("LOCAL"))
-    # A recording's tags are those of its file, so they lie in one row.
-    tag = lambda p: F.struct(F.concat(p["field_name"], F.format_string("%05d", p["token_index"])).alias("seq"), p["value"].alias("tag"), p["weight"].alias("weight"), F.lit("SRC_EMBEDDED_TAGS").alias("source"))
-    tagged = genre_parts(good).select("recording_id", "payload_hash", F.element_at("tags", "artist").alias("artist"), F.transform(F.filter("parts", lambda p: p["value"] != ""), tag).alias("listed"))
-    # What doesn't count becomes null in the map: a condition on the consensus itself would be worked out once more below it.
-    said = lambda c: F.when((F.col("genre") != "Unclassified") & (F.size("listed") > 0), F.col(c))
-    derived = row_consensus(tagged).select("recording_id", "payload_hash", "confidence", F.explode(F.create_map(F.lit("genre"), said("genre"), F.lit("subgenre"), said("subgenre"))).alias("field_name", "value")).where("value <> ''")
-    derived = derived.withColumn("source_id", F.lit("SRC_TAXONOMY")).withColumn("evidence_class", F.lit("DERIVED")).withColumn("raw_value", F.col("value")).withColumn("token_index", F.lit(0)).withColumn("positional_weight", F.lit(1.0))
+    good = good_files(parsed)
+    facts = lambda rows, found: rows.select("recording_id", "payload_hash", F.inline(found))
     columns = ["recording_id", "field_name", "value", "evidence_class", "source_id", "payload_hash", "confidence", "raw_value", "token_index", "positional_weight"]
     return {
         "recordings": good.select(F.col("recording_id").alias("id"), F.element_at(F.split("path", "/"), -1).alias("title"), F.lit("PARSED").alias("state")),
         "assets": good.select("asset_id", "recording_id", "md5_file", "sha256_file", "audio_stream_hash", "duration", "format", "bitrate", "sample_rate", "channels", "file_size"),
         "locations": good.select("asset_id", F.col("path").alias("filepath"), F.lit(1).alias("is_available")),
-        "evidence": facts.select(*columns).unionByName(derived.select(*columns)).withColumnRenamed("recording_id", "entity_id"),
-        "validation": good.select("recording_id", F.lit(0.20).alias("quality_score")),
+        "evidence": facts(good, plain_facts()).unionByName(facts(genre_facts(good), "facts")).select(*columns).withColumnRenamed("recording_id", "entity_id"),
+        "validation": good.select("recording_id", F.lit(START_QUALITY).alias("quality_score")),
         "payloads": good.select(F.col("payload_hash").alias("content_hash"), "payload").dropDuplicates(["content_hash"]),
     }
