@@ -216,7 +216,8 @@ q(
 def fan_out(t: Catalog) -> DataFrame:
     """All rows that the parsed files give, as (kind, key, name, value)."""
     # Parsed once and stored by columns without those that no row below shows; then each file gives all its rows at once.
-    parsed = stored(parsed_files(t, "sha256_file", "duration", "format", "bitrate", "sample_rate", "channels", "payload"))
+    unused = ("sha256_file", "duration", "format", "bitrate", "sample_rate", "channels", "payload")
+    parsed = stored(parsed_files(t, *unused).drop(*unused))
     good = media.good_files(parsed)
     row = lambda kind, key, name, value: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"), name.alias("name"), value.alias("value"))
     fact = lambda f: row("evidence", "recording_id", f["field_name"], F.concat_ws("|", f["value"], f["source_id"], f["evidence_class"], F.round(f["confidence"], 4).cast("string"), f["token_index"].cast("string")))
